@@ -30,7 +30,8 @@ from .common import table, texts
 MODEL = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Text characters whose pre-tokens a task gathers before it writes them.
-GATHER = 8 << 20
+GATHER = 32 << 20
+COLUMNS = ["piece", "base", "docs"]
 #: Pre-tokens of the model's own splitting pattern; special strings are cut out first.
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 
@@ -50,32 +51,51 @@ def _specials(path: str) -> list[str]:
         return sorted((x["content"] for x in json.load(f)["added_tokens"]), key=len, reverse=True)
 
 
+#: Code points on whose classes the ``regex`` module and the tokenizer agree (a test holds them against each other).
+PLAIN = regex.compile("[\\x00-\\u052f\\u0600-\\u06ff\\u0900-\\u097f\\u2000-\\u206f\\u3040-\\u3096\\u30a0-\\u30ff\\u4e00-\\u9fef\\uac00-\\ud7a3\\U0001f300-\\U0001f64f]*")
+
+
 def splitter(path: str):
     """A function from a text to its pre-tokens, special strings among them."""
-    specials = _specials(path)
+    specials, before = _specials(path), _tokenizer(path).pre_tokenizer
+
+    def plain(text: str) -> list[str]:
+        if PLAIN.fullmatch(text):
+            return PATTERN.findall(text)
+        return [text[a:b] for _, (a, b) in before.pre_tokenize_str(text)]
+
     if not specials:
-        return PATTERN.findall
+        return plain
     cut = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")")
 
     def split(text: str) -> list[str]:
         if not any(s in text for s in specials):
-            return PATTERN.findall(text)
-        return [x for i, part in enumerate(cut.split(text)) for x in ([part] if i % 2 else PATTERN.findall(part))]
+            return plain(text)
+        return [x for i, part in enumerate(cut.split(text)) for x in ([part] if i % 2 else plain(part))]
 
     return split
 
 
 def postings(docs: DataFrame, path: str) -> DataFrame:
-    """piece, docs: the documents that have the pre-token, once for each time."""
+    """piece, base, docs: the documents that have the pre-token, once for each time, as distances from ``base``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, held, size = splitter(path), {}, 0
 
         def write():
             rows = list(held.values())
-            offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-            ids = pa.array(np.fromiter((x for r in rows for x in r), np.int64, offsets[-1]))
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.ListArray.from_arrays(pa.array(offsets), ids)], ["piece", "docs"])
+            offsets = np.cumsum([0, *map(len, rows)])
+            ids = np.fromiter((x for r in rows for x in r), np.int64, offsets[-1])
+            base = ids[offsets[:-1]]
+            away = ids - np.repeat(base, np.diff(offsets))
+            names = pa.array(list(held), pa.string())
+            near = np.abs(away) < 1 << 31
+            if not near.all():  # ids too far apart for one row: a row for each far document
+                rest = np.flatnonzero(~near)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.searchsorted(offsets, rest, "right") - 1)), pa.array(ids[rest]), pa.ListArray.from_arrays(pa.array(np.arange(len(rest) + 1), pa.int32()), pa.array(np.zeros(len(rest), np.int32)))], COLUMNS)
+                offsets = np.concatenate([[0], np.cumsum(near)])[offsets]
+                away = away[near]
+            yield pa.RecordBatch.from_arrays([names, pa.array(base), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(away.astype(np.int32)))], COLUMNS)
 
         for batch in batches:
             for i, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -86,12 +106,12 @@ def postings(docs: DataFrame, path: str) -> DataFrame:
                         held[x] = [i]
                 size += len(text)
                 if size >= GATHER:
-                    yield write()
+                    yield from write()
                     held, size = {}, 0
         if held:
-            yield write()
+            yield from write()
 
-    return docs.select("key", "text").mapInArrow(run, "piece string, docs array<long>")
+    return docs.select("key", "text").mapInArrow(run, "piece string, base long, docs array<int>")
 
 
 def pieces(distinct: DataFrame, path: str) -> DataFrame:
@@ -112,9 +132,12 @@ def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> Dat
     """doc_id, n_bytes, n_tokens, over_limit for each doc_id."""
     path = public_tokenizers.path(model)
     own = texts(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    found = postings(own, path)
-    counted = pieces(found.select("piece").distinct(), path)
-    summed = found.join(counted, "piece").select(F.explode("docs").alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
+    # Both uses read one exchange: the filter keeps the lists in it, else it would be made twice.
+    found = postings(own, path).filter("piece is not null and docs is not null and base is not null and size(docs) > 0").repartition("piece")
+    distinct = found.groupBy("piece").agg(F.max(F.col("base") + F.size("docs")).alias("most")).filter("most is not null").select("piece")
+    counted = pieces(distinct, path)
+    each = found.join(counted, "piece").select("base", F.explode("docs").alias("away"), "n")
+    summed = each.select((F.col("base") + F.col("away")).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
     sizes = own.groupBy("key", "doc_id").agg(F.sum(F.octet_length("text").cast("long")).alias("n_bytes"))
     n = F.coalesce("n", F.lit(0)).cast("long")
     return sizes.join(summed, "key", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
