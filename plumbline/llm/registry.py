@@ -1,13 +1,15 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_trees, fertility, piece_bpe, substring_ranks, token_counts, url_rules
+from . import chat_trees, decontaminate, fertility, piece_bpe, substring_ranks, token_counts, url_rules, weighted_minhash
 
 QUERIES = {
     "op1_chat_formatting": chat_trees.op1_chat_formatting,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_fertility": fertility.op4_fertility,
     "op5_url_rules": url_rules.op5_url_rules,
     "op6_repeated_substrings": substring_ranks.op6_repeated_substrings,
     "op7_piece_bpe": piece_bpe.op7_piece_bpe,
+    "op8_weighted_minhash": weighted_minhash.op8_weighted_minhash,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES = {
