@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_trees, decontaminate, fertility, piece_bpe, substring_ranks, token_counts, url_rules, weighted_minhash
+from . import chat_trees, decontaminate, fertility, katz, piece_bpe, substring_ranks, token_counts, url_rules, weighted_minhash
 
 QUERIES = {
     "op1_chat_formatting": chat_trees.op1_chat_formatting,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_repeated_substrings": substring_ranks.op6_repeated_substrings,
     "op7_piece_bpe": piece_bpe.op7_piece_bpe,
     "op8_weighted_minhash": weighted_minhash.op8_weighted_minhash,
+    "op9_katz": katz.op9_katz,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES = {
