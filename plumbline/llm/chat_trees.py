@@ -53,20 +53,22 @@ def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     nodes = m.select("conv", "msg_id", "parent_id", "score")
     known = nodes.select("conv", F.col("msg_id").alias("parent_id"), F.lit(True).alias("known")).distinct()
     link = cut(nodes.join(known, ["conv", "parent_id"], "left").select("conv", "msg_id", F.when(F.col("known"), F.col("parent_id")).alias("up"), F.lit(1).cast("long").alias("n"), F.col("score").alias("sum")))
-    links = [link]
-    # A link leads 2**k messages up; n and sum are over the messages passed, the own one included.
+    live, ended = link.filter("up is not null"), link.filter("up is null")
+    links = [live]
+    # A link leads 2**k messages up; n and sum are over the messages passed, the own one included. Ended ones wait.
     most = link.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
-    while (1 << (len(links) - 1)) < most and not link.filter(F.col("up").isNotNull()).isEmpty():
-        far = link.select("conv", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("sum").alias("sum2"))
-        link = cut(link.join(far, ["conv", "up"], "left").select("conv", "msg_id", F.col("up2").alias("up"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum")))
-        links.append(link)
-    parents = links[0].filter(F.col("up").isNotNull()).select("conv", F.col("up").alias("msg_id")).distinct()
+    while (1 << (len(links) - 1)) < most and not live.isEmpty():
+        far = live.union(ended).select("conv", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("sum").alias("sum2"))
+        link = cut(live.join(far, ["conv", "up"]).select("conv", "msg_id", F.col("up2").alias("up"), (F.col("n") + F.col("n2")).alias("n"), (F.col("sum") + F.col("sum2")).alias("sum")))
+        live, ended = link.filter("up is not null"), ended.union(link.filter("up is null"))
+        links.append(live)
+    parents = links[0].select("conv", F.col("up").alias("msg_id")).distinct()
     best = Window.partitionBy("conv").orderBy(F.desc("sum"), F.desc("n"), "msg_id")
-    leaves = link.filter(F.col("up").isNull()).join(parents, ["conv", "msg_id"], "left_anti")
+    leaves = ended.join(parents, ["conv", "msg_id"], "left_anti")
     leaves = leaves.withColumn("path_rank", F.row_number().over(best)).filter(F.col("path_rank") <= top)
     path = leaves.select("conv", "path_rank", F.col("sum").alias("path_score"), F.col("n").alias("length"), "msg_id", F.lit(0).cast("long").alias("from_leaf"))
     for k in range(len(links) - 1, -1, -1):
-        hop = links[k].filter(F.col("up").isNotNull()).select("conv", "msg_id", "up")
+        hop = links[k].select("conv", "msg_id", "up")
         path = path.join(hop, ["conv", "msg_id"], "left")
         path = path.select(
             "conv", "path_rank", "path_score", "length",
