@@ -261,9 +261,13 @@ def decode(encoded: DataFrame, name: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = decode(encode(table(spark, sf_dir, "documents")))
-    return done.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+def digests(decoded: DataFrame) -> DataFrame:
+    """n_tokens and digests beside the ids."""
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(decode(encode(table(spark, sf_dir, "documents")))).drop("ids")

@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_trees, decontaminate, fertility, katz, piece_bpe, substring_ranks, token_counts, url_rules, weighted_minhash
+from . import chained_seeds, chat_trees, decontaminate, fertility, katz, piece_bpe, substring_ranks, token_counts, url_rules, weighted_minhash
 
 QUERIES = {
     "op1_chat_formatting": chat_trees.op1_chat_formatting,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_chained_seeds": chained_seeds.op3_chained_seeds,
     "op4_fertility": fertility.op4_fertility,
     "op5_url_rules": url_rules.op5_url_rules,
     "op6_repeated_substrings": substring_ranks.op6_repeated_substrings,

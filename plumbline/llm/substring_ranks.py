@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, prefix_hash, slices, span_hash, table, texts, utf8
 
@@ -125,10 +126,13 @@ def repeated_spans(own: DataFrame, length: int = LENGTH, sizes: tuple[int, ...]
     return spans.groupBy("key", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, removed: array of (start, end) maximal byte runs, kept: the other bytes."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, removed: array of (start, end) maximal byte runs, kept: the other bytes; and ``carried``, a struct of the columns to carry."""
+    carried = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("string")
     own = texts(docs).withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63))), "text_hash": F.xxhash64("text")})
-    both = own.join(repeated_spans(own.select("key", "text", "text_hash"), length), ["key", "text_hash"], "left").select("doc_id", "text", "spans")
+    spans = repeated_spans(own.select("key", "text", "text_hash"), length)
+    full = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), carried.alias("carried")).withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63))), "text_hash": F.xxhash64("text")})
+    both = full.join(spans, ["key", "text_hash"], "left").select("doc_id", "text", "spans", "carried")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,9 +152,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 n.append(len(text))
                 removed.append(runs)
                 kept.append(b"".join(x.tobytes() for x in parts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), batch.column("carried")], ["doc_id", "n_bytes", "removed", "kept", "carried"])
 
-    return both.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary").add("carried", both.schema["carried"].dataType)
+    return both.mapInArrow(run, schema)
 
 
 def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
