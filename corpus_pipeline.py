@@ -1,13 +1,69 @@
-"""The corpus pipeline: documents through quality rules, near-dedup, exact-substring dedup, decontamination and token encoding."""
+"""The corpus pipeline: documents through quality rules, near-dedup, exact-substring dedup, decontamination and token encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns all that stays, with the columns of
+``docs``; the last returns ids. ``run`` applies them in order, each one's result
+written to the shared folder and read again as the next one's input.
+
+Rows are told apart by doc_id. Rows without one pass the dedup of documents and decontamination, since
+nothing tells them apart; a null text is an empty text; an empty table stays empty; other columns
+pass through, but ``n_chars``, where there is one, follows the text when a stage changes it.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm import decontaminate, fertility, piece_bpe, substring_ranks, weighted_minhash
+from plumbline.llm.common import cut, table
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base or the fertility bands reject go."""
+    return _without(docs, fertility.judge(docs).filter(~F.col("kept")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least id stays."""
+    first = weighted_minhash.near_copies(docs).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    stays = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stays.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes under repeated strings of 400 bytes go; characters cut in two at their ends go too."""
+    kept = substring_ranks.remove_repeats(docs, carry=tuple(docs.columns))
+    text = F.when(F.size("removed") == 0, F.col("carried.text")).otherwise(F.expr("try_validate_utf8(cast(kept as string))"))
+    text = F.coalesce(text, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
+    own = {c: F.col(f"carried.{c}") for c in docs.columns}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.size("removed") == 0, own["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.withColumn("text", text).select(*(F.col("text") if c == "text" else own[c].alias(c) for c in docs.columns))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return _without(docs, decontaminate.matches(docs, table(spark, sf_dir, "benchmark")))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and digests of the ids and of the text they decode to."""
+    return piece_bpe.digests(piece_bpe.decode(piece_bpe.encode(docs)))
+
+
+STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("substring dedup", substring_dedup), ("decontamination", decontamination), ("encoding", encoding)]
+#: Fertility, samples, substrings, edit matching and merges are not SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs)
     return docs
