@@ -74,6 +74,17 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterat
             i = j
 
 
+def text_parts(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows of about ``size`` bytes of text at a time, whole texts, and their texts."""
+    for batch in batches:
+        offsets, i = utf8(batch.column("text"))[0], 0
+        while i < len(batch):
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
+            part = batch.slice(i, j - i)
+            yield part, part.column("text").to_pylist()
+            i = j
+
+
 # Polynomial hashes modulo 2**64 over per-byte random values; any substring's hash is a difference of prefixes.
 _RNG = np.random.default_rng(20240607)
 BYTE_VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, grams, mix, prefix_hash, span_hash, table, utf8, words_of
-from .piece_bpe import MODEL, model, text_parts
+from .common import cut, grams, mix, prefix_hash, span_hash, table, text_parts, utf8, words_of
+from .piece_bpe import MODEL, model
 
 MIN_WORDS, REPEAT_SHARE = 50, 50
 WIDTH = 6.0

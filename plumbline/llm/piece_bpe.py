@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import table, text_parts, texts
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-#: Text characters encoded together, and distinct words kept from one such part to the next.
-PART_CHARS, KEPT_WORDS = 4 << 20, 400_000
+#: Bytes of text encoded together, and distinct words kept from one such part to the next.
+PART_BYTES, KEPT_WORDS = 1 << 20, 100_000
 _NONE = np.int64(1 << 60)
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
@@ -71,7 +71,7 @@ class PieceBpe:
         self.keys = np.array(sorted(pairs), np.int64)
         self.made = np.array([pairs[x] for x in self.keys.tolist()], np.int32)
         self.made_rank = rank[self.made]
-        self.first = np.full(0x110000, -1, np.int64)  # a character's symbol
+        self.first = np.full(0x110000, -1, np.int32)  # a character's symbol
         for s, i in symbols.items():
             if len(s) == 1:
                 self.first[ord(s)] = i
@@ -115,7 +115,7 @@ class PieceBpe:
         """Offsets (n + 1) and ids."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-        symbol, word = self.first[chars], np.repeat(np.arange(len(words)), lengths)
+        symbol, word = self.first[chars].astype(np.int64), np.repeat(np.arange(len(words)), lengths)
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(symbol):
             rank, made = np.full(len(symbol), _NONE), np.zeros(len(symbol), np.int32)
@@ -222,28 +222,16 @@ def model(path: str) -> PieceBpe:
     return PieceBpe(path)
 
 
-def text_parts(batches: Iterator[pa.RecordBatch], chars: int = PART_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Rows of about ``chars`` characters at a time, whole texts."""
-    for batch in batches:
-        words = batch.column("text").to_pylist()
-        start, size = 0, 0
-        for i, text in enumerate(words):
-            size += len(text)
-            if size >= chars or i == len(words) - 1:
-                yield batch.slice(start, i + 1 - start), words[start : i + 1]
-                start, size = i + 1, 0
-
-
 def encode(docs: DataFrame, name: str = MODEL) -> DataFrame:
-    """doc_id, text, ids of every row."""
+    """doc_id, ids of every row."""
     path = public_tokenizers.path(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words in text_parts(batches):
+        for part, words in text_parts(batches, PART_BYTES):
             offsets, ids = model(path).encode(words)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], ["doc_id", "text", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, name: str = MODEL) -> DataFrame:
@@ -252,8 +240,8 @@ def decode(encoded: DataFrame, name: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 1024):
-                part = batch.slice(i, 1024)
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
                 lists = part.column("ids")
                 offsets, ids = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model(path).decode(offsets - offsets[0], ids[offsets[0] : offsets[-1]]), pa.string())], ["doc_id", "ids", "decoded"])
