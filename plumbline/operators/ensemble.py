@@ -1,0 +1,46 @@
+"""Percentiles over the full pairing of coefficients, one step at a time, without the paired table.
+
+The join of responses with paired coefficients has (responses x measurements x controls) rows for
+each step. Here a task holds one step's responses and the separate coefficients, forms the sums in
+memory and returns percentiles: nothing of the product is shuffled. The coefficients go to every
+task and so are broadcast behind a check of their number; beyond it the join path serves.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import attribution as at
+from . import summary
+
+MOST_COEFFICIENTS = 2_000_000
+
+
+def step_percentiles(wide: DataFrame, coef: DataFrame, variables: list[str], qs: list[float] = summary.PERCENTILES) -> DataFrame:
+    """t, variable, percentile, value of the components, Ant and Tot."""
+    shown = [*variables, "Ant", "Tot"]
+    if coef.limit(MOST_COEFFICIENTS + 1).count() > MOST_COEFFICIENTS:
+        rows = at.long(at.attributed(wide, at.paired(coef, variables), variables), shown, ["t"])
+        return summary.percentiles(rows, ["t", "variable"], qs=qs)
+    table = coef.toPandas()
+    names = [*(f"b_{v}" for v in variables), "b_const"]
+    by = {k: (g[g.kind == "obs"][names].to_numpy(), g[g.kind == "ctl"][names].to_numpy()) for k, g in table.groupby(["model", "ensemble"])}
+    sent = wide.sparkSession.sparkContext.broadcast(by)
+
+    def one(step: pd.DataFrame) -> pd.DataFrame:
+        parts = {v: [] for v in shown}
+        for row in step.itertuples(index=False):
+            obs, ctl = sent.value.get((row.model, row.ensemble), (np.zeros((0, len(names))),) * 2)
+            b = (obs[:, None, :] + ctl[None, :, :]).reshape(-1, len(names))
+            own = {v: b[:, i] * getattr(row, v) for i, v in enumerate(variables)}
+            own["Ant"] = own["GHG"] + own["OHF"]
+            own["Tot"] = sum(own[v] for v in variables) + b[:, -1]
+            for v in shown:
+                parts[v].append(own[v])
+        out = [(int(step.t.iloc[0]), v, q, p) for v in shown for q, p in zip(qs, np.percentile(np.concatenate(parts[v]), qs), strict=True)]
+        return pd.DataFrame(out, columns=["t", "variable", "percentile", "value"])
+
+    return wide.groupBy("t").applyInPandas(one, "t long, variable string, percentile double, value double")
