@@ -231,7 +231,7 @@ def score(docs: DataFrame) -> DataFrame:
         a[asks], below[asks] = backoff[ask], told[ask]
         p = np.where(seen, model.mass(count) / np.maximum(below, 1), a * model.word(c_word))
         n = t.num_rows
-        add = lambda x: np.bincount(doc, x, n)
+        add = lambda x: np.bincount(doc, x, n).astype(float)
         base = np.log10((c_word + 0.1) / (model.n + 0.1 * (model.v + 1)))
         return pa.table({
             "doc_id": t.column("doc_id"), "held_out": pa.array(held), "n_tokens": add(None).astype(np.int64), "n_known": add(c_word > 0).astype(np.int64),
