@@ -4,7 +4,8 @@ For every whole text: the base counts, and with a public vocabulary the characte
 token, the share of byte-fallback tokens and the entropy of its tokens over the greatest they
 could have. Bands per language (or per script where no language is given) come from exact histograms
 of these measures over all documents that pass the base: quartiles, widened by ``WIDTH``
-interquartile ranges and at least by ``LEAST``. A document outside a band is rejected.
+interquartile ranges, and at least by the measure's own least distance. Measures of short texts vary more: a document of n tokens
+has 1 + ``SHORT`` / n times the distance. A document outside a band is rejected.
 
 Cases: a null or empty text has no words and fails the base; a null doc_id stays null;
 a null language falls to the main script of the text, then to "none"; repeated rows
@@ -26,9 +27,9 @@ from .common import cut, grams, mix, prefix_hash, span_hash, table, text_parts,
 from .piece_bpe import MODEL, model
 
 MIN_WORDS, REPEAT_SHARE = 50, 50
-WIDTH = 6.0
+WIDTH, SHORT = 3.0, 200
 #: Bins a unit of each measure, least distance of a band's edge from its quartile, and which edges reject.
-MEASURES = {"chars_per_token": (100, 0.5, True, True), "byte_share": (1000, 0.1, False, True), "entropy_share": (1000, 0.15, True, False)}
+MEASURES = {"chars_per_token": (100, 0.2, True, True), "byte_share": (1000, 0.1, False, True), "entropy_share": (1000, 0.15, True, False)}
 #: Groups whose bands are broadcast; beyond it, they are joined by shuffle.
 BROADCAST_GROUPS = 10_000
 _SYMBOL = np.zeros(256, bool)
@@ -105,7 +106,7 @@ def measures(docs: DataFrame, name: str = MODEL) -> DataFrame:
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """band_group and, for each measure, the least and greatest value that stays."""
+    """band_group and, for each measure, its quartiles and how far beyond them a value may lie."""
     by = Window.partitionBy("band_group", "measure").orderBy("bin")
     long = measured.select("band_group", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) * bins).alias("bin")) for m, (bins, *_) in MEASURES.items()))).alias("x")).select("band_group", "x.measure", "x.bin")
     counted = long.groupBy("band_group", "measure", "bin").agg(F.count("*").alias("n"))
@@ -113,11 +114,10 @@ def bands(measured: DataFrame) -> DataFrame:
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin")))
     quartiles = run.groupBy("band_group", "measure").agg(at(0.25).alias("q1"), at(0.75).alias("q3"))
     edges = []
-    for m, (bins, least, low, high) in MEASURES.items():
+    for m, (bins, least, _, _) in MEASURES.items():
         q1, q3 = F.col("q1") / bins, (F.col("q3") + 1) / bins
-        apart = F.greatest(WIDTH * (q3 - q1), F.lit(least))
-        own = F.col("measure") == m
-        edges += [F.max(F.when(own, q1 - apart if low else F.lit(float("-inf")))).alias(f"{m}_low"), F.max(F.when(own, q3 + apart if high else F.lit(float("inf")))).alias(f"{m}_high")]
+        own = lambda c: F.max(F.when(F.col("measure") == m, c))  # noqa: E731, B023
+        edges += [own(q1).alias(f"{m}_q1"), own(q3).alias(f"{m}_q3"), own(F.greatest(WIDTH * (q3 - q1), F.lit(least))).alias(f"{m}_apart")]
     return quartiles.groupBy("band_group").agg(*edges)
 
 
@@ -129,7 +129,10 @@ def judge(docs: DataFrame, name: str = MODEL) -> DataFrame:
     if edges.count() <= BROADCAST_GROUPS:
         edges = F.broadcast(edges)
     both = measured.join(edges, "band_group", "left")
-    outside = F.filter(F.array(*(F.when((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")), F.lit(m)) for m in MEASURES)), lambda x: x.isNotNull())
+    far = 1 + SHORT / F.greatest("n_tokens", F.lit(1))
+    below = {m: F.col(m) < F.col(f"{m}_q1") - F.col(f"{m}_apart") * far for m, (_, _, low, _) in MEASURES.items() if low}
+    above = {m: F.col(m) > F.col(f"{m}_q3") + F.col(f"{m}_apart") * far for m, (_, _, _, high) in MEASURES.items() if high}
+    outside = F.filter(F.array(*(F.when(below.get(m, F.lit(False)) | above.get(m, F.lit(False)), F.lit(m)) for m in MEASURES)), lambda x: x.isNotNull())
     both = both.withColumn("out_of_band", outside)
     return both.select(*measured.columns, "out_of_band", (~F.col("base_failed") & (F.size("out_of_band") == 0)).alias("kept"))
 
