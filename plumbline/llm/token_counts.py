@@ -25,12 +25,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import table, text_parts, texts
 
 MODEL = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Text characters whose pre-tokens a task gathers before it writes them.
 GATHER = 32 << 20
+#: Pre-tokens of a written batch.
+WRITE = 20_000
 COLUMNS = ["piece", "base", "docs"]
 #: Pre-tokens of the model's own splitting pattern; special strings are cut out first.
 PATTERN = regex.compile(public_tokenizers.PATTERN)
@@ -83,22 +85,24 @@ def postings(docs: DataFrame, path: str) -> DataFrame:
         split, held, size = splitter(path), {}, 0
 
         def write():
-            rows = list(held.values())
-            offsets = np.cumsum([0, *map(len, rows)])
-            ids = np.fromiter((x for r in rows for x in r), np.int64, offsets[-1])
-            base = ids[offsets[:-1]]
-            away = ids - np.repeat(base, np.diff(offsets))
-            names = pa.array(list(held), pa.string())
-            near = np.abs(away) < 1 << 31
-            if not near.all():  # ids too far apart for one row: a row for each far document
-                rest = np.flatnonzero(~near)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.searchsorted(offsets, rest, "right") - 1)), pa.array(ids[rest]), pa.ListArray.from_arrays(pa.array(np.arange(len(rest) + 1), pa.int32()), pa.array(np.zeros(len(rest), np.int32)))], COLUMNS)
-                offsets = np.concatenate([[0], np.cumsum(near)])[offsets]
-                away = away[near]
-            yield pa.RecordBatch.from_arrays([names, pa.array(base), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(away.astype(np.int32)))], COLUMNS)
-
-        for batch in batches:
-            for i, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            names = sorted(held)
+            for i in range(0, len(names), WRITE):
+                part = names[i : i + WRITE]
+                rows = [held.pop(x) for x in part]
+                offsets = np.cumsum([0, *map(len, rows)])
+                ids = np.fromiter((x for r in rows for x in r), np.int64, offsets[-1])
+                base = ids[offsets[:-1]]
+                away = ids - np.repeat(base, np.diff(offsets))
+                near = np.abs(away) < 1 << 31
+                column = pa.array(part, pa.string())
+                if not near.all():  # ids too far apart for one row: a row for each far document
+                    rest = np.flatnonzero(~near)
+                    yield pa.RecordBatch.from_arrays([column.take(pa.array(np.searchsorted(offsets, rest, "right") - 1)), pa.array(ids[rest]), pa.ListArray.from_arrays(pa.array(np.arange(len(rest) + 1), pa.int32()), pa.array(np.zeros(len(rest), np.int32)))], COLUMNS)
+                    offsets, away = np.concatenate([[0], np.cumsum(near)])[offsets], away[near]
+                yield pa.RecordBatch.from_arrays([column, pa.array(base), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(away.astype(np.int32)))], COLUMNS)
+
+        for part, words in text_parts(batches):
+            for i, text in zip(part.column("key").to_pylist(), words, strict=True):
                 for x in split(text):
                     if x in held:
                         held[x].append(i)
@@ -107,7 +111,7 @@ def postings(docs: DataFrame, path: str) -> DataFrame:
                 size += len(text)
                 if size >= GATHER:
                     yield from write()
-                    held, size = {}, 0
+                    size = 0
         if held:
             yield from write()
 
