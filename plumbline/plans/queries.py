@@ -190,10 +190,10 @@ def _(s, d):
 
 
 def _run(s, d):
-    """Responses, their wide form, coefficients and pairs of the stand-in run."""
-    resp = src.responses(s, d)
-    coef = at.coefficients(resp, src.obs_baseline(s, d), src.control_sample(s, d), V, *src.REGRESS)
-    return at.wide(resp, V), coef, at.paired(coef, V)
+    """Wide responses, coefficients, pairs and measurements of the stand-in run."""
+    resp, obs = src.responses(s, d), src.obs_baseline(s, d)
+    coef = at.coefficients(resp, obs, src.control_sample(s, d), V, *src.REGRESS)
+    return at.wide(resp, V), coef, at.paired(coef, V), obs
 
 
 @query("filter_coef_mask", "SELECT model, ensemble, obs, ctl, round(bg, 6) + 0.0 AS b_ghg, round(bo, 6) + 0.0 AS b_ohf FROM pairs WHERE NOT (bg <= 0 AND bo <= 0)")
@@ -246,8 +246,8 @@ def _(s, d):
 
 
 def _shown(s, d, obs: bool = False):
-    wide, _, pairs = _run(s, d)
-    return at.attributed(wide, pairs, V, src.obs_baseline(s, d) if obs else None)
+    wide, _, pairs, measured = _run(s, d)
+    return at.attributed(wide, pairs, V, measured if obs else None)
 
 
 _MEMBER = ["model", "ensemble", "obs", "ctl", "t"]
@@ -544,7 +544,7 @@ _SHOWN = [*V, "Ant", "Tot"]
 def _headline(s, d, of, const: float = 1.0):
     """Percentiles by window end of a linear functional of the series; ``of`` maps (df, keys) to rows with t and value."""
     resp = src.responses(s, d)
-    _, _, pairs = _run(s, d)
+    pairs = _run(s, d)[2]
     reduced = of(resp, ["model", "ensemble", "variable"]).select("model", "ensemble", "variable", "t", "value")
     shown = at.attributed(at.wide(reduced, V), pairs, V, const=const)
     return summary.percentiles(at.long(shown, _SHOWN, ["t"]), ["t", "variable"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import timeseries as ts
+from .stored import stored
 
 #: Regression steps, steps of the baseline period, rows of a control slice, and its baseline rows.
 REGRESS, BASE, SLICE, SLICE_BASE = (0, 26), (0, 5), 27, 5
@@ -60,7 +61,7 @@ def model_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def obs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ts.baseline_median(measurements(spark, sf_dir), *BASE)
+    return ts.baseline_median(stored(measurements(spark, sf_dir)), *BASE)
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
