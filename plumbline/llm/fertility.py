@@ -47,8 +47,8 @@ def base_counts(offsets: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
     # Lines that have a word: from one line break or document start to the next.
     starts = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
     starts = starts[starts < len(data)]
-    ends = np.append(starts[1:], len(data))
-    broken = data[ends - 1] == 10 if len(ends) else np.zeros(0, bool)
+    ends = np.append(starts[1:], len(data))[: len(starts)]
+    broken = data[ends - 1] == 10
     ends = ends - broken
     has_word = np.searchsorted(w.start, ends) > np.searchsorted(w.start, starts)
     starts, ends = starts[has_word], ends[has_word]
