@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns all that stays, with the colu
 ``docs``; the last returns ids. ``run`` applies them in order, each one's result
 written to the shared folder and read again as the next one's input.
 
-Rows are told apart by doc_id. Rows without one pass the dedup of documents and decontamination, since
+Rows are told apart by doc_id. Rows without one pass the stages that drop documents, since
 nothing tells them apart; a null text is an empty text; an empty table stays empty; other columns
 pass through, but ``n_chars``, where there is one, follows the text when a stage changes it.
 """
