@@ -107,13 +107,16 @@ def repeated_spans(own: DataFrame, length: int = LENGTH, sizes: tuple[int, ...]
     docs, within, spans = own, None, None
     for size in sizes:
         rows = cut(_ranked(docs, size, within, length))
+        # Written, so that joins with a very frequent core can be split.
+        repeated = cut(rows.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"))
+        rows = cut(rows.join(repeated, "core"))
         at = F.struct("key", "text_hash", "pos")
-        pairs = rows.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min(at).alias("first"))
-        pairs = pairs.withColumn("done", (F.col("hull") != 0) & (F.col("n") > 1))
-        repeated = pairs.groupBy("core").agg(F.sum("n").alias("m"), F.max(~F.col("done")).alias("open")).filter(F.col("m") > 1)
-        known = pairs.join(repeated, "core").select("core", "hull", "done", "open", "first")
-        # The first of each finished class is ranked on, for blocks that repeat a part of it.
-        on = F.col("open") & (~F.col("done") | (F.col("first") == at))
+        classes = rows.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min(at).alias("first"))
+        classes = cut(classes.select("core", "hull", "first", ((F.col("hull") != 0) & (F.col("n") > 1)).alias("done")))
+        # The first of each finished class is ranked on where an unfinished one of its core may repeat a part of it.
+        open_cores = cut(classes.groupBy("core").agg(F.max(~F.col("done")).alias("open")).filter("open"))
+        known = cut(classes.join(open_cores, "core", "left"))
+        on = ~F.col("done") | (F.col("open") & (F.col("first") == at))
         marked = cut(rows.join(known, ["core", "hull"]).select("key", "text_hash", "pos", "done", on.alias("on")))
         anchor, j = F.expr(f"pos div {_J}"), F.expr(f"pos % {_J}")
         most = F.least((j + 1) * size, F.lit(length - GRAM + 1)) - 1
