@@ -22,7 +22,7 @@ from .common import texts
 
 #: Keys are the upper bits of 64-bit hashes.
 KEY_BITS = 56
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)

@@ -34,7 +34,7 @@ from .common import table, text_parts, texts
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 #: Bytes of text encoded together, and distinct words kept from one such part to the next.
-PART_BYTES, KEPT_WORDS = 1 << 20, 100_000
+PART_BYTES, KEPT_WORDS = 1 << 19, 60_000
 _NONE = np.int64(1 << 60)
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
