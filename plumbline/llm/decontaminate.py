@@ -61,6 +61,29 @@ def myers(pattern, text, most: int) -> tuple[int, int]:
     return (best, end) if end >= 0 else (-1, -1)
 
 
+def edit_distance(a, b) -> int:
+    """Edit distance of two whole sequences by the same bit-parallel recursion, its top row counting up."""
+    m = len(a)
+    if not m:
+        return len(b)
+    masks: dict = defaultdict(int)
+    for i, c in enumerate(a):
+        masks[c] |= 1 << i
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    plus, minus, score = full, 0, m
+    for c in b:
+        eq = masks.get(c, 0)
+        d0 = ((((eq & plus) + plus) & full) ^ plus) | eq | minus
+        h_plus, h_minus = minus | (full & ~(d0 | plus)), plus & d0
+        if h_plus & top:
+            score += 1
+        elif h_minus & top:
+            score -= 1
+        h_plus = ((h_plus << 1) | 1) & full
+        plus, minus = ((h_minus << 1) & full) | (full & ~(d0 | h_plus)), h_plus & d0
+    return score
+
+
 def edits_of(chars: int) -> int:
     return chars // CHARS_PER_EDIT
 
