@@ -156,6 +156,64 @@ def test_passages(spark, rng, odd, none):
     assert chained_seeds.passages(none).count() == 0
 
 
+def test_alignment(rng, monkeypatch):
+    for held in (1 << 27, 64):
+        monkeypatch.setattr(chained_seeds, "HELD_BITS", held)
+        for _ in range(100):
+            a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 40))] for _ in range(2))
+            steps = chained_seeds.alignment(a, b).decode()
+            i = j = 0
+            for s in steps:
+                assert s not in "=x" or (a[i] == b[j]) == (s == "=")
+                i, j = i + (s != "b"), j + (s != "a")
+            assert (i, j) == (len(a), len(b)) and len(steps) - steps.count("=") == brute.edit_distance(a, b)
+
+
+def test_passages_are_split(rng):
+    """Along an alignment, every word that lies in some passage is in one that is found (by all pairs of steps)."""
+    for _ in range(60):
+        a, b = [], []
+        for _ in range(rng.randint(1, 4)):
+            p = [rng.randint(0, 10**6) for _ in range(rng.randint(20, 90))]
+            q = [w for w in p if rng.random() > 0.08]
+            q = [rng.randint(0, 10**6) if rng.random() < rng.choice((0, 0.1)) else w for w in q]
+            a, b = a + p + [rng.randint(0, 10**6) for _ in range(rng.randint(0, 60))], b + q + [rng.randint(0, 10**6) for _ in range(rng.randint(0, 60))]
+        steps = chained_seeds.alignment(a, b)
+        x, y, n = (np.cumsum([0, *(c not in no for c in steps)]) for no in (b"b", b"a", b"="))
+        want = set()
+        for s in range(len(steps)):
+            for e in range(s + 50, len(steps) + 1):
+                dx, dy = x[e] - x[s], y[e] - y[s]
+                if steps[s] == steps[e - 1] == ord("=") and min(dx, dy) >= 50 and 5 * (n[e] - n[s]) <= max(dx, dy):
+                    want.update(i for i in range(s, e) if steps[i] == ord("="))
+        got = chained_seeds.split(np.array(a), np.array(b))
+        for x0, x1, y0, y1, edits in got:
+            assert min(x1 - x0, y1 - y0) >= 50 and edits <= 0.2 * max(x1 - x0, y1 - y0)
+            assert brute.edit_distance(a[x0:x1], b[y0:y1]) <= edits
+        assert {int(x[i]) for i in want} <= {w for x0, x1, *_ in got for w in range(x0, x1)}
+
+
+def test_passages_with_others_between(spark, rng):
+    """Pairs of documents with several passages or a stray shared phrase, and unlike words of unlike number between them."""
+    rows, want = [], []
+    for i in range(0, 40, 2):
+        parts = [words(rng, 60) for _ in range(rng.randint(1, 3))] + [words(rng, 8)]
+        for d in (i, i + 1):
+            w = words(rng, rng.randint(0, 20))
+            for p in parts:
+                if len(p) == 60:
+                    want.append((d, len(w)))
+                w = w + p + words(rng, rng.randint(31, 120))
+            rows.append((d, " ".join(w)))
+    found = chained_seeds.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = dict(rows)
+    spans = [s for r in found for s in ((r.doc_id, r.start, r.end), (r.other_doc_id, r.other_start, r.other_end))]
+    assert all(any(e == d and a <= at and at + 60 <= b for e, a, b in spans) for d, at in want)
+    for r in found:
+        a, b = text[r.doc_id].split()[r.start : r.end], text[r.other_doc_id].split()[r.other_start : r.other_end]
+        assert min(len(a), len(b)) >= 50 and brute.edit_distance(a, b) <= r.edits <= 0.2 * max(len(a), len(b)) and {r.doc_id // 2} == {r.other_doc_id // 2}
+
+
 def test_near_copies(spark, rng, odd, none):
     rows = []
     for c in range(12):
