@@ -108,7 +108,7 @@ def _automaton(items: tuple[tuple[int, str], ...]):
 def find(items: tuple[tuple[int, str], ...], text: str) -> list[tuple[int, int, int, int]]:
     """(item index, distance, start, end) of each item in a normal text, its best place."""
     best: dict[int, tuple[int, int, int, int]] = {}
-    seen: dict[int, int] = {}  # the end of an item's last verified window
+    seen: dict[int, set[tuple[int, int]]] = defaultdict(set)  # an item's verified windows: a later hit can have an earlier one
     for last, (n, places) in _automaton(items).iter(text):
         for i, offset in places:
             item = items[i][1]
@@ -120,11 +120,11 @@ def find(items: tuple[tuple[int, str], ...], text: str) -> list[tuple[int, int,
                 best[i] = (i, 0, start, start + m)
                 continue
             a, b = max(0, start - k), min(len(text), start + m + k)
-            if b <= seen.get(i, -1):
+            if (a, b) in seen[i]:
                 continue
-            seen[i] = b
+            seen[i].add((a, b))
             distance, end = myers(item, text[a:b], k)
-            if distance < 0 or i in best and best[i][1] <= distance:
+            if distance < 0 or i in best and (best[i][1], best[i][3]) <= (distance, a + end):
                 continue
             back, length = myers(item[::-1], text[a : a + end][::-1], k)
             best[i] = (i, distance, a + end - length if back == distance else max(a, a + end - m), a + end)

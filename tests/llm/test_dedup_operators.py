@@ -83,6 +83,28 @@ def test_myers(rng):
             assert n == best == brute.edit_distance(y, x[a:b])
 
 
+def test_edited_item_with_repeated_pieces():
+    p, q = "abcdefghijklm", "nopqrstuvwxyA"
+    x = "k" * 50 + p[:5] + "?" + p[6:] + q[:5] + "?" + q[6:] + p + "z" + "k" * 50
+    assert decontaminate.find(((0, p + q + p + "z"),), x) == [(0, 2, 50, 90)]
+
+
+def test_items_with_repeated_pieces(rng):
+    """An intact later piece that equals an edited earlier one does not hide the item; the place is the first of the least distance."""
+    for _ in range(400):
+        few = ["".join(rng.choice("abcdef") for _ in range(rng.randint(5, 14))) for _ in range(2)]
+        y = "".join(rng.choice(few) for _ in range(rng.randint(3, 9))) + rng.choice(("", "z"))
+        z = list(y)
+        for k in rng.sample(range(len(y)), min(len(y), rng.randint(0, len(y) // 20 + 1))):
+            z[k] = "q"
+        x = "k" * rng.randint(0, 90) + rng.choice(("", few[0])) + "".join(z) + rng.choice(("", few[1], y[1:])) + "k" * rng.randint(0, 90)
+        best, got = brute.best_within(y, x), decontaminate.find(((0, y),), x)
+        assert bool(got) == (best <= len(y) // 20)
+        if got:
+            _, n, a, b = got[0]
+            assert n == best == brute.edit_distance(y, x[a:b]) and brute.best_within(y, x[: b - 1]) > best
+
+
 def test_decontaminate(spark, sf, corpus, odd, none):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = {(r.doc_id, r.item_id) for r in decontaminate.op2_decontaminate(spark, sf).collect()}
