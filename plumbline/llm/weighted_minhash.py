@@ -11,7 +11,9 @@ texts are one class from the start, and candidates are sought between classes. I
 ``SMALL`` classes all pairs are candidates. A larger bucket pairs its classes with a few
 ``LEADERS`` of them: those that agree most with the bucket's commonest band keys, as the text that the others were
 copied from does, and some arbitrary ones; and its classes are bucketed again by every two bands. Candidates are verified by
-exact weighted Jaccard similarity, and verified links are joined to components.
+exact weighted Jaccard similarity, and verified links are joined to components. That settles most of a larger bucket; then all
+its pairs that are still in different components are compared, in blocks of ``BLOCK`` classes against ``BLOCK``, so every
+pair with a common band is decided.
 
 Cases: a null text is empty; texts without words are near copies only of equal texts; a
 null doc_id is kept; repeated rows are copies of each other; an empty table gives no rows; extra
@@ -35,6 +37,8 @@ BANDS, ROWS = 10, 3
 SMALL = 24
 #: Leaders by agreement and arbitrary ones of a larger bucket: of one band, then of two bands.
 LEADERS = ((6, 3), (0, 2))
+#: Classes of a larger bucket that are compared with as many others at a time.
+BLOCK = 256
 #: Hash bits of a shingle in the vectors that candidates are verified with.
 VECTOR_BITS = 48
 
@@ -125,7 +129,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
-SKETCH = "doc_id long, t1 long, t2 long, bands array<long>, vector binary"
+SKETCH = "doc_id long, t1 long, t2 long, bands array<long>, vector binary, weight double"
 
 
 def sketches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -148,7 +152,7 @@ def sketches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         at, (total,) = gk.shared_columns(known, ranges, dict(zip(replies.column("bucket").to_pylist(), replies.column("blob").to_pylist(), strict=True)), 1)
         df = df.astype(np.int64)
         df[at] = total.astype(np.int64)
-        rows, t1, t2, bands, vectors = [], [], [], [], []
+        rows, t1, t2, bands, vectors, weights = [], [], [], [], [], []
         for row, offsets, data in _parts(t):
             n = len(offsets) - 1
             doc, key, count = shingles(offsets, data)
@@ -173,10 +177,11 @@ def sketches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 bands.append([] if i is None else band[i].view(np.int64).tolist())
                 vectors.append(vector(key[ends[i] : ends[i + 1]] >> np.uint64(gk.KEY_BITS - VECTOR_BITS), weight[ends[i] : ends[i + 1]]) if i is not None else b"")
             picked = np.flatnonzero(chosen)
+            weights.append(total_weight[picked])
             for out, p in ((t1, p1), (t2, p2)):
                 out.append(span_hash(p, offsets[picked], offsets[picked + 1]).view(np.int64))
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"doc_id": t.column("doc_id").take(pa.array(rows, pa.int64())), "t1": join(t1), "t2": join(t2), "bands": pa.array(bands, pa.list_(pa.int64())), "vector": pa.array(vectors, pa.binary())})
+        return pa.table({"doc_id": t.column("doc_id").take(pa.array(rows, pa.int64())), "t1": join(t1), "t2": join(t2), "bands": pa.array(bands, pa.list_(pa.int64())), "vector": pa.array(vectors, pa.binary()), "weight": np.concatenate(weights) if weights else np.zeros(0)})
 
     sent = own.docs.groupBy("g").applyInArrow(sending, gk.SENT)
     replies = sent.groupBy("bucket").applyInArrow(replying, gk.SENT)
@@ -240,11 +245,62 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
 
 
+def _decide(t: pa.Table, band: int, threshold: float) -> list[tuple[int, int]]:
+    """Rows (x, y) of a block pair (a, c, at, bands, vector, weight) that are near copies, as far as their components c are not joined yet."""
+    c, at, weight = (t.column(k).to_numpy().copy() for k in ("c", "at", "weight"))
+    bands = np.array(t.column("bands").to_pylist(), np.int64)[:, :band]
+    known = [read_vector(v) for v in t.column("vector").to_pylist()]
+    shingle, place = np.unique(np.concatenate([k for k, _ in known]), return_inverse=True)
+    value, starts = np.concatenate([w for _, w in known]), np.cumsum([0, *(len(k) for k, _ in known)])
+    sums, lower, n = np.add.reduceat(value, starts[:-1]), at.min(), t.num_rows
+    between, dense, out = bool((at != lower).any()), np.zeros(len(shingle)), []
+    for x in np.flatnonzero(at == lower).tolist():
+        # By the weights alone two texts can be too far apart; and a pair that shares an earlier band is decided there.
+        could = (c != c[x]) & (np.minimum(weight, weight[x]) >= (threshold - 1e-9) * np.maximum(weight, weight[x])) & (at != lower if between else np.arange(n) > x)
+        could &= ~(bands == bands[x]).any(axis=1)
+        if not could.any():
+            continue
+        own = slice(starts[x], starts[x + 1])
+        dense[place[own]] = value[own]
+        both = np.add.reduceat(np.minimum(dense[place], value), starts[:-1])
+        dense[place[own]] = 0
+        close = both / (sums[x] + sums - both)
+        for y in np.flatnonzero(could & (close >= threshold - 1e-9)).tolist():
+            if c[y] != c[x] and similarity(known[x], known[y]) >= threshold:
+                out.append((x, y))
+                c[c == c[y]] = c[x]
+    return out
+
+
+def remaining_links(reps: DataFrame, labels: DataFrame, threshold: float) -> DataFrame | None:
+    """Links (a, b) between components in the buckets of more than ``SMALL`` of the representatives (a, bands, vector, weight); None if no such bucket has several components."""
+    live = reps.filter(F.size("bands") == BANDS)
+    classes = live.select("a", "bands").join(labels.select(F.col("node").alias("a"), "component"), "a", "left")
+    members = cut(classes.select("a", F.coalesce("component", "a").alias("c"), F.posexplode("bands").alias("band", "value")))
+    sizes = members.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).filter((F.col("n") > SMALL) & (F.col("least") < F.col("most")))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    of = members.join(cut(sizes.select("band", "value", blocks.alias("blocks"))), ["band", "value"])
+    of = cut(of.withColumn("at", F.pmod(F.xxhash64("a", F.lit(1)), F.col("blocks")).cast("int")))
+    if of.isEmpty():
+        return None
+    each = of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("a", "c", "at", "band", "value", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+
+    def deciding(key, t):
+        i, j = key[2].as_py(), key[3].as_py()
+        if i != j and len(set(t.column("at").to_pylist())) < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        found, a = _decide(t, key[0].as_py(), threshold), t.column("a").to_pylist()
+        return pa.table({"a": pa.array([a[x] for x, _ in found], pa.int64()), "b": pa.array([a[y] for _, y in found], pa.int64())})
+
+    return cut(each.join(live.select("a", "bands", "vector", "weight"), "a").groupBy("band", "value", "i", "j").applyInArrow(deciding, "a long, b long"))
+
+
 def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the least doc_id of its near copies) and text_class (of its exact copies) of every row."""
     drawn = cut(sketches(docs, threshold))
     classes = cut(drawn.groupBy("t1", "t2").agg(F.min("doc_id").alias("a")))
-    reps = drawn.join(classes.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("a"), "bands", "vector")
+    reps = drawn.join(classes.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("a"), "bands", "vector", "weight")
     pairs = cut(candidates(reps.select("a", "bands")))
     one, two = reps.select("a", F.col("vector").alias("va")), reps.select(F.col("a").alias("b"), F.col("vector").alias("vb"))
 
@@ -254,7 +310,11 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
 
     links = cut(pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInArrow(verify, "a long, b long"))
-    found = classes.join(components(links).select(F.col("node").alias("a"), "component"), "a", "left").select("t1", "t2", F.col("a").alias("text_class"), F.coalesce("component", "a").alias("class_id"))
+    labels = components(links)
+    more = remaining_links(reps, labels, threshold)
+    if more is not None and not more.isEmpty():
+        labels = components(links.union(more))
+    found = classes.join(labels.select(F.col("node").alias("a"), "component"), "a", "left").select("t1", "t2", F.col("a").alias("text_class"), F.coalesce("component", "a").alias("class_id"))
     of = drawn.select("doc_id", "t1", "t2").join(found, ["t1", "t2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("text_class").alias("text_class"))
     return docs.select("doc_id").join(of, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_class", "doc_id").alias("text_class"))
 

@@ -254,6 +254,20 @@ def test_near_copies(spark, rng, odd, none):
     assert weighted_minhash.near_copies(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 40])
+def test_near_copies_in_large_groups(spark, rng, monkeypatch, block):
+    """Pairs of twins among hundreds of texts that share most words: each is a near copy of its twin only."""
+    monkeypatch.setattr(weighted_minhash, "BLOCK", block)
+    core, rows = words(rng, 804), []
+    for _ in range(120):
+        twin = words(rng, 8)
+        rows += [(len(rows) + i, " ".join(core + twin + words(rng, 14))) for i in range(2)]
+    rng.shuffle(rows)
+    want = brute.near_classes(rows)
+    assert len(set(want.values())) == 120
+    assert {r.doc_id: r.class_id for r in weighted_minhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_near_copies_of_the_corpus(spark, sf, corpus):
     got = {r.doc_id: r.class_id for r in weighted_minhash.op8_weighted_minhash(spark, sf).collect()}
     assert got == brute.near_classes(corpus)
