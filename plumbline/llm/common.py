@@ -1,7 +1,8 @@
 """Shared pieces of the corpus operators.
 
 * ``cut`` writes an intermediate table into the shared checkpoint folder and
-  reads it back, so that a lost executor costs one stage and not the lineage.
+  reads it back, so that a lost executor costs one stage and not the lineage;
+  ``forget`` deletes what this process has cut, once results are written.
 * ``utf8``/``slices`` give numpy views of Arrow text columns.
 * ``words_of`` finds and hashes all words of a slice of documents at once.
 
@@ -29,22 +30,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none (tests)."""
+    """The cluster's shared folder; a local one only where a local session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: evaluated once, with no lineage behind it."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _written.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables that this process has cut; frames that read them end with it."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+
+
+def row_key():
+    """What tells rows apart whose ids clash or are null: a 64-bit hash of id and text. Equal rows have equal keys."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text alone; a null text is an empty one. Other columns never reach the operators."""
     return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -88,7 +108,6 @@ def text_parts(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> It
 # Polynomial hashes modulo 2**64 over per-byte random values; any substring's hash is a difference of prefixes.
 _RNG = np.random.default_rng(20240607)
 BYTE_VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BYTE_VALUES_2 = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}

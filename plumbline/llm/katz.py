@@ -10,13 +10,15 @@ The counts are tables partitioned by key range (``group_keys``): groups of docum
 send their words and pairs, get back the training counts of those that other groups have too,
 and know the rest themselves. Each pair of the training text is then one group's to
 report, for its history: that group sends the history's discounted and backed-off mass to the
-history's key range, which sums a(h) and answers the groups whose held-out documents ask. The Good-Turing
-counts of counts go to every group beside the replies.
+history's key range, which sums a(h) and answers the groups whose held-out documents ask. All that is
+summed is whole numbers (how many of a history's pairs, and of the words in them, have each discounted count), so weights are exact to
+the last bits of a double. The driver gets the Good-Turing counts of counts, 16 numbers, and nothing else.
 
 Where no discount can be had (no pair occurs once, say), a history keeps 1 / (c(h) + 1) for
 unseen words, and the unknown word has 1 / (N + 1) at least, everything else scaled to fit.
 
-Cases: a null text is empty: its only token is its end; a null doc_id counts as text "";
+Cases: a null text is empty: its only token is its end; a null doc_id counts as text ""; a very long text is one
+document like any other; equal counts need no order; several texts under one doc_id are documents of their own;
 repeated rows are trained on and scored each; with no training document every token has the unknown word's probability, 1;
 an empty table gives no rows; extra columns are ignored.
 """
@@ -28,18 +30,18 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import group_keys as gk
-from .common import mix, slices, table, words_of
+from .common import cut, mix, slices, table, words_of
 
 CUTOFF = 5
-GROUP_BYTES = 12 << 20
 FOLDS = 10
 _TOP = np.uint64(64 - gk.KEY_BITS)
 #: Hashes of the end token, and of the start, which is a history only.
 END, START = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-#: Counts of counts 1 to CUTOFF + 1, tokens, distinct; of words, then of pairs.
-_STATS = 2 * (CUTOFF + 3)
+#: Kind of a row with counts of counts 1 to CUTOFF + 1, tokens, distinct; of words, then of pairs.
+_STATS = -1
 
 
 def held_out(doc_ids: list[int | None]) -> np.ndarray:
@@ -116,6 +118,14 @@ class Model:
         """What a history's discounted counts are divided by: c(h), or c(h) + 1 where nothing was discounted."""
         return np.where(kept < total * (1 - 1e-9), total, total + 1)
 
+    def kept(self, total: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
+        """Sum of a history's discounted counts, from their sum and how many there are of counts 1 to CUTOFF."""
+        return total - sum((1 - self.d_pair[r]) * r * pairs[r - 1] for r in range(1, CUTOFF + 1))
+
+    def words(self, seen: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+        """Sum of P(v) over words, from the sum of their counts and how many there are of counts 1 to CUTOFF."""
+        return self.scale / max(self.n, 1) * (seen - sum((1 - self.d_word[r]) * r * words[r - 1] for r in range(1, CUTOFF + 1)))
+
     @classmethod
     def backoff(cls, kept: np.ndarray, total: np.ndarray, words: np.ndarray) -> np.ndarray:
         """a(h) from the discounted counts, the counts, and the sum of P(v), over a history's seen pairs; 1 for an unseen history."""
@@ -128,13 +138,18 @@ def _stats(count: np.ndarray) -> list[int]:
     return [*few[1 : CUTOFF + 2].tolist(), int(count.sum()), int((count > 0).sum())]
 
 
+def _by_count(place: np.ndarray, count: np.ndarray, n: int) -> list[np.ndarray]:
+    """For counts 1 to CUTOFF, how many there are at each place."""
+    return [np.bincount(place[count == r], minlength=n) for r in range(1, CUTOFF + 1)]
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score(docs: DataFrame) -> DataFrame:
     """held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the probability) of every row, trained on the rows that are not held out."""
-    own = gk.grouped(docs, GROUP_BYTES)
-    ranges = own.groups
+    own = gk.grouped(docs)
+    ranges = own.ranges
     kinds = 2  # words and pairs share the ranges; a pair's keys follow its group's words
 
     def prepared(t):
@@ -149,7 +164,7 @@ def score(docs: DataFrame) -> DataFrame:
         return pa.concat_tables([gk.send(g * kinds + k, keys, ranges, count) for k, (keys, count, _) in enumerate((words, pairs))])
 
     def counting(key, t):
-        """Replies of one range: (total training count, owner) of shared keys; its counts of counts to every group."""
+        """Replies of one range: (total training count, owner) of shared keys; its counts of counts."""
         out, stats = [], []
         for k in range(kinds):
             mine = t.filter(pa.array(t.column("g").to_numpy() % kinds == k))
@@ -165,23 +180,25 @@ def score(docs: DataFrame) -> DataFrame:
             owner[trained[np.unique(which[trained], return_index=True)[1]]] = True
             stats += _stats(total)
             out += list(zip(groups.tolist(), gk.reply(groups, sizes, holders[which] > 1, total[which], owner), strict=True))
-        b = key[0].as_py()
-        counts = gk.pack(np.array(stats))
-        rows = [*((b, g, x) for g, x in out), *((-1 - b, g * kinds, counts) for g in range(ranges))]
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "g": pa.array([r[1] // kinds for r in rows], pa.int32()), "kind": pa.array([r[1] % kinds for r in rows], pa.int32()), "blob": pa.array([r[2] for r in rows], pa.binary())})
+        rows = [*((g // kinds, g % kinds, x) for g, x in out), (_STATS, _STATS, gk.pack(np.array(stats)))]
+        return pa.table({"bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()), "g": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "blob": pa.array([r[2] for r in rows], pa.binary())})
+
+    def adding(batches):
+        """The sums of some ranges' counts of counts."""
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([sum(gk.unpack(x)[0].astype(np.int64) for x in batch.column("blob").to_pylist()).tolist()], pa.list_(pa.int64()))], ["sums"])
 
     def known(t, replies):
         """Everything a group knows once it has the counts."""
         doc, held, training, before, (words, word_count, word), (pairs, pair_count, pair) = prepared(t)
         rows = list(zip(*(replies.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True))
-        stats = sum((gk.unpack(x)[0].astype(np.int64) for b, _, x in rows if b < 0), np.zeros(_STATS, np.int64))
         owner = pair_count > 0
         for kind, keys, count in ((0, words, word_count), (1, pairs, pair_count)):
-            at, (total, own_it) = gk.shared_columns(keys, ranges, {b: x for b, k, x in rows if b >= 0 and k == kind}, 2)
+            at, (total, own_it) = gk.shared_columns(keys, ranges, {b: x for b, k, x in rows if k == kind}, 2)
             count[at] = total.astype(np.int64)
             if kind:
                 owner[at] = own_it.astype(bool)
-        model = Model(stats)
         first = np.zeros(len(pairs), np.int64)
         first[pair] = np.arange(len(pair))
         # Asked of a history: its backoff weight, and its divisor where no pair here shows that it is discounted.
@@ -191,32 +208,28 @@ def score(docs: DataFrame) -> DataFrame:
         asks = held[doc] & (count == 0) | ~shown[of]
         mine = first[owner]  # a token of each pair that this group reports
         history = np.unique(np.concatenate([before[mine], before[asks]]))
-        return doc, held, before, (words, word_count, word), count, mine, asks, history, model
+        return doc, held, before, (words, word_count, word), count, mine, asks, history
 
     def reporting(key, t, replies):
-        _, _, before, (_, word_count, word), count, mine, asks, history, model = known(t, replies)
+        _, _, before, (_, word_count, word), count, mine, asks, history = known(t, replies)
         place, n = np.searchsorted(history, before[mine]), len(history)
-        total = np.bincount(place, count[mine], n).astype(np.int64)
-        lost = np.bincount(place, count[mine] - model.mass(count[mine]), n).astype(np.float32)
-        mass = np.bincount(place, model.word(word_count[word[mine]]), n).astype(np.float32)
-        return gk.send(key[0].as_py(), history, ranges, total, lost.view(np.uint32), mass.view(np.uint32), np.isin(history, before[asks]))
+        of_word = word_count[word[mine]]
+        sums = [np.bincount(place, c, n).astype(np.int64) for c in (count[mine], of_word)]
+        return gk.send(key[0].as_py(), history, ranges, *sums, *_by_count(place, count[mine], n), *_by_count(place, of_word, n), np.isin(history, before[asks]))
 
     def backing(key, t):
         """Backoff numbers of the histories of one range, to those who ask."""
-        groups, sizes, keys, (total, lost, mass, asked) = gk.received(t, 4)
+        groups, sizes, keys, columns = gk.received(t, 3 + 2 * CUTOFF)
         distinct, which = np.unique(keys, return_inverse=True)
-        add = lambda x: np.bincount(which, x, len(distinct))
-        total = add(total.astype(np.int64))
-        kept = total - add(lost.astype(np.uint32).view(np.float32).astype(float))
-        a = Model.backoff(kept, total, add(mass.astype(np.uint32).view(np.float32).astype(float)))
-        as_int = lambda x: x.astype(np.float64).view(np.uint64)[which]
-        ratio = Model.seen_scale(kept, total)
-        blobs = gk.reply(groups, sizes, asked.astype(bool), as_int(a), ratio[which].astype(np.int64))
+        total, seen, *few = (np.bincount(which, c.astype(np.int64), len(distinct)).astype(np.int64) for c in columns[:-1])
+        kept = model.kept(total, few[:CUTOFF])
+        a = Model.backoff(kept, total, model.words(seen, few[CUTOFF:]))
+        blobs = gk.reply(groups, sizes, columns[-1].astype(bool), a.view(np.uint64)[which], Model.seen_scale(kept, total)[which].astype(np.int64))
         return pa.table({"bucket": pa.array([key[0].as_py()] * len(groups), pa.int32()), "g": pa.array(groups, pa.int32()), "kind": pa.array([kinds] * len(groups), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     def scoring(key, t, replies):
         first_replies = replies.filter(pa.array(replies.column("kind").to_numpy() < kinds))
-        doc, held, before, (words, word_count, word), count, mine, asks, history, model = known(t, first_replies)
+        doc, held, before, (words, word_count, word), count, mine, asks, history = known(t, first_replies)
         later = replies.filter(pa.array(replies.column("kind").to_numpy() == kinds))
         at, (weight, divisor) = gk.shared_columns(history, ranges, dict(zip(later.column("bucket").to_pylist(), later.column("blob").to_pylist(), strict=True)), 2)
         c_word, seen = word_count[word], count > 0
@@ -238,12 +251,14 @@ def score(docs: DataFrame) -> DataFrame:
             "train_tokens": np.full(n, model.n), "base_score": add(base), "score": add(np.log10(p)),
         })
 
-    by = "g"
-    sent = own.docs.groupBy(by).applyInArrow(sending, gk.SENT)
-    counts = sent.groupBy("bucket").applyInArrow(counting, "bucket int, g int, kind int, blob binary")
-    reports = own.docs.groupBy(by).cogroup(counts.groupBy(by)).applyInArrow(reporting, gk.SENT)
-    weights = reports.groupBy("bucket").applyInArrow(backing, "bucket int, g int, kind int, blob binary")
-    return own.docs.groupBy(by).cogroup(counts.union(weights).groupBy(by)).applyInArrow(scoring, SCORES)
+    by, replied = "g", "bucket int, g int, kind int, blob binary"
+    # Written, since the counts of counts are read before the replies are.
+    counts = cut(own.docs.groupBy(by).applyInArrow(sending, gk.SENT).groupBy("bucket").applyInArrow(counting, replied))
+    sums = counts.filter(F.col("kind") == _STATS).mapInArrow(adding, "sums array<long>").select(F.posexplode("sums").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).orderBy("i").collect()
+    model, replies = Model(np.array([r.n for r in sums], np.int64) if sums else np.zeros(2 * (CUTOFF + 3), np.int64)), counts.filter(F.col("kind") != _STATS)
+    reports = own.docs.groupBy(by).cogroup(replies.groupBy(by)).applyInArrow(reporting, gk.SENT)
+    weights = reports.groupBy("bucket").applyInArrow(backing, replied)
+    return own.docs.groupBy(by).cogroup(replies.union(weights).groupBy(by)).applyInArrow(scoring, SCORES)
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

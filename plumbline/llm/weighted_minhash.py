@@ -15,9 +15,10 @@ exact weighted Jaccard similarity, and verified links are joined to components.
 its pairs that are still in different components are compared, in blocks of ``BLOCK`` classes against ``BLOCK``, so every
 pair with a common band is decided.
 
-Cases: a null text is empty; texts without words are near copies only of equal texts; a
-null doc_id is kept; repeated rows are copies of each other; an empty table gives no rows; extra
-columns are ignored.
+Cases: a null text is empty; texts without words are near copies only of equal texts; a null
+doc_id is kept, and is a class's id only where the class has no other; several texts under one doc_id are each
+judged by themselves (texts are told apart by a 64-bit hash); repeated rows are copies of each other; a very
+long text is sketched in one piece; a group's ids tie by the least; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import group_keys as gk
-from .common import BYTE_VALUES_2, SLICE_BYTES, cut, grams, mix, prefix_hash, span_hash, table, texts, utf8, words_of
+from .common import SLICE_BYTES, cut, grams, mix, row_key, table, texts, utf8, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
@@ -129,13 +130,13 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
-SKETCH = "doc_id long, t1 long, t2 long, bands array<long>, vector binary, weight double"
+SKETCH = "a long, bands array<long>, vector binary, weight double"
 
 
 def sketches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Text hashes, band keys and weight vector of every document that can have a near copy."""
+    """a (text key), band keys and weight vector of the text of every document that can have a near copy."""
     own = gk.grouped(docs)
-    ranges, n_docs = own.groups, own.rows
+    ranges, n_docs = own.ranges, own.rows
 
     def sending(key, t):
         return gk.send(key[0].as_py(), *(lambda k, n: (k, ranges, n))(*_frequencies(t)))
@@ -152,14 +153,17 @@ def sketches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         at, (total,) = gk.shared_columns(known, ranges, dict(zip(replies.column("bucket").to_pylist(), replies.column("blob").to_pylist(), strict=True)), 1)
         df = df.astype(np.int64)
         df[at] = total.astype(np.int64)
-        rows, t1, t2, bands, vectors, weights = [], [], [], [], [], []
+        rows, bands, vectors, weights = [], [], [], []
+        text_key = t.column("text_key").to_numpy()
+        first = np.zeros(t.num_rows, bool)  # equal texts have one sketch
+        first[np.unique(text_key, return_index=True)[1]] = True
         for row, offsets, data in _parts(t):
             n = len(offsets) - 1
             doc, key, count = shingles(offsets, data)
             f = df[np.searchsorted(known, key)]
             weight = count * (np.log((1 + n_docs) / (1 + f)) + 1)
             share, total_weight = np.bincount(doc, weight * (f > 1), n), np.bincount(doc, weight, n)
-            chosen = share >= (threshold - 1e-9) * total_weight
+            chosen = (share >= (threshold - 1e-9) * total_weight) & first[row : row + n]
             here = chosen[doc]
             doc, key, weight = doc[here], key[here], weight[here]
             start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
@@ -170,18 +174,13 @@ def sketches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for k in range(BANDS * ROWS):
                 band[:, k // ROWS] = mix(band[:, k // ROWS] + drawn[:, k] + np.uint64(k // ROWS + 1))
             place = {int(d): i for i, d in enumerate(of)}
-            p1, p2 = prefix_hash(data), prefix_hash(data, BYTE_VALUES_2)
             for d in np.flatnonzero(chosen).tolist():
                 i = place.get(d)
                 rows.append(row + d)
                 bands.append([] if i is None else band[i].view(np.int64).tolist())
                 vectors.append(vector(key[ends[i] : ends[i + 1]] >> np.uint64(gk.KEY_BITS - VECTOR_BITS), weight[ends[i] : ends[i + 1]]) if i is not None else b"")
-            picked = np.flatnonzero(chosen)
-            weights.append(total_weight[picked])
-            for out, p in ((t1, p1), (t2, p2)):
-                out.append(span_hash(p, offsets[picked], offsets[picked + 1]).view(np.int64))
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"doc_id": t.column("doc_id").take(pa.array(rows, pa.int64())), "t1": join(t1), "t2": join(t2), "bands": pa.array(bands, pa.list_(pa.int64())), "vector": pa.array(vectors, pa.binary()), "weight": np.concatenate(weights) if weights else np.zeros(0)})
+            weights.append(total_weight[chosen])
+        return pa.table({"a": text_key[np.array(rows, np.int64)], "bands": pa.array(bands, pa.list_(pa.int64())), "vector": pa.array(vectors, pa.binary()), "weight": np.concatenate(weights) if weights else np.zeros(0)})
 
     sent = own.docs.groupBy("g").applyInArrow(sending, gk.SENT)
     replies = sent.groupBy("bucket").applyInArrow(replying, gk.SENT)
@@ -297,10 +296,8 @@ def remaining_links(reps: DataFrame, labels: DataFrame, threshold: float) -> Dat
 
 
 def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its near copies) and text_class (of its exact copies) of every row."""
-    drawn = cut(sketches(docs, threshold))
-    classes = cut(drawn.groupBy("t1", "t2").agg(F.min("doc_id").alias("a")))
-    reps = drawn.join(classes.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("a"), "bands", "vector", "weight")
+    """doc_id, row_key, class_id (the least doc_id of its near copies), text_class (of its exact copies) and class_key (which every class has) of every row."""
+    reps = cut(sketches(docs, threshold).dropDuplicates(["a"]))
     pairs = cut(candidates(reps.select("a", "bands")))
     one, two = reps.select("a", F.col("vector").alias("va")), reps.select(F.col("a").alias("b"), F.col("vector").alias("vb"))
 
@@ -314,10 +311,12 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     more = remaining_links(reps, labels, threshold)
     if more is not None and not more.isEmpty():
         labels = components(links.union(more))
-    found = classes.join(labels.select(F.col("node").alias("a"), "component"), "a", "left").select("t1", "t2", F.col("a").alias("text_class"), F.coalesce("component", "a").alias("class_id"))
-    of = drawn.select("doc_id", "t1", "t2").join(found, ["t1", "t2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("text_class").alias("text_class"))
-    return docs.select("doc_id").join(of, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_class", "doc_id").alias("text_class"))
+    own = texts(docs).select("doc_id", row_key().alias("row_key"), F.xxhash64("text").alias("node"))
+    # Tables, so that joins with a very large class can be split.
+    members = cut(own.join(labels, "node", "left").select("doc_id", "row_key", "node", F.coalesce("component", "node").alias("class_key")))
+    least = lambda key, out: cut(members.groupBy(key).agg(F.min("doc_id").alias(out)))
+    return members.join(least("class_key", "class_id"), "class_key").join(least("node", "text_class"), "node").select("doc_id", "row_key", "class_id", "text_class", "class_key")
 
 
 def op8_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(table(spark, sf_dir, "documents"))
+    return near_copies(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "text_class")

@@ -105,14 +105,15 @@ def test_plain_characters_split_as_the_librarys():
 
 
 def close(got, want):
-    return got[:4] == want[:4] and abs(got[4] - want[4]) <= 1e-6 * abs(want[4]) and abs(got[5] - want[5]) <= 1e-5 * abs(want[5])
+    return got[:4] == want[:4] and abs(got[4] - want[4]) <= 1e-9 * abs(want[4]) and abs(got[5] - want[5]) <= 1e-9 * abs(want[5])
 
 
 def test_katz(spark, sf, corpus, rng, monkeypatch):
     words = ["a", "b", "c", "D", "the", "of", *(f"w{i}" for i in range(60))]
     rows = [(i, " ".join(rng.choice(words[: rng.randint(3, 66)]) for _ in range(rng.randint(0, 60)))) for i in range(300)]
     rows += [(1000 + i, "x y z q x y z q") for i in range(40)] + [(2000, None), (None, "The of"), (2001, "unseen words here")]
-    monkeypatch.setattr(katz, "GROUP_BYTES", 4000)
+    monkeypatch.setattr(group_keys, "GROUP_BYTES", 4000)
+    monkeypatch.setattr(group_keys, "ROW_BYTES", 16)
     for case in (rows, corpus):
         got = {r[0]: tuple(r)[1:] for r in katz.score(spark.createDataFrame(case, "doc_id long, text string")).collect()}
         want = brute.katz(case)
