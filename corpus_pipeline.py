@@ -4,9 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns all that stays, with the colu
 ``docs``; the last returns ids. ``run`` applies them in order, each one's result
 written to the shared folder and read again as the next one's input.
 
-Rows are told apart by doc_id. Rows without one pass the stages that drop documents, since
-nothing tells them apart; a null text is an empty text; an empty table stays empty; other columns
-pass through, but ``n_chars``, where there is one, follows the text when a stage changes it.
+Rows are told apart by id and text (``row_key``), so each of several texts under one id, or
+without an id, is judged by itself, and equal rows alike. A null text is an empty text; an empty
+table stays empty; a very long text is one row like any other; other columns, whatever their names, pass through, but
+``n_chars``, where there is one, follows the text when a stage changes it.
 """
 
 from __future__ import annotations
@@ -15,39 +16,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, fertility, piece_bpe, substring_ranks, weighted_minhash
-from plumbline.llm.common import cut, table
+from plumbline.llm.common import cut, row_key, table
+
+#: Bytes of a repeated string that the substring stage removes: of the passages of 50 words, few are shorter.
+REPEAT_BYTES = 250
+_KEY = "row key of the pipeline"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Text, and language where there is one, under row keys in place of ids."""
+    return docs.select(row_key().alias("doc_id"), "text", *(["lang"] if "lang" in docs.columns else []))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows whose keys ``gone`` doesn't list as doc_id."""
+    return docs.withColumn(_KEY, row_key()).join(gone.select(F.col("doc_id").alias(_KEY)).distinct(), _KEY, "left_anti").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base or the fertility bands reject go."""
-    return _without(docs, fertility.judge(docs).filter(~F.col("kept")))
+    return _without(docs, fertility.judge(_keyed(docs)).filter(~F.col("kept")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays."""
-    first = weighted_minhash.near_copies(docs).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    stays = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stays.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+    """Of each group of near copies one document stays: that with the least id (any id before none), then the least row key."""
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(_KEY))
+    stays = weighted_minhash.near_copies(docs).withColumn(_KEY, F.col("row_key")).groupBy("class_key").agg(F.min(order)[_KEY].alias(_KEY)).select(_KEY)
+    return docs.withColumn(_KEY, row_key()).join(stays, _KEY, "left_semi").dropDuplicates([_KEY]).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under repeated strings of 400 bytes go; characters cut in two at their ends go too."""
-    kept = substring_ranks.remove_repeats(docs, carry=tuple(docs.columns))
-    text = F.when(F.size("removed") == 0, F.col("carried.text")).otherwise(F.expr("try_validate_utf8(cast(kept as string))"))
-    text = F.coalesce(text, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
-    own = {c: F.col(f"carried.{c}") for c in docs.columns}
-    if "n_chars" in docs.columns:
-        own["n_chars"] = F.when(F.size("removed") == 0, own["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.withColumn("text", text).select(*(F.col("text") if c == "text" else own[c].alias(c) for c in docs.columns))
+    """Bytes under repeated strings of ``REPEAT_BYTES`` bytes go, and with them characters that they cut in two."""
+    kept = substring_ranks.remove_repeats(docs, REPEAT_BYTES, tuple(c for c in docs.columns if c != "text"), whole_characters=True)
+    own = {c: F.col(f"carried.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("kept").cast("string")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.size("removed") == 0, own["n_chars"]).otherwise(F.length(own["text"]).cast(docs.schema["n_chars"].dataType))
+    return kept.select(*(own[c].alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return _without(docs, decontaminate.matches(docs, table(spark, sf_dir, "benchmark")))
+    return _without(docs, decontaminate.matches(_keyed(docs), table(spark, sf_dir, "benchmark")))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ Each round ranks blocks by a pair: the rank of the string common to all windows
 the block (the core), and the rank of the string that spans them all (the hull). Spark groups and joins
 the position-rank pairs. A block with a unique core has no repeated window and
 leaves; one with a repeated hull is past the threshold and its hull's bytes go; the rest,
-and the first of each finished class as their witness, are ranked again in narrower blocks, by longer cores: 216, 364 and at last 400 bytes.
+and the first of each finished class as their witness, are ranked again in narrower blocks, by longer cores,
+until a core is the whole window: 221, 365 and at last 400 bytes for windows of 400 (``block_sizes``).
 
 Rows with the same document id and text are documents of their own, each a copy of the
 others. A null text is empty; texts shorter than ``length`` keep all; an empty table
@@ -29,14 +30,23 @@ from pyspark.sql import types as T
 from .common import cut, prefix_hash, slices, span_hash, table, texts, utf8
 
 LENGTH, GRAM = 400, 32
-#: Offsets in a block, by round; each divides the one before.
-BLOCKS = (185, 37, 1)
 #: Window starts of one text looked at together; positions within are packed into 24 bits.
 PART = 8 << 20
 _LOW = np.uint64((1 << 24) - 1)
+#: Text bytes of a batch of results.
+OUT_BYTES = 4 << 20
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _J = 1024  # blocks an anchor can have; positions are anchor * _J + block
 
 
+def block_sizes(length: int, gram: int = GRAM) -> tuple[int, ...]:
+    """Offsets in a block, by round, each a divisor of the one before: cores of about a half and nine tenths of the window, then all of it."""
+    if not gram <= length < _J:
+        raise ValueError(f"strings of {gram} to {_J - 1} bytes")
+    narrow = (length - gram + 1) // 10
+    return (5 * narrow, narrow, 1) if narrow > 1 else (1,)
+
+
 def _anchors(prefix: np.ndarray, n: int, length: int, gram: int) -> np.ndarray:
     """The anchor of the window at each of the n - length + 1 starts."""
     w, out = length - gram + 1, []
@@ -102,9 +112,9 @@ def _ranked(docs: DataFrame, size: int, within: int | None, length: int) -> Data
     return docs.select("key", "text", "text_hash", *(["listed"] if within else [])).mapInArrow(run, "key long, text_hash long, pos long, core long, hull long")
 
 
-def repeated_spans(own: DataFrame, length: int = LENGTH, sizes: tuple[int, ...] = BLOCKS) -> DataFrame:
+def repeated_spans(own: DataFrame, length: int = LENGTH) -> DataFrame:
     """key, text_hash, spans: array of (start, end) byte ranges, overlapping, that repeated strings cover."""
-    docs, within, spans = own, None, None
+    docs, within, spans, sizes = own, None, None, block_sizes(length)
     for size in sizes:
         rows = cut(_ranked(docs, size, within, length))
         # Written, so that joins with a very frequent core can be split.
@@ -129,33 +139,49 @@ def repeated_spans(own: DataFrame, length: int = LENGTH, sizes: tuple[int, ...]
     return spans.groupBy("key", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, removed: array of (start, end) maximal byte runs, kept: the other bytes; and ``carried``, a struct of the columns to carry."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+    """doc_id, n_bytes, removed: array of (start, end) maximal byte runs, kept: the other bytes; and ``carried``, a struct of the columns to carry.
+
+    With ``whole_characters`` a character that a run cuts in two leaves ``kept`` too, so ``kept`` is text; ``removed`` is the same.
+    """
+    keys = {"key": F.coalesce("doc_id", F.lit(-(1 << 63))), "text_hash": F.xxhash64("text")}
+    spans = repeated_spans(texts(docs).withColumns(keys).select("key", "text", "text_hash"), length)
     carried = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("string")
-    own = texts(docs).withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63))), "text_hash": F.xxhash64("text")})
-    spans = repeated_spans(own.select("key", "text", "text_hash"), length)
-    full = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), carried.alias("carried")).withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63))), "text_hash": F.xxhash64("text")})
+    full = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), carried.alias("carried")).withColumns(keys)
     both = full.join(spans, ["key", "text_hash"], "left").select("doc_id", "text", "spans", "carried")
 
+    def runs_of(spans: list[dict] | None) -> list[dict]:
+        runs = []
+        for s in sorted(spans or (), key=lambda s: s["start"]):
+            if runs and s["start"] <= runs[-1]["end"]:
+                runs[-1]["end"] = max(runs[-1]["end"], s["end"])
+            else:
+                runs.append(dict(s))
+        return runs
+
+    def rest(text: np.ndarray, runs: list[dict]) -> bytes:
+        parts, at = [], 0
+        for s in runs:
+            start, end = s["start"], s["end"]
+            while whole_characters and start > at and start < len(text) and text[start] & 0xC0 == 0x80:
+                start -= 1
+            while whole_characters and end < len(text) and text[end] & 0xC0 == 0x80:
+                end += 1
+            parts.append(text[at:start].tobytes())
+            at = end
+        return b"".join([*parts, text[at:].tobytes()])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = utf8(batch.column("text"))
-            n, removed, kept = [], [], []
-            for i, spans in enumerate(batch.column("spans").to_pylist()):
-                text, runs, parts, at = data[offsets[i] : offsets[i + 1]], [], [], 0
-                for s in sorted(spans or (), key=lambda s: s["start"]):
-                    if runs and s["start"] <= runs[-1]["end"]:
-                        runs[-1]["end"] = max(runs[-1]["end"], s["end"])
-                    else:
-                        runs.append(dict(s))
-                for s in runs:
-                    parts.append(text[at : s["start"]])
-                    at = s["end"]
-                parts.append(text[at:])
-                n.append(len(text))
-                removed.append(runs)
-                kept.append(b"".join(x.tobytes() for x in parts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), batch.column("carried")], ["doc_id", "n_bytes", "removed", "kept", "carried"])
+        for whole in batches:
+            ends, i = utf8(whole.column("text"))[0], 0
+            while i < len(whole):
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + OUT_BYTES, "right")) - 1)
+                batch = whole.slice(i, j - i)
+                offsets, data = utf8(batch.column("text"))
+                removed = [runs_of(spans) for spans in batch.column("spans").to_pylist()]
+                kept = [rest(data[a:b], runs) for a, b, runs in zip(offsets[:-1], offsets[1:], removed, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, _RUNS), pa.array(kept, pa.binary()), batch.column("carried")], ["doc_id", "n_bytes", "removed", "kept", "carried"])
+                i = j
 
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary").add("carried", both.schema["carried"].dataType)
     return both.mapInArrow(run, schema)

@@ -9,22 +9,42 @@ from collections import Counter, defaultdict
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def repeated_substrings(rows, length):
+def repeated_bytes(rows, length):
+    """(id, bytes, 1 for each byte that goes) of every row."""
     seen, texts = Counter(), [(d, (t or "").encode()) for d, t in rows]
     for _, b in texts:
         for p in range(len(b) - length + 1):
             seen[b[p : p + length]] += 1
-    out = []
     for d, b in texts:
         gone = bytearray(len(b))
         for p in range(len(b) - length + 1):
             if seen[b[p : p + length]] > 1:
                 gone[p : p + length] = b"\1" * length
+        yield d, b, gone
+
+
+def repeated_substrings(rows, length):
+    out = []
+    for d, b, gone in repeated_bytes(rows, length):
         runs = sum(1 for i, x in enumerate(gone) if x and not (i and gone[i - 1]))
         out.append((d, len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, x in zip(b, gone, strict=True) if not x)).hexdigest()))
     return sorted(out, key=str)
 
 
+def texts_without_repeats(rows, length):
+    """(id, text) with the characters of which no byte goes."""
+    out = []
+    for d, b, gone in repeated_bytes(rows, length):
+        at, left = 0, []
+        for c in b.decode():
+            n = len(c.encode())
+            if not any(gone[at : at + n]):
+                left.append(c)
+            at += n
+        out.append((d, "".join(left)))
+    return out
+
+
 def base_counts(text):
     words, seen, dup = WORD.findall(text), set(), 0
     for line in text.split("\n"):
