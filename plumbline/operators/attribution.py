@@ -10,20 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .regression import ols
+from .regression import fit
 
 VARIABLES = ["GHG", "Nat", "OHF"]
 
 
+def shown_variables(variables: list[str]) -> list[str]:
+    """The columns of ``attributed`` but Res."""
+    return [v for v in variables if v != "Tot"] + (["Ant"] if {"GHG", "OHF"} <= set(variables) else []) + ["Tot"]
+
+
 def wide(response: DataFrame, variables: list[str]) -> DataFrame:
     return response.groupBy("model", "ensemble", "t").pivot("variable", variables).agg(F.first("value"))
 
 
-def coefficients(response: DataFrame, obs: DataFrame, ctl: DataFrame, variables: list[str], first: int, last: int) -> DataFrame:
-    """model, ensemble, kind, target, b_<variable>, b_const: both kinds of targets in one fit."""
+def coefficients(wide: DataFrame, obs: DataFrame, ctl: DataFrame, variables: list[str], first: int, last: int) -> DataFrame:
+    """model, ensemble, kind, target, b_<variable>, b_const: both kinds of targets in one fit, on responses with a column for each variable."""
     targets = obs.select(F.lit("obs").alias("kind"), F.col("member").alias("target"), "t", F.col("value").alias("y")).union(ctl.select(F.lit("ctl").alias("kind"), F.col("member").alias("target"), "t", F.col("value").alias("y")))
-    rows = wide(response, variables).join(targets, "t").filter(F.col("t").between(first, last))
-    return ols(rows, ["model", "ensemble", "kind", "target"], variables)
+    rows = wide.join(targets, "t").filter(F.col("t").between(first, last))
+    return fit(rows, ["model", "ensemble", "kind", "target"], variables)
 
 
 def paired(coef: DataFrame, variables: list[str]) -> DataFrame:
@@ -34,11 +39,14 @@ def paired(coef: DataFrame, variables: list[str]) -> DataFrame:
 
 
 def attributed(response_wide: DataFrame, pairs: DataFrame, variables: list[str], obs: DataFrame | None = None, const: float = 1.0) -> DataFrame:
-    """One column for each variable, Ant (without the constant) and Tot (with it), and Res where the measurements reach."""
+    """One column for each variable, Ant (without the constant) and Tot (with it), and Res where the measurements reach.
+
+    Of one regressed variable, Tot, the part is written over by the total with its constant.
+    """
     both = response_wide.join(pairs, ["model", "ensemble"])
     part = {v: F.col(f"b_{v}") * F.col(v) for v in variables}
     total = sum(part.values(), F.lit(0.0)) + F.col("b_const") * const
-    derived = {} if variables == ["Tot"] or "Ant" in variables else {"Ant": part["GHG"] + part["OHF"]}
+    derived = {"Ant": part["GHG"] + part["OHF"]} if {"GHG", "OHF"} <= set(variables) else {}
     shown = both.select("model", "ensemble", "obs", "ctl", "t", *(c.alias(v) for v, c in {**part, **derived, "Tot": total}.items()))
     if obs is None:
         return shown

@@ -23,7 +23,7 @@ def historical_only(runs: DataFrame, definition: str) -> DataFrame:
 
 
 def constrained(runs: DataFrame) -> DataFrame:
-    """The value in the last step of the longest run, as every run reaches it."""
+    """For every run, its value in the last step at which any run ends; runs reach beyond their own fit."""
     last = runs.agg(F.max("end_step").alias("last"))
     return runs.join(F.broadcast(last), F.col("t") == F.col("last")).drop("last", "t")
 
@@ -31,6 +31,7 @@ def constrained(runs: DataFrame) -> DataFrame:
 def deltas(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """delta_new: change over a run's last step; delta_rev: revision of the step before by the newer run."""
     keys = ["variable", "percentile"]
+    runs = runs.filter(F.col("t") <= F.col("end_step"))
     at = lambda lag: runs.filter(F.col("t") == F.col("end_step") - lag).drop("t")
     before = at(1).withColumnRenamed("value", "before")
     new = at(0).join(before, [*keys, "end_step"]).select("end_step", *keys, (F.col("value") - F.col("before")).alias("value"))

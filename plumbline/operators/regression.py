@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 
 def _det(m: list[list]):
     if len(m) == 1:
@@ -14,20 +18,39 @@ def _det(m: list[list]):
     return sum(((1 if j % 2 == 0 else -1) * m[0][j] * _det([row[:j] + row[j + 1 :] for row in m[1:]]) for j in range(1, len(m))), m[0][0] * _det([row[1:] for row in m[1:]]))
 
 
-def ols(df: DataFrame, keys: list[str], xs: list[str], y: str = "y", out_keys: list[str] | None = None) -> DataFrame:
-    """Per key: b_<x> for each regressor and b_const; null where the regressors are dependent.
+#: Least determinant of the regressors' correlations that the closed form is trusted with.
+LEAST_DET = 1e-10
 
-    One aggregation of covariances (map-side combined), then Cramer's rule on 1 to 3 regressors.
-    """
+
+def _solved(df: DataFrame, keys: list[str], xs: list[str], y: str) -> DataFrame:
+    """keys, b_<x>, b_const, sound: whether the regressors are far enough from dependent."""
     pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]]
     agg = df.groupBy(*keys).agg(*(F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in pairs), *(F.covar_pop(a, y).alias(f"c_{a}_y") for a in xs), *(F.avg(c).alias(f"m_{c}") for c in xs), F.avg(y).alias("m_y"))
     c = lambda a, b: F.col(f"c_{a}_{b}" if (a, b) in pairs else f"c_{b}_{a}")
     m = [[c(a, b) for b in xs] for a in xs]
     det = _det(m)
     beta = [_det([[F.col(f"c_{a}_y") if k == j else m[i][k] for k in range(len(xs))] for i, a in enumerate(xs)]) for j in range(len(xs))]
-    solved = agg.withColumns({f"b_{x}": F.when(det != 0, b / det) for x, b in zip(xs, beta, strict=True)})
+    spread = math.prod((c(a, a) for a in xs), start=F.lit(1.0))
+    sound = F.coalesce((spread > 0) & (det > LEAST_DET * spread), F.lit(False))
+    solved = agg.withColumns({"sound": sound, **{f"b_{x}": F.when(sound, b / det) for x, b in zip(xs, beta, strict=True)}})
     const = F.col("m_y") - sum((F.col(f"b_{x}") * F.col(f"m_{x}") for x in xs), F.lit(0.0))
-    return solved.select(*keys, *(f"b_{x}" for x in xs), const.alias("b_const"))
+    return solved.select(*keys, *(f"b_{x}" for x in xs), const.alias("b_const"), "sound")
+
+
+def ols(df: DataFrame, keys: list[str], xs: list[str], y: str = "y") -> DataFrame:
+    """Per key: b_<x> for each regressor and b_const; null where the regressors are dependent, or nearly.
+
+    One aggregation of covariances (map-side combined), then Cramer's rule on 1 to 3 regressors.
+    """
+    return _solved(df, keys, xs, y).drop("sound")
+
+
+def fit(df: DataFrame, keys: list[str], xs: list[str], y: str = "y") -> DataFrame:
+    """``ols``, and the minimum-norm solution for the keys whose regressors are dependent."""
+    solved = stored(_solved(df, keys, xs, y))
+    rest = solved.filter(~F.col("sound")).select(*keys)
+    good = solved.filter("sound").drop("sound")
+    return good if rest.isEmpty() else good.unionByName(lstsq(df.join(rest, keys, "left_semi"), keys, xs, y))
 
 
 def lstsq(df: DataFrame, keys: list[str], xs: list[str], y: str = "y") -> DataFrame:

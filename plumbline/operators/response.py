@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Models whose boxes are broadcast.
+MOST_MODELS = 10_000
+
+
 def box_response(forcing: DataFrame, params: DataFrame, midpoint: bool = False) -> DataFrame:
     """model, ensemble, variable, t, value: the sum of the boxes' states, each S <- S e^(-1/d) + q F (1 - e^(-1/d)).
 
     ``midpoint`` takes the mean of the state before and after the step. One pass over a
-    sorted series for each box; parameters are small and are broadcast.
+    sorted series for each box; parameters are one row for each model, broadcast behind a check of their number.
     """
     series = forcing.groupBy("variable", "ensemble").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("s"))
     boxes = params.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("box", "d", "q"))).alias("boxes"))
@@ -27,7 +33,8 @@ def box_response(forcing: DataFrame, params: DataFrame, midpoint: bool = False)
 
     each = F.transform("boxes", lambda b: run(b["d"], b["q"]))
     total = F.aggregate(each, F.transform("s", lambda x: F.lit(0.0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
-    both = series.crossJoin(F.broadcast(boxes)).withColumn("sum", total)
+    few = boxes.limit(MOST_MODELS + 1).count() <= MOST_MODELS
+    both = series.crossJoin(F.broadcast(boxes) if few else boxes).withColumn("sum", total)
     return both.select("model", "ensemble", "variable", F.explode(F.arrays_zip(F.col("s.t").alias("t"), F.col("sum").alias("value"))).alias("x")).select("model", "ensemble", "variable", "x.t", "x.value")
 
 
@@ -43,14 +50,23 @@ LIFETIME = {"CH4": 12.4, "N2O": 121.0}
 ECS, F2X = 3.0, 3.7
 
 
-def gas_params(gas: str) -> dict[int, float]:
-    """Parameters by index: 0-3 fractions, 4 concentration of a unit mass, 5-8 times, 10-11 thermal terms scaled to the sensitivity, 13 efficiency, 15-16 thermal times."""
+@dataclass(frozen=True)
+class Gas:
+    """Impulse response of one gas: decay terms (fraction, time), concentration of a unit mass, efficiency, and thermal terms (scale, time)."""
+
+    decay: tuple[tuple[float, float], ...]
+    lasting: float
+    concentration: float
+    efficiency: float
+    thermal: tuple[tuple[float, float], ...]
+
+
+def gas_params(gas: str) -> Gas:
     if gas not in MOLAR:
         raise ValueError(f"unknown gas {gas!r}")
-    fractions, times = (CARBON_FRACTIONS, CARBON_TIMES) if gas == "CO2" else ([0.0, 1.0, 0.0, 0.0], [1.0, LIFETIME[gas], 1.0, 1.0])
+    decay, lasting = (tuple(zip(CARBON_FRACTIONS[1:], CARBON_TIMES[1:], strict=True)), CARBON_FRACTIONS[0]) if gas == "CO2" else (((1.0, LIFETIME[gas]),), 0.0)
     scale = ECS / sum(THERMAL) / F2X
-    out = {i: float(v) for start, values in ((0, fractions), (5, times), (10, [x * scale for x in THERMAL]), (15, THERMAL_TIMES)) for i, v in enumerate(values, start)}
-    return out | {4: 1e12 * PARTS[gas] / MOLAR[gas] / (AIR_MASS / AIR_MOLAR), 13: EFFICIENCY[gas]}
+    return Gas(decay, lasting, 1e12 * PARTS[gas] / MOLAR[gas] / (AIR_MASS / AIR_MOLAR), EFFICIENCY[gas], tuple((x * scale, time) for x, time in zip(THERMAL, THERMAL_TIMES, strict=True)))
 
 
 def _convolve(series: DataFrame, keys: list[str], kernel) -> DataFrame:
@@ -60,24 +76,24 @@ def _convolve(series: DataFrame, keys: list[str], kernel) -> DataFrame:
     return both.groupBy(*keys, "t").agg(F.sum(F.col("f") * kernel(F.col("t") - F.col("s"))).alias("value"))
 
 
-def forcing_to_temperature(series: DataFrame, keys: list[str], a: dict[int, float]) -> DataFrame:
-    return _convolve(series, keys, lambda lag: sum(a[10 + j] / a[15 + j] * F.exp(-(lag + 0.5) / a[15 + j]) for j in (0, 1)))
+def forcing_to_temperature(series: DataFrame, keys: list[str], gas: Gas) -> DataFrame:
+    return _convolve(series, keys, lambda lag: sum((c / time * F.exp(-(lag + 0.5) / time) for c, time in gas.thermal), F.lit(0.0)))
 
 
-def emissions_to_forcing(series: DataFrame, keys: list[str], a: dict[int, float]) -> DataFrame:
-    def held(n):
-        return a[4] * a[13] * (a[0] * n + sum((a[j] * a[j + 5] * (1 - F.exp(-n / a[j + 5])) for j in (1, 2, 3)), F.lit(0.0)))
+def emissions_to_forcing(series: DataFrame, keys: list[str], gas: Gas) -> DataFrame:
+    def held(steps):
+        return gas.concentration * gas.efficiency * (gas.lasting * steps + sum((part * time * (1 - F.exp(-steps / time)) for part, time in gas.decay), F.lit(0.0)))
 
     return _convolve(series, keys, lambda lag: held(lag + 1) - held(lag))
 
 
-def emissions_to_temperature(series: DataFrame, keys: list[str], a: dict[int, float]) -> DataFrame:
+def emissions_to_temperature(series: DataFrame, keys: list[str], gas: Gas) -> DataFrame:
     def kernel(lag):
-        n, out = lag + 1, F.lit(0.0)
-        for j in (0, 1):
-            out = out + a[0] * a[j + 10] * (1 - F.exp(-n / a[j + 15]))
-            for i in (1, 2, 3):
-                out = out + a[i] * a[i + 5] * a[j + 10] * (F.exp(-n / a[i + 5]) - F.exp(-n / a[j + 15])) / (a[i + 5] - a[j + 15])
-        return a[4] * a[13] * out
+        steps, out = lag + 1, F.lit(0.0)
+        for c, slow in gas.thermal:
+            out = out + gas.lasting * c * (1 - F.exp(-steps / slow))
+            for part, time in gas.decay:
+                out = out + part * time * c * (F.exp(-steps / time) - F.exp(-steps / slow)) / (time - slow)
+        return gas.concentration * gas.efficiency * out
 
     return _convolve(series, keys, kernel)

@@ -9,7 +9,7 @@ PERCENTILES = [5.0, 17.0, 83.0, 95.0, 50.0]
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str = "value", qs: list[float] = PERCENTILES) -> DataFrame:
-    """keys, percentile, value: interpolated; NaN if any value is NaN, null if any is missing."""
+    """keys, percentile, value: interpolated; NaN if any value is NaN, null if any is missing. For groups that a task can hold; else ``selection``."""
     exact = F.percentile(value, F.array(*(F.lit(q / 100) for q in qs)))
     agg = df.groupBy(*keys).agg(exact.alias("ps"), F.max(F.isnan(value)).alias("nan"), F.max(F.isnull(value)).alias("missing"))
     value_of = F.when(F.col("missing"), F.lit(None).cast("double")).when(F.col("nan"), F.lit(float("nan"))).otherwise(F.col("x.p"))
@@ -33,7 +33,7 @@ def kde(df: DataFrame, keys: list[str], points: int, value: str = "value") -> Da
     stats = stats.withColumn("h", F.col("s") * F.pow(F.col("n"), F.lit(-0.2)))
     grid = stats.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
     u = (F.col("x") - F.col(value)) / F.col("h")
-    return df.select(*keys, value).join(F.broadcast(grid), keys).groupBy(*keys, "i", "x").agg((F.avg(F.exp(-u * u / 2) / F.col("h")) / F.sqrt(2 * F.pi())).alias("density"))
+    return df.select(*keys, value).join(grid, keys).groupBy(*keys, "i", "x").agg((F.avg(F.exp(-u * u / 2) / F.col("h")) / F.sqrt(2 * F.pi())).alias("density"))
 
 
 def sampled(df: DataFrame, key: str, n: int, seed: str = "") -> DataFrame:

@@ -13,8 +13,11 @@ CTES = {
     "control": "SELECT CAST(label AS BIGINT) AS model, vec_id AS member, i AS t, CAST(embedding[i + 1] AS DOUBLE) AS value FROM embeddings, (SELECT unnest(range(64)) AS i)",
     "slices": """SELECT model, member, slice_start, t, value - avg(value) FILTER (t < 5) OVER (PARTITION BY member, slice_start) AS value FROM (
   SELECT model, member, s * 13 AS slice_start, t - s * 13 AS t, value FROM control, (SELECT unnest(range(3)) AS s) WHERE t BETWEEN s * 13 AND s * 13 + 26)""",
-    "chosen": "SELECT vec_id AS member FROM (SELECT DISTINCT vec_id FROM embeddings) ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 4",
-    "ctl": "SELECT 'c' || member AS member, t, value FROM slices JOIN chosen USING (member) WHERE slice_start = 0",
+    "kept": """SELECT member, slice_start FROM (
+  SELECT member, slice_start, CASE WHEN count(*) OVER a = 3 THEN avg(value) OVER a END AS ma3, CASE WHEN count(*) OVER b = 9 THEN avg(value) OVER b END AS ma9 FROM slices
+  WINDOW a AS (PARTITION BY member, slice_start ORDER BY t ROWS 2 PRECEDING), b AS (PARTITION BY member, slice_start ORDER BY t ROWS 8 PRECEDING))
+GROUP BY 1, 2 HAVING max(ma3) < 0.3 AND min(ma3) > -0.3 AND max(ma3) - min(ma3) > 0.06 AND max(ma9) < 0.2 AND min(ma9) > -0.2""",
+    "ctl": "SELECT 'c' || member || '-' || slice_start AS member, t, value FROM slices JOIN kept USING (member, slice_start)",
     "params": """SELECT 'm' || m AS model, box, power(5.0, box - 1) * (1.5 + 0.5 * m) + shift AS d, CAST(0.6 AS DOUBLE) / (box + m) AS q FROM (
   SELECT CAST(c_nationkey % 2 AS BIGINT) AS m, CAST((c_nationkey // 2) % 3 + 1 AS BIGINT) AS box, avg(c_acctbal) / 1e5 AS shift FROM customer GROUP BY 1, 2)""",
     "obsb": "SELECT member, t, value - (SELECT avg(m) FROM (SELECT quantile_cont(value, 0.5) AS m FROM obs WHERE t BETWEEN 0 AND 5 GROUP BY t)) AS value FROM obs",
@@ -34,10 +37,18 @@ CTES = {
   FROM wide w JOIN pairs p ON w.model = p.model AND w.ensemble = p.ensemble LEFT JOIN obsb x ON x.member = p.obs AND x.t = w.t""",
     "attlong": "SELECT model, ensemble, obs, ctl, t, variable, value FROM (UNPIVOT (SELECT model, ensemble, obs, ctl, t, GHG, Nat, OHF, Ant, Tot FROM att) ON GHG, Nat, OHF, Ant, Tot INTO NAME variable VALUE value)",
     "qs": "SELECT unnest([5.0, 17.0, 83.0, 95.0, 50.0]::DOUBLE[]) AS percentile",
-    "x0": "SELECT ensemble, t, sum(value) AS x FROM resp WHERE model = 'm0' GROUP BY 1, 2",
-    "grow": """SELECT ensemble, member, t AS end_step, b, a FROM (SELECT ensemble, member, t, count(*) OVER w AS n, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a
-  FROM (SELECT x0.ensemble, obsb.member, t, x, obsb.value AS y FROM x0 JOIN obsb USING (t)) WINDOW w AS (PARTITION BY ensemble, member ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE n >= 20""",
-    "runmembers": "SELECT end_step, t, ensemble, member, a + b * x AS value FROM grow JOIN x0 USING (ensemble) WHERE t <= end_step",
+    "x0": "SELECT model, ensemble, t, sum(value) AS x FROM resp GROUP BY 1, 2, 3",
+    "grow": """SELECT model, ensemble, member, t AS end_step, b, a FROM (SELECT model, ensemble, member, t, count(*) OVER w AS n, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a
+  FROM (SELECT x0.model, x0.ensemble, obsb.member, t, x, obsb.value AS y FROM x0 JOIN obsb USING (t)) WINDOW w AS (PARTITION BY model, ensemble, member ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE n >= 20""",
+    "runmembers": "SELECT end_step, t, model, ensemble, member, a + b * x AS value FROM grow JOIN x0 USING (model, ensemble)",
+    "x1": "SELECT model, ensemble, t, g + n + o AS x FROM wide",
+    "targ1": "SELECT model, ensemble, kind, target, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM x1 JOIN targets USING (t) WHERE t BETWEEN 0 AND 26 GROUP BY 1, 2, 3, 4",
+    "att1": """SELECT x.model, x.ensemble, p.target AS obs, c.target AS ctl, x.t, (p.b + c.b) * x.x + p.a + c.a AS Tot FROM x1 x JOIN targ1 p ON x.model = p.model AND x.ensemble = p.ensemble AND p.kind = 'obs' JOIN targ1 c ON x.model = c.model AND x.ensemble = c.ensemble AND c.kind = 'ctl'""",
+    "cov2": """SELECT model, ensemble, kind, target, covar_pop(h, h) AS hh, covar_pop(h, n) AS hn, covar_pop(n, n) AS nn, covar_pop(h, y) AS hy, covar_pop(n, y) AS ny, avg(h) AS mh, avg(n) AS mn, avg(y) AS my
+  FROM (SELECT model, ensemble, t, g + o AS h, n FROM wide) JOIN targets USING (t) WHERE t BETWEEN 0 AND 26 GROUP BY 1, 2, 3, 4""",
+    "coef2": """SELECT *, my - bh * mh - bn * mn AS b0 FROM (SELECT *, (hy * nn - hn * ny) / (hh * nn - hn * hn) AS bh, (hh * ny - hn * hy) / (hh * nn - hn * hn) AS bn FROM cov2)""",
+    "att2": """SELECT w.model, w.ensemble, p.target AS obs, c.target AS ctl, w.t, (p.bh + c.bh) * (g + o) AS Ant, (p.bn + c.bn) * n AS Nat, (p.bh + c.bh) * (g + o) + (p.bn + c.bn) * n + p.b0 + c.b0 AS Tot
+  FROM wide w JOIN coef2 p ON w.model = p.model AND w.ensemble = p.ensemble AND p.kind = 'obs' JOIN coef2 c ON w.model = c.model AND w.ensemble = c.ensemble AND c.kind = 'ctl'""",
 }
 
 
@@ -48,11 +59,12 @@ def quantiles(keys: str, source: str, value: str = "value") -> str:
 
 
 CTES["runs"] = quantiles("end_step, t, 'Tot' AS variable", "runmembers")
-CTES["labelled"] = "SELECT r.end_step, (h - 9) || '-' || h AS label, ensemble, member, avg(value) AS value FROM runmembers r, (SELECT unnest(range(9, 28)) AS h) WHERE r.t BETWEEN h - 9 AND h GROUP BY 1, 2, 3, 4 HAVING count(*) = 10"
+CTES["att2long"] = "SELECT t, variable, value FROM (UNPIVOT (SELECT t, Ant, Nat, Tot FROM att2) ON Ant, Nat, Tot INTO NAME variable VALUE value)"
+CTES["labelled"] = "SELECT r.end_step, (h - 9) || '-' || h AS label, model, ensemble, member, avg(value) AS value FROM runmembers r, (SELECT unnest(range(9, 28)) AS h) WHERE r.t BETWEEN h - 9 AND h GROUP BY 1, 2, 3, 4, 5 HAVING count(*) = 10"
 CTES["runlabels"] = quantiles("end_step, label, 'Tot' AS variable", "labelled")
 CTES["repeated"] = "SELECT r AS repeat_id, t, variable, value FROM attlong, (SELECT unnest([1, 2, 3]) AS r) WHERE CAST(substr(ensemble, 4) AS INTEGER) % 3 < r AND NOT (r = 2 AND t = 0)"
 CTES["repeats"] = f"SELECT * FROM ({quantiles('repeat_id, t, variable, count(*) AS weight', 'repeated')})"
-_ORDER = ["forcing", "obs", "control", "slices", "chosen", "ctl", "params", "obsb", "respraw", "resp", "wide", "targets", "cov", "solved", "coef", "pairs", "att", "attlong", "qs", "x0", "grow", "runmembers", "runs", "labelled", "runlabels", "repeated", "repeats"]
+_ORDER = ["forcing", "obs", "control", "slices", "kept", "ctl", "params", "obsb", "respraw", "resp", "wide", "targets", "cov", "solved", "coef", "pairs", "att", "attlong", "qs", "x0", "grow", "runmembers", "x1", "targ1", "att1", "cov2", "coef2", "att2", "att2long", "runs", "labelled", "runlabels", "repeated", "repeats"]
 
 
 def sql(body: str) -> str:

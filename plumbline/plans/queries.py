@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..operators import attribution as at
-from ..operators import products, response, summary
+from ..operators import products, response, selection, summary
 from ..operators import regression as reg
 from ..operators import timeseries as ts
 from ..sources import standins as src
+from ..sources.stored import stored
+from . import config
 from .oracle import quantiles, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,15 +174,9 @@ def _(s, d):
     return src.table(s, d, "nation").join(F.broadcast(world), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select("n_nationkey", "n_name")
 
 
-_KEPT_SLICES = """SELECT member, slice_start FROM (
-  SELECT member, slice_start, CASE WHEN count(*) OVER a = 3 THEN avg(value) OVER a END AS ma3, CASE WHEN count(*) OVER b = 9 THEN avg(value) OVER b END AS ma9 FROM slices
-  WINDOW a AS (PARTITION BY member, slice_start ORDER BY t ROWS 2 PRECEDING), b AS (PARTITION BY member, slice_start ORDER BY t ROWS 8 PRECEDING))
-GROUP BY 1, 2 HAVING max(ma3) < 0.3 AND min(ma3) > -0.3 AND max(ma3) - min(ma3) > 0.06 AND max(ma9) < 0.2 AND min(ma9) > -0.2"""
-
-
-@query("ctl_filter", _KEPT_SLICES)
+@query("ctl_filter", "SELECT member, slice_start FROM kept")
 def _(s, d):
-    return ts.in_range(src.control_slices(s, d), ["member", "slice_start"], (3, 0.3, 0.06), (9, 0.2))
+    return src.control_kept(s, d)
 
 
 @query("hist_drop_zero", "SELECT t, round(min(v), 6) AS lo, round(max(v), 6) AS hi FROM (SELECT t, CASE WHEN t % 4 = 0 THEN 0 ELSE value END AS v FROM obs) GROUP BY t HAVING max(CASE WHEN v <> 0 THEN 1 ELSE 0 END) = 1")
@@ -189,17 +185,38 @@ def _(s, d):
     return o.groupBy("t").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max(F.col("v") != 0).alias("any")).filter("any").select("t", r("lo"), r("hi"))
 
 
-def _run(s, d):
-    """Wide responses, coefficients, pairs and measurements of the stand-in run."""
-    resp, obs = src.responses(s, d), src.obs_baseline(s, d)
-    coef = at.coefficients(resp, obs, src.control_sample(s, d), V, *src.REGRESS)
-    return at.wide(resp, V), coef, at.paired(coef, V), obs
+def _run(s, d, variables=V):
+    """Wide responses, coefficients, pairs and measurements of the stand-in run: every member with every slice of control noise."""
+    resp, obs = stored(src.responses(s, d)), src.obs_baseline(s, d)
+    wide = stored(_regressors(at.wide(resp, V), variables))
+    coef = stored(at.coefficients(wide, obs, src.control_targets(s, d), variables, *src.REGRESS))
+    return wide, coef, at.paired(coef, variables), obs
+
+
+def _regressors(wide, variables):
+    """The regressed variables, summed from GHG, Nat and OHF where they are sums."""
+    made = {"Ant": F.col("GHG") + F.col("OHF"), "Tot": F.col("GHG") + F.col("Nat") + F.col("OHF")}
+    return wide.select("model", "ensemble", "t", *(made.get(v, F.col(v)).alias(v) for v in variables))
+
+
+_OBS = ["model", "ensemble", "obs"]
 
 
-@query("filter_coef_mask", "SELECT model, ensemble, obs, ctl, round(bg, 6) + 0.0 AS b_ghg, round(bo, 6) + 0.0 AS b_ohf FROM pairs WHERE NOT (bg <= 0 AND bo <= 0)")
+def _over_controls(df, keys, columns):
+    """Number, bounds and mean over the control members; ``columns`` maps names to columns."""
+    of = lambda f, c: (F.round(f(c), 4) + 0.0)
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), *(of(f, c).alias(f"{name}_{end}") for name, c in columns.items() for f, end in ((F.min, "lo"), (F.max, "hi"), (F.avg, "mean"))))
+
+
+def _over_controls_sql(keys: str, source: str, **columns: str) -> str:
+    of = ", ".join(f"round({f}({c}), 4) + 0.0 AS {name}_{end}" for name, c in columns.items() for f, end in (("min", "lo"), ("max", "hi"), ("avg", "mean")))
+    return f"SELECT {keys}, count(*) AS n, {of} FROM {source} GROUP BY {keys}"
+
+
+@query("filter_coef_mask", _over_controls_sql("model, ensemble, obs", "(SELECT * FROM pairs WHERE NOT (bg <= 0 AND bo <= 0))", b_ghg="bg", b_ohf="bo"))
 def _(s, d):
     p = _run(s, d)[2].filter(~F.forall(F.array("b_GHG", "b_OHF"), lambda b: b <= 0))
-    return p.select("model", "ensemble", "obs", "ctl", r("b_GHG", "b_ghg"), r("b_OHF", "b_ohf"))
+    return _over_controls(p, _OBS, {"b_ghg": "b_GHG", "b_ohf": "b_OHF"})
 
 
 @query("distinct_sorted", "SELECT DISTINCT variable FROM forcing ORDER BY variable")
@@ -220,9 +237,9 @@ def _(s, d):
 # -- joins
 
 
-@query("join_coef_cross", "SELECT model, ensemble, obs, ctl, round(bg, 6) + 0.0 AS b_ghg, round(bn, 6) + 0.0 AS b_nat, round(bo, 6) + 0.0 AS b_ohf, round(b0, 6) + 0.0 AS b_const FROM pairs")
+@query("join_coef_cross", _over_controls_sql("model, ensemble, obs", "pairs", b_ghg="bg", b_nat="bn", b_ohf="bo", b_const="b0"))
 def _(s, d):
-    return _run(s, d)[2].select("model", "ensemble", "obs", "ctl", r("b_GHG", "b_ghg"), r("b_Nat", "b_nat"), r("b_OHF", "b_ohf"), r("b_const"))
+    return _over_controls(_run(s, d)[2], _OBS, {"b_ghg": "b_GHG", "b_nat": "b_Nat", "b_ohf": "b_OHF", "b_const": "b_const"})
 
 
 @query("join_year_equi", "SELECT ensemble, variable, member, t, round(f.value, 6) AS x, round(o.value, 6) AS y FROM forcing f JOIN obs o USING (t) WHERE ensemble = 'ens2'")
@@ -245,39 +262,53 @@ def _(s, d):
     return a.join(b, ["t", "variable"], "full_outer").select("t", "variable", r(F.col("a") + F.col("b"), "value"))
 
 
-def _shown(s, d, obs: bool = False):
-    wide, _, pairs, measured = _run(s, d)
-    return at.attributed(wide, pairs, V, measured if obs else None)
+def _shown(s, d, obs: bool = False, variables=V):
+    wide, _, pairs, measured = _run(s, d, variables)
+    return at.attributed(wide, pairs, variables, measured if obs else None)
+
 
+_MEMBER = [*_OBS, "t"]
+_MEMBERS = "model, ensemble, obs, t"
 
-_MEMBER = ["model", "ensemble", "obs", "ctl", "t"]
+
+@query("attrib_components", _over_controls_sql(_MEMBERS, "att", ghg="GHG", nat="Nat", ohf="OHF"))
+def _(s, d):
+    return _over_controls(_shown(s, d), _MEMBER, {v.lower(): v for v in V})
+
+
+@query("attrib_ant", _over_controls_sql(_MEMBERS, "att", ant="Ant"))
+def _(s, d):
+    return _over_controls(_shown(s, d), _MEMBER, {"ant": "Ant"})
 
 
-@query("attrib_components", "SELECT model, ensemble, obs, ctl, t, round(GHG, 6) + 0.0 AS ghg, round(Nat, 6) + 0.0 AS nat, round(OHF, 6) + 0.0 AS ohf FROM att")
+@query("attrib_total", _over_controls_sql(_MEMBERS, "att", tot="Tot"))
 def _(s, d):
-    return _shown(s, d).select(*_MEMBER, *(r(v, v.lower()) for v in V))
+    return _over_controls(_shown(s, d), _MEMBER, {"tot": "Tot"})
 
 
-@query("attrib_ant", "SELECT model, ensemble, obs, ctl, t, round(Ant, 6) + 0.0 AS ant FROM att")
+@query("attrib_residual", _over_controls_sql(_MEMBERS, "(SELECT * FROM att WHERE Res IS NOT NULL)", res="Res"))
 def _(s, d):
-    return _shown(s, d).select(*_MEMBER, r("Ant", "ant"))
+    return _over_controls(_shown(s, d, obs=True).filter("Res is not null"), _MEMBER, {"res": "Res"})
 
 
-@query("attrib_total", "SELECT model, ensemble, obs, ctl, t, round(Tot, 6) + 0.0 AS tot FROM att")
+@query("attrib_1var", "SELECT t, percentile, round(value, 5) + 0.0 AS tot FROM (" + quantiles("t", "att1", "Tot") + ")")
 def _(s, d):
-    return _shown(s, d).select(*_MEMBER, r("Tot", "tot"))
+    return selection.percentiles(_shown(s, d, variables=["Tot"]), ["t"], "Tot").select("t", "percentile", (F.round("value", 5) + 0.0).alias("tot"))
 
 
-@query("attrib_residual", "SELECT model, ensemble, obs, ctl, t, round(Res, 6) + 0.0 AS res FROM att")
+@query("attrib_2var", "SELECT t, variable, percentile, round(value, 5) + 0.0 AS value FROM (" + quantiles("t, variable", "att2long") + ")")
 def _(s, d):
-    return _shown(s, d, obs=True).select(*_MEMBER, r("Res", "res"))
+    rows = at.long(_shown(s, d, variables=["Ant", "Nat"]), ["Ant", "Nat", "Tot"], ["t"])
+    return selection.percentiles(rows, ["t", "variable"]).select("t", "variable", "percentile", (F.round("value", 5) + 0.0).alias("value"))
 
 
 @query("join_range_window", "SELECT h, member, round(avg(value), 6) AS value, count(*) AS n FROM obs, (SELECT DISTINCT t AS h FROM obs WHERE t >= 9) WHERE t BETWEEN h - 9 AND h GROUP BY 1, 2")
 def _(s, d):
     o = src.measurements(s, d)
+    # A row is in the windows that end at its own step or the nine after it: equal keys in place of a range.
     ends = o.select(F.col("t").alias("h")).distinct().filter("h >= 9")
-    return o.join(F.broadcast(ends), F.col("t").between(F.col("h") - 9, F.col("h"))).groupBy("h", "member").agg(r(F.avg("value"), "value"), F.count("*").alias("n"))
+    each = o.withColumn("h", F.explode(F.sequence("t", F.col("t") + 9)))
+    return each.join(ends, "h", "left_semi").groupBy("h", "member").agg(r(F.avg("value"), "value"), F.count("*").alias("n"))
 
 
 @query("conv_theta_join", "SELECT g.variable, g.ensemble, g.t, round(sum(f.value * exp(-(g.t - f.t) / 4.0)), 6) AS value FROM forcing f JOIN forcing g ON f.variable = g.variable AND f.ensemble = g.ensemble AND f.t <= g.t GROUP BY 1, 2, 3")
@@ -323,14 +354,14 @@ def _(s, d):
 
 
 def _long(s, d):
-    return at.long(_shown(s, d), [*V, "Ant", "Tot"], _MEMBER)
+    return at.long(_shown(s, d), [*V, "Ant", "Tot"], ["model", "ensemble", "obs", "ctl", "t"])
 
 
 @query("agg_weighted_mean", "SELECT t, variable, percentile, CASE WHEN count(*) = 3 THEN round(sum(value * weight) / sum(weight), 6) + 0.0 END AS value FROM repeats GROUP BY 1, 2, 3")
 def _(s, d):
     chosen = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("repeat_id")
     rows = _long(s, d).select("t", "variable", "value", F.substring("ensemble", 4, 9).cast("int").alias("e"), chosen).filter((F.col("e") % 3 < F.col("repeat_id")) & ~((F.col("repeat_id") == 2) & (F.col("t") == 0)))
-    each = summary.percentiles(rows, ["repeat_id", "t", "variable"])
+    each = selection.percentiles(rows, ["repeat_id", "t", "variable"])
     sized = each.join(rows.groupBy("repeat_id", "t", "variable").agg(F.count("*").alias("weight")), ["repeat_id", "t", "variable"])
     return summary.weighted_mean(sized, ["t", "variable", "percentile"], 3).select("t", "variable", "percentile", r("value"))
 
@@ -343,7 +374,7 @@ def _(s, d):
 @query("agg_ensemble_size", "SELECT (SELECT count(DISTINCT ensemble) FROM forcing) AS forcings, (SELECT count(DISTINCT member) FROM obs) AS measured, (SELECT count(DISTINCT member) FROM ctl) AS controls, (SELECT count(DISTINCT model) FROM params) AS models, (SELECT count(DISTINCT ensemble) FROM forcing) * (SELECT count(DISTINCT member) FROM obs) * (SELECT count(DISTINCT member) FROM ctl) * (SELECT count(DISTINCT model) FROM params) AS size")
 def _(s, d):
     count = lambda df, c, out: F.broadcast(df.agg(F.countDistinct(c).alias(out)))
-    one = count(src.forcing(s, d), "ensemble", "forcings").crossJoin(count(src.measurements(s, d), "member", "measured")).crossJoin(count(src.control_sample(s, d), "member", "controls")).crossJoin(count(src.model_params(s, d), "model", "models"))
+    one = count(src.forcing(s, d), "ensemble", "forcings").crossJoin(count(src.measurements(s, d), "member", "measured")).crossJoin(count(src.control_targets(s, d), "member", "controls")).crossJoin(count(src.model_params(s, d), "model", "models"))
     return one.withColumn("size", F.col("forcings") * F.col("measured") * F.col("controls") * F.col("models"))
 
 
@@ -366,9 +397,10 @@ def _(s, d):
 # -- regression
 
 
-@query("regress_3var", "SELECT model, ensemble, kind, target, round(bg, 6) + 0.0 AS b_ghg, round(bn, 6) + 0.0 AS b_nat, round(bo, 6) + 0.0 AS b_ohf, round(b0, 6) + 0.0 AS b_const FROM coef")
+@query("regress_3var", "SELECT model, ensemble, kind, target, round(bg, 4) + 0.0 AS b_ghg, round(bn, 4) + 0.0 AS b_nat, round(bo, 4) + 0.0 AS b_ohf, round(b0, 4) + 0.0 AS b_const FROM coef")
 def _(s, d):
-    return _run(s, d)[1].select("model", "ensemble", "kind", "target", r("b_GHG", "b_ghg"), r("b_Nat", "b_nat"), r("b_OHF", "b_ohf"), r("b_const"))
+    r4 = lambda c: (F.round(c, 4) + 0.0).alias(c.lower())
+    return _run(s, d)[1].select("model", "ensemble", "kind", "target", r4("b_GHG"), r4("b_Nat"), r4("b_OHF"), r4("b_const"))
 
 
 def _on(s, d, columns):
@@ -543,11 +575,10 @@ _SHOWN = [*V, "Ant", "Tot"]
 
 def _headline(s, d, of, const: float = 1.0):
     """Percentiles by window end of a linear functional of the series; ``of`` maps (df, keys) to rows with t and value."""
-    resp = src.responses(s, d)
-    pairs = _run(s, d)[2]
-    reduced = of(resp, ["model", "ensemble", "variable"]).select("model", "ensemble", "variable", "t", "value")
-    shown = at.attributed(at.wide(reduced, V), pairs, V, const=const)
-    return summary.percentiles(at.long(shown, _SHOWN, ["t"]), ["t", "variable"])
+    wide, _, pairs, _ = _run(s, d)
+    reduced = of(at.long(wide, V, ["model", "ensemble", "t"]), ["model", "ensemble", "variable"]).select("model", "ensemble", "variable", "t", "value")
+    shown = at.attributed(stored(at.wide(reduced, V)), pairs, V, const=const)
+    return selection.percentiles(at.long(shown, _SHOWN, ["t"]), ["t", "variable"])
 
 
 def _headline_sql(of: str) -> str:
@@ -580,7 +611,16 @@ def _out(df):
 @query("headline_annual", "SELECT t, variable, percentile, round(value, 6) + 0.0 AS value FROM (" + quantiles("t, variable", "attlong") + ") WHERE t IN (SELECT max(t) FROM obs)")
 def _(s, d):
     years = src.measurements(s, d).agg(F.max("t").alias("t"))
-    return _out(summary.percentiles(_long(s, d).join(F.broadcast(years), "t"), ["t", "variable"]))
+    return _out(selection.percentiles(_long(s, d).join(F.broadcast(years), "t"), ["t", "variable"]))
+
+
+_NAMED_STEPS = config.headline_years("12, 19, 26", 26, 27)
+
+
+@query("headline_years", f"SELECT t, variable, percentile, round(value, 6) + 0.0 AS value FROM ({quantiles('t, variable', 'attlong')}) WHERE t IN ({', '.join(map(str, _NAMED_STEPS))})")
+def _(s, d):
+    """The headlines of a list of years."""
+    return _out(selection.percentiles(_long(s, d).filter(F.col("t").isin(_NAMED_STEPS)), ["t", "variable"]))
 
 
 @query("headline_ar6", _headline_sql(_mean_sql(9, 0)))
@@ -631,7 +671,7 @@ def _(s, d):
 @query("attrib_full", "SELECT t, variable, percentile, round(value, 6) + 0.0 AS value FROM (" + quantiles("t, variable", "(SELECT t, variable, value FROM attlong UNION ALL SELECT t, 'Res', Res FROM att WHERE Res IS NOT NULL)") + ")")
 def attrib_full(s, d):
     shown = _shown(s, d, obs=True)
-    return _out(summary.percentiles(at.long(shown, [*_SHOWN, "Res"], ["t"]).filter("value is not null"), ["t", "variable"]))
+    return _out(selection.percentiles(at.long(shown, [*_SHOWN, "Res"], ["t"]).filter("value is not null"), ["t", "variable"]))
 
 
 # -- responses
@@ -653,21 +693,21 @@ def _e(x):
     return f"{x!r}::DOUBLE"
 
 
-def _ft(a):
-    return " + ".join(f"{_e(a[10 + j] / a[15 + j])} * exp(-(lag + 0.5) / {_e(a[15 + j])})" for j in (0, 1))
+def _ft(gas):
+    return " + ".join(f"{_e(c / time)} * exp(-(lag + 0.5) / {_e(time)})" for c, time in gas.thermal)
 
 
-def _ef(a):
-    held = lambda m: f"{_e(a[4] * a[13])} * ({_e(a[0])} * ({m}) + " + " + ".join(f"{_e(a[j] * a[j + 5])} * (1 - exp(-({m}) / {_e(a[j + 5])}))" for j in (1, 2, 3)) + ")"
+def _ef(gas):
+    held = lambda m: f"{_e(gas.concentration * gas.efficiency)} * ({_e(gas.lasting)} * ({m}) + " + " + ".join(f"{_e(part * time)} * (1 - exp(-({m}) / {_e(time)}))" for part, time in gas.decay) + ")"
     return f"{held('lag + 1')} - {held('lag')}"
 
 
-def _et(a):
+def _et(gas):
     parts = []
-    for j in (0, 1):
-        parts.append(f"{_e(a[0] * a[j + 10])} * (1 - exp(-(lag + 1) / {_e(a[j + 15])}))")
-        parts += [f"{_e(a[i] * a[i + 5] * a[j + 10] / (a[i + 5] - a[j + 15]))} * (exp(-(lag + 1) / {_e(a[i + 5])}) - exp(-(lag + 1) / {_e(a[j + 15])}))" for i in (1, 2, 3)]
-    return f"{_e(a[4] * a[13])} * ({' + '.join(parts)})"
+    for c, slow in gas.thermal:
+        parts.append(f"{_e(gas.lasting * c)} * (1 - exp(-(lag + 1) / {_e(slow)}))")
+        parts += [f"{_e(part * time * c / (time - slow))} * (exp(-(lag + 1) / {_e(time)}) - exp(-(lag + 1) / {_e(slow)}))" for part, time in gas.decay]
+    return f"{_e(gas.concentration * gas.efficiency)} * ({' + '.join(parts)})"
 
 
 def _scaled(body):
@@ -706,27 +746,70 @@ def _(s, d):
 
 
 def _grown(s, d):
-    """end_step, t, ensemble, member, value: every run's own fit, up to its end."""
-    x = src.responses(s, d).filter("model = 'm0'").groupBy("ensemble", "t").agg(F.sum("value").alias("x"))
+    """end_step, t, model, ensemble, member, value: every run's own fit, over all steps of the responses."""
+    x = stored(src.responses(s, d).groupBy("model", "ensemble", "t").agg(F.sum("value").alias("x")))
     rows = x.join(src.obs_baseline(s, d).select("member", "t", F.col("value").alias("y")), "t")
-    fits = reg.growing_ols(rows, ["ensemble", "member"], "x", "y", 20)
-    return fits.join(x, "ensemble").filter(F.col("t") <= F.col("end")).select(F.col("end").alias("end_step"), "t", "ensemble", "member", (F.col("b_const") + F.col("b_x") * F.col("x")).alias("value"))
+    fits = reg.growing_ols(rows, ["model", "ensemble", "member"], "x", "y", 20)
+    return fits.join(x, ["model", "ensemble"]).select(F.col("end").alias("end_step"), "t", "model", "ensemble", "member", (F.col("b_const") + F.col("b_x") * F.col("x")).alias("value"))
 
 
 def _runs(s, d):
     return summary.percentiles(_grown(s, d), ["end_step", "t"]).withColumn("variable", F.lit("Tot"))
 
 
+_RUN_MEMBER = ["end_step", "model", "ensemble", "member"]
+_ENDS = "SELECT end_step, label, percentile, round(value, 6) + 0.0 AS value FROM ({}) WHERE label = {}"
+_GROWN_W = "(PARTITION BY end_step, model, ensemble, member ORDER BY t ROWS BETWEEN {} PRECEDING AND {} FOLLOWING)"
+
+
+def _own_labels(of: str, label: str, own: str) -> str:
+    """SQL of each run's own label: ``of`` is the value at step t, ``label`` its label, ``own`` the label of the run's last step."""
+    return _ENDS.format(quantiles("end_step, label", f"(SELECT end_step, {label} AS label, {of} AS value FROM runmembers)").replace(" GROUP BY ALL", " WHERE value IS NOT NULL GROUP BY ALL"), own)
+
+
+def _full_rows(width: int, what: str, before: int | None = None, after: int = 0) -> str:
+    w = _GROWN_W.format(width - 1 if before is None else before, after)
+    return f"CASE WHEN count(*) OVER {w} = {width} THEN {what.replace('@', f'OVER {w}')} END"
+
+
+def _historical(s, d, definition, of):
+    """Each run's own headline; ``of`` gives rows with a value for each step, from which labels are made."""
+    named = of(_grown(s, d)).withColumn("label", products.label(definition, F.col("t")))
+    return products.historical_only(summary.percentiles(named, ["end_step", "label"]), definition).select("end_step", "label", "percentile", r("value"))
+
+
+def _as_value(column):
+    return lambda df: df.withColumn("value", F.col(column)).filter("value is not null")
+
+
 @query("hist_only", "SELECT end_step, label, percentile, round(value, 6) + 0.0 AS value FROM runlabels WHERE label = (end_step - 9) || '-' || end_step")
 def _(s, d):
-    windows = ts.rolling_mean(_grown(s, d), ["end_step", "ensemble", "member"], 9, 0, "mean").filter("mean is not null")
-    named = windows.withColumn("label", products.label("AR6", F.col("t")))
-    return products.historical_only(summary.percentiles(named, ["end_step", "label"], "mean"), "AR6").select("end_step", "label", "percentile", r("value"))
+    return _historical(s, d, "AR6", lambda df: _as_value("mean")(ts.rolling_mean(df, _RUN_MEMBER, 9, 0, "mean")))
+
+
+@query("hist_only_annual", _own_labels("value", "CAST(t AS VARCHAR)", "CAST(end_step AS VARCHAR)"))
+def _(s, d):
+    return _historical(s, d, "ANNUAL", lambda df: df)
+
+
+@query("hist_only_sr15", _own_labels(_full_rows(15, "(regr_intercept(value, t) @ + regr_slope(value, t) @ * t)"), "t || ' (SR15 definition)'", "end_step || ' (SR15 definition)'"))
+def _(s, d):
+    return _historical(s, d, "SR15", lambda df: _as_value("end")(ts.trend(df, _RUN_MEMBER, 15)))
+
+
+@query("hist_only_cgwl", _own_labels(_full_rows(12, "avg(value) @", 9, 2), "(t - 9) || '-' || (t + 10) || ' (CGWL definition)'", "(end_step - 9) || '-' || (end_step + 10) || ' (CGWL definition)'"))
+def _(s, d):
+    # The stand-in steps end too soon for ten steps after: two are taken.
+    return _historical(s, d, "CGWL", lambda df: _as_value("mean")(ts.rolling_mean(df, _RUN_MEMBER, 9, 2, "mean")))
+
+
+@query("hist_only_rate", _own_labels(_full_rows(10, "regr_slope(value, t) @"), "(t - 9) || '-' || t || ' (AR6 rate definition)'", "(end_step - 9) || '-' || end_step || ' (AR6 rate definition)'"))
+def _(s, d):
+    return _historical(s, d, "RATE", lambda df: _as_value("slope")(ts.trend(df, _RUN_MEMBER, 10)))
 
 
 @query("constrained", "SELECT end_step, variable, percentile, round(value, 6) + 0.0 AS value FROM runs WHERE t = (SELECT max(end_step) FROM runs)")
 def _(s, d):
-    # Runs that end earlier reach the last step only with responses beyond their fit.
     return products.constrained(_runs(s, d)).select("end_step", "variable", "percentile", r("value"))
 
 

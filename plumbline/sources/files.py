@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESULT_KEYS = ["scenario", "ensemble_member", "variables", "regressed_years"]
@@ -52,10 +52,10 @@ def read_parameters(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(out, "model string, box int, d double, q double")
 
 
-def write_results(df: DataFrame, path: str) -> None:
+def write_results(df: DataFrame, path: str, keys: list[str] = RESULT_KEYS) -> None:
     """Into a table partitioned by the run keys; only the partitions at hand are replaced. An empty frame writes nothing."""
     if not df.isEmpty():
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RESULT_KEYS).parquet(path)
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -94,7 +94,3 @@ def read_netcdf(spark: SparkSession, path: str, variables: dict[str, str], time:
     long["variable"], long["t"] = long["variable"].map(variables), long["t"].astype(int)
     return spark.createDataFrame(long)
 
-
-def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("_k = 1").drop("_k")

@@ -19,13 +19,14 @@ def kind_of(scenario: str) -> str:
 
 def complete(forcing: DataFrame, wanted: list[str], sums: dict[str, list[str]] = SUMS) -> DataFrame:
     """The wanted variables: as they are, or summed from their components where the source lacks them."""
-    have = {r.variable for r in forcing.select("variable").distinct().limit(100).collect()}
+    needed = {*wanted, *(p for v in wanted for p in sums.get(v, []))}
+    have = {r.variable for r in forcing.filter(F.col("variable").isin(list(needed))).select("variable").distinct().collect()}
     out = forcing.filter(F.col("variable").isin([v for v in wanted if v in have]))
     keys = [c for c in forcing.columns if c not in ("variable", "value")]
     for v in wanted:
         if v not in have:
             if not set(sums.get(v, [v])) <= have:
-                raise ValueError(f"{v} is not in the source and cannot be summed from {sorted(have)}")
+                raise ValueError(f"{v} is not in the source and cannot be summed from its {sorted(have)}")
             parts = forcing.filter(F.col("variable").isin(sums[v])).groupBy(*keys).agg(F.sum("value").alias("value")).withColumn("variable", F.lit(v))
             out = out.unionByName(parts)
     return out

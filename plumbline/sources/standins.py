@@ -45,13 +45,19 @@ def control_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.segments(control(spark, sf_dir), ["model", "member"], SLICE, SLICE_BASE)
 
 
-def control_sample(spark: SparkSession, sf_dir: str, n: int = 4) -> DataFrame:
-    """member, t, value of the first slices of ``n`` sampled members."""
-    from ..operators.summary import sampled
+#: Widths and limits of the running means that a control slice has to stay within.
+SHORT, LONG = (3, 0.3, 0.06), (9, 0.2)
 
-    slices = control_slices(spark, sf_dir).filter(F.col("slice_start") == 0)
-    chosen = sampled(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("member")).distinct(), "member", n)
-    return slices.join(F.broadcast(chosen), "member").select(F.concat(F.lit("c"), F.col("member").cast("string")).alias("member"), "t", "value")
+
+def control_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """member, slice_start of the slices of ordinary variability."""
+    return ts.in_range(control_slices(spark, sf_dir), ["member", "slice_start"], SHORT, LONG)
+
+
+def control_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """member, t, value of every such slice, as a member of its own."""
+    kept = control_slices(spark, sf_dir).join(control_kept(spark, sf_dir), ["member", "slice_start"], "left_semi")
+    return kept.select(F.concat(F.lit("c"), F.col("member").cast("string"), F.lit("-"), F.col("slice_start").cast("string")).alias("member"), "t", "value")
 
 
 def model_params(spark: SparkSession, sf_dir: str) -> DataFrame:

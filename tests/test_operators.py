@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import attribution as at
-from plumbline.operators import ensemble, products, regression, response, summary
+from plumbline.operators import products, regression, response, selection, summary
 from plumbline.operators import timeseries as ts
 from plumbline.plans import config
 from plumbline.sources import forcing as fo
@@ -103,16 +103,65 @@ def test_functional_before_pairing_equals_per_member(spark):
     resp = spark.createDataFrame(rows, "model string, ensemble string, variable string, t long, value double")
     target = lambda p: spark.createDataFrame([(f"{p}{k}", t, float(x)) for k in range(3) for t, x in enumerate(rng.normal(size=20))], "member string, t long, value double")
     obs, ctl = target("o").cache(), target("c").cache()
-    coef = at.coefficients(resp, obs, ctl, at.VARIABLES, 0, 19)
-    wide, pairs = at.wide(resp, at.VARIABLES), at.paired(coef, at.VARIABLES)
+    wide = at.wide(resp, at.VARIABLES)
+    pairs = at.paired(at.coefficients(wide, obs, ctl, at.VARIABLES, 0, 19), at.VARIABLES)
     keys = ["model", "ensemble", "obs", "ctl"]
     per = ts.trend(at.long(at.attributed(wide, pairs, at.VARIABLES), ["Tot"], [*keys, "t"]).drop("variable"), keys, 16).filter("t = 19")
     first = ts.trend(resp, ["model", "ensemble", "variable"], 16).filter("t = 19").select("model", "ensemble", "variable", "t", F.col("end").alias("value"))
     after = at.attributed(at.wide(first, at.VARIABLES), pairs, at.VARIABLES)
     both = per.join(after, keys).select("end", "Tot").collect()
     assert len(both) == 18 and all(math.isclose(r.end, r.Tot, abs_tol=1e-9) for r in both)
-    joined = summary.percentiles(at.long(at.attributed(wide, pairs, at.VARIABLES), [*at.VARIABLES, "Ant", "Tot"], ["t"]), ["t", "variable"])
-    assert joined.join(ensemble.step_percentiles(wide, coef, at.VARIABLES).withColumnRenamed("value", "v"), ["t", "variable", "percentile"]).filter("abs(v - value) < 1e-9").count() == 20 * 5 * 5
+
+
+def test_selected_percentiles(spark):
+    """Selection gives the percentiles of a buffer, with ties, single values, NaN and missing values, and few bins."""
+    rng = np.random.default_rng(4)
+    rows = [(k, float(x)) for k, n in (("a", 1000), ("b", 1), ("c", 2), (None, 37)) for x in rng.normal(size=n) ** 3]
+    rows += [("ties", float(x)) for x in rng.integers(0, 4, 500)] + [("flat", 2.0)] * 9 + [("nan", 1.0), ("nan", float("nan")), ("missing", 1.0), ("missing", None), ("far", 1e300), ("far", 0.0), ("far", 1.0)]
+    df = spark.createDataFrame(rows, "k string, value double")
+    of = lambda got: {(r.k, r.percentile): r.value for r in got.collect()}
+    want = of(summary.percentiles(df, ["k"]))
+    for bins in (4096, 3):
+        got = of(selection.percentiles(df, ["k"], bins=bins))
+        assert got.keys() == want.keys()
+        for key, v in want.items():
+            assert (got[key] is None) == (v is None) and (v is None or math.isnan(v) and math.isnan(got[key]) or math.isclose(got[key], v, rel_tol=1e-12, abs_tol=1e-15)), key
+    assert selection.percentiles(df.limit(0), ["k"]).count() == 0
+
+
+def test_dependent_regressors(spark):
+    """Nearly dependent regressors get the minimum-norm solution, and others keep the closed form."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in ("free", "same", "near", "constant"):
+        for t in range(30):
+            a, b = rng.normal(size=2)
+            b = {"same": 2 * a, "near": a + 1e-9 * b, "constant": 3.0}.get(k, b)
+            rows.append((k, float(a), float(b), float(2 * a - b + 1 + 0.1 * rng.normal())))
+    df = spark.createDataFrame(rows, "k string, a double, b double, y double")
+    got = {r.k: (r.b_a, r.b_b, r.b_const) for r in regression.fit(df, ["k"], ["a", "b"]).collect()}
+    for k in ("free", "same", "near", "constant"):
+        own = np.array([r[1:] for r in rows if r[0] == k])
+        design = np.column_stack([own[:, :2], np.ones(len(own))])
+        want = np.linalg.lstsq(design, own[:, 2], rcond=None)[0]
+        assert np.allclose(got[k], want, rtol=1e-6), k
+    assert {r.k for r in regression.ols(df, ["k"], ["a", "b"]).filter("b_a is null").collect()} == {"same", "near", "constant"}
+
+
+def test_fewer_variables(spark):
+    """One and two regressed variables: the total holds the constant, and of one it is written over the part."""
+    rng = np.random.default_rng(8)
+    forcing = rng.normal(size=(2, 20))
+    y = {"o": 1.5 * forcing[0] + 0.5 * forcing[1] + 0.3, "c": rng.normal(size=20) * 0.1}
+    target = lambda k: spark.createDataFrame([(k, t, float(x)) for t, x in enumerate(y[k])], "member string, t long, value double")
+    for names in (["Ant", "Nat"], ["Tot"]):
+        cols = {"Ant": forcing[0], "Nat": forcing[1], "Tot": forcing.sum(axis=0)}
+        wide = spark.createDataFrame([("m", "e", t, *(float(cols[v][t]) for v in names)) for t in range(20)], f"model string, ensemble string, t long, {', '.join(f'{v} double' for v in names)}")
+        got = at.attributed(wide, at.paired(at.coefficients(wide, target("o"), target("c"), names, 0, 19), names), names).orderBy("t").collect()
+        design = np.column_stack([*(cols[v] for v in names), np.ones(20)])
+        b = np.linalg.lstsq(design, y["o"], rcond=None)[0] + np.linalg.lstsq(design, y["c"], rcond=None)[0]
+        assert got[0].asDict().keys() == {"model", "ensemble", "obs", "ctl", "t", *names, "Tot"}
+        assert np.allclose([r.Tot for r in got], design @ b) and (names == ["Tot"] or np.allclose([r.Ant for r in got], b[0] * cols["Ant"]))
 
 
 def test_products(spark):
@@ -120,6 +169,9 @@ def test_products(spark):
     new, revised = products.deltas(runs)
     assert {r.end_step: r.value for r in new.collect()} == {3: 1.0, 4: 1.0, 5: 1.0}
     assert {r.end_step: r.value for r in revised.collect()} == {4: 10.0, 5: 10.0}
+    beyond = spark.createDataFrame([(y, t, "Tot", 50.0, float(10 * y + t)) for y in (3, 4, 5) for t in range(7)], runs.schema)
+    assert {r.end_step: r.value for r in products.constrained(beyond).collect()} == {3: 35.0, 4: 45.0, 5: 55.0}
+    assert {r.end_step: r.value for r in products.deltas(beyond)[1].collect()} == {4: 10.0, 5: 10.0}
     named = spark.createDataFrame([(9, "0-9", 0.0), (10, "1-10", 2.0), (10, "0-9", 5.0)], "end_step long, label string, value double")
     assert [r.label for r in products.historical_only(named, "AR6").collect()] == ["1-10"]
 
