@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .regression import fit
+from ..sources.stored import stored
+from .regression import fit, weights
 
 VARIABLES = ["GHG", "Nat", "OHF"]
 
@@ -25,10 +26,27 @@ def wide(response: DataFrame, variables: list[str]) -> DataFrame:
 
 
 def coefficients(wide: DataFrame, obs: DataFrame, ctl: DataFrame, variables: list[str], first: int, last: int) -> DataFrame:
-    """model, ensemble, kind, target, b_<variable>, b_const: both kinds of targets in one fit, on responses with a column for each variable."""
-    targets = obs.select(F.lit("obs").alias("kind"), F.col("member").alias("target"), "t", F.col("value").alias("y")).union(ctl.select(F.lit("ctl").alias("kind"), F.col("member").alias("target"), "t", F.col("value").alias("y")))
-    rows = wide.join(targets, "t").filter(F.col("t").between(first, last))
-    return fit(rows, ["model", "ensemble", "kind", "target"], variables)
+    """model, ensemble, kind, target, b_<variable>, b_const of both kinds of targets, on responses with a column for each variable.
+
+    Regressors are inverted once for each response member, and a target with all their steps needs sums only;
+    others are fitted each on the steps that they have.
+    """
+    of = lambda kind, df: df.filter(F.col("t").between(first, last)).select(F.lit(kind).alias("kind"), F.col("member").alias("target"), "t", F.col("value").alias("y"))
+    targets, rows = stored(of("obs", obs).union(of("ctl", ctl))), stored(wide.filter(F.col("t").between(first, last)))
+    keys = ["model", "ensemble", "kind", "target"]
+    steps = stored(rows.select("t").distinct())
+    n = steps.count()
+    if rows.groupBy("model", "ensemble").count().filter(F.col("count") != n).limit(1).count():
+        return fit(rows.join(targets, "t"), keys, variables)
+    sizes = stored(targets.filter("y is not null").join(steps, "t", "left_semi").groupBy("kind", "target").agg(F.countDistinct("t").alias("n"), F.count("*").alias("rows")))
+    whole = sizes.filter((F.col("n") == n) & (F.col("rows") == n)).select("kind", "target")
+    w = stored(weights(rows, ["model", "ensemble"], variables))
+    each = targets.join(whole, ["kind", "target"], "left_semi").join(w, "t")
+    found = each.groupBy(*keys).agg(*(F.sum(F.col(f"w_{v}") * F.col("y")).alias(f"b_{v}") for v in [*variables, "const"]))
+    rest = sizes.filter((F.col("n") < n) | (F.col("rows") > n)).select("kind", "target")
+    if rest.isEmpty():
+        return found
+    return found.unionByName(fit(rows.join(targets.join(rest, ["kind", "target"], "left_semi"), "t"), keys, variables))
 
 
 def paired(coef: DataFrame, variables: list[str]) -> DataFrame:

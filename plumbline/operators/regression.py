@@ -66,6 +66,23 @@ def lstsq(df: DataFrame, keys: list[str], xs: list[str], y: str = "y") -> DataFr
     return df.select(*keys, *xs, y).groupBy(*keys).applyInPandas(fit, schema)
 
 
+def weights(df: DataFrame, keys: list[str], xs: list[str]) -> DataFrame:
+    """keys, t, w_<x>, w_const: what each step's y counts for in each coefficient, from rows of the regressors alone.
+
+    The rows of the pseudo-inverse, so sums of w * y are the minimum-norm least squares of any y that has all steps; a group is one series.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    out = [*(f"w_{x}" for x in xs), "w_const"]
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in [*keys, "t"]), *(f"{w} double" for w in out)])
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        design = np.column_stack([group[xs].to_numpy(float), np.ones(len(group))])
+        w = np.linalg.pinv(design, rcond=np.finfo(float).eps * max(design.shape)).T
+        return pd.concat([group[[*keys, "t"]].reset_index(drop=True), pd.DataFrame(w, columns=out)], axis=1)
+
+    return df.select(*keys, "t", *xs).groupBy(*keys).applyInPandas(solve, schema)
+
+
 def growing_ols(df: DataFrame, keys: list[str], x: str, y: str, least: int) -> DataFrame:
     """One regressor over all growing ranges in a single window pass: end, b_x, b_const for each end step with ``least`` rows."""
     from pyspark.sql import Window

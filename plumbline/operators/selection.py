@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..sources.stored import stored
 from .summary import PERCENTILES
 
-BINS = 4096
+BINS = 1024
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str = "value", qs: list[float] = PERCENTILES, bins: int = BINS) -> DataFrame:

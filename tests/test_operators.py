@@ -148,6 +148,23 @@ def test_dependent_regressors(spark):
     assert {r.k for r in regression.ols(df, ["k"], ["a", "b"]).filter("b_a is null").collect()} == {"same", "near", "constant"}
 
 
+def test_coefficients_of_gaps(spark):
+    """Targets with all steps, with gaps and with repeated steps get the fit of their own rows, dependent regressors included."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2, 25, 2))
+    x[1, :, 1] = 3 * x[1, :, 0]
+    wide = spark.createDataFrame([("m", f"e{e}", t, float(x[e, t, 0]), float(x[e, t, 1])) for e in range(2) for t in range(25)], "model string, ensemble string, t long, Ant double, Nat double")
+    steps = {"whole": list(range(30)), "gaps": [t for t in range(25) if t % 3], "twice": [*range(25), 4]}
+    y = {k: rng.normal(size=len(s)) for k, s in steps.items()}
+    obs = spark.createDataFrame([(k, t, float(v)) for k, s in steps.items() for t, v in zip(s, y[k], strict=True)], "member string, t long, value double")
+    got = {(r.ensemble, r.target): (r.b_Ant, r.b_Nat, r.b_const) for r in at.coefficients(wide, obs, obs.limit(0), ["Ant", "Nat"], 0, 24).collect()}
+    assert len(got) == 6
+    for (e, k), b in got.items():
+        use = [i for i, t in enumerate(steps[k]) if t < 25]
+        design = np.array([[*x[int(e[1]), steps[k][i]], 1.0] for i in use])
+        assert np.allclose(b, np.linalg.lstsq(design, y[k][use], rcond=None)[0])
+
+
 def test_fewer_variables(spark):
     """One and two regressed variables: the total holds the constant, and of one it is written over the part."""
     rng = np.random.default_rng(8)
