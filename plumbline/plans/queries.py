@@ -12,8 +12,9 @@ from ..operators import attribution as at
 from ..operators import products, response, selection, summary
 from ..operators import regression as reg
 from ..operators import timeseries as ts
+from ..sources import files, forcing
 from ..sources import standins as src
-from ..sources.stored import stored
+from ..sources.stored import shared_path, stored
 from . import config
 from .oracle import quantiles, sql
 
@@ -58,24 +59,25 @@ def _(s, d):
 
 @query("src_unpivot", "SELECT p_partkey, 'size' AS variable, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part")
 def _(s, d):
-    wide = src.table(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
-    return wide.unpivot("p_partkey", ["size", "price"], "variable", "value")
+    at = shared_path(s, "wide")
+    src.table(s, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price")).write.csv(at, header=True)
+    return files.read_wide_csv(s, at, "p_partkey", name="variable").select(n("t", "p_partkey"), "variable", "value")
 
 
 @query("src_replicate_cross", "SELECT r_name AS ensemble, c_nationkey AS t, round(avg(c_acctbal), 4) AS value FROM customer, region GROUP BY 1, 2")
 def _(s, d):
     series = src.table(s, d, "customer").groupBy(F.col("c_nationkey").alias("t")).agg(F.round(F.avg("c_acctbal"), 4).alias("value"))
-    return series.crossJoin(F.broadcast(src.table(s, d, "region").select(F.col("r_name").alias("ensemble")))).select("ensemble", "t", "value")
+    members = src.table(s, d, "region").select(F.col("r_name").alias("ensemble"))
+    return forcing.replicate(series.withColumn("ensemble", F.lit("single")), members).select("ensemble", "t", "value")
 
 
 @query("src_ssp_select", """SELECT variable, t, round(value, 2) AS value FROM (
   SELECT CASE WHEN o_orderstatus = 'F' THEN 'GHG' ELSE 'OHF' END AS variable, CAST(floor(year(o_orderdate) + (month(o_orderdate) - 1) / 12.0) AS BIGINT) AS t, sum(o_totalprice) AS value FROM orders WHERE lower(o_orderpriority) = '1-urgent' GROUP BY 1, 2)""")
 def _(s, d):
-    o = src.table(s, d, "orders").filter(F.lower("o_orderpriority") == "1-urgent").drop("o_orderpriority")
-    year = F.floor(F.year("o_orderdate") + (F.month("o_orderdate") - 1) / 12)
-    own = o.filter(F.col("o_orderstatus") == "F").groupBy(F.lit("GHG").alias("variable"), year.alias("t")).agg(F.sum("o_totalprice").alias("value"))
-    rest = o.filter(F.col("o_orderstatus") != "F").groupBy(F.lit("OHF").alias("variable"), year.alias("t")).agg(F.sum("o_totalprice").alias("value"))
-    return own.unionByName(rest).select("variable", n("t"), F.round("value", 2).alias("value"))
+    kind = F.when(F.col("o_orderstatus") == "F", F.lit("ghg")).when(F.col("o_orderstatus") == "O", F.lit("aerosol")).otherwise(F.lit("other"))
+    year = F.floor(F.year("o_orderdate") + (F.month("o_orderdate") - 1) / 12) + 0.5
+    raw = src.table(s, d, "orders").groupBy(F.col("o_orderpriority").alias("scenario"), kind.alias("variable"), F.lit("single").alias("ensemble"), year.alias("year")).agg(F.sum("o_totalprice").alias("value"))
+    return forcing.ssp(raw, "1-Urgent").select("variable", n("t"), F.round("value", 2).alias("value"))
 
 
 @query("obs_baseline", "SELECT member, t, round(value, 6) + 0.0 AS value FROM obsb")
@@ -107,17 +109,17 @@ def _(s, d):
 @query("sink_roundtrip", "SELECT t, variable, percentile, round(value, 6) + 0.0 AS value FROM (" + quantiles("t, variable", "forcing") + ")")
 def _(s, d):
     got = summary.percentiles(src.forcing(s, d), ["t", "variable"])
-    wide = got.withColumn("column", F.concat_ws("|", "variable", F.col("percentile").cast("string")))
-    names = [f"{v}|{q}" for v in V for q in summary.PERCENTILES]
-    table = wide.groupBy("t").pivot("column", names).agg(F.first("value"))
-    back = table.unpivot("t", [F.col(f"`{c}`") for c in names], "column", "value")
-    return back.select("t", F.split("column", r"\|")[0].alias("variable"), F.split("column", r"\|")[1].cast("double").alias("percentile"), r("value"))
+    at = shared_path(s, "results")
+    files.write_result_csv(got.select(F.col("t").cast("string").alias("label"), "variable", "percentile", "value"), at)
+    return files.read_result_csv(s, at).select(n("label", "t"), "variable", "percentile", r("value"))
 
 
 @query("catalog_distinct", "SELECT DISTINCT lang AS scenario, source AS member FROM documents")
 def _(s, d):
-    path = F.concat(F.lit("results/SCENARIO--"), F.col("lang"), F.lit("/MEMBER--"), F.col("source"), F.lit("/data.csv"))
-    return src.table(s, d, "documents").select(path.alias("path")).select(labels.path_value(F.col("path"), "SCENARIO").alias("scenario"), labels.path_value(F.col("path"), "MEMBER").alias("member")).distinct()
+    at, keys = shared_path(s, "catalogue"), ["scenario", "member"]
+    runs = src.table(s, d, "documents").groupBy(F.col("lang").alias("scenario"), F.col("source").alias("member")).agg(F.count("*").alias("n"))
+    files.write_results(runs, at, keys)
+    return files.catalog(s, at, keys)
 
 
 # -- projections, filters, reshapes
@@ -581,23 +583,26 @@ def _headline(s, d, of, const: float = 1.0):
     return selection.percentiles(at.long(shown, _SHOWN, ["t"]), ["t", "variable"])
 
 
-def _headline_sql(of: str) -> str:
-    per = f"SELECT model, ensemble, obs, ctl, variable, {of} FROM attlong"
-    return "SELECT t, variable, percentile, round(value, 6) + 0.0 AS value FROM (" + quantiles("t, variable", f"({per})").replace(" GROUP BY ALL", " WHERE value IS NOT NULL GROUP BY ALL") + ")"
+def _headline_sql(of, const: int = 1) -> str:
+    """``of`` gives the SQL of a functional of a column; it is linear, so it is taken of the responses, as in a test of every member."""
+    per = f"SELECT model, ensemble, t, {of('g')} AS g, {of('n')} AS n, {of('o')} AS o FROM wide"
+    att = f"SELECT t, bg * g AS GHG, bn * n AS Nat, bo * o AS OHF, bg * g + bo * o AS Ant, bg * g + bn * n + bo * o + {const} * b0 AS Tot FROM ({per}) JOIN pairs USING (model, ensemble) WHERE g IS NOT NULL"
+    rows = f"(SELECT t, variable, value FROM (UNPIVOT ({att}) ON GHG, Nat, OHF, Ant, Tot INTO NAME variable VALUE value))"
+    return "SELECT t, variable, percentile, round(value, 6) + 0.0 AS value FROM (" + quantiles("t, variable", rows) + ")"
 
 
-_W = "(PARTITION BY model, ensemble, obs, ctl, variable ORDER BY t ROWS BETWEEN {} PRECEDING AND {} FOLLOWING)"
+_W = "(PARTITION BY model, ensemble ORDER BY t ROWS BETWEEN {} PRECEDING AND {} FOLLOWING)"
 
 
 def _mean_sql(before, after):
     w = _W.format(before, after)
-    return f"t, CASE WHEN count(*) OVER {w} = {before + after + 1} THEN avg(value) OVER {w} END AS value"
+    return lambda c: f"CASE WHEN count(*) OVER {w} = {before + after + 1} THEN avg({c}) OVER {w} END"
 
 
 def _trend_sql(width, end: bool):
     w = _W.format(width - 1, 0)
-    what = f"regr_intercept(value, t) OVER {w} + regr_slope(value, t) OVER {w} * t" if end else f"regr_slope(value, t) OVER {w}"
-    return f"t, CASE WHEN count(*) OVER {w} = {width} THEN {what} END AS value"
+    what = lambda c: f"regr_intercept({c}, t) OVER {w} + regr_slope({c}, t) OVER {w} * t" if end else f"regr_slope({c}, t) OVER {w}"
+    return lambda c: f"CASE WHEN count(*) OVER {w} = {width} THEN {what(c)} END"
 
 
 def _windowed(before, after):
@@ -638,7 +643,7 @@ def _(s, d):
     return _out(_headline(s, d, lambda df, keys: ts.trend(df, keys, 16).withColumn("value", F.col("end"))))
 
 
-@query("rate_ar6", _headline_sql(_trend_sql(10, False)))
+@query("rate_ar6", _headline_sql(_trend_sql(10, False), const=0))
 def _(s, d):
     return _out(_headline(s, d, lambda df, keys: ts.trend(df, keys, 10).withColumn("value", F.col("slope")), const=0.0))
 
@@ -845,3 +850,40 @@ def _(s, d):
     p = src.responses(s, d).groupBy("variable", "t").agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("p")).select("variable", "t", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
     w = Window.partitionBy("variable")
     return p.select("variable", "t", r("lo"), r("hi"), r(F.avg(F.col("hi") - F.col("lo")).over(w), "mean_width"), labels.half_up(F.max("hi").over(w)).alias("top"))
+
+
+@query("plot_residuals", "SELECT t, round(quantile_cont(Res, 0.05), 6) + 0.0 AS lo, round(quantile_cont(Res, 0.5), 6) + 0.0 AS mid, round(quantile_cont(Res, 0.95), 6) + 0.0 AS hi FROM att WHERE Res IS NOT NULL GROUP BY t")
+def _(s, d):
+    p = selection.percentiles(_shown(s, d, obs=True).filter("Res is not null"), ["t"], "Res", [5.0, 50.0, 95.0])
+    of = lambda q: F.max(F.when(F.col("percentile") == q, F.col("value")))
+    return p.groupBy("t").agg(r(of(5.0), "lo"), r(of(50.0), "mid"), r(of(95.0), "hi"))
+
+
+@query("plot_tot_vs_ant", _over_controls_sql(_MEMBERS, "att", ant="Ant", tot="Tot", natural="Tot - Ant"))
+def _(s, d):
+    return _over_controls(_shown(s, d), _MEMBER, {"ant": "Ant", "tot": "Tot", "natural": F.col("Tot") - F.col("Ant")})
+
+
+@query("plot_pdf", """SELECT variable, i, round(x, 5) + 0.0 AS x, round(avg(exp(-power((x - value) / h, 2) / 2) / h) / sqrt(2 * pi()), 5) AS density FROM (
+  SELECT variable, i, lo + (hi - lo) * i / 99 AS x, h FROM (SELECT variable, min(value) AS lo, max(value) AS hi, stddev_samp(value) * power(count(value), -0.2) AS h FROM attlong WHERE t = 26 GROUP BY 1), (SELECT unnest(range(100)) AS i)) g JOIN (SELECT * FROM attlong WHERE t = 26) USING (variable) GROUP BY 1, 2, x""")
+def _(s, d):
+    last = stored(at.long(_shown(s, d).filter("t = 26"), _SHOWN, ["t"]))
+    return summary.kde(last, ["variable"], 100).select("variable", n("i"), (F.round("x", 5) + 0.0).alias("x"), F.round("density", 5).alias("density"))
+
+
+_TABLE = "SELECT '{0}' AS definition, variable, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM {1} GROUP BY variable"
+_DECADE = "(SELECT variable, avg(value) AS value FROM attlong WHERE t BETWEEN 17 AND 26 GROUP BY variable, model, ensemble, obs, ctl)"
+
+
+@query("plot_headline_table", "SELECT definition, variable, round_even(m, 2) + 0.0 AS centre, round(m - lo, 5) AS below, round(hi - m, 5) AS above, definition || ' ' || variable || printf(': %.2f', round_even(m, 2) + 0.0) AS label FROM (" + _TABLE.format("ANNUAL", "(SELECT * FROM attlong WHERE t = 26)") + " UNION ALL " + _TABLE.format("AR6", _DECADE) + ")")
+def _(s, d):
+    wide, _, pairs, _ = _run(s, d)
+    decade = at.wide(_windowed(9, 0)(at.long(wide, V, ["model", "ensemble", "t"]), ["model", "ensemble", "variable"]), V)
+    each = None
+    for name, df in (("ANNUAL", wide), ("AR6", decade)):
+        rows = at.long(at.attributed(stored(df.filter("t = 26")), pairs, V), _SHOWN, ["t"]).withColumn("definition", F.lit(name))
+        each = rows if each is None else each.unionByName(rows)
+    of = lambda q: F.max(F.when(F.col("percentile") == q, F.col("value")))
+    p = selection.percentiles(each, ["definition", "variable"], qs=[5.0, 50.0, 95.0]).groupBy("definition", "variable").agg(of(5.0).alias("lo"), of(50.0).alias("m"), of(95.0).alias("hi"))
+    centre = F.bround("m", 2) + 0.0
+    return p.select("definition", "variable", centre.alias("centre"), F.round(F.col("m") - F.col("lo"), 5).alias("below"), F.round(F.col("hi") - F.col("m"), 5).alias("above"), F.concat("definition", F.lit(" "), "variable", F.format_string(": %.2f", centre)).alias("label"))

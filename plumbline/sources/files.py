@@ -58,9 +58,9 @@ def write_results(df: DataFrame, path: str, keys: list[str] = RESULT_KEYS) -> No
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def catalog(spark: SparkSession, path: str) -> DataFrame:
+def catalog(spark: SparkSession, path: str, keys: list[str] = RESULT_KEYS) -> DataFrame:
     """The distinct runs of a result table, from its partitions."""
-    return spark.read.parquet(path).select(*RESULT_KEYS).distinct()
+    return spark.read.parquet(path).select(*keys).distinct()
 
 
 def write_result_csv(df: DataFrame, path: str, index: str = "Year") -> None:
