@@ -6,10 +6,10 @@ all pieces of all items in one pass over a text, and Myers' bit-parallel
 distance verifies the place around each hit. Both sides are case-folded, with runs of white
 space as one space; positions are in that form of the text.
 
-Items come to the executors in blocks of at most ``BLOCK_CHARS`` characters, one
+Items come through the driver to the executors in blocks of at most ``BLOCK_CHARS`` characters, one
 pass over the documents for each block. An item longer than a block is a block of its own.
 
-Cases: null texts are empty; an empty item matches nothing; items under 20 characters match
+Cases: null texts are empty; a null doc_id or item_id stays null; several texts under one id each match by themselves; a very long text is searched in one piece; an empty item matches nothing; items under 20 characters match
 exactly; items with equal texts each match; repeated documents each match; an empty
 table gives no rows; extra columns are ignored. A document's best place for an item is the one with
 the least distance, then the first.
@@ -135,24 +135,29 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, distance, start, end (in the normal text) of every item found in a document."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("text != ''")
-    sized = items.withColumn("n", F.length("text").cast("long"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    blocks = -(-total // BLOCK_CHARS)
     own = texts(docs)
     schema = "doc_id long, item_id long, distance int, start long, end long"
     out = spark.createDataFrame([], schema)
-    for block in range(blocks):
-        # A block is about BLOCK_CHARS: items are dealt by hash, and it is checked before it is sent.
-        part = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        if (part.agg(F.sum("n")).first()[0] or 0) > max(4 * BLOCK_CHARS, 2 * (part.agg(F.max("n")).first()[0] or 0)):
-            raise ValueError("benchmark items of one block outgrow the memory set aside for them")
-        known = tuple((r.item_id, t) for r in part.select("item_id", "text").collect() if (t := normal(r.text)))
-        if known:
-            sent = spark.sparkContext.broadcast(known)
-            out = out.union(own.mapInArrow(_finder(sent), schema))
+    for known in _blocks(items):
+        out = out.union(own.mapInArrow(_finder(spark.sparkContext.broadcast(known)), schema))
     return out
 
 
+def _blocks(items: DataFrame) -> Iterator[tuple[tuple[int, str], ...]]:
+    """Items in their normal form, some at a time: BLOCK_CHARS characters of them, or a longer one alone."""
+    block, size = [], 0
+    for r in items.toLocalIterator():
+        if not (text := normal(r.text)):
+            continue
+        if block and size + len(text) > BLOCK_CHARS:
+            yield tuple(block)
+            block, size = [], 0
+        block.append((r.item_id, text))
+        size += len(text)
+    if block:
+        yield tuple(block)
+
+
 def _finder(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = sent.value
