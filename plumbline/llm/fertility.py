@@ -1,20 +1,25 @@
 """Quality rules: base counts of words, symbols and repeats, and bands of tokeniser fertility.
 
-For every whole text: the base counts, and with a public vocabulary the characters per
-token, the share of byte-fallback tokens and the entropy of its tokens over the greatest they
+For every whole text: the base counts, and with each of two public vocabularies (pieces with byte
+fallback, and byte-level merges for many languages) the characters per token, the share of tokens that are
+bytes and no characters, and the entropy of its tokens over the greatest they
 could have. Bands per language (or per script where no language is given) come from exact histograms
 of these measures over all documents that pass the base: quartiles, widened by ``WIDTH``
 interquartile ranges, and at least by the measure's own least distance. Measures of short texts vary more: a document of n tokens
-has 1 + ``SHORT`` / n times the distance. A document outside a band is rejected.
+has 1 + ``SHORT`` / n times the distance. A document outside a band of either vocabulary is rejected.
 
 Cases: a null or empty text has no words and fails the base; a null doc_id stays null;
-a null language falls to the main script of the text, then to "none"; repeated rows
-each count; a language with one document keeps it; an empty table gives no rows;
-extra columns are ignored.
+a null language falls to the main script of the text (ties: the first in ``SCRIPTS``), then to "none"; repeated rows
+each count; a language with one document keeps it; an empty table gives no rows; a very long text is measured in one
+piece, but for runs of over ``RUN`` blanks, which the second vocabulary gets in parts;
+extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import base64
+import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +34,14 @@ from .piece_bpe import MODEL, model
 MIN_WORDS, REPEAT_SHARE = 50, 50
 WIDTH, SHORT = 3.0, 200
 #: Bins a unit of each measure, least distance of a band's edge from its quartile, and which edges reject.
-MEASURES = {"chars_per_token": (100, 0.2, True, True), "byte_share": (1000, 0.1, False, True), "entropy_share": (1000, 0.15, True, False)}
+_OF = {"chars_per_token": (100, 0.2, True, True), "byte_share": (1000, 0.1, False, True), "entropy_share": (1000, 0.15, True, False)}
+MEASURES = {**_OF, **{f"{m}_multi": x for m, x in _OF.items()}}
+SECOND, RUN = "byte_bpe_multi_50k.tiktoken", 1000
 #: Groups whose bands are broadcast; beyond it, they are joined by shuffle.
 BROADCAST_GROUPS = 10_000
+#: Stretches of text without a longer run of blanks than RUN.
+_BLANKS = re.compile(rf"\s{{{RUN}}}")
+_LONG_RUN = re.compile(rf"(?s)\s{{{RUN}}}|(?:(?!\s{{{RUN}}}).)+")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 #: First code points of coarse scripts; the last row ends the table.
@@ -83,23 +93,50 @@ def script_of(text: str) -> str:
     return SCRIPTS[int(np.bincount(found).argmax())][1] if len(found) else "none"
 
 
-def measures(docs: DataFrame, name: str = MODEL) -> DataFrame:
+class ByteMerges:
+    """A byte-level vocabulary of ranks; ``is_byte``: tokens that are no whole characters."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.n = max(ranks.values()) + 1
+        self.encoding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.is_byte = np.zeros(self.n, bool)
+        for token, i in ranks.items():
+            self.is_byte[i] = not token.decode("utf-8", "ignore")
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets (n + 1) and ids."""
+        of = self.encoding.encode_to_numpy
+        ids = [np.concatenate([of(x, disallowed_special=()) for x in parts]) if _BLANKS.search(t) and (parts := _LONG_RUN.findall(t)) else of(t, disallowed_special=()) for t in texts]
+        return np.cumsum([0, *map(len, ids)]), np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
+
+
+@functools.cache
+def byte_merges(path: str) -> ByteMerges:
+    return ByteMerges(path)
+
+
+def measures(docs: DataFrame, name: str = MODEL, second: str = SECOND) -> DataFrame:
     """doc_id, band_group, base counts and fertility of every row."""
-    path = public_tokenizers.path(name)
+    path, path_2 = public_tokenizers.path(name), public_tokenizers.path(second)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars"]
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(path)
+        vocabularies = model(path), byte_merges(path_2)
         for part, words in text_parts(batches):
             offsets, data = utf8(part.column("text"))
-            base = base_counts(offsets - offsets[0], data[offsets[0] : offsets[-1]])
-            n, n_bytes, entropy = token_measures(*bpe.encode(words), bpe.is_byte)
-            many = np.maximum(n, 1)
-            most = np.log2(np.minimum(np.maximum(n, 2), bpe.n))
+            base, n_tokens, found = base_counts(offsets - offsets[0], data[offsets[0] : offsets[-1]]), None, []
+            for v in vocabularies:
+                n, n_bytes, entropy = token_measures(*v.encode(words), v.is_byte)
+                n_tokens, many = n if n_tokens is None else n_tokens, np.maximum(n, 1)
+                found += [base["n_chars"] / many, n_bytes / many, entropy / np.log2(np.minimum(np.maximum(n, 2), v.n))]
             group = [g if g is not None else "script:" + script_of(t) for g, t in zip(part.column("lang").to_pylist(), words, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(group, pa.string()), *(pa.array(base[c]) for c in counts), pa.array(n.astype(np.int64)), pa.array(base["n_chars"] / many), pa.array(n_bytes / many), pa.array(entropy / most)], ["doc_id", "band_group", *counts, "n_tokens", *MEASURES])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(group, pa.string()), *(pa.array(base[c]) for c in counts), pa.array(n_tokens.astype(np.int64)), *map(pa.array, found)], ["doc_id", "band_group", *counts, "n_tokens", *MEASURES])
 
     schema = ", ".join(["doc_id long", "band_group string", *(f"{c} long" for c in counts), "n_tokens long", *(f"{m} double" for m in MEASURES)])
     return own.mapInArrow(run, schema)
@@ -138,4 +175,4 @@ def judge(docs: DataFrame, name: str = MODEL) -> DataFrame:
 
 
 def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy_share", "out_of_band")
+    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", *MEASURES, "out_of_band")
