@@ -1,8 +1,11 @@
 """URL filters: explicit allow and block rules, then mined association rules, in DataFrame operations only.
 
 ``mine`` feeds the URL tokens of labelled pages, with the label as one more item, to
-Spark's FP-growth, and keeps rules whose consequent is a label, pruned by support,
-confidence and lift. ``match`` finds the rules of each URL through an inverted index:
+Spark's FP-growth, and keeps rules whose consequent is a label, pruned by support
+(a share of the labelled pages, and ``MIN_PAGES`` pages at least), confidence and lift. Tokens on fewer pages can be in no such
+rule and are left out before; of tokens that stand on exactly the same labelled pages (a host and its labels, say) the first stands for all, and tokens on
+every page are left out too: they would double the itemsets without another rule to show for it. What is left of a URL bounds the
+itemsets' length. ``match`` finds the rules of each URL through an inverted index:
 every rule stands under its rarest token, a URL looks up its own tokens there, and a
 rule applies if the URL has all of its tokens. The most confident rule wins (ties: more
 support, then the longer, then block, then the antecedent's text).
@@ -10,11 +13,13 @@ support, then the longer, then block, then the antecedent's text).
 Cases: a null url or one without ``://`` has an empty host and path, no token and no
 rule, and is allowed; labels without a page, or null labels, teach nothing; a page labelled
 more than once counts each time; with no labelled page there are no rules; repeated
-pages are judged row by row; extra columns are ignored.
+pages are judged row by row; a very long url is one row like any other; no pages give no rows; extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.ml.fpm import FPGrowth
@@ -25,9 +30,9 @@ from .common import cut, table
 
 #: (host, path, verdict) of the contract.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: Explicit rules are a parameter held in the plan; a longer list has to come in parts.
+#: Explicit rules that are held in the plan; more of them are joined.
 MOST_RULES = 1000
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.01, 0.5, 1.1
+MIN_PAGES, MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 5, 0.01, 0.5, 1.1
 
 
 def with_parts(pages: DataFrame) -> DataFrame:
@@ -38,13 +43,19 @@ def with_parts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.translate(host, string.ascii_uppercase, string.ascii_lowercase).alias("host"), path.alias("path"))
 
 
-def explicit(rules: list[tuple[str, str, str]]):
-    """Columns rule and verdict of the longest explicit rule that fits host and path."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} explicit rules; at most {MOST_RULES} in a list")
-    entries = F.array(*(F.struct(F.lit(len(h + p)).alias("n"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"), F.lit(h).alias("h"), F.lit(p).alias("p")) for h, p, v in rules))
-    fits = F.filter(entries, lambda r: ((F.col("host") == r["h"]) | F.col("host").endswith(F.concat(F.lit("."), r["h"]))) & F.col("path").startswith(r["p"]))
-    return F.array_max(fits)
+def fitting(parts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Adds ``fit``: a struct with rule and verdict of the longest explicit rule that fits host and path (of equal rules, the one that blocks)."""
+    fits = lambda h, p: ((F.col("host") == h) | F.col("host").endswith(F.concat(F.lit("."), h))) & F.col("path").startswith(p)
+    if len(rules) <= MOST_RULES:
+        entries = F.array(*(F.struct(F.lit(len(h + p)).alias("n"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"), F.lit(h).alias("h"), F.lit(p).alias("p")) for h, p, v in rules))
+        return parts.withColumn("fit", F.array_max(F.filter(entries, lambda r: fits(r["h"], r["p"]))))
+    listed = parts.sparkSession.createDataFrame([(len(h + p), h + p, v, h, p) for h, p, v in rules], "n int, rule string, verdict string, h string, p string")
+    # A rule's host is the page's host or one of its ends after a dot.
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    places = parts.select("host", "path").distinct().withColumn("h", F.explode(ends)).join(listed, "h").filter(F.col("path").startswith(F.col("p")))
+    best = places.groupBy("host", "path").agg(F.max(F.struct("n", "rule", "verdict", "h", "p")).alias("fit"))
+    return parts.join(best, ["host", "path"], "left")
 
 
 def tokens():
@@ -61,14 +72,28 @@ def tokens():
     return F.when(F.col("host") != "", F.array_distinct(F.concat(*parts))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
-    """rule_id, anchor, antecedent, verdict, confidence, support from rows (tokens, bad)."""
-    items = labelled.filter(F.col("bad").isNotNull()).select(F.array_append("tokens", F.when(F.col("bad"), F.lit("=block")).otherwise(F.lit("=allow"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(cut(items))
-    single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
-    rules = model.associationRules.filter((F.size("consequent") == 1) & F.col("consequent")[0].isin("=block", "=allow") & (F.col("lift") >= min_lift))
+def useful_tokens(labelled: DataFrame, least: int, pages: int) -> DataFrame:
+    """token, freq of the tokens of rows (page, tokens) on ``least`` pages or more, but not on all; of tokens on the same pages the first."""
+    each = labelled.select(F.xxhash64("page").alias("page"), F.explode("tokens").alias("token"))
+    # Equal sets of pages have equal sums of hashed page numbers.
+    counted = each.groupBy("token").agg(F.count("*").alias("freq"), F.sum(F.col("page").cast("decimal(38,0)")).alias("pages"))
+    kept = counted.filter((F.col("freq") >= least) & (F.col("freq") < pages))
+    return kept.groupBy("freq", "pages").agg(F.min("token").alias("token")).select("token", "freq")
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_pages: int = MIN_PAGES) -> DataFrame:
+    """anchor, antecedent, verdict, confidence, support from rows (tokens, bad)."""
+    known = cut(labelled.filter(F.col("bad").isNotNull()).select(F.monotonically_increasing_id().alias("page"), "tokens", "bad"))
+    pages = known.count()
+    support = max(min_support, min_pages / max(pages, 1))
+    useful = cut(useful_tokens(known, math.ceil(support * pages - 1e-9), pages))
+    left = known.select("page", F.explode("tokens").alias("token")).join(useful, "token").groupBy("page").agg(F.collect_list("token").alias("left"))
+    verdict = F.when(F.col("bad"), F.lit("=block")).otherwise(F.lit("=allow"))
+    items = cut(known.join(left, "page", "left").select(F.concat(F.coalesce("left", F.array().cast("array<string>")), F.array(verdict)).alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=min(support, 1.0), minConfidence=min_confidence).fit(items)
+    rules = model.associationRules.filter((F.size("consequent") == 1) & F.col("consequent")[0].isin("=block", "=allow") & (F.col("lift") >= min_lift) & (F.col("support") * pages >= min_pages - 0.5))
     rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 2, 9).alias("verdict"), "confidence", "support")
-    rarest = rules.select("*", F.explode("antecedent").alias("item")).join(single, "item").groupBy("antecedent", "verdict", "confidence", "support").agg(F.min(F.struct("freq", "item"))["item"].alias("anchor"))
+    rarest = rules.select("*", F.explode("antecedent").alias("token")).join(useful, "token").groupBy("antecedent", "verdict", "confidence", "support").agg(F.min(F.struct("freq", "token"))["token"].alias("anchor"))
     return cut(rarest)
 
 
@@ -85,7 +110,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     parts = with_parts(pages).withColumn("tokens", tokens())
     known = labels.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
     found = match(parts, mine(parts.join(known, "page_id").select("tokens", "bad"), **pruning))
-    both = parts.withColumn("fit", explicit(rules)).join(found, "url", "left")
+    both = fitting(parts, rules).join(found, "url", "left")
     return both.select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "mined.verdict", F.lit("allow")).alias("verdict"),
         F.when(F.col("fit").isNull(), F.col("mined.tokens")).alias("mined_rule"), F.when(F.col("fit").isNull(), F.col("mined.confidence")).alias("confidence"),
