@@ -149,12 +149,13 @@ _LOWER[65:91] += 32
 
 @dataclass
 class Words:
-    """All words of a slice: the slice-wide byte range, document index and hash of each."""
+    """All words of a slice: the slice-wide byte range, document index and hash of each; and the hash prefixes of the slice."""
 
     start: np.ndarray
     end: np.ndarray
     doc: np.ndarray
     hash: np.ndarray
+    prefix: np.ndarray
 
 
 def words_of(offsets: np.ndarray, data: np.ndarray, lower: bool = False) -> Words:
@@ -169,7 +170,8 @@ def words_of(offsets: np.ndarray, data: np.ndarray, lower: bool = False) -> Word
     start = np.flatnonzero(inside & (~before | edge))
     end = np.flatnonzero(before & (~inside | edge))
     doc = np.searchsorted(offsets, start, "right") - 1
-    return Words(start, end, doc, span_hash(prefix_hash(data), start, end))
+    prefix = prefix_hash(data)
+    return Words(start, end, doc, span_hash(prefix, start, end), prefix)
 
 
 def grams(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, grams, mix, prefix_hash, span_hash, table, text_parts, utf8, words_of
+from .common import cut, grams, mix, span_hash, table, text_parts, utf8, words_of
 from .piece_bpe import MODEL, model
 
 MIN_WORDS, REPEAT_SHARE = 50, 50
@@ -63,7 +63,7 @@ def base_counts(offsets: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
     has_word = np.searchsorted(w.start, ends) > np.searchsorted(w.start, starts)
     starts, ends = starts[has_word], ends[has_word]
     line_doc = np.searchsorted(offsets, starts, "right") - 1
-    line = mix(span_hash(prefix_hash(data), starts, ends) + mix(line_doc.astype(np.uint64)))
+    line = mix(span_hash(w.prefix, starts, ends) + mix(line_doc.astype(np.uint64)))
     _, first = np.unique(line, return_index=True)
     again = np.ones(len(line), bool)
     again[first] = False
