@@ -58,6 +58,36 @@ def base_counts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(marked)
 
 
+def fertility_kept(rows, encoders, width=3.0, short=200):
+    """id -> kept, by the libraries' ids: ``encoders`` are functions from a text to (ids, how many are bytes alone, size of the vocabulary)."""
+    least, measured = (("chars", 100, 0.2, 1, 1), ("bytes", 1000, 0.1, 0, 1), ("entropy", 1000, 0.15, 1, 0)), {}
+    for d, text, lang in rows:
+        n_words, _, _, _, repeated = base_counts(text)
+        if n_words < 50 or 100 * repeated > 50 * n_words:
+            continue
+        values, n_tokens = [], None
+        for encode in encoders:
+            ids, n_bytes, size = encode(text)
+            n = len(ids)
+            n_tokens = n if n_tokens is None else n_tokens
+            p = [c / n for c in Counter(ids).values()]
+            values += [len(text) / n, n_bytes / n, -sum(x * math.log2(x) for x in p) / math.log2(min(max(n, 2), size))]
+        measured[d] = (lang, n_tokens, values)
+    kept = dict.fromkeys((d for d, _, _ in rows), False)
+    for lang in {x[0] for x in measured.values()}:
+        own, edges = {d: x for d, x in measured.items() if x[0] == lang}, []
+        for i in range(3 * len(encoders)):
+            _, bins, apart, low, high = least[i % 3]
+            at = sorted(math.floor(x[2][i] * bins) for x in own.values())
+            q1, q3 = (at[math.ceil(q * len(at)) - 1] for q in (0.25, 0.75))
+            q1, q3 = q1 / bins, (q3 + 1) / bins
+            edges.append((q1, q3, max(width * (q3 - q1), apart), low, high))
+        for d, (_, n, values) in own.items():
+            far = 1 + short / max(n, 1)
+            kept[d] = not any(low and v < q1 - a * far or high and v > q3 + a * far for v, (q1, q3, a, low, high) in zip(values, edges, strict=True))
+    return kept
+
+
 def shingle_weights(rows):
     counts, df = {}, Counter()
     for d, t in rows:

@@ -1,6 +1,7 @@
 """Decontamination, passages, repeated substrings, near copies, chat trees, URL rules."""
 
 import hashlib
+import itertools
 
 import numpy as np
 import pytest
@@ -107,9 +108,16 @@ def test_items_with_repeated_pieces(rng):
 
 def test_decontaminate(spark, sf, corpus, odd, none):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    got = {(r.doc_id, r.item_id) for r in decontaminate.op2_decontaminate(spark, sf).collect()}
-    normal = [(d, decontaminate.normal(t)) for d, t in corpus]
-    assert {(d, i) for d, t in normal for i, y in items if decontaminate.normal(y) in t} <= got
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.op2_decontaminate(spark, sf).collect()}
+    want = {}
+    for d, t in corpus:
+        text = decontaminate.normal(t)
+        for i, y in items:
+            y = decontaminate.normal(y)
+            n, end = decontaminate.myers(y, text, len(y) // 20)  # over the whole text, without pieces
+            if n >= 0:
+                want[d, i] = n, end
+    assert {k: (r.distance, r.end) for k, r in got.items()} == want
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "Same TEXT of a few  words"), (4, "same text of a few words"), (None, "no id")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(odd, bench).collect()} == {(5, 3), (5, 4), (6, 3), (6, 4), (None, None)}
     assert decontaminate.matches(none, bench).count() == 0 and decontaminate.matches(odd, bench.limit(0)).count() == 0
@@ -117,7 +125,7 @@ def test_decontaminate(spark, sf, corpus, odd, none):
 
 def test_decontaminate_in_blocks(spark, monkeypatch, rng):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
-    items = [(i, " ".join(words(rng, 15))) for i in range(12)]
+    items = [(i, " ".join(words(rng, 90 if i == 5 else 15))) for i in range(12)]  # one longer than a block
     docs = spark.createDataFrame([(i, f"before {t} after") for i, t in items], "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()} == {(i, i) for i, _ in items}
 
@@ -236,6 +244,63 @@ def test_passages_with_others_between(spark, rng):
         assert min(len(a), len(b)) >= 50 and brute.edit_distance(a, b) <= r.edits <= 0.2 * max(len(a), len(b)) and {r.doc_id // 2} == {r.other_doc_id // 2}
 
 
+def found_pairs(spark, rows):
+    found = chained_seeds.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return found, {frozenset((r.doc_id, r.other_doc_id)) for r in found}
+
+
+def test_passage_among_quotations(spark, rng):
+    """Two texts share a passage whose every part stands in many others, each too short to be a passage itself."""
+    whole, sixty = words(rng, 200), words(rng, 60)
+    rows = [(0, words(rng, 40) + whole), (1, whole + words(rng, 30)), (2, words(rng, 30) + sixty + words(rng, 9)), (3, words(rng, 12) + sixty)]
+    for i in range(400):
+        n, p = (rng.randint(12, 44), whole) if i < 300 else (15, sixty)
+        a = rng.randint(0, len(p) - n) if i < 300 else i % 4 * 15
+        rows.append((10 + i, words(rng, 30) + p[a : a + n] + words(rng, 30)))
+    found, pairs = found_pairs(spark, [(i, " ".join(w)) for i, w in rows])
+    assert {frozenset((0, 1)), frozenset((2, 3))} <= pairs
+    assert max(r.end - r.start for r in found if {r.doc_id, r.other_doc_id} == {0, 1}) >= 200
+    assert max(r.end - r.start for r in found if {r.doc_id, r.other_doc_id} == {2, 3}) >= 60
+    assert all(min(x, y) < 10 for x, y in map(sorted, pairs)) or len(pairs) < 40
+
+
+def test_passage_in_very_many_texts(spark, rng):
+    """Every text with a frequent passage is linked, by fewer rows than pairs."""
+    p = words(rng, 60)
+    rows = [(i, " ".join(words(rng, 20) + p + words(rng, 20))) for i in range(120)]
+    found, pairs = found_pairs(spark, rows)
+    linked, todo = set(), [0]
+    while todo:
+        x = todo.pop()
+        if x not in linked:
+            linked.add(x)
+            todo += [y for q in pairs if x in q for y in q]
+    assert len(linked) == 120 and len(pairs) < 1200 and len(found) < 2000
+
+
+def test_copies_are_members(spark, rng):
+    """Of equal texts one stands for all in the passages, and each of the others is a row with it."""
+    p = words(rng, 60)
+    same, other = " ".join(words(rng, 20) + p), " ".join(p + words(rng, 30))
+    rows = [(5, same), (3, same), (3, same), (None, same), (8, other), (3, "short"), (4, "short")]
+    found, pairs = found_pairs(spark, rows)
+    assert sorted((str(r.doc_id), r.start, r.end, r.other_doc_id) for r in found if r.start == r.other_start == 0 and r.end == 80) == [("5", 0, 80, 3), ("None", 0, 80, 3)]
+    assert frozenset((3, 8)) in pairs and len(found) == 3
+
+
+def test_recall_of_edited_passages(spark, rng):
+    """Passages of 60 to 120 words with up to 15 words in a hundred changed, in pairs of texts: nine in ten at least are found."""
+    rows, want = [], set()
+    for i in range(0, 160, 2):
+        p = words(rng, rng.randint(60, 120))
+        q = [f"q{rng.randint(0, 999)}" if rng.random() < rng.choice((0.05, 0.1, 0.15)) else w for w in p]
+        if brute.edit_distance(p, q) <= 0.17 * len(p):
+            want.add(frozenset((i, i + 1)))
+        rows += [(i, " ".join(words(rng, 50) + p + words(rng, 50))), (i + 1, " ".join(words(rng, 70) + q + words(rng, 20)))]
+    _, pairs = found_pairs(spark, rows)
+    assert len(want & pairs) >= 0.9 * len(want) and pairs <= {frozenset((i, i + 1)) for i in range(0, 160, 2)}
+
+
 def test_near_copies(spark, rng, odd, none):
     rows = []
     for c in range(12):
@@ -329,7 +394,9 @@ def judge_url(url):
     return (host, path, *max(fits, key=lambda f: len(f[0]), default=(None, None)))
 
 
-def test_url_parts_and_rules(spark):
+@pytest.mark.parametrize("most", [1000, 2])
+def test_url_parts_and_rules(spark, monkeypatch, most):
+    monkeypatch.setattr(url_rules, "MOST_RULES", most)  # beyond it, rules are joined
     urls = [None, "", "no scheme", "http://", "://Example.ORG/en/12?x#y", "https://A.example.org/es/1", "http://org/", "http://xorg/de/", "http://x.com/fr/a/de/", "http://x.com/de/", "http://x.com?q=/de/", "http://x.com#/de/", "http://EXAMPLE.org/en/1?x", "http://a://b/c", "http://ÀB.com/fr/\n1"]
     pages = spark.createDataFrame([(i, u, "", 1) for i, u in enumerate(urls)] + [(1, "http://x.com/de/", "", 1)], "page_id long, url string, html string, tokens int")
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
@@ -360,6 +427,31 @@ def test_mined_rules(spark, rng):
             assert found[r.url].confidence == max(x.confidence for x in fits)
 
 
+def test_rules_are_those_of_brute_force(spark, rng):
+    """FP-growth's rules against all subsets of the tokens that are left, and the pruning of tokens and rare rules."""
+    rows = []
+    for i in range(120):
+        tokens = {"scheme:http", *(f"t{k}" for k in range(7) if rng.random() < 0.5), f"own{i}"}
+        tokens |= {"twin1", "twin2"} if i % 3 == 0 else set()
+        rows.append((sorted(tokens), rng.random() < (0.8 if "t1" in tokens and "t2" in tokens else 0.3)))
+    labelled = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    got = {(tuple(r.antecedent), r.verdict): (r.confidence, r.support, r.anchor) for r in url_rules.mine(labelled, 0.05, 0.6, 1.2).collect()}
+    useful = [f"t{k}" for k in range(7)] + ["twin1"]
+    freq = {t: sum(t in x for x, _ in rows) for t in useful}
+    want = {}
+    for n in range(1, len(useful) + 1):
+        for of in itertools.combinations(useful, n):
+            here = [bad for x, bad in rows if set(of) <= set(x)]
+            for name, bad in (("block", True), ("allow", False)):
+                both, share = here.count(bad), sum(b == bad for _, b in rows) / len(rows)
+                if both >= 6 and both / len(here) >= 0.6 and both / len(here) / share >= 1.2:
+                    want[of, name] = both / len(here), both / len(rows), min((freq[t], t) for t in of)[1]
+    assert got.keys() == want.keys() and len(want) > 10
+    assert all(np.allclose(got[k][:2], want[k][:2]) and got[k][2] == want[k][2] for k in want)
+    # A share of a few pages is not enough.
+    assert url_rules.mine(labelled.limit(30), 0.01, 0.5, 1.1).filter("support * 30 < 4.5").count() == 0
+
+
 @pytest.mark.parametrize("text", ["", "x"])
 def test_sha_of_kept(spark, text):
     row = substring_ranks.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
