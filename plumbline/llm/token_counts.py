@@ -1,15 +1,17 @@
 """Token counts: every distinct pre-token is counted once, and documents add up the counts.
 
-A task splits whole texts into pre-tokens and writes, for each distinct pre-token of
-some megabytes of text, the documents that have it (a document stands as often as it
-has the pre-token). The distinct pre-tokens of the corpus are counted once each with the
-tokenizer's library, joined to those rows, and summed per document; no ids are kept.
-A very frequent pre-token has one row for each few megabytes of text, and each row
-holds the documents of those megabytes only.
-
-Cases: a null text is empty and has no token; a null doc_id is one document of its own
-for each row of the result's grouping key; repeated doc_ids are summed together like
-repeated rows (each row of the input counts); an empty table gives no rows.
+A task splits whole texts into pre-tokens, some megabytes of them (a chunk) at a time. Of each chunk it writes its distinct
+pre-tokens, numbered, and its frequencies: for each pre-token the documents that have it and how often each does. The
+pre-tokens are exchanged and sorted, each distinct one is counted once with the
+tokenizer's library, and its count goes back to the chunks that have it, where it is joined to the frequencies and
+summed per document. No ids are kept, and all rows grow with the chunks' distinct pre-tokens.
+A pre-token that many documents have is exchanged by pre-token and share of the input (``SHARE`` partitions), so
+however frequent it is, a task gets a bounded part of its rows, and counts it anew.
+
+Chunks are numbered by partition and place, so ``docs`` should be a table, whose rows stand in the same
+places whenever it is read. Cases: every row of the input is counted by itself, whatever its id, which can be
+null or repeated; equal rows give equal rows; a null text is empty and has no token; a very long text is one
+row like any other; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,19 +23,24 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_parts, texts
+from .common import table, text_parts, texts, utf8
 
 MODEL = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Text characters whose pre-tokens a task gathers before it writes them.
-GATHER = 32 << 20
-#: Pre-tokens of a written batch.
-WRITE = 20_000
-COLUMNS = ["piece", "base", "docs"]
+GATHER = 16 << 20
+#: Documents of a chunk at most (their places fit 16 bits), frequency that an entry can have (a greater one is several), and pre-tokens of a written batch.
+ROWS, TIMES, WRITE = 1 << 15, (1 << 15) - 1, 20_000
+#: Documents of a chunk beyond which a pre-token is exchanged by shares of so many partitions (a power of two).
+MANY, SHARE = 64, 6
+#: A chunk's number is its partition and its place there.
+PLACE_BITS = 40
 #: Pre-tokens of the model's own splitting pattern; special strings are cut out first.
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 
@@ -78,73 +85,119 @@ def splitter(path: str):
     return split
 
 
-def postings(docs: DataFrame, path: str) -> DataFrame:
-    """piece, base, docs: the documents that have the pre-token, once for each time, as distances from ``base``."""
+#: A chunk's frequencies, one after another in bytes; named: whether each document has an id.
+_CHUNK = {"docs": np.int16, "times": np.int16, "sizes": np.int32, "doc_id": np.int64, "named": np.bool_, "n_bytes": np.int64}
+_FOUND = pa.schema([("chunk", pa.int64()), ("place", pa.int32()), ("piece", pa.string()), ("in_docs", pa.int32()), ("frequencies", pa.binary())])
+_COUNTED = pa.schema([("chunk", pa.int64()), ("place", pa.int32()), ("n", pa.int32()), ("frequencies", pa.binary())])
+
+
+def _packed(columns: dict) -> bytes:
+    parts = [np.asarray(columns[c]).astype(kind) for c, kind in _CHUNK.items()]
+    whole = np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(p.tobytes() for p in parts)
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> dict[str, np.ndarray]:
+    blob = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    out, at = {}, 8 * len(_CHUNK)
+    for (c, kind), n in zip(_CHUNK.items(), np.frombuffer(blob, np.int64, len(_CHUNK)).tolist(), strict=True):
+        out[c] = np.frombuffer(blob, kind, n, at)
+        at += out[c].nbytes
+    return out
+
+
+def _batch(schema: pa.Schema, rows: int, **columns) -> pa.RecordBatch:
+    """``rows`` rows; columns that are not given are null."""
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in schema], schema=schema)
+
+
+def chunks(docs: DataFrame, path: str) -> DataFrame:
+    """Rows of two kinds: chunk, place, piece, in_docs (documents that have it); and chunk, frequencies: by piece, in the order of places, docs (places in the chunk, each less the one before), times and sizes (entries of each piece), and by document doc_id and n_bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, held, size = splitter(path), {}, 0
+        split, held, size, rows, chunk = splitter(path), {}, 0, [], TaskContext.get().partitionId() << PLACE_BITS
 
         def write():
             names = sorted(held)
+            lists = [held.pop(x) for x in names]
+            ends = np.cumsum([0, *map(len, lists)])
+            doc = np.fromiter((d for x in lists for d in x), np.int64, ends[-1])
+            first = np.arange(len(doc))
+            new = np.r_[True, doc[1:] != doc[:-1]][: len(doc)]
+            new[ends[1:-1]] = True
+            run_start = np.maximum.accumulate(np.where(new, first, 0)) if len(doc) else first
+            at = np.flatnonzero(new | ((first - run_start) % TIMES == 0))
+            sizes = np.diff(np.searchsorted(at, ends)).astype(np.int32)
+            in_docs = np.diff(np.r_[0, np.cumsum(new)][ends]).astype(np.int32)
+            ids, n_bytes = zip(*rows, strict=True)
+            own = {"docs": np.diff(doc[at], prepend=0), "times": np.diff(np.r_[at, len(doc)]), "sizes": sizes, "doc_id": [d or 0 for d in ids], "named": [d is not None for d in ids], "n_bytes": n_bytes}
+            yield _batch(_FOUND, 1, chunk=pa.array([chunk]), frequencies=pa.array([_packed(own)], pa.binary()))
             for i in range(0, len(names), WRITE):
                 part = names[i : i + WRITE]
-                rows = [held.pop(x) for x in part]
-                offsets = np.cumsum([0, *map(len, rows)])
-                ids = np.fromiter((x for r in rows for x in r), np.int64, offsets[-1])
-                base = ids[offsets[:-1]]
-                away = ids - np.repeat(base, np.diff(offsets))
-                near = np.abs(away) < 1 << 31
-                column = pa.array(part, pa.string())
-                if not near.all():  # ids too far apart for one row: a row for each far document
-                    rest = np.flatnonzero(~near)
-                    yield pa.RecordBatch.from_arrays([column.take(pa.array(np.searchsorted(offsets, rest, "right") - 1)), pa.array(ids[rest]), pa.ListArray.from_arrays(pa.array(np.arange(len(rest) + 1), pa.int32()), pa.array(np.zeros(len(rest), np.int32)))], COLUMNS)
-                    offsets, away = np.concatenate([[0], np.cumsum(near)])[offsets], away[near]
-                yield pa.RecordBatch.from_arrays([column, pa.array(base), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(away.astype(np.int32)))], COLUMNS)
+                yield _batch(_FOUND, len(part), chunk=pa.array([chunk] * len(part)), place=pa.array(np.arange(i, i + len(part), dtype=np.int32)), piece=pa.array(part, pa.string()), in_docs=pa.array(in_docs[i : i + len(part)]))
 
         for part, words in text_parts(batches):
-            for i, text in zip(part.column("key").to_pylist(), words, strict=True):
+            for doc_id, n_bytes, text in zip(part.column("doc_id").to_pylist(), np.diff(utf8(part.column("text"))[0]).tolist(), words, strict=True):
+                i = len(rows)
+                rows.append((doc_id, n_bytes))
                 for x in split(text):
                     if x in held:
                         held[x].append(i)
                     else:
                         held[x] = [i]
                 size += len(text)
-                if size >= GATHER:
+                if size >= GATHER or len(rows) == ROWS:
                     yield from write()
-                    size = 0
-        if held:
+                    chunk, rows, size = chunk + 1, [], 0
+        if rows:
             yield from write()
 
-    return docs.select("key", "text").mapInArrow(run, "piece string, base long, docs array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "chunk long, place int, piece string, in_docs int, frequencies binary")
 
 
-def pieces(distinct: DataFrame, path: str) -> DataFrame:
-    """piece, n: tokens of each distinct pre-token."""
+def counted(found: DataFrame, path: str) -> DataFrame:
+    """chunk, place, n (tokens of the piece), and the chunks' other rows as they are; ``found`` is sorted by piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(path)
-        for batch in batches:
-            for i in range(0, len(batch), 2048):
-                part = batch.slice(i, 2048)
-                n = [len(e.ids) for e in t.encode_batch(part.column("piece").to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column("piece"), pa.array(n, pa.int32())], ["piece", "n"])
-
-    return distinct.mapInArrow(run, "piece string, n int")
+        t, known = _tokenizer(path), ("", 0)
+        for whole in batches:
+            is_chunk = pc.is_null(whole.column("piece"))
+            own, batch = whole.filter(is_chunk), whole.filter(pc.invert(is_chunk))
+            if len(own):
+                yield _batch(_COUNTED, len(own), chunk=own.column("chunk"), frequencies=own.column("frequencies"))
+            if not len(batch):
+                continue
+            coded = batch.column("piece").dictionary_encode()
+            names, n = coded.dictionary.to_pylist(), np.zeros(len(coded.dictionary), np.int32)
+            again = names[0] == known[0]  # the piece that the batch before ended with
+            n[0] = known[1] if again else 0
+            for i in range(int(again), len(names), 2048):
+                n[i : i + 2048] = [len(e.ids) for e in t.encode_batch(names[i : i + 2048], add_special_tokens=False)]
+            of = coded.indices.to_numpy()
+            known = (names[of[-1]], n[of[-1]])
+            yield _batch(_COUNTED, len(batch), chunk=batch.column("chunk"), place=batch.column("place"), n=pa.array(n[of]))
+
+    return found.mapInArrow(run, "chunk long, place int, n int, frequencies binary")
+
+
+def _summed(t: pa.Table) -> pa.Table:
+    """doc_id, n_bytes, n_tokens of a chunk's documents."""
+    is_chunk = pc.is_valid(t.column("frequencies"))
+    own, pieces = t.filter(is_chunk), t.filter(pc.invert(is_chunk))
+    of = _unpacked(own.column("frequencies")[0].as_py())
+    n = np.zeros(len(of["sizes"]), np.int64)
+    n[pieces.column("place").to_numpy()] = pieces.column("n").to_numpy()
+    tokens = np.bincount(np.cumsum(of["docs"], dtype=np.int64), np.repeat(n, of["sizes"]) * of["times"].astype(np.int64), len(of["doc_id"])).astype(np.int64)
+    return pa.table({"doc_id": pa.array(of["doc_id"], mask=~of["named"]), "n_bytes": of["n_bytes"], "n_tokens": tokens})
 
 
 def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for each doc_id."""
+    """doc_id, n_bytes, n_tokens, over_limit of each row."""
     path = public_tokenizers.path(model)
-    own = texts(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    # Both uses read one exchange: the filter keeps the lists in it, else it would be made twice.
-    found = postings(own, path).filter("piece is not null and docs is not null and base is not null and size(docs) > 0").repartition("piece")
-    distinct = found.groupBy("piece").agg(F.max(F.col("base") + F.size("docs")).alias("most")).filter("most is not null").select("piece")
-    counted = pieces(distinct, path)
-    each = found.join(counted, "piece").select("base", F.explode("docs").alias("away"), "n")
-    summed = each.select((F.col("base") + F.col("away")).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
-    sizes = own.groupBy("key", "doc_id").agg(F.sum(F.octet_length("text").cast("long")).alias("n_bytes"))
-    n = F.coalesce("n", F.lit(0)).cast("long")
-    return sizes.join(summed, "key", "left").select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    share = F.when(F.col("in_docs") > MANY, F.shiftright("chunk", PLACE_BITS + SHARE)).otherwise(F.lit(-1))
+    found = chunks(texts(docs), path).repartition(F.coalesce("piece", F.col("chunk").cast("string")), share).sortWithinPartitions("piece")
+    each = counted(found, path).groupBy("chunk").applyInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
+    return each.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

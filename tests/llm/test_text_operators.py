@@ -1,5 +1,6 @@
 """Fertility, encoding, token counts, language model."""
 
+import base64
 import hashlib
 
 import numpy as np
@@ -36,6 +37,51 @@ def test_fertility_measures(spark, corpus):
         assert r.band_group == ("script:cjk" if r.doc_id == 10**6 else "script:latin")
 
 
+def encoders():
+    """Ids, byte tokens and size of each vocabulary by its library."""
+    import sentencepiece
+    import tiktoken
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(piece_bpe.MODEL))
+    with open(public_tokenizers.path(fertility.SECOND), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    merges = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def partial(i):
+        return not merges.decode_single_token_bytes(i).decode("utf-8", "ignore")
+
+    def first(text):
+        ids = pieces.encode(text)
+        return ids, sum(map(pieces.is_byte, ids)), pieces.get_piece_size()
+
+    def second(text):
+        ids = merges.encode_ordinary(text)
+        return ids, sum(map(partial, ids)), max(ranks.values()) + 1
+
+    return first, second
+
+
+def test_quality_verdicts(spark, sf):
+    """``kept`` of every document is that of the plain version; of labelled documents no good one that passes the base goes, and bad ones do."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in fertility.op4_fertility(spark, sf).collect()}
+    want = brute.fertility_kept(rows, encoders())
+    assert {d: r.kept for d, r in got.items()} == want
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in got and not got[r.doc_id].base_failed}
+    assert all(got[d].kept for d, q in quality.items() if q == 1)
+    assert {d for d, k in want.items() if not k} > {d for d, r in got.items() if r.base_failed}
+
+
+def test_second_vocabulary(corpus):
+    own, (_, second) = fertility.byte_merges(public_tokenizers.path(fertility.SECOND)), encoders()
+    texts = [t for _, t in corpus[:60]] + ["", "日本", "a" + "\n " * 400 + "b"]
+    offsets, ids = own.encode(texts)
+    for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True):
+        want, n_bytes, _ = second(t)
+        assert ids[a:b].tolist() == want and own.is_byte[ids[a:b]].sum() == n_bytes
+    assert own.encode([" " * 200_000 + "x"])[0][1] > 0  # a run that the library itself cannot take
+
+
 def test_bands_reject_what_is_far_off(spark, rng):
     words = ["the", "of", "and", "house", "water", "some", "other", "people", "might", "know"]
     plain = [(i, " ".join(rng.choice(words) + rng.choice(words) for _ in range(120)), "en") for i in range(60)]
@@ -89,11 +135,24 @@ def test_token_counts_are_the_librarys(spark, strange, corpus, odd, none):
     for d, t in rows:
         n = len(library.encode(t, add_special_tokens=False).ids)
         assert (got[d].n_tokens, got[d].n_bytes, got[d].over_limit) == (n, len(t.encode()), n > 1024)
-    few = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(odd).collect()}
-    assert few[1] == few[2] == 0 and few[5] == 2 * few[6] and few[None] > 0
+    texts = odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
+    want = sorted((str(r.doc_id), len(r.text.encode()), len(library.encode(r.text, add_special_tokens=False).ids)) for r in texts)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(odd).collect()) == want
     assert token_counts.count_tokens(none).count() == 0
 
 
+def test_token_counts_of_repeated_ids_in_parts(spark, rng, monkeypatch):
+    """Rows under one id, or without one, each have their own count, whatever is held at a time and however frequent a pre-token is."""
+    for name, value in (("GATHER", 30_000), ("ROWS", 7), ("TIMES", 5), ("WRITE", 3), ("MANY", 3), ("SHARE", 0)):
+        monkeypatch.setattr(token_counts, name, value)
+    library = token_counts._tokenizer(public_tokenizers.path(token_counts.MODEL))
+    rows = [(rng.choice((1, 2, None)), " ".join(rng.choice(("the", "of", "Xylem", "q" * 9, "12345")) for _ in range(rng.randint(0, 700)))) for _ in range(60)]
+    rows += rows[:5]
+    docs = spark.createDataFrame([(d, t, "p", 1) for d, t in rows], "doc_id long, text string, piece string, first long")
+    want = sorted((str(d), len(t), n, n > 1024) for d, t in rows for n in [len(library.encode(t, add_special_tokens=False).ids)])
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs).collect()) == want
+
+
 def test_plain_characters_split_as_the_librarys():
     path = public_tokenizers.path(token_counts.MODEL)
     split, before = token_counts.splitter(path), token_counts._tokenizer(path).pre_tokenizer
