@@ -10,7 +10,7 @@ the block (the core), and the rank of the string that spans them all (the hull).
 the position-rank pairs. A block with a unique core has no repeated window and
 leaves; one with a repeated hull is past the threshold and its hull's bytes go; the rest,
 and the first of each finished class as their witness, are ranked again in narrower blocks, by longer cores,
-until a core is the whole window: 221, 365 and at last 400 bytes for windows of 400 (``block_sizes``).
+until a core is the whole window: 216, 364 and at last 400 bytes for windows of 400 (``block_sizes``).
 
 Rows with the same document id and text are documents of their own, each a copy of the
 others. A null text is empty; texts shorter than ``length`` keep all; an empty table
@@ -43,7 +43,7 @@ def block_sizes(length: int, gram: int = GRAM) -> tuple[int, ...]:
     """Offsets in a block, by round, each a divisor of the one before: cores of about a half and nine tenths of the window, then all of it."""
     if not gram <= length < _J:
         raise ValueError(f"strings of {gram} to {_J - 1} bytes")
-    narrow = (length - gram + 1) // 10
+    narrow = -(-(length - gram + 1) // 10)
     return (5 * narrow, narrow, 1) if narrow > 1 else (1,)
 
 
