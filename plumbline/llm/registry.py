@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chained_seeds, chat_trees, decontaminate, fertility, katz, piece_bpe, substring_ranks, token_counts, url_rules, weighted_minhash
+from . import chained_seeds, chat_trees, conversation_repair, decontaminate, fertility, katz, piece_bpe, rank_profiles, substring_ranks, token_counts, url_rules, vector_codes, weighted_minhash
 
 QUERIES = {
     "op1_chat_formatting": chat_trees.op1_chat_formatting,
@@ -13,7 +13,11 @@ QUERIES = {
     "op8_weighted_minhash": weighted_minhash.op8_weighted_minhash,
     "op9_katz": katz.op9_katz,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_rank_profiles": rank_profiles.op11_rank_profiles,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 ORACLES = {
     "op1_chat_formatting": chat_trees.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }

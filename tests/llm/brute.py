@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import heapq
 import math
 import re
 import zlib
@@ -187,3 +188,112 @@ def best_within(pattern, text):
             new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
         row = new
     return min(row)
+
+
+def language_profiles(rows, size):
+    """(id, text, lang) -> id -> (held_out, lang, score), by counting n-grams word by word."""
+
+    def grams(text):
+        # A character whose lower case is several stays as it is; grams of a run of letters between blanks.
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        runs = "".join(y if x.isalpha() else " " for x, y in zip(text, low, strict=True)).split()
+        padded = [f" {w} " for w in runs]
+        got = Counter(c for w in runs for c in w)
+        for n in (2, 3):
+            got.update(p[i : i + n] for p in padded for i in range(len(p) - n + 1))
+        return got
+
+    def ranked(counts):
+        return {g: i for i, g in enumerate(sorted(counts, key=lambda g: (-counts[g], [*map(ord, g), 0, 0][:3]))[:size])}
+
+    held = {d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 0 for d, _, _ in rows}
+    totals = defaultdict(Counter)
+    for d, t, lang in rows:
+        if not held[d] and lang is not None and t is not None:
+            totals[lang].update(grams(t))
+    profiles, out = {lang: ranked(c) for lang, c in totals.items() if c}, {}
+    for d, t, _ in rows:
+        own = ranked(grams(t or ""))
+        apart = {lang: sum(abs(p[g] - r) if g in p else size for g, r in own.items()) for lang, p in profiles.items()}
+        best = min(apart, key=lambda lang: (apart[lang], lang)) if own and apart else None
+        out[d] = (held[d], "und", 0.0) if best is None else (held[d], best, 1 - apart[best] / (size * len(own)))
+    return out
+
+
+_LEADS, _FITTING = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2}), (("user", 2), ("user", 2), ("assistant", 3), ("user", 2))
+
+
+def cheapest_edits(initials, kinds):
+    """(cost, letters) by Dijkstra over places and states, ties by letters; kinds: 0 sound, 1 truncated, 2 to be deleted."""
+    heap, done = [(0, "", 0, 0)], set()
+    while True:
+        cost, letters, i, q = heapq.heappop(heap)
+        if i == len(initials) and q in (0, 3):
+            return cost, letters
+        if (i, q) in done:
+            continue
+        done.add((i, q))
+        heapq.heappush(heap, (cost + 2, letters + "I", i, _FITTING[q][1]))
+        if i < len(initials):
+            heapq.heappush(heap, (cost + 3, letters + "D", i + 1, q))
+            if kinds[i] != 2:
+                if initials[i] in _LEADS[q]:
+                    heapq.heappush(heap, (cost + kinds[i], letters + "K", i + 1, _LEADS[q][initials[i]]))
+                heapq.heappush(heap, (cost + 2 + kinds[i], letters + "R", i + 1, _FITTING[q][1]))
+
+
+def repaired_conversations(rows):
+    """(conv_id, turn, role, text) -> conv_id -> the columns of the report."""
+    by = defaultdict(list)
+    for conv, turn, role, text in rows:
+        own, role, text = by[conv], " " if role is None else role, " " if text is None else text
+        how = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if how == 0:
+            continue
+        text = "" if how == 1 else re.sub("[.!?]", "", text) if how == 2 else text
+        own += [(turn, "user" if how == 4 else role, text)] * (2 if how == 3 else 1)
+    out = {}
+    for conv, own in by.items():
+        key = lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(f"{len(r[1])}:{r[1]}{r[2]}".encode()).hexdigest())
+        own, seen, faults = sorted(own, key=key), set(), []
+        for _, role, text in own:
+            words = WORD.findall(text)
+            faults.append("blank" if not words else "duplicate" if (role, text) in seen else "truncated" if words[-1][-1] not in ".!?" else "")
+            seen.add((role, text))
+        turns = {t for t, _, _ in own if t is not None}
+        initials = "".join(r[:1] or " " for _, r, _ in own)
+        cost, letters = cheapest_edits(initials, [{"": 0, "truncated": 1}.get(f, 2) for f in faults])
+        left, lines, q = iter(own), [], 0
+        for x in letters:
+            _, role, text = next(left) if x != "I" else (None, None, "")
+            if x != "D":
+                role, q = (role, _LEADS[q][role[0]]) if x == "K" else _FITTING[q]
+                lines.append(f"{role}:{text}")
+        count = [faults.count(f) for f in ("blank", "duplicate", "truncated")]
+        out[conv] = (max(turns) - min(turns) + 1 - len(turns) if turns else 0, *count, sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False)), cost, letters, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out
+
+
+def vector_codes(rows, parts, entries, rounds):
+    """(vec_id, vector, label) -> ([(vec_id, code, error, label_error)], codebooks) of valid rows, measuring every part against every entry."""
+    own = sorted(((i, v, label) for i, v, label in rows if v and all(x is not None and math.isfinite(x) for x in v)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    own = [r for r in own if len(r[1]) == len(own[0][1])]
+    if not own:
+        return [], []
+    width = len(own[0][1]) // parts
+    cut = [[tuple(math.floor(256 * x) for x in v[p * width : (p + 1) * width]) for p in range(parts)] for _, v, _ in own]
+    books = [[c[p] for c in cut[:entries]] for p in range(parts)]
+    near = lambda x, book: min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), k) for k, e in enumerate(book))
+    for _ in range(rounds):
+        for p in range(parts):
+            at = defaultdict(list)
+            for c in cut:
+                at[near(c[p], books[p])[1]].append(c[p])
+            for k, xs in at.items():
+                books[p][k] = tuple(sum(column) // len(xs) for column in zip(*xs, strict=True))
+    found = [[near(c[p], books[p]) for p in range(parts)] for c in cut]
+    errors = [sum(d for d, _ in f) for f in found]
+    by = Counter()
+    for (_, _, label), e in zip(own, errors, strict=True):
+        by[label] += e
+    return [(i, "".join(f"{k:02x}" for _, k in f), e, by[label]) for (i, _, label), f, e in zip(own, found, errors, strict=True)], books
