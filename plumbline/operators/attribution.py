@@ -1,8 +1,9 @@
 """From responses and targets to attributed series.
 
 Measurements and control noise are regressed separately and their coefficients are
-added for every pairing, so fits grow with the sum of the members, not the product. Headlines that are
-linear in time are taken of the responses before the pairing (``functional``), never of the product.
+added for every pairing, so fits grow with the sum of the members, not the product. What is reported of the pairs is
+taken from the two sides (``sums``); ``paired`` and ``attributed`` give the pairs themselves. Headlines that are
+linear in time are taken of the responses before the pairing, never of the product.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stored import stored
-from .regression import fit, weights
+from .regression import fit, growing_weights, weights
 
 VARIABLES = ["GHG", "Nat", "OHF"]
 
@@ -25,30 +26,111 @@ def wide(response: DataFrame, variables: list[str]) -> DataFrame:
     return response.groupBy("model", "ensemble", "t").pivot("variable", variables).agg(F.first("value"))
 
 
+#: Response members whose weights are broadcast to the targets.
+MOST_RESPONSES = 10_000
+#: Coefficients that an array holds at most; more members are several arrays.
+MEMBERS = 1 << 16
+#: Numbers that a task forms, about, and coefficients that are broadcast to the responses.
+VALUES, MOST_COEFFICIENTS = 1 << 20, 500_000
+
+
+def _targets(obs: DataFrame, ctl: DataFrame, first: int, last: int) -> DataFrame:
+    of = lambda kind, df: df.filter(F.col("t").between(first, last)).select(F.lit(kind).alias("kind"), F.col("member").alias("target"), "t", F.col("value").alias("y"))
+    return of("obs", obs).union(of("ctl", ctl))
+
+
+def _packed(targets: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """kind, target, ys (by step) of the targets that have each of the n steps once, and kind, target of the others."""
+    series = stored(targets.filter("y is not null").groupBy("kind", "target").agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("s"), F.countDistinct("t").alias("n")))
+    whole = (F.col("n") == n) & (F.size("s") == n)
+    return series.filter(whole).select("kind", "target", F.col("s.y").alias("ys")), series.filter(~whole).select("kind", "target")
+
+
+def _each(packed: DataFrame, responses: DataFrame) -> DataFrame:
+    """Every target with every response member, whose rows are few next to the targets."""
+    few = responses.limit(MOST_RESPONSES + 1).count() <= MOST_RESPONSES
+    return packed.crossJoin(F.broadcast(responses) if few else responses)
+
+
 def coefficients(wide: DataFrame, obs: DataFrame, ctl: DataFrame, variables: list[str], first: int, last: int) -> DataFrame:
     """model, ensemble, kind, target, b_<variable>, b_const of both kinds of targets, on responses with a column for each variable.
 
-    Regressors are inverted once for each response member, and a target with all their steps needs sums only;
-    others are fitted each on the steps that they have.
+    Regressors are inverted once for each response member, and a target with all their steps is a row whose coefficients are sums
+    of products with those weights; others are fitted each on the steps that they have.
     """
-    of = lambda kind, df: df.filter(F.col("t").between(first, last)).select(F.lit(kind).alias("kind"), F.col("member").alias("target"), "t", F.col("value").alias("y"))
-    targets, rows = stored(of("obs", obs).union(of("ctl", ctl))), stored(wide.filter(F.col("t").between(first, last)))
-    keys = ["model", "ensemble", "kind", "target"]
+    rows = stored(wide.filter(F.col("t").between(first, last)))
+    keys, names = ["model", "ensemble", "kind", "target"], [*variables, "const"]
     steps = stored(rows.select("t").distinct())
     n = steps.count()
+    targets = _targets(obs, ctl, first, last).join(F.broadcast(steps), "t", "left_semi")
     if rows.groupBy("model", "ensemble").count().filter(F.col("count") != n).limit(1).count():
         return fit(rows.join(targets, "t"), keys, variables)
-    sizes = stored(targets.filter("y is not null").join(steps, "t", "left_semi").groupBy("kind", "target").agg(F.countDistinct("t").alias("n"), F.count("*").alias("rows")))
-    whole = sizes.filter((F.col("n") == n) & (F.col("rows") == n)).select("kind", "target")
-    w = stored(weights(rows, ["model", "ensemble"], variables))
-    each = targets.join(whole, ["kind", "target"], "left_semi").join(w, "t")
-    found = each.groupBy(*keys).agg(*(F.sum(F.col(f"w_{v}") * F.col("y")).alias(f"b_{v}") for v in [*variables, "const"]))
-    rest = sizes.filter((F.col("n") < n) | (F.col("rows") > n)).select("kind", "target")
+    packed, rest = _packed(targets, n)
+    w = weights(rows, ["model", "ensemble"], variables).groupBy("model", "ensemble").agg(F.array_sort(F.collect_list(F.struct("t", *(f"w_{v}" for v in names)))).alias("w"))
+    dot = lambda v: F.aggregate(F.zip_with("ys", F.col(f"w.w_{v}"), lambda y, x: y * x), F.lit(0.0), lambda a, x: a + x)
+    found = _each(packed, stored(w)).select(*keys, *(dot(v).alias(f"b_{v}") for v in names))
     if rest.isEmpty():
         return found
     return found.unionByName(fit(rows.join(targets.join(rest, ["kind", "target"], "left_semi"), "t"), keys, variables))
 
 
+def growing_coefficients(wide: DataFrame, obs: DataFrame, ctl: DataFrame, variables: list[str], first: int, least: int, last: int) -> DataFrame:
+    """end_step, model, ensemble, kind, target, b_<variable>, b_const for every range from first to an end step of ``least`` rows and more.
+
+    One pass over the steps of each target: its coefficients move by what the next step's value differs from them, times a gain
+    that is the response member's alone (``growing_weights``). Targets have every step; those with gaps are left out, as are responses with gaps.
+    """
+    rows = stored(wide.filter(F.col("t").between(first, last)))
+    names = [*variables, "const"]
+    n = rows.select("t").distinct().count()
+    packed, _ = _packed(_targets(obs, ctl, first, last).join(F.broadcast(rows.select("t").distinct()), "t", "left_semi"), n)
+    gains = stored(growing_weights(rows, ["model", "ensemble"], variables, least))
+    dot = lambda w, ys: F.aggregate(F.zip_with(ys, w, lambda y, x: y * x), F.lit(0.0), lambda a, x: a + x)
+    start = F.struct(*(dot(F.col(f"start.{v}"), F.slice("ys", 1, least)).alias(v) for v in names))
+    before = F.struct(start.alias("b"), F.array(F.struct(F.col("steps")[least - 1]["t"].alias("end_step"), *(start[v].alias(v) for v in names))).alias("out"))
+
+    def move(acc, step):
+        seen = sum((acc["b"][v] * step[f"x_{v}"] for v in variables), acc["b"]["const"])
+        b = F.struct(*((acc["b"][v] + step[f"k_{v}"] * (step["y"] - seen)).alias(v) for v in names))
+        return F.struct(b.alias("b"), F.concat(acc["out"], F.array(F.struct(step["t"].alias("end_step"), *(b[v].alias(v) for v in names)))).alias("out"))
+
+    later = F.zip_with(F.slice("steps", least + 1, n), F.slice("ys", least + 1, n), lambda s, y: F.struct(s["t"].alias("t"), y.alias("y"), *(s[f"x_{v}"].alias(f"x_{v}") for v in variables), *(s[f"k_{v}"].alias(f"k_{v}") for v in names)))
+    fitted = _each(packed, gains).select("model", "ensemble", "kind", "target", F.explode(F.aggregate(later, before, move, lambda acc: acc["out"])).alias("e"))
+    return fitted.select("e.end_step", "model", "ensemble", "kind", "target", *(F.col(f"e.{v}").alias(f"b_{v}") for v in names))
+
+
+def sums(response_wide: DataFrame, coef: DataFrame, variables: list[str], obs: DataFrame | None = None, const: float = 1.0, on: list[str] | None = None) -> DataFrame:
+    """model, ensemble, t, variable, a, c (and ``on``): what ``attributed`` gives for every pair, as the sums of two arrays.
+
+    Every shown value of a pair is one number of its measured member and one of its control member, so a row is a variable of a
+    step of a response member, whatever the number of pairs. With ``obs`` there is Res, for the members measured at the step.
+    ``on``: further columns of both frames that tell coefficients apart.
+    """
+    at, names = ["model", "ensemble", *(on or [])], [f"b_{v}" for v in [*variables, "const"]]
+    sizes = coef.groupBy(*at, "kind").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    most, few = sizes.most or 0, (sizes.all or 0) <= MOST_COEFFICIENTS
+    block = F.pmod(F.xxhash64("target"), F.lit(-(-most // MEMBERS) or 1))
+    own = lambda k, *columns: coef.filter(F.col("kind") == k).groupBy(*at, block.alias("block")).agg(F.collect_list(F.struct(*columns)).alias(k)).drop("block")
+    side = lambda *of: F.broadcast(own(*of)) if few else own(*of)
+    # Rows are few and arrays long: as many tasks as the numbers they hold ask for, not as the rows do.
+    tasks = max(1, -(-response_wide.count() * (len(variables) + 3) * most // VALUES))
+    both = response_wide.repartition(tasks).join(side("obs", "target", *names), at).join(side("ctl", *names), at)
+    times = lambda v: lambda x: x[f"b_{v}"] * F.col(v)
+    part = {v: times(v) for v in variables}
+    total = lambda x: sum((part[v](x) for v in variables), x["b_const"] * const)
+    shown = {v: f for v, f in part.items() if v != "Tot"}
+    if {"GHG", "OHF"} <= set(variables):
+        shown["Ant"] = lambda x: part["GHG"](x) + part["OHF"](x)
+    shown["Tot"] = total
+    arrays = [F.struct(F.lit(v).alias("variable"), F.transform("obs", f).alias("a"), F.transform("ctl", f).alias("c")) for v, f in shown.items()]
+    if obs is not None:
+        measured = obs.filter("value is not null").groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("member", "value"))).alias("o"))
+        both = both.join(measured, "t", "left")
+        has = F.filter("obs", lambda x: F.coalesce(F.map_contains_key("o", x["target"]), F.lit(False)))
+        arrays.append(F.struct(F.lit("Res").alias("variable"), F.transform(has, lambda x: F.col("o")[x["target"]] - total(x)).alias("a"), F.transform("ctl", lambda x: -total(x)).alias("c")))
+    return both.select(*at, "t", F.explode(F.array(*arrays)).alias("x")).select(*at, "t", "x.variable", "x.a", "x.c")
+
+
 def paired(coef: DataFrame, variables: list[str]) -> DataFrame:
     """model, ensemble, obs, ctl and the sums of the coefficients of every pair, within each response member."""
     names = [*(f"b_{v}" for v in variables), "b_const"]

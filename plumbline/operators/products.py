@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import timeseries as ts
+
 
 def label(definition: str, end):
     """The period label of a headline definition for an end step."""
@@ -38,3 +40,17 @@ def deltas(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     older = at(0).select(*keys, (F.col("end_step") + 1).alias("end_step"), F.col("value").alias("older"))
     revised = before.join(older, [*keys, "end_step"]).select("end_step", *keys, (F.col("before") - F.col("older")).alias("value"))
     return new, revised
+
+
+#: Steps before and after that each definition's mean takes, of one run over all the data.
+FULL_INFORMATION = {"ANNUAL": (0, 0), "AR6": (9, 0), "SR15": (15, 14), "CGWL": (10, 9)}
+
+
+def full_information(series: DataFrame, measured: DataFrame, widths: dict[str, tuple[int, int]] = FULL_INFORMATION) -> DataFrame:
+    """definition, variable, t, value, less_measured: rolling means of (variable, t, value), and what they differ by from the centred 20-step mean of measured (t, value); null where a window is not full."""
+    each = None
+    for name, (before, after) in widths.items():
+        one = ts.rolling_mean(series.select("variable", "t", "value"), ["variable"], before, after, "mean").select(F.lit(name).alias("definition"), "variable", "t", F.col("mean").alias("value"))
+        each = one if each is None else each.unionByName(one)
+    base = ts.centred_mean(measured.select(F.lit(0).alias("series"), "t", "value"), ["series"], 20, "base").select("t", "base")
+    return each.join(base, "t", "left").select("definition", "variable", "t", "value", (F.col("value") - F.col("base")).alias("less_measured"))

@@ -83,6 +83,39 @@ def weights(df: DataFrame, keys: list[str], xs: list[str]) -> DataFrame:
     return df.select(*keys, "t", *xs).groupBy(*keys).applyInPandas(solve, schema)
 
 
+def growing_weights(df: DataFrame, keys: list[str], xs: list[str], least: int) -> DataFrame:
+    """keys, start (weights of the first ``least`` steps for each coefficient), steps (t, x_<x>, k_<coefficient>): recursive least squares of any y.
+
+    A step moves the coefficients by k times what the step's y differs from them; k comes from rank-one updates of the inverse of the
+    cross-moments. Regressors that are dependent, or nearly, over the first steps get no rows; a group is one series.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    names = [*xs, "const"]
+    step = f"struct<t: {kinds['t']}, {', '.join([*(f'x_{x}: double' for x in xs), *(f'k_{c}: double' for c in names)])}>"
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"start struct<{', '.join(f'{c}: array<double>' for c in names)}>", f"steps array<{step}>"])
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("t")
+        # Orthonormal columns of the first steps: their cross-moments are the unit matrix, so updates start from no error.
+        design = np.column_stack([group[xs].to_numpy(float), np.ones(len(group))])
+        q, r = np.linalg.qr(design[:least])
+        if len(group) < least or np.linalg.cond(r) > 1 / (np.finfo(float).eps * least):
+            return pd.DataFrame(columns=[*keys, "start", "steps"])
+        back = np.linalg.inv(r)
+        turned, inverse, gains = design @ back, np.eye(len(names)), np.zeros(design.shape)
+        for i in range(least, len(design)):
+            x = turned[i]
+            toward = inverse @ x
+            gains[i] = toward / (1 + x @ toward)
+            inverse -= np.outer(gains[i], toward)
+        own = gains @ back.T
+        start = dict(zip(names, (back @ q.T).tolist(), strict=True))
+        steps = [{"t": t, **{f"x_{x}": v for x, v in zip(xs, row, strict=False)}, **{f"k_{c}": g for c, g in zip(names, k, strict=True)}} for t, row, k in zip(group["t"], design.tolist(), own.tolist(), strict=True)]
+        return pd.DataFrame([[*(group[k].iloc[0] for k in keys), start, steps]], columns=[*keys, "start", "steps"])
+
+    return df.select(*keys, "t", *xs).groupBy(*keys).applyInPandas(solve, schema)
+
+
 def growing_ols(df: DataFrame, keys: list[str], x: str, y: str, least: int) -> DataFrame:
     """One regressor over all growing ranges in a single window pass: end, b_x, b_const for each end step with ``least`` rows."""
     from pyspark.sql import Window

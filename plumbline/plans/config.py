@@ -69,6 +69,8 @@ class RunConfig:
     truncate: tuple[int, int] | None = None
     samples: int = 60
     include_rate: bool = True
+    #: The first year that a rate is reported for.
+    first_rate: int = 1950
     headlines: tuple[str, ...] = HEADLINES
     headline_years: str = "end_regress"
     variables: tuple[str, ...] = ("GHG", "Nat", "OHF")

@@ -37,10 +37,15 @@ GROUP BY 1, 2 HAVING max(ma3) < 0.3 AND min(ma3) > -0.3 AND max(ma3) - min(ma3)
   FROM wide w JOIN pairs p ON w.model = p.model AND w.ensemble = p.ensemble LEFT JOIN obsb x ON x.member = p.obs AND x.t = w.t""",
     "attlong": "SELECT model, ensemble, obs, ctl, t, variable, value FROM (UNPIVOT (SELECT model, ensemble, obs, ctl, t, GHG, Nat, OHF, Ant, Tot FROM att) ON GHG, Nat, OHF, Ant, Tot INTO NAME variable VALUE value)",
     "qs": "SELECT unnest([5.0, 17.0, 83.0, 95.0, 50.0]::DOUBLE[]) AS percentile",
-    "x0": "SELECT model, ensemble, t, sum(value) AS x FROM resp GROUP BY 1, 2, 3",
-    "grow": """SELECT model, ensemble, member, t AS end_step, b, a FROM (SELECT model, ensemble, member, t, count(*) OVER w AS n, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a
-  FROM (SELECT x0.model, x0.ensemble, obsb.member, t, x, obsb.value AS y FROM x0 JOIN obsb USING (t)) WINDOW w AS (PARTITION BY model, ensemble, member ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE n >= 20""",
-    "runmembers": "SELECT end_step, t, model, ensemble, member, a + b * x AS value FROM grow JOIN x0 USING (model, ensemble)",
+    "covg": """SELECT end_step, model, ensemble, kind, target, covar_pop(g, g) AS gg, covar_pop(g, n) AS gn, covar_pop(g, o) AS go, covar_pop(n, n) AS nn, covar_pop(n, o) AS no_, covar_pop(o, o) AS oo,
+  covar_pop(g, y) AS gy, covar_pop(n, y) AS ny, covar_pop(o, y) AS oy, avg(g) AS mg, avg(n) AS mn, avg(o) AS mo, avg(y) AS my
+  FROM wide JOIN targets USING (t) JOIN (SELECT unnest(range(15, 27)) AS end_step) ON t <= end_step WHERE t >= 0 GROUP BY 1, 2, 3, 4, 5""",
+    "coefg": """SELECT *, my - bg * mg - bn * mn - bo * mo AS b0 FROM (SELECT *, (gy * (nn * oo - no_ * no_) - gn * (ny * oo - no_ * oy) + go * (ny * no_ - nn * oy)) / det AS bg,
+  (gg * (ny * oo - no_ * oy) - gy * (gn * oo - no_ * go) + go * (gn * oy - ny * go)) / det AS bn, (gg * (nn * oy - ny * no_) - gn * (gn * oy - ny * go) + gy * (gn * no_ - nn * go)) / det AS bo
+  FROM (SELECT *, gg * (nn * oo - no_ * no_) - gn * (gn * oo - no_ * go) + go * (gn * no_ - nn * go) AS det FROM covg))""",
+    "pairsg": "SELECT end_step, a.model, a.ensemble, a.bg + b.bg AS bg, a.bn + b.bn AS bn, a.bo + b.bo AS bo, a.b0 + b.b0 AS b0 FROM coefg a JOIN coefg b USING (end_step, model, ensemble) WHERE a.kind = 'obs' AND b.kind = 'ctl'",
+    "attg": """SELECT end_step, t, variable, value FROM (UNPIVOT (SELECT end_step, t, bg * g AS GHG, bn * n AS Nat, bo * o AS OHF, bg * g + bo * o AS Ant, bg * g + bn * n + bo * o + b0 AS Tot
+  FROM wide JOIN pairsg USING (model, ensemble) WHERE t IN (26, end_step, end_step - 1)) ON GHG, Nat, OHF, Ant, Tot INTO NAME variable VALUE value)""",
     "x1": "SELECT model, ensemble, t, g + n + o AS x FROM wide",
     "targ1": "SELECT model, ensemble, kind, target, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM x1 JOIN targets USING (t) WHERE t BETWEEN 0 AND 26 GROUP BY 1, 2, 3, 4",
     "att1": """SELECT x.model, x.ensemble, p.target AS obs, c.target AS ctl, x.t, (p.b + c.b) * x.x + p.a + c.a AS Tot FROM x1 x JOIN targ1 p ON x.model = p.model AND x.ensemble = p.ensemble AND p.kind = 'obs' JOIN targ1 c ON x.model = c.model AND x.ensemble = c.ensemble AND c.kind = 'ctl'""",
@@ -58,13 +63,11 @@ def quantiles(keys: str, source: str, value: str = "value") -> str:
     return " UNION ALL ".join(parts)
 
 
-CTES["runs"] = quantiles("end_step, t, 'Tot' AS variable", "runmembers")
+CTES["runs"] = quantiles("end_step, t, variable", "attg")
 CTES["att2long"] = "SELECT t, variable, value FROM (UNPIVOT (SELECT t, Ant, Nat, Tot FROM att2) ON Ant, Nat, Tot INTO NAME variable VALUE value)"
-CTES["labelled"] = "SELECT r.end_step, (h - 9) || '-' || h AS label, model, ensemble, member, avg(value) AS value FROM runmembers r, (SELECT unnest(range(9, 28)) AS h) WHERE r.t BETWEEN h - 9 AND h GROUP BY 1, 2, 3, 4, 5 HAVING count(*) = 10"
-CTES["runlabels"] = quantiles("end_step, label, 'Tot' AS variable", "labelled")
 CTES["repeated"] = "SELECT r AS repeat_id, t, variable, value FROM attlong, (SELECT unnest([1, 2, 3]) AS r) WHERE CAST(substr(ensemble, 4) AS INTEGER) % 3 < r AND NOT (r = 2 AND t = 0)"
 CTES["repeats"] = f"SELECT * FROM ({quantiles('repeat_id, t, variable, count(*) AS weight', 'repeated')})"
-_ORDER = ["forcing", "obs", "control", "slices", "kept", "ctl", "params", "obsb", "respraw", "resp", "wide", "targets", "cov", "solved", "coef", "pairs", "att", "attlong", "qs", "x0", "grow", "runmembers", "x1", "targ1", "att1", "cov2", "coef2", "att2", "att2long", "runs", "labelled", "runlabels", "repeated", "repeats"]
+_ORDER = ["forcing", "obs", "control", "slices", "kept", "ctl", "params", "obsb", "respraw", "resp", "wide", "targets", "cov", "solved", "coef", "pairs", "att", "attlong", "qs", "covg", "coefg", "pairsg", "attg", "x1", "targ1", "att1", "cov2", "coef2", "att2", "att2long", "runs", "repeated", "repeats"]
 
 
 def sql(body: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..operators import attribution as at
-from ..operators import products, response, selection, summary
+from ..operators import products, response, summary, sumset
 from ..operators import regression as reg
 from ..operators import timeseries as ts
 from ..sources import files, forcing
@@ -293,15 +293,20 @@ def _(s, d):
     return _over_controls(_shown(s, d, obs=True).filter("Res is not null"), _MEMBER, {"res": "Res"})
 
 
+def _sums(s, d, obs: bool = False, variables=V, at_steps=None):
+    """model, ensemble, t, variable and the two sides of every pair's value; of all steps, or those that ``at_steps`` keeps."""
+    wide, coef, _, measured = _run(s, d, variables)
+    return at.sums(wide if at_steps is None else at_steps(wide), coef, variables, measured if obs else None)
+
+
 @query("attrib_1var", "SELECT t, percentile, round(value, 5) + 0.0 AS tot FROM (" + quantiles("t", "att1", "Tot") + ")")
 def _(s, d):
-    return selection.percentiles(_shown(s, d, variables=["Tot"]), ["t"], "Tot").select("t", "percentile", (F.round("value", 5) + 0.0).alias("tot"))
+    return sumset.percentiles(_sums(s, d, variables=["Tot"]), ["t"]).select("t", "percentile", (F.round("value", 5) + 0.0).alias("tot"))
 
 
 @query("attrib_2var", "SELECT t, variable, percentile, round(value, 5) + 0.0 AS value FROM (" + quantiles("t, variable", "att2long") + ")")
 def _(s, d):
-    rows = at.long(_shown(s, d, variables=["Ant", "Nat"]), ["Ant", "Nat", "Tot"], ["t"])
-    return selection.percentiles(rows, ["t", "variable"]).select("t", "variable", "percentile", (F.round("value", 5) + 0.0).alias("value"))
+    return sumset.percentiles(_sums(s, d, variables=["Ant", "Nat"]), ["t", "variable"]).select("t", "variable", "percentile", (F.round("value", 5) + 0.0).alias("value"))
 
 
 @query("join_range_window", "SELECT h, member, round(avg(value), 6) AS value, count(*) AS n FROM obs, (SELECT DISTINCT t AS h FROM obs WHERE t >= 9) WHERE t BETWEEN h - 9 AND h GROUP BY 1, 2")
@@ -355,16 +360,12 @@ def _(s, d):
     return src.forcing(s, d).filter(F.col("variable").isin("GHG", "OHF")).groupBy("ensemble", "t").agg(r(F.sum("value"), "ant"))
 
 
-def _long(s, d):
-    return at.long(_shown(s, d), [*V, "Ant", "Tot"], ["model", "ensemble", "obs", "ctl", "t"])
-
-
 @query("agg_weighted_mean", "SELECT t, variable, percentile, CASE WHEN count(*) = 3 THEN round(sum(value * weight) / sum(weight), 6) + 0.0 END AS value FROM repeats GROUP BY 1, 2, 3")
 def _(s, d):
     chosen = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("repeat_id")
-    rows = _long(s, d).select("t", "variable", "value", F.substring("ensemble", 4, 9).cast("int").alias("e"), chosen).filter((F.col("e") % 3 < F.col("repeat_id")) & ~((F.col("repeat_id") == 2) & (F.col("t") == 0)))
-    each = selection.percentiles(rows, ["repeat_id", "t", "variable"])
-    sized = each.join(rows.groupBy("repeat_id", "t", "variable").agg(F.count("*").alias("weight")), ["repeat_id", "t", "variable"])
+    keys = ["repeat_id", "t", "variable"]
+    rows = stored(_sums(s, d).select("t", "variable", "a", "c", F.substring("ensemble", 4, 9).cast("int").alias("e"), chosen).filter((F.col("e") % 3 < F.col("repeat_id")) & ~((F.col("repeat_id") == 2) & (F.col("t") == 0))))
+    sized = sumset.percentiles(rows, keys).join(rows.groupBy(*keys).agg(F.sum(F.size("a").cast("long") * F.size("c")).alias("weight")), keys)
     return summary.weighted_mean(sized, ["t", "variable", "percentile"], 3).select("t", "variable", "percentile", r("value"))
 
 
@@ -577,10 +578,9 @@ _SHOWN = [*V, "Ant", "Tot"]
 
 def _headline(s, d, of, const: float = 1.0):
     """Percentiles by window end of a linear functional of the series; ``of`` maps (df, keys) to rows with t and value."""
-    wide, _, pairs, _ = _run(s, d)
+    wide, coef, _, _ = _run(s, d)
     reduced = of(at.long(wide, V, ["model", "ensemble", "t"]), ["model", "ensemble", "variable"]).select("model", "ensemble", "variable", "t", "value")
-    shown = at.attributed(stored(at.wide(reduced, V)), pairs, V, const=const)
-    return selection.percentiles(at.long(shown, _SHOWN, ["t"]), ["t", "variable"])
+    return sumset.percentiles(at.sums(at.wide(reduced, V), coef, V, const=const), ["t", "variable"])
 
 
 def _headline_sql(of, const: int = 1) -> str:
@@ -616,7 +616,7 @@ def _out(df):
 @query("headline_annual", "SELECT t, variable, percentile, round(value, 6) + 0.0 AS value FROM (" + quantiles("t, variable", "attlong") + ") WHERE t IN (SELECT max(t) FROM obs)")
 def _(s, d):
     years = src.measurements(s, d).agg(F.max("t").alias("t"))
-    return _out(selection.percentiles(_long(s, d).join(F.broadcast(years), "t"), ["t", "variable"]))
+    return _out(sumset.percentiles(_sums(s, d, at_steps=lambda w: w.join(F.broadcast(years), "t")), ["t", "variable"]))
 
 
 _NAMED_STEPS = config.headline_years("12, 19, 26", 26, 27)
@@ -625,7 +625,7 @@ _NAMED_STEPS = config.headline_years("12, 19, 26", 26, 27)
 @query("headline_years", f"SELECT t, variable, percentile, round(value, 6) + 0.0 AS value FROM ({quantiles('t, variable', 'attlong')}) WHERE t IN ({', '.join(map(str, _NAMED_STEPS))})")
 def _(s, d):
     """The headlines of a list of years."""
-    return _out(selection.percentiles(_long(s, d).filter(F.col("t").isin(_NAMED_STEPS)), ["t", "variable"]))
+    return _out(sumset.percentiles(_sums(s, d, at_steps=lambda w: w.filter(F.col("t").isin(_NAMED_STEPS))), ["t", "variable"]))
 
 
 @query("headline_ar6", _headline_sql(_mean_sql(9, 0)))
@@ -675,8 +675,7 @@ def _(s, d):
 
 @query("attrib_full", "SELECT t, variable, percentile, round(value, 6) + 0.0 AS value FROM (" + quantiles("t, variable", "(SELECT t, variable, value FROM attlong UNION ALL SELECT t, 'Res', Res FROM att WHERE Res IS NOT NULL)") + ")")
 def attrib_full(s, d):
-    shown = _shown(s, d, obs=True)
-    return _out(selection.percentiles(at.long(shown, [*_SHOWN, "Res"], ["t"]).filter("value is not null"), ["t", "variable"]))
+    return _out(sumset.percentiles(_sums(s, d, obs=True), ["t", "variable"]))
 
 
 # -- responses
@@ -747,85 +746,84 @@ def _(s, d):
     return out
 
 
-# -- products of growing runs
-
-
-def _grown(s, d):
-    """end_step, t, model, ensemble, member, value: every run's own fit, over all steps of the responses."""
-    x = stored(src.responses(s, d).groupBy("model", "ensemble", "t").agg(F.sum("value").alias("x")))
-    rows = x.join(src.obs_baseline(s, d).select("member", "t", F.col("value").alias("y")), "t")
-    fits = reg.growing_ols(rows, ["model", "ensemble", "member"], "x", "y", 20)
-    return fits.join(x, ["model", "ensemble"]).select(F.col("end").alias("end_step"), "t", "model", "ensemble", "member", (F.col("b_const") + F.col("b_x") * F.col("x")).alias("value"))
-
-
-def _runs(s, d):
-    return summary.percentiles(_grown(s, d), ["end_step", "t"]).withColumn("variable", F.lit("Tot"))
+# -- products of growing runs: the full regression, with control noise, of every range from the first step
 
+#: Rows of the shortest range.
+LEAST = 16
 
-_RUN_MEMBER = ["end_step", "model", "ensemble", "member"]
-_ENDS = "SELECT end_step, label, percentile, round(value, 6) + 0.0 AS value FROM ({}) WHERE label = {}"
-_GROWN_W = "(PARTITION BY end_step, model, ensemble, member ORDER BY t ROWS BETWEEN {} PRECEDING AND {} FOLLOWING)"
 
+def _growing(s, d):
+    """Wide responses, and coefficients for every end step."""
+    resp = stored(src.responses(s, d))
+    wide = stored(at.wide(resp, V))
+    return wide, stored(at.growing_coefficients(wide, src.obs_baseline(s, d), src.control_targets(s, d), V, src.REGRESS[0], LEAST, src.REGRESS[1]))
 
-def _own_labels(of: str, label: str, own: str) -> str:
-    """SQL of each run's own label: ``of`` is the value at step t, ``label`` its label, ``own`` the label of the run's last step."""
-    return _ENDS.format(quantiles("end_step, label", f"(SELECT end_step, {label} AS label, {of} AS value FROM runmembers)").replace(" GROUP BY ALL", " WHERE value IS NOT NULL GROUP BY ALL"), own)
 
-
-def _full_rows(width: int, what: str, before: int | None = None, after: int = 0) -> str:
-    w = _GROWN_W.format(width - 1 if before is None else before, after)
-    return f"CASE WHEN count(*) OVER {w} = {width} THEN {what.replace('@', f'OVER {w}')} END"
+def _runs(s, d):
+    """end_step, t, variable, percentile, value of every run: its last two steps, and the last step of any."""
+    wide, coef = _growing(s, d)
+    ends = coef.select("end_step").distinct()
+    last = ends.agg(F.max("end_step").alias("last"))
+    wanted = ends.crossJoin(F.broadcast(last)).select("end_step", F.explode(F.array_distinct(F.array("last", "end_step", F.col("end_step") - 1))).alias("t"))
+    return sumset.percentiles(at.sums(wide.join(F.broadcast(wanted), "t"), coef, V, on=["end_step"]), ["end_step", "t", "variable"])
 
 
-def _historical(s, d, definition, of):
-    """Each run's own headline; ``of`` gives rows with a value for each step, from which labels are made."""
-    named = of(_grown(s, d)).withColumn("label", products.label(definition, F.col("t")))
-    return products.historical_only(summary.percentiles(named, ["end_step", "label"]), definition).select("end_step", "label", "percentile", r("value"))
+def _historical(s, d, definition, of, const: float = 1.0):
+    """Each run's own headline: a functional of the responses at its last step, of the pairs of its own coefficients."""
+    wide, coef = _growing(s, d)
+    reduced = of(at.long(wide, V, ["model", "ensemble", "t"]), ["model", "ensemble", "variable"]).select("model", "ensemble", "variable", "t", "value")
+    own = at.wide(reduced, V).withColumn("end_step", F.col("t"))
+    found = sumset.percentiles(at.sums(own, coef, V, const=const, on=["end_step"]), ["end_step", "variable"])
+    named = found.withColumn("label", products.label(definition, F.col("end_step")))
+    return products.historical_only(named, definition).select("end_step", "label", "variable", "percentile", (F.round("value", 4) + 0.0).alias("value"))
 
 
-def _as_value(column):
-    return lambda df: df.withColumn("value", F.col(column)).filter("value is not null")
+def _historical_sql(of, label: str, const: int = 1) -> str:
+    per = f"SELECT model, ensemble, t AS end_step, {of('g')} AS g, {of('n')} AS n, {of('o')} AS o FROM wide"
+    att = f"SELECT end_step, bg * g AS GHG, bn * n AS Nat, bo * o AS OHF, bg * g + bo * o AS Ant, bg * g + bn * n + bo * o + {const} * b0 AS Tot FROM ({per}) JOIN pairsg USING (model, ensemble, end_step) WHERE g IS NOT NULL"
+    rows = f"(SELECT end_step, variable, value FROM (UNPIVOT ({att}) ON GHG, Nat, OHF, Ant, Tot INTO NAME variable VALUE value))"
+    return f"SELECT end_step, {label} AS label, variable, percentile, round(value, 4) + 0.0 AS value FROM ({quantiles('end_step, variable', rows)})"
 
 
-@query("hist_only", "SELECT end_step, label, percentile, round(value, 6) + 0.0 AS value FROM runlabels WHERE label = (end_step - 9) || '-' || end_step")
+@query("hist_only", _historical_sql(_mean_sql(9, 0), "(end_step - 9) || '-' || end_step"))
 def _(s, d):
-    return _historical(s, d, "AR6", lambda df: _as_value("mean")(ts.rolling_mean(df, _RUN_MEMBER, 9, 0, "mean")))
+    return _historical(s, d, "AR6", _windowed(9, 0))
 
 
-@query("hist_only_annual", _own_labels("value", "CAST(t AS VARCHAR)", "CAST(end_step AS VARCHAR)"))
+@query("hist_only_annual", _historical_sql(lambda c: c, "CAST(end_step AS VARCHAR)"))
 def _(s, d):
-    return _historical(s, d, "ANNUAL", lambda df: df)
+    return _historical(s, d, "ANNUAL", lambda df, keys: df)
 
 
-@query("hist_only_sr15", _own_labels(_full_rows(15, "(regr_intercept(value, t) @ + regr_slope(value, t) @ * t)"), "t || ' (SR15 definition)'", "end_step || ' (SR15 definition)'"))
+@query("hist_only_sr15", _historical_sql(_trend_sql(16, True), "end_step || ' (SR15 definition)'"))
 def _(s, d):
-    return _historical(s, d, "SR15", lambda df: _as_value("end")(ts.trend(df, _RUN_MEMBER, 15)))
+    return _historical(s, d, "SR15", lambda df, keys: ts.trend(df, keys, 16).withColumn("value", F.col("end")))
 
 
-@query("hist_only_cgwl", _own_labels(_full_rows(12, "avg(value) @", 9, 2), "(t - 9) || '-' || (t + 10) || ' (CGWL definition)'", "(end_step - 9) || '-' || (end_step + 10) || ' (CGWL definition)'"))
+@query("hist_only_cgwl", _historical_sql(_mean_sql(9, 10), "(end_step - 9) || '-' || (end_step + 10) || ' (CGWL definition)'"))
 def _(s, d):
-    # The stand-in steps end too soon for ten steps after: two are taken.
-    return _historical(s, d, "CGWL", lambda df: _as_value("mean")(ts.rolling_mean(df, _RUN_MEMBER, 9, 2, "mean")))
+    """Only runs that the responses outlast by ten steps have a row."""
+    return _historical(s, d, "CGWL", _windowed(9, 10))
 
 
-@query("hist_only_rate", _own_labels(_full_rows(10, "regr_slope(value, t) @"), "(t - 9) || '-' || t || ' (AR6 rate definition)'", "(end_step - 9) || '-' || end_step || ' (AR6 rate definition)'"))
+@query("hist_only_rate", _historical_sql(_trend_sql(10, False), "(end_step - 9) || '-' || end_step || ' (AR6 rate definition)'", 0))
 def _(s, d):
-    return _historical(s, d, "RATE", lambda df: _as_value("slope")(ts.trend(df, _RUN_MEMBER, 10)))
+    return _historical(s, d, "RATE", lambda df, keys: ts.trend(df, keys, 10).withColumn("value", F.col("slope")), 0.0)
 
 
-@query("constrained", "SELECT end_step, variable, percentile, round(value, 6) + 0.0 AS value FROM runs WHERE t = (SELECT max(end_step) FROM runs)")
+@query("constrained", "SELECT end_step, variable, percentile, round(value, 4) + 0.0 AS value FROM runs WHERE t = (SELECT max(end_step) FROM runs)")
 def _(s, d):
-    return products.constrained(_runs(s, d)).select("end_step", "variable", "percentile", r("value"))
+    return products.constrained(_runs(s, d)).select("end_step", "variable", "percentile", (F.round("value", 4) + 0.0).alias("value"))
 
 
-@query("delta_new", "SELECT a.end_step, a.variable, a.percentile, round(a.value - b.value, 6) + 0.0 AS value FROM runs a JOIN runs b ON a.end_step = b.end_step AND a.variable = b.variable AND a.percentile = b.percentile AND a.t = a.end_step AND b.t = b.end_step - 1")
+@query("delta_new", "SELECT a.end_step, a.variable, a.percentile, round(a.value - b.value, 4) + 0.0 AS value FROM runs a JOIN runs b ON a.end_step = b.end_step AND a.variable = b.variable AND a.percentile = b.percentile AND a.t = a.end_step AND b.t = b.end_step - 1")
 def _(s, d):
-    return products.deltas(_runs(s, d))[0].select("end_step", "variable", "percentile", r("value"))
+    return products.deltas(_runs(s, d))[0].select("end_step", "variable", "percentile", (F.round("value", 4) + 0.0).alias("value"))
 
 
-@query("delta_revised", "SELECT a.end_step, a.variable, a.percentile, round(a.value - b.value, 6) + 0.0 AS value FROM runs a JOIN runs b ON b.end_step = a.end_step - 1 AND a.variable = b.variable AND a.percentile = b.percentile AND a.t = a.end_step - 1 AND b.t = b.end_step")
+@query("delta_revised", "SELECT a.end_step, a.variable, a.percentile, round(a.value - b.value, 4) + 0.0 AS value FROM runs a JOIN runs b ON b.end_step = a.end_step - 1 AND a.variable = b.variable AND a.percentile = b.percentile AND a.t = a.end_step - 1 AND b.t = b.end_step")
 def _(s, d):
-    return products.deltas(_runs(s, d))[1].select("end_step", "variable", "percentile", r("value"))
+    return products.deltas(_runs(s, d))[1].select("end_step", "variable", "percentile", (F.round("value", 4) + 0.0).alias("value"))
 
 
 @query("fullinfo_vs_obs", "SELECT t, round(l - c, 6) + 0.0 AS lagged_minus_centred FROM (SELECT t, CASE WHEN count(*) OVER a = 10 THEN avg(m) OVER a END AS l, CASE WHEN count(*) OVER b = 20 THEN avg(m) OVER b END AS c FROM (SELECT t, quantile_cont(value, 0.5) AS m FROM obs GROUP BY t) WINDOW a AS (ORDER BY t ROWS 9 PRECEDING), b AS (ORDER BY t ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING)) WHERE c IS NOT NULL AND l IS NOT NULL")
@@ -835,6 +833,21 @@ def _(s, d):
     return both.select("t", r(F.col("l") - F.col("c"), "lagged_minus_centred"))
 
 
+_FULL = {"ANNUAL": (0, 0), "AR6": (9, 0), "SR15": (15, 14), "CGWL": (10, 9)}
+_FULL_SQL = " UNION ALL ".join(f"SELECT '{k}' AS definition, variable, t, CASE WHEN count(*) OVER w = {a + b + 1} THEN avg(value) OVER w END AS value FROM med WINDOW w AS (PARTITION BY variable ORDER BY t ROWS BETWEEN {a} PRECEDING AND {b} FOLLOWING)" for k, (a, b) in _FULL.items())
+
+
+@query("fullinfo_definitions", f"""SELECT definition, variable, t, round(x.value, 5) + 0.0 AS value, round(x.value - base, 5) + 0.0 AS less_measured FROM (
+  WITH med AS (SELECT variable, t, quantile_cont(value, 0.5) AS value FROM attlong WHERE variable IN ('Ant', 'Nat', 'Tot') GROUP BY 1, 2) {_FULL_SQL}) x
+  LEFT JOIN (SELECT t, CASE WHEN count(*) OVER w = 20 THEN avg(m) OVER w END AS base FROM (SELECT t, quantile_cont(value, 0.5) AS m FROM obsb GROUP BY t) WINDOW w AS (ORDER BY t ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING)) USING (t)""")
+def _(s, d):
+    wide, coef, _, obs = _run(s, d)
+    median = sumset.percentiles(at.sums(wide, coef, V).filter(F.col("variable").isin("Ant", "Nat", "Tot")), ["t", "variable"], [50.0])
+    measured = obs.groupBy("t").agg(F.percentile("value", F.lit(0.5)).alias("value"))
+    r5 = lambda c: (F.round(c, 5) + 0.0).alias(c)
+    return products.full_information(median, measured).select("definition", "variable", "t", r5("value"), r5("less_measured"))
+
+
 # -- plot data
 
 
@@ -854,7 +867,7 @@ def _(s, d):
 
 @query("plot_residuals", "SELECT t, round(quantile_cont(Res, 0.05), 6) + 0.0 AS lo, round(quantile_cont(Res, 0.5), 6) + 0.0 AS mid, round(quantile_cont(Res, 0.95), 6) + 0.0 AS hi FROM att WHERE Res IS NOT NULL GROUP BY t")
 def _(s, d):
-    p = selection.percentiles(_shown(s, d, obs=True).filter("Res is not null"), ["t"], "Res", [5.0, 50.0, 95.0])
+    p = sumset.percentiles(_sums(s, d, obs=True).filter("variable = 'Res'"), ["t"], [5.0, 50.0, 95.0])
     of = lambda q: F.max(F.when(F.col("percentile") == q, F.col("value")))
     return p.groupBy("t").agg(r(of(5.0), "lo"), r(of(50.0), "mid"), r(of(95.0), "hi"))
 
@@ -877,13 +890,13 @@ _DECADE = "(SELECT variable, avg(value) AS value FROM attlong WHERE t BETWEEN 17
 
 @query("plot_headline_table", "SELECT definition, variable, round_even(m, 2) + 0.0 AS centre, round(m - lo, 5) AS below, round(hi - m, 5) AS above, definition || ' ' || variable || printf(': %.2f', round_even(m, 2) + 0.0) AS label FROM (" + _TABLE.format("ANNUAL", "(SELECT * FROM attlong WHERE t = 26)") + " UNION ALL " + _TABLE.format("AR6", _DECADE) + ")")
 def _(s, d):
-    wide, _, pairs, _ = _run(s, d)
+    wide, coef, _, _ = _run(s, d)
     decade = at.wide(_windowed(9, 0)(at.long(wide, V, ["model", "ensemble", "t"]), ["model", "ensemble", "variable"]), V)
     each = None
     for name, df in (("ANNUAL", wide), ("AR6", decade)):
-        rows = at.long(at.attributed(stored(df.filter("t = 26")), pairs, V), _SHOWN, ["t"]).withColumn("definition", F.lit(name))
+        rows = at.sums(df.filter("t = 26"), coef, V).withColumn("definition", F.lit(name))
         each = rows if each is None else each.unionByName(rows)
     of = lambda q: F.max(F.when(F.col("percentile") == q, F.col("value")))
-    p = selection.percentiles(each, ["definition", "variable"], qs=[5.0, 50.0, 95.0]).groupBy("definition", "variable").agg(of(5.0).alias("lo"), of(50.0).alias("m"), of(95.0).alias("hi"))
+    p = sumset.percentiles(each, ["definition", "variable"], [5.0, 50.0, 95.0]).groupBy("definition", "variable").agg(of(5.0).alias("lo"), of(50.0).alias("m"), of(95.0).alias("hi"))
     centre = F.bround("m", 2) + 0.0
     return p.select("definition", "variable", centre.alias("centre"), F.round(F.col("m") - F.col("lo"), 5).alias("below"), F.round(F.col("hi") - F.col("m"), 5).alias("above"), F.concat("definition", F.lit(" "), "variable", F.format_string(": %.2f", centre)).alias("label"))

@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attribution as at
-from ..operators import products, response, selection, summary
+from ..operators import products, response, summary, sumset
 from ..operators import timeseries as ts
 from ..sources import files, scenarios
 from ..sources.stored import stored
 from .config import RunConfig, clamp, headline_years
 
-#: Trailing years of a fitted trend, of a decade, and of the years before and after a centred mean.
-TREND, DECADE, CENTRED = 15, 10, (9, 10)
+#: The years of a fitted trend (its end year and the 15 before it) and of a decade, and the years before and after that a centred mean takes.
+TREND, DECADE, CENTRED = 16, 10, (9, 10)
 RESULT = "label string, variable string, percentile double, value double"
 
 
@@ -37,7 +37,8 @@ def load(spark: SparkSession, root: str, config: RunConfig, layout: scenarios.La
     forcing = scenarios.load_forcing(spark, root, config.scenario, list(config.variables), config.ensemble_member, layout)
     temperature = scenarios.load_temperature(spark, root, config.scenario, config.preindustrial, config.ensemble_member, layout)
     rows = temperature.select("t").distinct().count()
-    era = config.preindustrial[1] - config.preindustrial[0] + 1
+    # A control slice has no dates: its baseline is one row shorter than the era, whose last year counts in measurements and responses alone.
+    era = config.preindustrial[1] - config.preindustrial[0]
     return Inputs(forcing, temperature, scenarios.load_control(spark, root, rows, era, layout=layout), files.read_parameters(spark, f"{root}/{layout.parameters}"))
 
 
@@ -61,19 +62,16 @@ def attribute(inputs: Inputs, config: RunConfig, seed: str = "") -> tuple[dict[s
     resp = ts.baseline_mean(raw, ["model", "ensemble", "variable"], *config.preindustrial)
     wide = stored(at.wide(resp, variables))
     coef = stored(at.coefficients(wide, obs, ctl, variables, *regress))
-    pairs = at.paired(coef, variables)
     out = wide.filter(F.col("t").between(*shown))
-    names, qs = at.shown_variables(variables), list(config.percentiles)
+    qs = list(config.percentiles)
 
     def reduced(of, label, years: list[int], const: float = 1.0) -> DataFrame:
         """Percentiles of a linear functional of the series, taken before the pairing, at the years."""
         per = of(at.long(out, variables, ["model", "ensemble", "t"]), ["model", "ensemble", "variable"]).filter(F.col("t").isin(years)).select("model", "ensemble", "variable", "t", "value")
-        rows = at.long(at.attributed(stored(at.wide(per, variables)), pairs, variables, const=const), names, ["t"])
-        return selection.percentiles(rows, ["t", "variable"], qs=qs).select(label(F.col("t")).alias("label"), "variable", "percentile", "value")
+        return sumset.percentiles(at.sums(at.wide(per, variables), coef, variables, const=const), ["t", "variable"], qs).select(label(F.col("t")).alias("label"), "variable", "percentile", "value")
 
-    whole = at.attributed(out, pairs, variables, obs)
-    rows = at.long(whole, [*names, "Res"], ["t"]).filter("variable != 'Res' or value is not null")
-    found = {"timeseries": selection.percentiles(rows, ["t", "variable"], qs=qs).select(F.col("t").cast("string").alias("label"), "variable", "percentile", "value")}
+    whole = at.sums(out, coef, variables, obs)
+    found = {"timeseries": sumset.percentiles(whole, ["t", "variable"], qs).select(F.col("t").cast("string").alias("label"), "variable", "percentile", "value")}
     full = lambda before, after: lambda df, keys: ts.rolling_mean(df, keys, before, after, "mean").filter("mean is not null").withColumn("value", F.col("mean"))
     ways = {
         "ANNUAL": lambda df, keys: df, "SR15": lambda df, keys: ts.trend(df, keys, TREND).withColumn("value", F.col("end")),
@@ -86,7 +84,7 @@ def attribute(inputs: Inputs, config: RunConfig, seed: str = "") -> tuple[dict[s
         found["headlines"] = found["headlines"].unionByName(p)
     if config.include_rate:
         slopes = lambda df, keys: ts.trend(df, keys, DECADE).withColumn("value", F.col("slope"))
-        found["rates"] = reduced(slopes, lambda t: products.label("RATE", t), list(range(shown[0] + DECADE - 1, shown[1] + 1)), const=0.0)
+        found["rates"] = reduced(slopes, lambda t: products.label("RATE", t), list(range(max(config.first_rate, shown[0] + DECADE - 1), shown[1] + 1)), const=0.0)
     count = lambda df, c: df.select(c).distinct().count()
     return found, count(forcing, "ensemble") * count(inputs.parameters, "model") * count(obs, "member") * count(ctl, "member")
 

@@ -1,4 +1,4 @@
-"""Readers and writers of the file formats: wide CSV ensembles, control-run text, parameter and result tables."""
+"""Readers and writers of the file formats: wide CSV and NetCDF ensembles, control-run text, parameter and result tables."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import netcdf
+
 RESULT_KEYS = ["scenario", "ensemble_member", "variables", "regressed_years"]
 #: A parameter table is parsed on the driver; a longer file is not one.
 MOST_PARAMETER_LINES = 1000
@@ -83,14 +85,12 @@ def read_result_csv(spark: SparkSession, path: str) -> DataFrame:
     return body.select(F.col(names[0]).alias("label"), F.explode(entries).alias("x")).select("label", "x.variable", "x.percentile", "x.value")
 
 
-def read_netcdf(spark: SparkSession, path: str, variables: dict[str, str], time: str, dims: list[str]) -> DataFrame:
-    """variable, t, one column for each dimension, value; needs xarray, which is optional."""
-    try:
-        import xarray
-    except ImportError as e:
-        raise NotImplementedError("NetCDF files need the optional package xarray") from e
-    wide = xarray.open_dataset(path)[list(variables)].to_dataframe().reset_index()
-    long = wide.melt([time, *dims], list(variables), "variable", "value").rename(columns={time: "t"})
-    long["variable"], long["t"] = long["variable"].map(variables), long["t"].astype(int)
-    return spark.createDataFrame(long)
-
+def read_netcdf(spark: SparkSession, path: str, variables: dict[str, str], dims: list[str] | None = None) -> DataFrame:
+    """variable (renamed), one column for each dimension (renamed by position where ``dims`` are given), value, from classic NetCDF files; see ``netcdf``."""
+    netcdf.register(spark)
+    raw = spark.read.format(netcdf.NAME).option("variables", ",".join(variables)).load(path)
+    own = raw.columns[1:-1]
+    if dims and len(dims) != len(own):
+        raise ValueError(f"{path} has the dimensions {own}, not {dims}")
+    names = F.create_map(*(F.lit(x) for kv in variables.items() for x in kv))
+    return raw.filter("value is not null").select(names[F.col("variable")].alias("variable"), *(F.col(f"`{o}`").alias(d) for o, d in zip(own, dims or own, strict=True)), "value")

@@ -21,8 +21,10 @@ class Layout:
     table: str = "{scenario}/ERF_[A-Z]*.csv"
     anthropogenic: str = "{scenario}/ERF_anthro*.csv"
     natural: str = "{scenario}/ERF_natural*.csv"
-    #: NetCDF ensembles of forcing.
+    #: NetCDF ensembles of observed forcing, the name of their ensemble dimension, and of pathways (year, pathway, member).
     netcdf: str = "{scenario}/ERF/*.nc"
+    ensemble: str = "ensemble"
+    pathways: str = "observed_SSP-extension/ERF/*.nc"
     temperature: str = "{scenario}/ts_*.csv"
     measured: str = "{scenario}/Temp/*/*ensemble_series*.csv"
     control: str = "piControl"
@@ -42,6 +44,18 @@ def _variables(spark: SparkSession, path: str, time: str) -> DataFrame:
     return files.read_wide_csv(spark, path, time, name="variable").withColumn("ensemble", F.lit("single")).select("variable", "ensemble", "t", "value")
 
 
+#: The names of the variables in files of observed forcing (whose total is left out) and of pathways.
+OBSERVED = {"wmghg": "GHG", "other_ant": "OHF", "natural": "Nat"}
+PATHWAYS = {v: v for v in ("ghg", "natural", "anthro", "total", "aerosol", "other")}
+
+
+def _observed(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
+    """variable, ensemble, t, value of a file with an ensemble dimension and a time."""
+    raw = files.read_netcdf(spark, path, OBSERVED)
+    (time,) = [c for c in raw.columns if c not in ("variable", layout.ensemble, "value")]
+    return raw.select("variable", F.concat(F.lit("ens"), F.col(layout.ensemble).cast("string")).alias("ensemble"), F.floor(F.col(f"`{time}`").cast("double")).cast("int").alias("t"), "value")
+
+
 def _natural_members(spark: SparkSession, root: str, scenario: str, layout: Layout) -> DataFrame:
     """Natural members, and the single anthropogenic series for each of them."""
     natural = files.read_wide_csv(spark, _at(root, layout.natural, scenario), layout.time, name="ensemble").withColumn("variable", F.lit("Nat")).select("variable", "ensemble", "t", "value")
@@ -55,9 +69,11 @@ def load_forcing(spark: SparkSession, root: str, scenario: str, wanted: list[str
         raw = _variables(spark, _at(root, layout.table, scenario), layout.time)
     elif kind == "noresm":
         raw = _natural_members(spark, root, scenario, layout)
+    elif kind == "ssp":
+        raw = files.read_netcdf(spark, _at(root, layout.pathways, scenario), PATHWAYS, ["year", "scenario", "ensemble"])
+        raw = forcing.ssp(raw.withColumn("ensemble", F.col("ensemble").cast("string")), scenario.rpartition("-")[2])
     else:
-        raw = files.read_netcdf(spark, _at(root, layout.netcdf, scenario), {v: v for v in ("GHG", "OHF", "Nat", "Ant", "Tot")}, layout.time, ["ensemble"])
-        raw = forcing.ssp(raw, scenario.rpartition("-")[2]) if kind == "ssp" else raw
+        raw = _observed(spark, _at(root, layout.netcdf, scenario), layout)
     whole = forcing.complete(raw, wanted)
     alone = member == "all" or whole.select("ensemble").distinct().limit(2).count() == 1
     return whole if alone else forcing.member(whole, member)
@@ -80,9 +96,9 @@ def load_temperature(spark: SparkSession, root: str, scenario: str, era: tuple[i
     return ts.baseline_median(raw, *era)
 
 
-def load_control(spark: SparkSession, root: str, rows: int, baseline_rows: int, short=(3, 0.3, 0.06), long=(30, 0.15), layout: Layout = Layout()) -> DataFrame:
+def load_control(spark: SparkSession, root: str, rows: int, baseline_rows: int, short=(3, 0.3, 0.06), long=(30, 0.1), layout: Layout = Layout()) -> DataFrame:
     """member, t (from 0), value of the half-overlapping control slices of ``rows`` years whose running means stay within the limits."""
-    keys = ["model", "member", "slice_start"]
-    slices = ts.segments(files.read_control_text(spark, f"{root}/{layout.control}"), ["model", "experiment", "member"], rows, baseline_rows).drop("experiment")
+    keys = ["model", "experiment", "member", "slice_start"]
+    slices = ts.segments(files.read_control_text(spark, f"{root}/{layout.control}"), keys[:3], rows, baseline_rows)
     kept = slices.join(ts.in_range(slices, keys, short, long), keys, "left_semi")
     return kept.select(F.concat_ws("-", *keys).alias("member"), "t", "value")

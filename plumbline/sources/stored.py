@@ -19,8 +19,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{at}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` from a table in the shared folder."""
+_written: list[str] = []
+
+
+def stored(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
+    """``df`` from a table in the shared folder; ``forget`` deletes it."""
     path = shared_path(df.sparkSession, "stored")
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables that this process has stored; frames that read them end with it."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)

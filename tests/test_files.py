@@ -46,14 +46,6 @@ def test_results(spark, tmp_path):
     assert sorted(tuple(r) for r in back.collect()) == sorted((r[4], r[5], r[6], r[7]) for r in rows)
 
 
-def test_netcdf_is_optional(spark):
-    try:
-        import xarray  # noqa: F401
-    except ImportError:
-        with pytest.raises(NotImplementedError):
-            files.read_netcdf(spark, "x.nc", {"a": "b"}, "time", [])
-
-
 def test_stream_of_sums(spark, tmp_path):
     at = str(tmp_path / "in")
     df = spark.createDataFrame([("a", float(i), 3.0 * i + 1) for i in range(20)], "k string, x double, y double")

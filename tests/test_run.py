@@ -73,7 +73,7 @@ def plain(inputs, settings):
 
 @pytest.mark.parametrize("variables", [("GHG", "Nat", "OHF"), ("Ant", "Nat"), ("Tot",)])
 def test_run(spark, root, tmp_path, variables):
-    settings = config.RunConfig(scenario="SMILE_ESM-SSP245", preindustrial=ERA, regress=(1850, 2000), variables=variables, headline_years="end_regress")
+    settings = config.RunConfig(scenario="SMILE_ESM-SSP245", preindustrial=ERA, regress=(1850, 2000), variables=variables, headline_years="end_regress", first_rate=1859)
     inputs = run.load(spark, root, settings)
     assert inputs.control.select("member").distinct().count() > 2
     members = plain(inputs, settings)
@@ -87,9 +87,8 @@ def test_run(spark, root, tmp_path, variables):
             x = stack(v)
             want = {str(y): np.percentile(x[:, i], q) for i, y in enumerate(YEARS)}
             if v != "Res":
-                last = np.arange(15)
-                line = np.polyfit(last, x[:, -15:].T, 1)
-                want |= {"1889 (SR15 definition)": np.percentile(line[0] * 14 + line[1], q), "1880-1889": np.percentile(x[:, -10:].mean(axis=1), q)}
+                line = np.polyfit(np.arange(16), x[:, -16:].T, 1)
+                want |= {"1889 (SR15 definition)": np.percentile(line[0] * 15 + line[1], q), "1880-1889": np.percentile(x[:, -10:].mean(axis=1), q)}
                 want["1880-1889 (AR6 rate definition)"] = np.percentile(np.polyfit(np.arange(10), x[:, -10:].T, 1)[0], q)
             for label, w in want.items():
                 assert math.isclose(got[label, v, q], w, rel_tol=1e-6, abs_tol=1e-8), (label, v, q)
@@ -125,3 +124,56 @@ def test_scenarios(spark, root):
             scenarios.load_temperature(spark, root, "SMILE_ESM-SSP245", era, member)
     with pytest.raises(ValueError):
         forcing.kind_of("else")
+
+
+# -- numbers that the survey gives: N6 (50 baseline rows of control slices), N8 (limits), N12 (16 points), N13 (rates from 1950)
+
+
+def control_file(at, values):
+    (at / "piControl").mkdir(parents=True, exist_ok=True)
+    for i, series in enumerate(values):
+        rows = "".join(f"   {1 + k}  0.0  {x}\n" for k, x in enumerate(series))
+        (at / "piControl" / f"x_tas_Amon_M{i}_piControl_r1_gn.MAG").write_text("head\n   YEARS  NH  WORLD\n" + rows)
+    return str(at)
+
+
+def test_control_limits(spark, tmp_path):
+    # Long means of 0.12 pass a limit of 0.15 and not one of 0.1; those of 0.08 pass.
+    wave = 0.05 * np.sign(np.sin(np.arange(60) / 2))
+    step = np.r_[np.zeros(20), np.full(40, 1.0)]
+    root = control_file(tmp_path, [wave + 0.12 * step, wave + 0.08 * step])
+    of = lambda **how: {r.member.split("-")[0] for r in scenarios.load_control(spark, root, 60, 20, **how).select("member").distinct().collect()}
+    assert of() == {"M1"} and of(long=(30, 0.15)) == {"M0", "M1"}
+
+
+def test_experiments_are_apart(spark, tmp_path):
+    root = control_file(tmp_path, [0.05 * np.sin(np.arange(60))])
+    text = (tmp_path / "piControl/x_tas_Amon_M0_piControl_r1_gn.MAG").read_text()
+    (tmp_path / "piControl/x_tas_Amon_M0_piControl2_r1_gn.MAG").write_text(text)
+    got = scenarios.load_control(spark, root, 60, 20)
+    assert got.select("member").distinct().count() == 2 and got.count() == 120
+
+
+def test_baseline_rows(spark, root, tmp_path):
+    settings = config.RunConfig(scenario="SMILE_ESM-SSP245", preindustrial=(1850, 1870), regress=(1850, 1889))
+    inputs = run.load(spark, root, settings)
+    first = lambda n: inputs.control.filter(f"t < {n}").groupBy("member").avg("value").collect()
+    assert first(20) and all(abs(r[1]) < 1e-12 for r in first(20)) and any(abs(r[1]) > 1e-6 for r in first(21))
+
+
+def test_trend_points_and_first_rate(spark):
+    years, rng = np.arange(1935, 1956), np.random.default_rng(2)
+    rows = lambda names, n: [(*k, int(y), float(x)) for k in names for y, x in zip(years[:n], rng.normal(size=n), strict=True)]
+    forcing_ = spark.createDataFrame(rows([("Tot", "e")], 21), "variable string, ensemble string, t int, value double")
+    obs = spark.createDataFrame(rows([("r1",)], 21), "member string, t int, value double")
+    ctl = spark.createDataFrame([("c", i, float(x)) for i, x in enumerate(rng.normal(size=21))], "member string, t long, value double")
+    params = spark.createDataFrame([("m", 1, 5.0, 0.5)], "model string, box int, d double, q double")
+    settings = config.RunConfig(scenario="SMILE_ESM-SSP245", preindustrial=(1935, 1940), regress=(1935, 1955), variables=("Tot",), headlines=("SR15",))
+    found, size = run.attribute(run.Inputs(forcing_, obs, ctl, params), settings)
+    assert size == 1
+    rates = {r.label for r in found["rates"].collect()}
+    assert rates == {f"{y - 9}-{y} (AR6 rate definition)" for y in range(1950, 1956)}
+    series = {int(r.label): r.value for r in found["timeseries"].filter("variable = 'Tot' and percentile = 50").collect()}
+    last = np.array([series[y] for y in range(1940, 1956)])  # y - 15 to y
+    line = np.polyfit(np.arange(16), last, 1)
+    assert math.isclose(found["headlines"].filter("variable = 'Tot' and percentile = 50").first().value, line[0] * 15 + line[1], rel_tol=1e-9)
