@@ -2,7 +2,8 @@
 
 * ``cut`` writes an intermediate table into the shared checkpoint folder and
   reads it back, so that a lost executor costs one stage and not the lineage;
-  ``forget`` deletes what this process has cut, once results are written.
+  ``drop`` deletes such tables once what reads them is written, and ``forget`` all
+  that this process has cut, once results are written.
 * ``utf8``/``slices`` give numpy views of Arrow text columns.
 * ``words_of`` finds and hashes all words of a slice of documents at once.
 
@@ -49,15 +50,28 @@ def cut(df: DataFrame) -> DataFrame:
     at = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(at)
     _written.append(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._cut_at = at
+    return out
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that ``cut`` gave, once all that reads them is written; other frames are left alone."""
+    for df in frames:
+        if (at := getattr(df, "_cut_at", None)) in _written:
+            _written.remove(at)
+            _delete(df.sparkSession, at)
 
 
 def forget(spark: SparkSession) -> None:
     """Deletes the tables that this process has cut; frames that read them end with it."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def row_key():

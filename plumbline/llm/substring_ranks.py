@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, prefix_hash, slices, span_hash, table, texts, utf8
+from .common import cut, drop, prefix_hash, slices, span_hash, table, texts, utf8
 
 LENGTH, GRAM = 400, 32
 #: Window starts of one text looked at together; positions within are packed into 24 bits.
@@ -116,10 +116,11 @@ def repeated_spans(own: DataFrame, length: int = LENGTH) -> DataFrame:
     """key, text_hash, spans: array of (start, end) byte ranges, overlapping, that repeated strings cover."""
     docs, within, spans, sizes = own, None, None, block_sizes(length)
     for size in sizes:
-        rows = cut(_ranked(docs, size, within, length))
+        every = cut(_ranked(docs, size, within, length))
         # Written, so that joins with a very frequent core can be split.
-        repeated = cut(rows.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"))
-        rows = cut(rows.join(repeated, "core"))
+        repeated = cut(every.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"))
+        rows = cut(every.join(repeated, "core"))
+        drop(every, repeated)
         at = F.struct("key", "text_hash", "pos")
         classes = rows.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min(at).alias("first"))
         classes = cut(classes.select("core", "hull", "first", ((F.col("hull") != 0) & (F.col("n") > 1)).alias("done")))
@@ -128,6 +129,7 @@ def repeated_spans(own: DataFrame, length: int = LENGTH) -> DataFrame:
         known = cut(classes.join(open_cores, "core", "left"))
         on = ~F.col("done") | (F.col("open") & (F.col("first") == at))
         marked = cut(rows.join(known, ["core", "hull"]).select("key", "text_hash", "pos", "done", on.alias("on")))
+        drop(rows, classes, open_cores, known)
         anchor, j = F.expr(f"pos div {_J}"), F.expr(f"pos % {_J}")
         most = F.least((j + 1) * size, F.lit(length - GRAM + 1)) - 1
         found = marked.filter("done").select("key", "text_hash", (anchor - most).alias("start"), (anchor - j * size + length).alias("end"))
@@ -135,7 +137,8 @@ def repeated_spans(own: DataFrame, length: int = LENGTH) -> DataFrame:
         if size == sizes[-1]:
             break
         mixed = marked.filter("on").groupBy("key", "text_hash").agg(F.collect_set("pos").alias("listed"))
-        docs, within = cut(docs.drop("listed").join(mixed, ["key", "text_hash"])), size
+        before, docs, within = docs, cut(docs.drop("listed").join(mixed, ["key", "text_hash"])), size
+        drop(before)
     return spans.groupBy("key", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
