@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+from . import scan
 
 #: Models whose boxes are broadcast.
 MOST_MODELS = 10_000
@@ -15,27 +18,32 @@ MOST_MODELS = 10_000
 def box_response(forcing: DataFrame, params: DataFrame, midpoint: bool = False) -> DataFrame:
     """model, ensemble, variable, t, value: the sum of the boxes' states, each S <- S e^(-1/d) + q F (1 - e^(-1/d)).
 
-    ``midpoint`` takes the mean of the state before and after the step. One pass over a
-    sorted series for each box; parameters are one row for each model, broadcast behind a check of their number.
+    ``midpoint`` takes the mean of the state before and after the step. Series are scanned in blocks of steps (``scan``), each with all
+    models; parameters are one row for each model, broadcast behind a check of their number.
     """
-    series = forcing.groupBy("variable", "ensemble").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("s"))
+    series = scan.blocks(forcing, ["variable", "ensemble"], "t", ["value"])
     boxes = params.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("box", "d", "q"))).alias("boxes"))
-
-    def run(d, q):
-        keep, add = F.exp(-1 / d), q * -F.expm1(-1 / d)
-        start = F.struct(F.lit(0.0).alias("state"), F.array().cast("array<double>").alias("out"))
-
-        def step(acc, x):
-            new = acc["state"] * keep + x["value"] * add
-            return F.struct(new.alias("state"), F.array_append(acc["out"], (acc["state"] + new) / 2 if midpoint else new).alias("out"))
-
-        return F.aggregate("s", start, step, lambda acc: acc["out"])
-
-    each = F.transform("boxes", lambda b: run(b["d"], b["q"]))
-    total = F.aggregate(each, F.transform("s", lambda x: F.lit(0.0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
     few = boxes.limit(MOST_MODELS + 1).count() <= MOST_MODELS
-    both = series.crossJoin(F.broadcast(boxes) if few else boxes).withColumn("sum", total)
-    return both.select("model", "ensemble", "variable", F.explode(F.arrays_zip(F.col("s.t").alias("t"), F.col("sum").alias("value"))).alias("x")).select("model", "ensemble", "variable", "x.t", "x.value")
+    keep, add = lambda b: F.exp(-1 / b["d"]), lambda b: b["q"] * -F.expm1(-1 / b["d"])
+    folded = F.transform("boxes", lambda b: scan.folded(F.col("s"), lambda x: keep(b), lambda x: add(b) * x["value"]))
+    rows = series.crossJoin(F.broadcast(boxes) if few else boxes).select("model", "ensemble", "variable", "block", F.col("s.t").alias("t"), folded.alias("f"))
+    nothing = F.transform("f", lambda _: F.lit(0.0))
+    keys = ["model", "ensemble", "variable"]
+    if forcing.groupBy("variable", "ensemble").count().filter(F.col("count") > scan.BLOCK).limit(1).isEmpty():
+        whole = rows.withColumn("before", nothing)
+    else:
+        rows = stored(rows)
+        last = rows.select(*keys, "block", F.posexplode(F.transform("f", lambda f: F.element_at(f, -1))).alias("box", "end"))
+        ends = last.select(*keys, "box", "block", F.col("end.left").alias("k0"), F.col("end.state").alias("a0"))
+        carried = scan.carried(ends, [*keys, "box"], 1)
+        before = carried.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct("box", "c0")))["c0"].alias("before"))
+        whole = rows.join(before, [*keys, "block"], "left").withColumn("before", F.coalesce("before", nothing))
+    each = F.zip_with("f", "before", lambda f, c: F.transform(f, lambda x: x["state"] + x["left"] * c))
+    total = F.aggregate(each, F.transform("t", lambda _: F.lit(0.0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    if midpoint:
+        start = F.aggregate("before", F.lit(0.0), lambda a, c: a + c)
+        total = F.zip_with(total, F.concat(F.array(start), F.slice(total, 1, F.size("t") - 1)), lambda x, y: (x + y) / 2)
+    return whole.select(*keys, F.explode(F.arrays_zip("t", total.alias("value"))).alias("x")).select(*keys, "x.t", "x.value")
 
 
 # The impulse-response model's published constants.
@@ -69,31 +77,54 @@ def gas_params(gas: str) -> Gas:
     return Gas(decay, lasting, 1e12 * PARTS[gas] / MOLAR[gas] / (AIR_MASS / AIR_MOLAR), EFFICIENCY[gas], tuple((x * scale, time) for x, time in zip(THERMAL, THERMAL_TIMES, strict=True)))
 
 
-def _convolve(series: DataFrame, keys: list[str], kernel) -> DataFrame:
-    """Sum over s <= t of F(s) kernel(t - s)."""
-    f = series.select(*keys, F.col("t").alias("s"), F.col("value").alias("f"))
-    both = f.join(series.select(*keys, "t"), keys).filter(F.col("s") <= F.col("t"))
-    return both.groupBy(*keys, "t").agg(F.sum(F.col("f") * kernel(F.col("t") - F.col("s"))).alias("value"))
+#: A term of a kernel: its weight, and what is left of it after a step (1: it lasts).
+Term = tuple[float, float]
+
+
+def convolve(series: DataFrame, keys: list[str], terms: list[Term]) -> DataFrame:
+    """keys, t, value: the sum over s <= t of F(s) times the kernel of t - s, which is a sum of terms weight * keep^lag.
+
+    Each term is one state, carried from step to step, so the work is the steps times the terms; steps that are missing are lags like others.
+    """
+    lag = F.coalesce(F.col("t") - F.lag("t").over(Window.partitionBy(*keys).orderBy("t")), F.lit(0))
+    columns = {f"{x}{i}": c for i, (weight, keep) in enumerate(terms) for x, c in (("k", F.pow(F.lit(keep), F.col("_lag"))), ("a", F.col("value") * weight))}
+    states = scan.affine(series.select(*keys, "t", "value", lag.alias("_lag")).withColumns(columns), keys, "t", len(terms))
+    return states.select(*keys, "t", sum((F.col(f"s{i}") for i in range(len(terms))), F.lit(0.0)).alias("value"))
+
+
+def forcing_terms(gas: Gas) -> list[Term]:
+    """The temperature that a step of forcing gives, at mid-step."""
+    return [(c / time * math.exp(-0.5 / time), math.exp(-1 / time)) for c, time in gas.thermal]
+
+
+def emission_terms(gas: Gas) -> list[Term]:
+    """The forcing that a step of emissions gives: the change over a step of what is held."""
+    scale = gas.concentration * gas.efficiency
+    return [(scale * gas.lasting, 1.0), *((scale * part * time * -math.expm1(-1 / time), math.exp(-1 / time)) for part, time in gas.decay)]
+
+
+def warming_terms(gas: Gas) -> list[Term]:
+    """The temperature that a step of emissions gives."""
+    scale, terms = gas.concentration * gas.efficiency, []
+    for c, slow in gas.thermal:
+        after = math.exp(-1 / slow)
+        terms += [(scale * gas.lasting * c, 1.0), (-scale * gas.lasting * c * after, after)]
+        for part, time in gas.decay:
+            weight, own = scale * part * time * c / (time - slow), math.exp(-1 / time)
+            terms += [(weight * own, own), (-weight * after, after)]
+    weights: dict[float, float] = {}
+    for weight, keep in terms:
+        weights[keep] = weights.get(keep, 0.0) + weight
+    return [(weight, keep) for keep, weight in weights.items()]
 
 
 def forcing_to_temperature(series: DataFrame, keys: list[str], gas: Gas) -> DataFrame:
-    return _convolve(series, keys, lambda lag: sum((c / time * F.exp(-(lag + 0.5) / time) for c, time in gas.thermal), F.lit(0.0)))
+    return convolve(series, keys, forcing_terms(gas))
 
 
 def emissions_to_forcing(series: DataFrame, keys: list[str], gas: Gas) -> DataFrame:
-    def held(steps):
-        return gas.concentration * gas.efficiency * (gas.lasting * steps + sum((part * time * (1 - F.exp(-steps / time)) for part, time in gas.decay), F.lit(0.0)))
-
-    return _convolve(series, keys, lambda lag: held(lag + 1) - held(lag))
+    return convolve(series, keys, emission_terms(gas))
 
 
 def emissions_to_temperature(series: DataFrame, keys: list[str], gas: Gas) -> DataFrame:
-    def kernel(lag):
-        steps, out = lag + 1, F.lit(0.0)
-        for c, slow in gas.thermal:
-            out = out + gas.lasting * c * (1 - F.exp(-steps / slow))
-            for part, time in gas.decay:
-                out = out + part * time * c * (F.exp(-steps / time) - F.exp(-steps / slow)) / (time - slow)
-        return gas.concentration * gas.efficiency * out
-
-    return _convolve(series, keys, kernel)
+    return convolve(series, keys, warming_terms(gas))

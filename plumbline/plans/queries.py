@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -320,7 +321,7 @@ def _(s, d):
 
 @query("conv_theta_join", "SELECT g.variable, g.ensemble, g.t, round(sum(f.value * exp(-(g.t - f.t) / 4.0)), 6) AS value FROM forcing f JOIN forcing g ON f.variable = g.variable AND f.ensemble = g.ensemble AND f.t <= g.t GROUP BY 1, 2, 3")
 def _(s, d):
-    return response._convolve(src.forcing(s, d), ["variable", "ensemble"], lambda lag: F.exp(-lag / 4)).select("variable", "ensemble", "t", r("value"))
+    return response.convolve(src.forcing(s, d), ["variable", "ensemble"], [(1.0, math.exp(-1 / 4))]).select("variable", "ensemble", "t", r("value"))
 
 
 @query("join_semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
