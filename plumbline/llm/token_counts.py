@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import functools
 import json
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,8 @@ GATHER = 16 << 20
 ROWS, TIMES, WRITE = 1 << 15, (1 << 15) - 1, 20_000
 #: Documents of a chunk beyond which a pre-token is exchanged by shares of so many partitions (a power of two).
 MANY, SHARE = 64, 6
+#: What a task holds of a pre-token and document: the document's place, above how often the pre-token stands there.
+_DOC_SHIFT, _TIMES_MASK = 40, (1 << 40) - 1
 #: A chunk's number is its partition and its place there.
 PLACE_BITS = 40
 #: Pre-tokens of the model's own splitting pattern; special strings are cut out first.
@@ -120,17 +124,16 @@ def chunks(docs: DataFrame, path: str) -> DataFrame:
         def write():
             names = sorted(held)
             lists = [held.pop(x) for x in names]
-            ends = np.cumsum([0, *map(len, lists)])
-            doc = np.fromiter((d for x in lists for d in x), np.int64, ends[-1])
-            first = np.arange(len(doc))
-            new = np.r_[True, doc[1:] != doc[:-1]][: len(doc)]
-            new[ends[1:-1]] = True
-            run_start = np.maximum.accumulate(np.where(new, first, 0)) if len(doc) else first
-            at = np.flatnonzero(new | ((first - run_start) % TIMES == 0))
-            sizes = np.diff(np.searchsorted(at, ends)).astype(np.int32)
-            in_docs = np.diff(np.r_[0, np.cumsum(new)][ends]).astype(np.int32)
+            in_docs = np.fromiter(map(len, lists), np.int32, len(lists))
+            ends = np.cumsum([0, *in_docs])
+            both = np.frombuffer(b"".join(lists), np.int64)
+            times = both & _TIMES_MASK
+            entries = -(-times // TIMES)
+            each = np.full(entries.sum(), TIMES)
+            each[np.cumsum(entries) - 1] = times - (entries - 1) * TIMES
+            doc, sizes = np.repeat(both >> _DOC_SHIFT, entries), np.diff(np.r_[0, np.cumsum(entries)][ends]).astype(np.int32)
             ids, n_bytes = zip(*rows, strict=True)
-            own = {"docs": np.diff(doc[at], prepend=0), "times": np.diff(np.r_[at, len(doc)]), "sizes": sizes, "doc_id": [d or 0 for d in ids], "named": [d is not None for d in ids], "n_bytes": n_bytes}
+            own = {"docs": np.diff(doc, prepend=0), "times": each, "sizes": sizes, "doc_id": [d or 0 for d in ids], "named": [d is not None for d in ids], "n_bytes": n_bytes}
             yield _batch(_FOUND, 1, chunk=pa.array([chunk]), frequencies=pa.array([_packed(own)], pa.binary()))
             for i in range(0, len(names), WRITE):
                 part = names[i : i + WRITE]
@@ -140,11 +143,11 @@ def chunks(docs: DataFrame, path: str) -> DataFrame:
             for doc_id, n_bytes, text in zip(part.column("doc_id").to_pylist(), np.diff(utf8(part.column("text"))[0]).tolist(), words, strict=True):
                 i = len(rows)
                 rows.append((doc_id, n_bytes))
-                for x in split(text):
+                for x, n in Counter(split(text)).items():
                     if x in held:
-                        held[x].append(i)
+                        held[x].append(i << _DOC_SHIFT | n)
                     else:
-                        held[x] = [i]
+                        held[x] = array("q", (i << _DOC_SHIFT | n,))
                 size += len(text)
                 if size >= GATHER or len(rows) == ROWS:
                     yield from write()
