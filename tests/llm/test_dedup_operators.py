@@ -456,3 +456,32 @@ def test_rules_are_those_of_brute_force(spark, rng):
 def test_sha_of_kept(spark, text):
     row = substring_ranks.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert hashlib.sha256(row.kept).hexdigest() == hashlib.sha256(text.encode()).hexdigest() and row.removed == []
+
+
+@pytest.mark.parametrize(("copies", "edits"), [(30, 0.1), (100, 0.08)])
+def test_copies_of_a_passage_hang_together(spark, rng, copies, edits):
+    """Each copy is edited on its own, so every seed has some of the copies and no copy has all the seeds."""
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5000)]
+    rows, cluster = [], {}
+    for g in range(2):
+        passage = rng.choices(words, k=60)
+        for _ in range(copies):
+            own = list(passage)
+            for j in rng.sample(range(60), round(60 * edits)):
+                own[j] = rng.choice(words)
+            cluster[len(rows)] = g
+            rows.append((len(rows), " ".join([*rng.choices(words, k=60), *own, *rng.choices(words, k=60)])))
+    found = chained_seeds.passages(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "other_doc_id").distinct().collect()
+    assert all(cluster[r.doc_id] == cluster[r.other_doc_id] for r in found)
+    parent = {d: d for d in cluster}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in found:
+        parent[root(r.doc_id)] = root(r.other_doc_id)
+    for g in range(2):
+        sizes = [sum(root(d) == top for d in cluster if cluster[d] == g) for top in {root(d) for d in cluster if cluster[d] == g}]
+        assert sum(n * (n - 1) for n in sizes) >= 0.95 * copies * (copies - 1)
