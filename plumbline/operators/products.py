@@ -17,28 +17,29 @@ def label(definition: str, end):
     }[definition]
 
 
-def historical_only(runs: DataFrame, definition: str) -> DataFrame:
-    """For each run, its own label for its last step; labels whose values are all zero go."""
+def historical_only(runs: DataFrame, definition: str, by: list[str] | None = None) -> DataFrame:
+    """For each run, its own label for its last step; labels whose values are all zero go. ``by``: further keys of runs."""
     own = runs.filter(F.col("label") == label(definition, F.col("end_step")))
-    zero = own.groupBy("end_step").agg(F.max(F.col("value") != 0).alias("any")).filter(~F.col("any"))
-    return own.join(zero, "end_step", "left_anti")
+    keys = [*(by or []), "end_step"]
+    zero = own.groupBy(*keys).agg(F.max(F.col("value") != 0).alias("any")).filter(~F.col("any"))
+    return own.join(zero, keys, "left_anti")
 
 
-def constrained(runs: DataFrame) -> DataFrame:
-    """For every run, its value in the last step at which any run ends; runs reach beyond their own fit."""
-    last = runs.agg(F.max("end_step").alias("last"))
-    return runs.join(F.broadcast(last), F.col("t") == F.col("last")).drop("last", "t")
+def constrained(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """For every run, its value in the last step at which any run ends; runs reach beyond their own fit. ``by``: further keys of runs."""
+    last = runs.groupBy(*(by or [])).agg(F.max("end_step").alias("t"))
+    return runs.join(F.broadcast(last), [*(by or []), "t"]).drop("t")
 
 
-def deltas(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """delta_new: change over a run's last step; delta_rev: revision of the step before by the newer run."""
-    keys = ["variable", "percentile"]
+def deltas(runs: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """delta_new: change over a run's last step; delta_rev: revision of the step before by the newer run. ``by``: further keys of runs."""
+    keys = [*(by or []), "variable", "percentile"]
     runs = runs.filter(F.col("t") <= F.col("end_step"))
     at = lambda lag: runs.filter(F.col("t") == F.col("end_step") - lag).drop("t")
     before = at(1).withColumnRenamed("value", "before")
-    new = at(0).join(before, [*keys, "end_step"]).select("end_step", *keys, (F.col("value") - F.col("before")).alias("value"))
+    new = at(0).join(before, [*keys, "end_step"]).select(*(by or []), "end_step", "variable", "percentile", (F.col("value") - F.col("before")).alias("value"))
     older = at(0).select(*keys, (F.col("end_step") + 1).alias("end_step"), F.col("value").alias("older"))
-    revised = before.join(older, [*keys, "end_step"]).select("end_step", *keys, (F.col("before") - F.col("older")).alias("value"))
+    revised = before.join(older, [*keys, "end_step"]).select(*(by or []), "end_step", "variable", "percentile", (F.col("before") - F.col("older")).alias("value"))
     return new, revised
 
 
@@ -46,11 +47,17 @@ def deltas(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
 FULL_INFORMATION = {"ANNUAL": (0, 0), "AR6": (9, 0), "SR15": (15, 14), "CGWL": (10, 9)}
 
 
-def full_information(series: DataFrame, measured: DataFrame, widths: dict[str, tuple[int, int]] = FULL_INFORMATION) -> DataFrame:
+def full_information(series: DataFrame, measured: DataFrame, widths: dict[str, tuple[int, int]] = FULL_INFORMATION, by: list[str] | None = None) -> DataFrame:
     """definition, variable, t, value, less_measured: rolling means of (variable, t, value), and what they differ by from the centred 20-step mean of measured (t, value); null where a window is not full."""
-    each = None
+    each, keys = None, [*(by or []), "variable"]
     for name, (before, after) in widths.items():
-        one = ts.rolling_mean(series.select("variable", "t", "value"), ["variable"], before, after, "mean").select(F.lit(name).alias("definition"), "variable", "t", F.col("mean").alias("value"))
+        one = ts.rolling_mean(series.select(*keys, "t", "value"), keys, before, after, "mean").select(F.lit(name).alias("definition"), *keys, "t", F.col("mean").alias("value"))
         each = one if each is None else each.unionByName(one)
     base = ts.centred_mean(measured.select(F.lit(0).alias("series"), "t", "value"), ["series"], 20, "base").select("t", "base")
-    return each.join(base, "t", "left").select("definition", "variable", "t", "value", (F.col("value") - F.col("base")).alias("less_measured"))
+    return each.join(base, "t", "left").select("definition", *keys, "t", "value", (F.col("value") - F.col("base")).alias("less_measured"))
+
+
+def parted(rows: DataFrame, first: int, last: int) -> DataFrame:
+    """Adds part: the rows of the regressed steps, and those beyond; the last regressed step is in both, so that lines meet."""
+    own = rows.filter(F.col("t").between(first, last)).withColumn("part", F.lit("regressed"))
+    return own.unionByName(rows.filter(F.col("t") >= last).withColumn("part", F.lit("beyond")))

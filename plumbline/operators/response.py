@@ -21,7 +21,7 @@ def box_response(forcing: DataFrame, params: DataFrame, midpoint: bool = False)
     ``midpoint`` takes the mean of the state before and after the step. Series are scanned in blocks of steps (``scan``), each with all
     models; parameters are one row for each model, broadcast behind a check of their number.
     """
-    series = scan.blocks(forcing, ["variable", "ensemble"], "t", ["value"])
+    series = stored(scan.blocks(forcing, ["variable", "ensemble"], "t", ["value"]))
     boxes = params.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("box", "d", "q"))).alias("boxes"))
     few = boxes.limit(MOST_MODELS + 1).count() <= MOST_MODELS
     keep, add = lambda b: F.exp(-1 / b["d"]), lambda b: b["q"] * -F.expm1(-1 / b["d"])
@@ -29,7 +29,7 @@ def box_response(forcing: DataFrame, params: DataFrame, midpoint: bool = False)
     rows = series.crossJoin(F.broadcast(boxes) if few else boxes).select("model", "ensemble", "variable", "block", F.col("s.t").alias("t"), folded.alias("f"))
     nothing = F.transform("f", lambda _: F.lit(0.0))
     keys = ["model", "ensemble", "variable"]
-    if forcing.groupBy("variable", "ensemble").count().filter(F.col("count") > scan.BLOCK).limit(1).isEmpty():
+    if not series.agg(F.max("block")).first()[0]:
         whole = rows.withColumn("before", nothing)
     else:
         rows = stored(rows)

@@ -885,6 +885,56 @@ def _(s, d):
     return summary.kde(last, ["variable"], 100).select("variable", n("i"), (F.round("x", 5) + 0.0).alias("x"), F.round("density", 5).alias("density"))
 
 
+#: Widths of the means that internal variability is shown by, and the limits of each density's grid.
+_VARIABILITY = {1: 0.6, 3: 0.4, 9: 0.15}
+_MEANS = " UNION ALL ".join(f"SELECT {w} AS width, member, t, CASE WHEN count(*) OVER w = {w} THEN avg(value) OVER w END AS value FROM variability WINDOW w AS (PARTITION BY member ORDER BY t ROWS {w - 1} PRECEDING)" for w in _VARIABILITY)
+_MEANS = f"""WITH variability AS (SELECT member, t, value FROM ctl UNION ALL SELECT 'measured', t, m - signal FROM (SELECT t, m, avg(m) OVER (ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS signal, count(*) OVER (ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS k
+  FROM (SELECT t, quantile_cont(value, 0.5) AS m FROM obs GROUP BY t)) WHERE k = 5) SELECT * FROM ({_MEANS}) WHERE value IS NOT NULL"""
+
+
+def _variability(s, d):
+    """width, member, t, value: moving means of every control slice, and of what is left of the measured median without its 5-step mean."""
+    median = src.measurements(s, d).groupBy("t").agg(F.percentile("value", F.lit(0.5)).alias("value")).withColumn("member", F.lit("measured"))
+    rest = ts.centred_mean(median, ["member"], 5, "signal").filter("signal is not null").select("member", "t", (F.col("value") - F.col("signal")).alias("value"))
+    rows, each = stored(src.control_targets(s, d).unionByName(rest)), None
+    for w in _VARIABILITY:
+        one = ts.moving_average(rows, ["member"], w, "mean").select(F.lit(w).cast("long").alias("width"), "member", "t", F.col("mean").alias("value"))
+        each = one if each is None else each.unionByName(one)
+    return each
+
+
+@query("plot_variability_means", f"SELECT width, member, count(*) AS n, min(t) AS first, max(t) AS last, round(min(value), 5) + 0.0 AS lo, round(max(value), 5) + 0.0 AS hi, round(sum(value * t), 4) + 0.0 AS by_step FROM ({_MEANS}) GROUP BY 1, 2")
+def _(s, d):
+    """The lines of the figure, each in short: its steps, bounds and sum by step."""
+    f5 = lambda c, out, k=5: (F.round(c, k) + 0.0).alias(out)
+    return _variability(s, d).groupBy("width", "member").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"), f5(F.min("value"), "lo"), f5(F.max("value"), "hi"), f5(F.sum(F.col("value") * F.col("t")), "by_step", 4))
+
+
+@query("plot_variability_density", f"""SELECT width, CASE WHEN member = 'measured' THEN 'measured' ELSE 'control' END AS kind, i, round(min(density), 4) + 0.0 AS least, round(avg(density), 4) + 0.0 AS mean, round(max(density), 4) + 0.0 AS most FROM (
+  SELECT width, member, i, avg(exp(-power((x - value) / h, 2) / 2) / h) / sqrt(2 * pi()) AS density FROM (
+    SELECT width, member, h, i, CASE width WHEN 1 THEN 0.6 WHEN 3 THEN 0.4 ELSE 0.15 END * (2.0 * i / 49 - 1) AS x FROM (SELECT width, member, stddev_samp(value) * power(count(value), -0.2) AS h FROM means GROUP BY 1, 2) WHERE h > 0, (SELECT unnest(range(50)) AS i))
+  JOIN means USING (width, member) GROUP BY 1, 2, 3) GROUP BY 1, 2, 3""".replace("WHERE h > 0, (SELECT unnest(range(50)) AS i))", "CROSS JOIN (SELECT unnest(range(50)) AS i) WHERE h > 0)").replace("means GROUP BY 1, 2)", f"({_MEANS}) GROUP BY 1, 2)").replace("JOIN means", f"JOIN ({_MEANS})"))
+def _(s, d):
+    """Densities on 50 points of each width's own grid: of the measured series, and over the control slices."""
+    rows, each = stored(_variability(s, d)), None
+    for w, limit in _VARIABILITY.items():
+        one = summary.kde(rows.filter(F.col("width") == w), ["width", "member"], 50, bounds=(-limit, limit))
+        each = one if each is None else each.unionByName(one)
+    kind = F.when(F.col("member") == "measured", "measured").otherwise("control")
+    f4 = lambda f, out: (F.round(f("density"), 4) + 0.0).alias(out)
+    return each.groupBy("width", kind.alias("kind"), n("i")).agg(f4(F.min, "least"), f4(F.avg, "mean"), f4(F.max, "most"))
+
+
+_PARTS = "(SELECT CASE WHEN k THEN 'regressed' ELSE 'beyond' END AS part, t, variable, value FROM attlong, (SELECT unnest([true, false]) AS k) WHERE CASE WHEN k THEN t BETWEEN 0 AND 20 ELSE t >= 20 END)"
+
+
+@query("plot_timeseries_parts", f"SELECT part, t, variable, percentile, round(value, 6) + 0.0 AS value FROM ({quantiles('part, t, variable', _PARTS)})")
+def _(s, d):
+    """The bands of a run, apart for the steps up to the end of a regressed range (20) and from it on, which both have."""
+    rows = sumset.percentiles(_sums(s, d), ["t", "variable"])
+    return products.parted(rows, 0, 20).select("part", "t", "variable", "percentile", r("value"))
+
+
 _TABLE = "SELECT '{0}' AS definition, variable, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM {1} GROUP BY variable"
 _DECADE = "(SELECT variable, avg(value) AS value FROM attlong WHERE t BETWEEN 17 AND 26 GROUP BY variable, model, ensemble, obs, ctl)"
 

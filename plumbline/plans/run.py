@@ -2,12 +2,15 @@
 
 ``run`` takes the series of a ``RunConfig`` (loaded from files by ``load``, or any frames of these columns) through sampling,
 responses, regression and pairing to percentiles of the series, its headlines and rates, and
-writes them to a table partitioned by the run's keys. ``combine`` reads the repeats of such a table and
-averages them by their sizes. Ranges are inclusive; a range beyond the data is cut to it.
+writes them to a table partitioned by the run's keys. ``combine`` reads the finished repeats of such a table and
+averages them by their sizes; ``historical``, ``constrained``, ``revisions`` and ``full_information`` compare runs of growing ranges.
+``run_matrix`` starts what a matrix of runs lacks. Ranges are inclusive; a range beyond the data is cut to it.
 """
 
 from __future__ import annotations
 
+import functools
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +25,6 @@ from .config import RunConfig, clamp, headline_years
 
 #: The years of a fitted trend (its end year and the 15 before it) and of a decade, and the years before and after that a centred mean takes.
 TREND, DECADE, CENTRED = 16, 10, (9, 10)
-RESULT = "label string, variable string, percentile double, value double"
 
 
 @dataclass(frozen=True)
@@ -65,49 +67,116 @@ def attribute(inputs: Inputs, config: RunConfig, seed: str = "") -> tuple[dict[s
     out = wide.filter(F.col("t").between(*shown))
     qs = list(config.percentiles)
 
-    def reduced(of, label, years: list[int], const: float = 1.0) -> DataFrame:
-        """Percentiles of a linear functional of the series, taken before the pairing, at the years."""
+    def reduced(of, years: list[int], const: float = 1.0) -> DataFrame:
+        """The sides of a linear functional of the series, taken before the pairing, at the years."""
         per = of(at.long(out, variables, ["model", "ensemble", "t"]), ["model", "ensemble", "variable"]).filter(F.col("t").isin(years)).select("model", "ensemble", "variable", "t", "value")
-        return sumset.percentiles(at.sums(at.wide(per, variables), coef, variables, const=const), ["t", "variable"], qs).select(label(F.col("t")).alias("label"), "variable", "percentile", "value")
+        return at.sums(at.wide(per, variables), coef, variables, const=const)
 
-    whole = at.sums(out, coef, variables, obs)
-    found = {"timeseries": sumset.percentiles(whole, ["t", "variable"], qs).select(F.col("t").cast("string").alias("label"), "variable", "percentile", "value")}
     full = lambda before, after: lambda df, keys: ts.rolling_mean(df, keys, before, after, "mean").filter("mean is not null").withColumn("value", F.col("mean"))
     ways = {
         "ANNUAL": lambda df, keys: df, "SR15": lambda df, keys: ts.trend(df, keys, TREND).withColumn("value", F.col("end")),
         "AR6": full(DECADE - 1, 0), "CGWL": full(*CENTRED),
     }
-    parts = [reduced(ways[d], lambda t, d=d: products.label(d, t), headline_years(config.headline_years, regress[1], shown[1], d)) for d in config.headlines]
-    spark = forcing.sparkSession
-    found["headlines"] = spark.createDataFrame([], RESULT)
-    for p in parts:
-        found["headlines"] = found["headlines"].unionByName(p)
+    parts = {"timeseries": at.sums(out, coef, variables, obs)}
+    parts |= {d: reduced(ways[d], headline_years(config.headline_years, regress[1], shown[1], d)) for d in config.headlines}
     if config.include_rate:
         slopes = lambda df, keys: ts.trend(df, keys, DECADE).withColumn("value", F.col("slope"))
-        found["rates"] = reduced(slopes, lambda t: products.label("RATE", t), list(range(max(config.first_rate, shown[0] + DECADE - 1), shown[1] + 1)), const=0.0)
+        parts["RATE"] = reduced(slopes, list(range(max(config.first_rate, shown[0] + DECADE - 1), shown[1] + 1)), const=0.0)
+    # All that is reported is selected at once.
+    each = [rows.select(F.lit(kind).alias("kind"), "t", "variable", "a", "c") for kind, rows in parts.items()]
+    values = stored(sumset.percentiles(functools.reduce(DataFrame.unionByName, each), ["kind", "t", "variable"], qs))
+    named = values.select("kind", functools.reduce(lambda c, k: c.when(F.col("kind") == k, products.label(k, F.col("t"))), [k for k in parts if k != "timeseries"], F.when(F.col("kind") == "timeseries", F.col("t").cast("string"))).alias("label"), "variable", "percentile", "value")
+    of = lambda kinds: named.filter(F.col("kind").isin(kinds)).drop("kind")
+    found = {"timeseries": of(["timeseries"]), "headlines": of(list(config.headlines))}
+    if config.include_rate:
+        found["rates"] = of(["RATE"])
     count = lambda df, c: df.select(c).distinct().count()
     return found, count(forcing, "ensemble") * count(inputs.parameters, "model") * count(obs, "member") * count(ctl, "member")
 
 
+def run_key(config: RunConfig) -> dict[str, str]:
+    return {"scenario": config.scenario, "ensemble_member": config.ensemble_member, "variables": "-".join(sorted(config.variables)), "regressed_years": "{}-{}".format(*config.regress)}
+
+
 def run(spark: SparkSession, config: RunConfig, inputs: Inputs, out: str, repeat: int = 0) -> int:
-    """Writes one repeat's results to ``out``/result_type and returns the size of its ensemble."""
+    """Writes one repeat's results to ``out``/result_type, marks it as finished and returns the size of its ensemble.
+
+    The mark comes last and names what this run wrote, so a run that ends before it leaves nothing that is read.
+    """
     found, size = attribute(inputs, config, f"{repeat}/")
-    keys = {"scenario": config.scenario, "ensemble_member": config.ensemble_member, "variables": "-".join(sorted(config.variables)), "regressed_years": "{}-{}".format(*config.regress), "repeat": str(repeat)}
+    keys, own = {**run_key(config), "samples": str(config.samples), "repeat": str(repeat)}, uuid.uuid4().hex
     for kind, rows in found.items():
-        named = rows.withColumns({**{k: F.lit(v) for k, v in keys.items()}, "size": F.lit(size).cast("long")})
-        files.write_results(named, f"{out}/{kind}", [*files.RESULT_KEYS, "repeat"])
+        named = rows.withColumns({**{k: F.lit(v) for k, v in keys.items()}, "size": F.lit(size).cast("long"), "run_id": F.lit(own)})
+        files.write_results(named, f"{out}/{kind}", list(keys))
+    files.mark_finished(spark, out, keys, own)
     return size
 
 
+def finished_results(spark: SparkSession, results: str, kind: str) -> DataFrame:
+    """The rows of a result type that finished runs wrote."""
+    done = files.finished(spark, results).select("run_id").distinct()
+    return spark.read.parquet(f"{results}/{kind}").join(done, "run_id", "left_semi")
+
+
 def combine(spark: SparkSession, results: str, kind: str = "timeseries") -> DataFrame:
-    """The run keys, label, variable, percentile, value: means of all repeats of each run, weighted by their sizes; null where a repeat lacks the label."""
-    rows = spark.read.parquet(f"{results}/{kind}")
+    """The run keys, label, variable, percentile, value: means of all finished repeats of each run, weighted by their sizes; null where a repeat lacks the label."""
+    rows = finished_results(spark, results, kind)
     keys = files.RESULT_KEYS
-    repeats = rows.groupBy(*keys).agg(F.countDistinct("repeat").alias("repeats"))
+    repeats = rows.groupBy(*keys).agg(F.countDistinct("run_id").alias("repeats"))
     mean = rows.groupBy(*keys, "label", "variable", "percentile").agg((F.sum(F.col("value") * F.col("size")) / F.sum("size")).alias("mean"), F.count("value").alias("n"))
     return mean.join(repeats, keys).select(*keys, "label", "variable", "percentile", F.when(F.col("n") == F.col("repeats"), F.col("mean")).alias("value"))
 
 
+#: What tells sets of runs apart that differ in their regressed years alone.
+SET = ["scenario", "ensemble_member", "variables"]
+
+
+def _ends(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("end_step", F.element_at(F.split("regressed_years", "-"), -1).cast("int")).drop("regressed_years")
+
+
+def historical(spark: SparkSession, results: str, definition: str) -> DataFrame:
+    """The set's keys, end_step, label, variable, percentile, value: of every finished run, its own headline for the last year that it regresses."""
+    rows = combine(spark, results, "timeseries" if definition == "ANNUAL" else "headlines")
+    return products.historical_only(_ends(rows), definition, SET)
+
+
+def _years(spark: SparkSession, results: str) -> DataFrame:
+    return _ends(combine(spark, results)).withColumn("t", F.col("label").cast("int")).drop("label")
+
+
+def constrained(spark: SparkSession, results: str) -> DataFrame:
+    """The set's keys, end_step, variable, percentile, value: what each run says of the last year that any run regresses."""
+    return products.constrained(_years(spark, results), SET)
+
+
+def revisions(spark: SparkSession, results: str) -> tuple[DataFrame, DataFrame]:
+    """What each run's last year added, and how it revised the year before."""
+    return products.deltas(_years(spark, results), SET)
+
+
+def full_information(spark: SparkSession, results: str, temperature: DataFrame, variables: tuple[str, ...] = ("Tot", "Ant", "Nat")) -> DataFrame:
+    """All definitions' means of the median of the longest run of each set, and what they differ by from the measured 20-year mean."""
+    years = _years(spark, results).filter((F.col("percentile") == 50) & F.col("variable").isin(list(variables)))
+    last = years.groupBy(*SET).agg(F.max("end_step").alias("end_step"))
+    measured = temperature.groupBy("t").agg(F.percentile("value", F.lit(0.5)).alias("value"))
+    return products.full_information(years.join(F.broadcast(last), [*SET, "end_step"]), measured, by=SET)
+
+
+def run_matrix(spark: SparkSession, configs: list[RunConfig], repeats: int, out: str, loaded) -> list[tuple[RunConfig, int]]:
+    """Runs every config that often, but for what a finished run has already written; the list of what was run. ``loaded`` gives the inputs of a config.
+
+    A second start after a loss does the rest only.
+    """
+    wanted = [({**run_key(c), "samples": str(c.samples), "repeat": str(k)}, i, k) for i, c in enumerate(configs) for k in range(repeats)]
+    names = list(wanted[0][0]) if wanted else []
+    plan = spark.createDataFrame([(*keys.values(), i, k) for keys, i, k in wanted], ", ".join([*(f"{n} string" for n in names), "config int", "k int"])) if wanted else None
+    lacking = [] if plan is None else plan.join(files.finished(spark, out), names, "left_anti").orderBy("config", "k").collect()
+    for r in lacking:
+        run(spark, configs[r.config], loaded(configs[r.config]), out, r.k)
+    return [(configs[r.config], r.k) for r in lacking]
+
+
 def export(combined: DataFrame, path: str, variables: tuple[str, ...] = ("Nat", "Ant", "Tot")) -> None:
     """One wide CSV of the named variables of one run."""
     files.write_result_csv(combined.filter(F.col("variable").isin(list(variables)) & F.col("value").isNotNull()).select("label", "variable", "percentile", "value"), path)

@@ -60,6 +60,25 @@ def write_results(df: DataFrame, path: str, keys: list[str] = RESULT_KEYS) -> No
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+#: Columns of the table of finished runs.
+FINISHED = [*RESULT_KEYS, "samples", "repeat", "run_id"]
+
+
+def mark_finished(spark: SparkSession, path: str, keys: dict[str, str], run_id: str) -> None:
+    """Appends a run to the table of finished ones, after its results."""
+    row = {**keys, "run_id": run_id}
+    spark.createDataFrame([tuple(row[c] for c in FINISHED)], ", ".join(f"{c} string" for c in FINISHED)).coalesce(1).write.mode("append").parquet(f"{path}/finished")
+
+
+def finished(spark: SparkSession, path: str) -> DataFrame:
+    """The finished runs of a folder of results; none where there is no such table yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/finished")
+    schema = ", ".join(f"{c} string" for c in FINISHED)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/finished")
+
+
 def catalog(spark: SparkSession, path: str, keys: list[str] = RESULT_KEYS) -> DataFrame:
     """The distinct runs of a result table, from its partitions."""
     return spark.read.parquet(path).select(*keys).distinct()

@@ -177,3 +177,73 @@ def test_trend_points_and_first_rate(spark):
     last = np.array([series[y] for y in range(1940, 1956)])  # y - 15 to y
     line = np.polyfit(np.arange(16), last, 1)
     assert math.isclose(found["headlines"].filter("variable = 'Tot' and percentile = 50").first().value, line[0] * 15 + line[1], rel_tol=1e-9)
+
+
+# -- matrices of runs, and what compares runs of growing ranges
+
+
+END_YEARS, SHOWN = (1887, 1888, 1889), range(1850, 1890)
+
+
+def value(end, label, variable, q, repeat):
+    """Of a made-up run."""
+    return (hash((label[-9:], variable)) % 1000) / 100 + q / 7 + (end - 1850) ** 2 / 900 + repeat / 8
+
+
+def fake(inputs, settings, seed=""):
+    repeat, end, spark = int(seed.rstrip("/")), settings.regress[1], inputs
+    rows = lambda labels: spark.createDataFrame([(x, v, q, value(end, x, v, q, repeat)) for x in labels for v in ("Tot", "Ant", "Nat") for q in (5.0, 50.0)], "label string, variable string, percentile double, value double")
+    return {"timeseries": rows(map(str, SHOWN)), "headlines": rows([f"{y - 9}-{y}" for y in END_YEARS])}, 8
+
+
+@pytest.fixture(scope="module")
+def grown(spark, tmp_path_factory):
+    """Results of runs that end in 1887, 1888 and 1889, two repeats each."""
+    out, patch = str(tmp_path_factory.mktemp("matrix") / "r"), pytest.MonkeyPatch()
+    patch.setattr(run, "attribute", fake)
+    configs = [config.RunConfig(scenario="SMILE_ESM-SSP245", preindustrial=ERA, regress=(1850, y), truncate=(1850, 1889), samples=2) for y in END_YEARS]
+    started = run.run_matrix(spark, configs[:1], 1, out, lambda c: spark)
+    rest = run.run_matrix(spark, configs, 2, out, lambda c: spark)
+    yield configs, out, started, rest
+    patch.undo()
+
+
+def test_matrix_starts_what_lacks(spark, grown, monkeypatch):
+    configs, out, started, rest = grown
+    assert [k for _, k in started] == [0] and [(c.regress[1], k) for c, k in rest] == [(1887, 1), (1888, 0), (1888, 1), (1889, 0), (1889, 1)]
+    assert run.run_matrix(spark, configs, 2, out, lambda c: spark) == []
+    before = run.combine(spark, out).count()
+    write, calls = files.write_results, []
+
+    def broken(df, path, keys):
+        calls.append(path)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        write(df, path, keys)
+
+    monkeypatch.setattr(files, "write_results", broken)
+    with pytest.raises(RuntimeError):
+        run.run_matrix(spark, configs[:1], 3, out, lambda c: spark)
+    monkeypatch.setattr(files, "write_results", write)
+    median = lambda: run.combine(spark, out).filter("regressed_years = '1850-1887' and label = '1887' and variable = 'Tot' and percentile = 50").first().value
+    half = median()
+    assert run.combine(spark, out).count() == before and math.isclose(half, value(1887, "1887", "Tot", 50.0, 0.5))  # the half-written repeat is not read
+    assert run.run_matrix(spark, configs[:1], 3, out, lambda c: spark) == [(configs[0], 2)] and math.isclose(median(), value(1887, "1887", "Tot", 50.0, 1))
+
+
+def test_products_of_runs(spark, grown):
+    _, out, _, _ = grown
+    measured = np.random.default_rng(4).normal(size=len(SHOWN))
+    temperature = spark.createDataFrame([(m, y, float(x) + d) for m, d in (("a", -1.0), ("b", 0.0), ("c", 3.0)) for y, x in zip(SHOWN, measured, strict=True)], "member string, t int, value double")
+    values = {(r.regressed_years[-4:], r.label, r.variable, r.percentile): r.value for kind in ("timeseries", "headlines") for r in run.combine(spark, out, kind).collect()}
+    of = lambda end, label, v="Tot", q=50.0: values[str(end), label, v, q]
+    for definition, label in (("ANNUAL", str), ("AR6", lambda y: f"{y - 9}-{y}")):
+        got = {(r.end_step, r.label): r.value for r in run.historical(spark, out, definition).filter("variable = 'Tot' and percentile = 50").collect()}
+        assert got == {(y, label(y)): of(y, label(y)) for y in (1887, 1888, 1889)}
+    assert {r.end_step: r.value for r in run.constrained(spark, out).filter("variable = 'Tot' and percentile = 50").collect()} == {y: of(y, "1889") for y in (1887, 1888, 1889)}
+    new, revised = (({r.end_step: r.value for r in df.filter("variable = 'Tot' and percentile = 50").collect()}) for df in run.revisions(spark, out))
+    assert new == {y: of(y, str(y)) - of(y, str(y - 1)) for y in (1887, 1888, 1889)}
+    assert revised == {y: of(y, str(y - 1)) - of(y - 1, str(y - 1)) for y in (1888, 1889)}
+    full = {(r.definition, r.t): (r.value, r.less_measured) for r in run.full_information(spark, out, temperature).filter("variable = 'Tot'").collect()}
+    assert full["ANNUAL", 1889] == (of(1889, "1889"), None) and math.isclose(full["AR6", 1889][0], np.mean([of(1889, str(y)) for y in range(1880, 1890)]))
+    assert math.isclose(full["CGWL", 1870][1], np.mean([of(1889, str(y)) - measured[y - 1850] for y in range(1860, 1880)]), abs_tol=1e-12)
