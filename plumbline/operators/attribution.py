@@ -8,10 +8,12 @@ linear in time are taken of the responses before the pairing, never of the produ
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.stored import stored
+from ..sources.stored import observed, stored
 from .regression import fit, growing_weights, weights
 
 VARIABLES = ["GHG", "Nat", "OHF"]
@@ -39,17 +41,18 @@ def _targets(obs: DataFrame, ctl: DataFrame, first: int, last: int) -> DataFrame
     return of("obs", obs).union(of("ctl", ctl))
 
 
-def _packed(targets: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """kind, target, ys (by step) of the targets that have each of the n steps once, and kind, target of the others."""
-    series = stored(targets.filter("y is not null").groupBy("kind", "target").agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("s"), F.countDistinct("t").alias("n")))
+def _packed(targets: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
+    """kind, target, ys (by step) of the targets that have each of the n steps once, and kind, target of the others, if there are any."""
+    series = targets.filter("y is not null").groupBy("kind", "target").agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("s"), F.countDistinct("t").alias("n"))
     whole = (F.col("n") == n) & (F.size("s") == n)
-    return series.filter(whole).select("kind", "target", F.col("s.y").alias("ys")), series.filter(~whole).select("kind", "target")
+    series, seen = observed(series, others=F.count_if(~whole))
+    return series.filter(whole).select("kind", "target", F.col("s.y").alias("ys")), series.filter(~whole).select("kind", "target") if seen["others"] else None
 
 
 def _each(packed: DataFrame, responses: DataFrame) -> DataFrame:
     """Every target with every response member, whose rows are few next to the targets."""
-    few = responses.limit(MOST_RESPONSES + 1).count() <= MOST_RESPONSES
-    return packed.crossJoin(F.broadcast(responses) if few else responses)
+    responses, seen = observed(responses, n=F.count("*"))
+    return packed.crossJoin(F.broadcast(responses) if seen["n"] <= MOST_RESPONSES else responses)
 
 
 def coefficients(wide: DataFrame, obs: DataFrame, ctl: DataFrame, variables: list[str], first: int, last: int) -> DataFrame:
@@ -60,16 +63,16 @@ def coefficients(wide: DataFrame, obs: DataFrame, ctl: DataFrame, variables: lis
     """
     rows = stored(wide.filter(F.col("t").between(first, last)))
     keys, names = ["model", "ensemble", "kind", "target"], [*variables, "const"]
-    steps = stored(rows.select("t").distinct())
-    n = steps.count()
+    steps, seen = observed(rows.select("t").distinct(), n=F.count("*"))
+    n = seen["n"]
     targets = _targets(obs, ctl, first, last).join(F.broadcast(steps), "t", "left_semi")
     if rows.groupBy("model", "ensemble").count().filter(F.col("count") != n).limit(1).count():
         return fit(rows.join(targets, "t"), keys, variables)
     packed, rest = _packed(targets, n)
     w = weights(rows, ["model", "ensemble"], variables).groupBy("model", "ensemble").agg(F.array_sort(F.collect_list(F.struct("t", *(f"w_{v}" for v in names)))).alias("w"))
     dot = lambda v: F.aggregate(F.zip_with("ys", F.col(f"w.w_{v}"), lambda y, x: y * x), F.lit(0.0), lambda a, x: a + x)
-    found = _each(packed, stored(w)).select(*keys, *(dot(v).alias(f"b_{v}") for v in names))
-    if rest.isEmpty():
+    found = _each(packed, w).select(*keys, *(dot(v).alias(f"b_{v}") for v in names))
+    if rest is None:
         return found
     return found.unionByName(fit(rows.join(targets.join(rest, ["kind", "target"], "left_semi"), "t"), keys, variables))
 
@@ -82,9 +85,10 @@ def growing_coefficients(wide: DataFrame, obs: DataFrame, ctl: DataFrame, variab
     """
     rows = stored(wide.filter(F.col("t").between(first, last)))
     names = [*variables, "const"]
-    n = rows.select("t").distinct().count()
-    packed, _ = _packed(_targets(obs, ctl, first, last).join(F.broadcast(rows.select("t").distinct()), "t", "left_semi"), n)
-    gains = stored(growing_weights(rows, ["model", "ensemble"], variables, least))
+    steps, seen = observed(rows.select("t").distinct(), n=F.count("*"))
+    n = seen["n"]
+    packed, _ = _packed(_targets(obs, ctl, first, last).join(F.broadcast(steps), "t", "left_semi"), n)
+    gains = growing_weights(rows, ["model", "ensemble"], variables, least)
     dot = lambda w, ys: F.aggregate(F.zip_with(ys, w, lambda y, x: y * x), F.lit(0.0), lambda a, x: a + x)
     start = F.struct(*(dot(F.col(f"start.{v}"), F.slice("ys", 1, least)).alias(v) for v in names))
     before = F.struct(start.alias("b"), F.array(F.struct(F.col("steps")[least - 1]["t"].alias("end_step"), *(start[v].alias(v) for v in names))).alias("out"))
@@ -99,22 +103,37 @@ def growing_coefficients(wide: DataFrame, obs: DataFrame, ctl: DataFrame, variab
     return fitted.select("e.end_step", "model", "ensemble", "kind", "target", *(F.col(f"e.{v}").alias(f"b_{v}") for v in names))
 
 
-def sums(response_wide: DataFrame, coef: DataFrame, variables: list[str], obs: DataFrame | None = None, const: float = 1.0, on: list[str] | None = None) -> DataFrame:
-    """model, ensemble, t, variable, a, c (and ``on``): what ``attributed`` gives for every pair, as the sums of two arrays.
+@dataclass(frozen=True)
+class Sides:
+    """Arrays of the coefficients of each response member, of measured and of control members, for several ``sums`` of them."""
 
-    Every shown value of a pair is one number of its measured member and one of its control member, so a row is a variable of a
-    step of a response member, whatever the number of pairs. With ``obs`` there is Res, for the members measured at the step.
-    ``on``: further columns of both frames that tell coefficients apart.
-    """
+    obs: DataFrame
+    ctl: DataFrame
+    most: int  # coefficients of a kind that a response member has
+    few: bool
+
+
+def sides(coef: DataFrame, variables: list[str], on: list[str] | None = None) -> Sides:
     at, names = ["model", "ensemble", *(on or [])], [f"b_{v}" for v in [*variables, "const"]]
     sizes = coef.groupBy(*at, "kind").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
     most, few = sizes.most or 0, (sizes.all or 0) <= MOST_COEFFICIENTS
     block = F.pmod(F.xxhash64("target"), F.lit(-(-most // MEMBERS) or 1))
     own = lambda k, *columns: coef.filter(F.col("kind") == k).groupBy(*at, block.alias("block")).agg(F.collect_list(F.struct(*columns)).alias(k)).drop("block")
-    side = lambda *of: F.broadcast(own(*of)) if few else own(*of)
+    return Sides(own("obs", "target", *names), own("ctl", *names), most, few)
+
+
+def sums(response_wide: DataFrame, coef: DataFrame | Sides, variables: list[str], obs: DataFrame | None = None, const: float = 1.0, on: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """model, ensemble, t, variable, a, c (and ``on``): what ``attributed`` gives for every pair, as the sums of two arrays.
+
+    Every shown value of a pair is one number of its measured member and one of its control member, so a row is a variable of a
+    step of a response member, whatever the number of pairs. With ``obs`` there is Res, for the members measured at the step.
+    ``on``: further columns of both frames that tell coefficients apart. ``rows``: the number of responses' rows, where it is known.
+    """
+    at, own = ["model", "ensemble", *(on or [])], coef if isinstance(coef, Sides) else sides(coef, variables, on)
+    side = lambda df: F.broadcast(df) if own.few else df
     # Rows are few and arrays long: as many tasks as the numbers they hold ask for, not as the rows do.
-    tasks = max(1, -(-response_wide.count() * (len(variables) + 3) * most // VALUES))
-    both = response_wide.repartition(tasks).join(side("obs", "target", *names), at).join(side("ctl", *names), at)
+    tasks = max(1, -(-(response_wide.count() if rows is None else rows) * (len(variables) + 3) * own.most // VALUES))
+    both = response_wide.repartition(tasks).join(side(own.obs), at).join(side(own.ctl), at)
     times = lambda v: lambda x: x[f"b_{v}"] * F.col(v)
     part = {v: times(v) for v in variables}
     total = lambda x: sum((part[v](x) for v in variables), x["b_const"] * const)

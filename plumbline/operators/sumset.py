@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.stored import stored
+from ..sources.stored import observed, stored
 from .summary import PERCENTILES
 
 BINS, FEW = 256, 4096
@@ -93,10 +93,10 @@ def _typed(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
 
-def _added(rows: DataFrame, state: DataFrame, keys: list[str], of, kind: str) -> DataFrame:
+def _added(rows: DataFrame, state: DataFrame, keys: list[str], of, kind: str, groups: int) -> DataFrame:
     """keys, state and ``found``: for each group of a task, the concatenation or sum over its rows of ``of(a, c, state)``."""
     named = state.select(*(F.col(k).alias(f"_{k}") for k in keys), *_STATE)
-    named = F.broadcast(named) if state.count() <= BROADCAST else named
+    named = F.broadcast(named) if groups <= BROADCAST else named
     both = rows.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).select(*keys, *_STATE, "a", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,7 @@ def _narrowed(parts: DataFrame, keys: list[str], by_value: bool) -> DataFrame:
     return parts.groupBy(*keys).applyInArrow(run, _typed(parts, [*keys, *_STATE]))
 
 
-def _values(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+def _values(rows: DataFrame, state: DataFrame, keys: list[str], groups: int) -> DataFrame:
     """keys, ranks, found: the values of the ranks."""
 
     def list_(a, c, ranks, lo, hi, below, inside, done):
@@ -164,7 +164,7 @@ def _values(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
             values.append(float(np.partition(own, rank - below)[rank - below]) if len(own) else hi)
         return pa.table({**{k: [first[k]] for k in keys}, "ranks": [first["ranks"]], "found": [values]}, schema=pa.schema([*(group.schema.field(c) for c in [*keys, "ranks", "found"])]))
 
-    parts = _added(rows, state, keys, list_, "double")
+    parts = _added(rows, state, keys, list_, "double", groups)
     return parts.groupBy(*keys).applyInArrow(run, _typed(parts, [*keys, "ranks", "found"]))
 
 
@@ -173,9 +173,9 @@ def percentiles(sums: DataFrame, keys: list[str], qs: list[float] = PERCENTILES)
     whole = stored(sums.filter((F.size("a") > 0) & (F.size("c") > 0)).select(*keys, "a", "c").repartition(*keys), ROWS)
     missing = lambda x: F.exists(x, lambda v: v.isNull())
     nan = F.isnan(F.array_max("a")) | F.isnan(F.array_max("c"))  # NaN orders last
-    bounds = stored(whole.groupBy(*keys).agg(
+    bounds, seen = observed(whole.groupBy(*keys).agg(
         F.sum(F.size("a").cast("long") * F.size("c")).alias("n"), F.min(F.array_min("a") + F.array_min("c")).alias("lo"), F.max(F.array_max("a") + F.array_max("c")).alias("hi"),
-        F.max(missing("a") | missing("c")).alias("missing"), F.max(F.coalesce(nan, F.lit(False))).alias("nan")))
+        F.max(missing("a") | missing("c")).alias("missing"), F.max(F.coalesce(nan, F.lit(False))).alias("nan")), odd=F.count_if(F.col("missing") | F.col("nan")))
     odd = F.col("missing") | F.col("nan")
     at = {q: (F.col("n") - 1) * (q / 100) for q in qs}
     ranks = F.array_sort(F.array_distinct(F.array(*(f(p).cast("long") for p in at.values() for f in (F.floor, F.ceil)))))
@@ -183,20 +183,21 @@ def percentiles(sums: DataFrame, keys: list[str], qs: list[float] = PERCENTILES)
     spread = F.abs("lo") + F.abs("hi")
     start = bounds.filter(~odd).withColumn("ranks", ranks).select(
         *keys, "ranks", alike(F.col("lo") - spread * 1e-15 - F.lit(1e-300)).alias("lo"), alike(F.col("hi")).alias("hi"), alike(F.lit(0).cast("long")).alias("below"), alike(F.col("n")).alias("inside"), alike(F.col("n") <= FEW).alias("done"))
-    state, sound = stored(start), whole
-    if not bounds.filter(odd).isEmpty():
+    is_open = F.exists("done", lambda d: ~d)
+    counted = {"groups": F.count("*"), "open": F.count_if(is_open)}
+    (state, now), sound = observed(start, **counted), whole
+    if seen["odd"]:
         sound = whole.join(F.broadcast(bounds.filter(~odd).select(*(F.col(k).alias(f"_{k}") for k in keys))), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi")
     by_value = True
-    while not state.filter(F.exists("done", lambda d: ~d)).limit(1).isEmpty():
+    while now["open"]:
 
         def count(a, c, ranks, lo, hi, below, inside, done, by_value=by_value):
             edges, of = np.unique(_edges(lo[~done], hi[~done], by_value), return_inverse=True)
             return counts_upto(a, c, edges)[of.ravel()]
 
-        open_ = state.filter(F.exists("done", lambda d: ~d))
-        narrowed = _narrowed(_added(sound, open_, keys, count, "long"), keys, by_value)
-        state, by_value = stored(narrowed.unionByName(state.filter(F.forall("done", lambda d: d)))), False
-    value_of = _values(sound, state, keys).select(*(F.col(k).alias(f"_{k}") for k in keys), F.map_from_arrays("ranks", "found").alias("of"))
+        narrowed = _narrowed(_added(sound, state.filter(is_open), keys, count, "long", now["open"]), keys, by_value)
+        (state, now), by_value = observed(narrowed.unionByName(state.filter(~is_open)), **counted), False
+    value_of = _values(sound, state, keys, now["groups"]).select(*(F.col(k).alias(f"_{k}") for k in keys), F.map_from_arrays("ranks", "found").alias("of"))
     both = bounds.filter(~odd).join(value_of, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     value = lambda p: F.col("of")[F.floor(p).cast("long")] + (F.col("of")[F.ceil(p).cast("long")] - F.col("of")[F.floor(p).cast("long")]) * (p - F.floor(p))
     found = both.select(*keys, F.explode(F.array(*(F.struct(F.lit(float(q)).alias("percentile"), value(p).alias("value")) for q, p in at.items()))).alias("x")).select(*keys, "x.percentile", "x.value")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import functools
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from ..operators import attribution as at
 from ..operators import products, response, summary, sumset
 from ..operators import timeseries as ts
 from ..sources import files, scenarios
-from ..sources.stored import stored
+from ..sources.stored import observed, stored
 from .config import RunConfig, clamp, headline_years
 
 #: The years of a fitted trend (its end year and the 15 before it) and of a decade, and the years before and after that a centred mean takes.
@@ -44,40 +44,42 @@ def load(spark: SparkSession, root: str, config: RunConfig, layout: scenarios.La
     return Inputs(forcing, temperature, scenarios.load_control(spark, root, rows, era, layout=layout), files.read_parameters(spark, f"{root}/{layout.parameters}"))
 
 
-def _sampled(df: DataFrame, key: str, config: RunConfig, seed: str) -> DataFrame:
-    """The members that a run of ``samples`` takes; all where there are no more."""
-    chosen = summary.sampled(df.select(key).distinct(), key, config.samples, seed)
-    return df.join(F.broadcast(chosen), key, "left_semi")
+def _sampled(df: DataFrame, key: str, config: RunConfig, seed: str) -> tuple[DataFrame, int]:
+    """The members that a run of ``samples`` takes, all where there are no more, and their number."""
+    chosen, seen = observed(summary.sampled(df.select(key).distinct(), key, config.samples, seed), n=F.count("*"))
+    return df.join(F.broadcast(chosen), key, "left_semi"), seen["n"]
 
 
 def attribute(inputs: Inputs, config: RunConfig, seed: str = "") -> tuple[dict[str, DataFrame], int]:
     """Frames (label, variable, percentile, value) timeseries, headlines and rates, and the size of the ensemble."""
     variables = sorted(config.variables)
-    forcing = stored(_sampled(inputs.forcing, "ensemble", config, seed + "f"))
-    obs = stored(_sampled(inputs.temperature, "member", config, seed + "o"))
-    span = lambda df: tuple(df.agg(F.min("t"), F.max("t")).first())
-    have, measured = span(forcing), span(obs)
+    span = {"first": F.min("t"), "last": F.max("t")}
+    (forcing, n_forcing), (obs, n_obs), (ctl, n_ctl) = _sampled(inputs.forcing, "ensemble", config, seed + "f"), _sampled(inputs.temperature, "member", config, seed + "o"), _sampled(inputs.control, "member", config, seed + "c")
+    (forcing, have), (obs, measured) = observed(forcing, **span), observed(obs, **span)
+    have, measured = (have["first"], have["last"]), (measured["first"], measured["last"])
     regress, shown = clamp(config.regress, measured, have), clamp(config.output_range, have)
     # Control noise has no dates: its first row is the first year that is shown.
-    ctl = stored(_sampled(inputs.control, "member", config, seed + "c").withColumn("t", (F.col("t") + shown[0]).cast("long")))
+    ctl = stored(ctl.withColumn("t", (F.col("t") + shown[0]).cast("long")))
     raw = response.box_response(forcing, inputs.parameters)
     resp = ts.baseline_mean(raw, ["model", "ensemble", "variable"], *config.preindustrial)
     wide = stored(at.wide(resp, variables))
-    coef = stored(at.coefficients(wide, obs, ctl, variables, *regress))
-    out = wide.filter(F.col("t").between(*shown))
+    coef = at.sides(stored(at.coefficients(wide, obs, ctl, variables, *regress)), variables)
+    coef = replace(coef, obs=stored(coef.obs), ctl=stored(coef.ctl))  # each part of the results joins them
+    out, seen = observed(wide.filter(F.col("t").between(*shown)), n=F.count("*"))
     qs = list(config.percentiles)
 
     def reduced(of, years: list[int], const: float = 1.0) -> DataFrame:
         """The sides of a linear functional of the series, taken before the pairing, at the years."""
         per = of(at.long(out, variables, ["model", "ensemble", "t"]), ["model", "ensemble", "variable"]).filter(F.col("t").isin(years)).select("model", "ensemble", "variable", "t", "value")
-        return at.sums(at.wide(per, variables), coef, variables, const=const)
+        per, seen = observed(at.wide(per, variables), n=F.count("*"))
+        return at.sums(per, coef, variables, const=const, rows=seen["n"])
 
     full = lambda before, after: lambda df, keys: ts.rolling_mean(df, keys, before, after, "mean").filter("mean is not null").withColumn("value", F.col("mean"))
     ways = {
         "ANNUAL": lambda df, keys: df, "SR15": lambda df, keys: ts.trend(df, keys, TREND).withColumn("value", F.col("end")),
         "AR6": full(DECADE - 1, 0), "CGWL": full(*CENTRED),
     }
-    parts = {"timeseries": at.sums(out, coef, variables, obs)}
+    parts = {"timeseries": at.sums(out, coef, variables, obs, rows=seen["n"])}
     parts |= {d: reduced(ways[d], headline_years(config.headline_years, regress[1], shown[1], d)) for d in config.headlines}
     if config.include_rate:
         slopes = lambda df, keys: ts.trend(df, keys, DECADE).withColumn("value", F.col("slope"))
@@ -90,8 +92,7 @@ def attribute(inputs: Inputs, config: RunConfig, seed: str = "") -> tuple[dict[s
     found = {"timeseries": of(["timeseries"]), "headlines": of(list(config.headlines))}
     if config.include_rate:
         found["rates"] = of(["RATE"])
-    count = lambda df, c: df.select(c).distinct().count()
-    return found, count(forcing, "ensemble") * count(inputs.parameters, "model") * count(obs, "member") * count(ctl, "member")
+    return found, n_forcing * inputs.parameters.select("model").distinct().count() * n_obs * n_ctl
 
 
 def run_key(config: RunConfig) -> dict[str, str]:

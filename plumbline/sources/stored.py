@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -30,6 +30,16 @@ def stored(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, rows_a_file: int = 0, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``stored``, and aggregates of the rows that are taken while they are written, without a job of their own.
+
+    They stand right below the write, in the stage whose tasks count once however often they are run, so lost executors do not change them.
+    """
+    seen = Observation()
+    table = stored(df.observe(seen, *(c.alias(k) for k, c in metrics.items())), rows_a_file)
+    return table, seen.get
+
+
 def forget(spark: SparkSession) -> None:
     """Deletes the tables that this process has stored; frames that read them end with it."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
