@@ -1,15 +1,19 @@
-"""Least squares with a constant: in closed form on covariances, or by singular values per group."""
+"""Least squares with a constant: in closed form on covariances, or by orthogonal factors of blocks of rows."""
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.stored import stored
+from ..sources.stored import observed, stored
 
 
 def _det(m: list[list]):
@@ -47,23 +51,93 @@ def ols(df: DataFrame, keys: list[str], xs: list[str], y: str = "y") -> DataFram
 
 def fit(df: DataFrame, keys: list[str], xs: list[str], y: str = "y") -> DataFrame:
     """``ols``, and the minimum-norm solution for the keys whose regressors are dependent."""
-    solved = stored(_solved(df, keys, xs, y))
+    solved, seen = observed(_solved(df, keys, xs, y), rest=F.count_if(~F.col("sound")))
     rest = solved.filter(~F.col("sound")).select(*keys)
     good = solved.filter("sound").drop("sound")
-    return good if rest.isEmpty() else good.unionByName(lstsq(df.join(rest, keys, "left_semi"), keys, xs, y))
+    return good if not seen["rest"] else good.unionByName(lstsq(df.join(rest, keys, "left_semi"), keys, xs, y))
 
 
-def lstsq(df: DataFrame, keys: list[str], xs: list[str], y: str = "y") -> DataFrame:
-    """The same by minimum-norm least squares, for dependent regressors; a group is one series."""
+#: Factors that a task merges at once.
+MERGED = 4096
+_FACTOR = "_rows long, _factor array<double>"
+
+
+def _typed(df: DataFrame, keys: list[str]) -> str:
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"b_{x} double" for x in xs), "b_const double"])
+    return "".join(f"`{k}` {kinds[k]}, " for k in keys)
+
+
+def _runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[np.ndarray]:
+    """The places of each key's rows."""
+    ids = np.zeros(batch.num_rows, np.int64)
+    for k in keys:
+        coded = batch.column(k).dictionary_encode(null_encoding="encode")
+        ids = np.unique(ids * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    order = np.argsort(ids, kind="stable")
+    return iter(np.split(order, np.flatnonzero(np.diff(ids[order])) + 1))
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        design = np.column_stack([group[xs].to_numpy(float), np.ones(len(group))])
-        b = np.linalg.lstsq(design, group[y].to_numpy(float), rcond=None)[0]
-        return pd.DataFrame([[*(group[k].iloc[0] for k in keys), *b]], columns=[*keys, *(f"b_{x}" for x in xs), "b_const"])
 
-    return df.select(*keys, *xs, y).groupBy(*keys).applyInPandas(fit, schema)
+def _triangular(rows: np.ndarray) -> np.ndarray:
+    return np.linalg.qr(rows, mode="r") if len(rows) > rows.shape[1] else rows
+
+
+def factors(df: DataFrame, keys: list[str], columns: list[str], merged: int = MERGED) -> DataFrame:
+    """keys, _rows, _factor: the triangular factors (by rows) that stand for each key's rows of the columns, ``merged`` at most for a key.
+
+    Each batch of a task is factored where it is, and stacked factors are factored again, in as many rounds of ``merged`` as a key needs.
+    So a key may hold all rows, and conditions are not squared. Rows that lack a finite number count for nothing.
+    """
+    finite = [F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf")) for c in columns]
+    rows = df.select(*keys, *(F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns))).filter(functools.reduce(operator.and_, finite))
+    schema, width = _typed(df, keys) + _FACTOR, len(columns)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.column_stack([batch.column(f"_{i}").to_numpy(zero_copy_only=False) for i in range(width)])
+            own = list(_runs(batch, keys))
+            first = batch.take(pa.array([at[0] for at in own]))
+            found = [_triangular(values[at]).ravel() for at in own]
+            yield pa.RecordBatch.from_arrays([*(first.column(k) for k in keys), pa.array([len(at) for at in own], pa.int64()), pa.array(found, pa.list_(pa.float64()))], [*keys, "_rows", "_factor"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        stack = _stacked(group, width)
+        return group.slice(0, 1).select(keys).append_column("_rows", [[sum(group.column("_rows").to_pylist())]]).append_column("_factor", pa.array([_triangular(stack).ravel()], pa.list_(pa.float64())))
+
+    parts, seen = observed(rows.mapInArrow(each, schema), n=F.count("*"))
+    while seen["n"] > merged:
+        most = parts.groupBy(*keys).count().agg(F.max("count")).first()[0]
+        if most <= merged:
+            break
+        # By place, not by content: blocks of repeated rows have one factor.
+        part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-most // merged)))
+        parts, seen = observed(parts.withColumn("_part", part).groupBy(*keys, "_part").applyInArrow(merge, schema), n=F.count("*"))
+    return parts
+
+
+def _stacked(group: pa.Table, width: int) -> np.ndarray:
+    return np.concatenate([x.flatten().to_numpy() for x in group.column("_factor").chunks]).reshape(-1, width)
+
+
+def lstsq(df: DataFrame, keys: list[str], xs: list[str], y: str = "y", merged: int = MERGED) -> DataFrame:
+    """The same by minimum-norm least squares on orthogonal factors, for dependent or ill-conditioned regressors and keys of any number of rows.
+
+    Rows that lack a finite number are left out, and so are keys without any other row.
+    """
+    width = len(xs) + 2
+    named = df.select(*keys, *(F.col(x) for x in xs), F.lit(1.0).alias("_const"), F.col(y).alias("_y"))
+
+    def solve(group: pa.Table) -> pa.Table:
+        stack, n = _stacked(group, width), sum(group.column("_rows").to_pylist())
+        b = np.linalg.lstsq(stack[:, :-1], stack[:, -1], rcond=np.finfo(float).eps * max(n, width - 1))[0]
+        out = group.slice(0, 1).select(keys)
+        for name, v in zip([*(f"b_{x}" for x in xs), "b_const"], b.tolist(), strict=True):
+            out = out.append_column(name, [[v]])
+        return out
+
+    schema = _typed(df, keys) + ", ".join([*(f"`b_{x}` double" for x in xs), "b_const double"])
+    return factors(named, keys, [*xs, "_const", "_y"], merged).groupBy(*keys).applyInArrow(solve, schema)
 
 
 def weights(df: DataFrame, keys: list[str], xs: list[str]) -> DataFrame:

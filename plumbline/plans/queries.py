@@ -427,6 +427,18 @@ def _(s, d):
     return reg.ols(rows, ["model", "ensemble", "member"], ["Ant", "Nat"]).select("model", "ensemble", "member", r("b_Ant", "b_ant"), r("b_Nat", "b_nat"), r("b_const"))
 
 
+@query("regress_tall", """SELECT l_returnflag, n, round(bq, 4) + 0.0 AS b_quantity, round(bd, 3) + 0.0 AS b_discount, round(my - bq * mq - bd * md, 3) + 0.0 AS b_const FROM (
+  SELECT *, (qy * dd - qd * dy) / (qq * dd - qd * qd) AS bq, (qq * dy - qd * qy) / (qq * dd - qd * qd) AS bd FROM (
+  SELECT l_returnflag, count(*) AS n, covar_pop(q, q) AS qq, covar_pop(q, d) AS qd, covar_pop(d, d) AS dd, covar_pop(q, y) AS qy, covar_pop(d, y) AS dy, avg(q) AS mq, avg(d) AS md, avg(y) AS my
+  FROM (SELECT l_returnflag, l_quantity AS q, l_discount AS d, l_extendedprice AS y FROM lineitem) GROUP BY 1))""")
+def _(s, d):
+    """Three keys that hold all rows."""
+    rows = src.table(s, d, "lineitem").select("l_returnflag", "l_quantity", "l_discount", "l_extendedprice")
+    counts = rows.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    found = reg.lstsq(rows, ["l_returnflag"], ["l_quantity", "l_discount"], "l_extendedprice").join(counts, "l_returnflag")
+    return found.select("l_returnflag", "n", (F.round("b_l_quantity", 4) + 0.0).alias("b_quantity"), (F.round("b_l_discount", 3) + 0.0).alias("b_discount"), (F.round("b_const", 3) + 0.0).alias("b_const"))
+
+
 @query("kde_grid", """SELECT event_type, i, round(x, 6) AS x, round(avg(exp(-power((x - value) / h, 2) / 2) / h) / sqrt(2 * pi()), 6) AS density FROM (
   SELECT event_type, i, lo + (hi - lo) * i / 24 AS x, h FROM (SELECT event_type, min(value) AS lo, max(value) AS hi, stddev_samp(value) * power(count(value), -0.2) AS h FROM daily GROUP BY 1), (SELECT unnest(range(25)) AS i)) g JOIN daily USING (event_type) GROUP BY 1, 2, x""".replace("daily", "(SELECT event_type, CAST(ts AS DATE) AS t, avg(value) AS value FROM events GROUP BY 1, 2)"))
 def _(s, d):

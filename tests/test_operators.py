@@ -148,6 +148,38 @@ def test_dependent_regressors(spark):
     assert {r.k for r in regression.ols(df, ["k"], ["a", "b"]).filter("b_a is null").collect()} == {"same", "near", "constant"}
 
 
+def test_orthogonal_factors(spark):
+    """Merged factors give the fit of all rows at conditions where covariances fail, for one key with most rows, null keys and rows that lack numbers."""
+    rng = np.random.default_rng(12)
+    data = {}
+    for k, n in (("hot", 6000), ("few", 3), (None, 40), ("same", 900)):
+        a = np.cumsum(rng.normal(size=n)) if k == "hot" else rng.normal(size=n)
+        b = 5.0 + a + 2e-10 * np.abs(a).max() * rng.normal(size=n) if k == "hot" else rng.normal(size=n)
+        if k == "same":  # repeated rows have one factor in every block
+            a, b = np.full(n, 2.0), np.full(n, -1.0)
+        data[k] = (a, b, a - 2 * b + 3)
+    rows = [(k, float(a), float(b), float(y)) for k, own in data.items() for a, b, y in zip(*own, strict=True)]
+    rows += [("few", None, 1.0, 1.0), ("few", math.inf, 1.0, 1.0), ("hot", 1.0, 1.0, math.nan), ("none", None, None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, a double, b double, y double").repartition(16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        parts = regression.factors(df.withColumn("one", F.lit(1.0)), ["k"], ["a", "b", "one", "y"], merged=8)
+        assert parts.filter("k = 'hot'").count() <= 8 and {r.k: r.n for r in parts.groupBy("k").agg(F.sum("_rows").alias("n")).collect()} == {"hot": 6000, "few": 3, None: 40, "same": 900}
+        got = {r.k: [r.b_a, r.b_b, r.b_const] for r in regression.lstsq(df, ["k"], ["a", "b"], merged=8).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == set(data)
+    for k, (a, b, y) in data.items():
+        design = np.column_stack([a, b, np.ones(len(a))])
+        assert k != "hot" or np.linalg.cond(design) > 1e9
+        assert np.allclose(got[k], np.linalg.lstsq(design, y, rcond=None)[0], rtol=1e-4), k
+    assert np.allclose(got["hot"], [1, -2, 3], rtol=1e-4)
+    by_covariances = regression.ols(df, ["k"], ["a", "b"]).filter("k = 'hot'").first()
+    assert by_covariances.b_a is None or not np.allclose([by_covariances.b_a, by_covariances.b_b], [1, -2], rtol=1e-2)
+    none = regression.lstsq(df.filter("k = 'none'"), ["k"], ["a", "b"])
+    assert none.count() == 0 and none.columns == ["k", "b_a", "b_b", "b_const"]
+
+
 def test_coefficients_of_gaps(spark):
     """Targets with all steps, with gaps and with repeated steps get the fit of their own rows, dependent regressors included."""
     rng = np.random.default_rng(9)
