@@ -10,7 +10,8 @@ Cases: a null text, role or conversation is an empty text, an empty role or a
 conversation of its own; a parent that does not exist makes its child a root; equal
 scores fall to the longer path, then the smaller leaf; messages on a cycle hang from
 no root and are in no path; repeated rows are messages of their own; an empty table
-gives no rows. Extra columns are ignored.
+gives no rows. Extra columns are ignored. A text of any length is one cell, of its message
+and of each conversation that it is in.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ word waits for the next round.
 Cases: a null text is empty and has no ids; every character outside the vocabulary
 becomes its UTF-8 bytes' pieces; control strings such as ``</s>`` in a text are ordinary
 text; an empty table gives no rows; extra columns are ignored; repeated rows are each
-encoded.
+encoded, whatever their id, which can be null; a very long text is one row, cut into words like any other. Ties, pairs
+whose pieces have equal scores, merge from the left, as in the library.
 """
 
 from __future__ import annotations

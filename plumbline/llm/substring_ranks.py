@@ -15,6 +15,7 @@ until a core is the whole window: 216, 364 and at last 400 bytes for windows of
 Rows with the same document id and text are documents of their own, each a copy of the
 others. A null text is empty; texts shorter than ``length`` keep all; an empty table
 gives no rows; extra columns are ignored; a very long text is cut into overlapping parts while anchors are sought.
+Of equal strings all go, none is kept as the first, and equal least hashes fall to the leftmost: there are no other ties.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ Chunks are numbered by partition and place, so ``docs`` should be a table, whose
 places whenever it is read. Cases: every row of the input is counted by itself, whatever its id, which can be
 null or repeated; equal rows give equal rows; a null text is empty and has no token; a very long text is one
 row like any other; an empty table gives no rows; extra columns, whatever their names, are ignored.
+Counts have no ties.
 """
 
 from __future__ import annotations

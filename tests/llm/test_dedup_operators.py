@@ -366,6 +366,16 @@ def test_chat_round_trip(spark, sf):
     assert chat_trees.read_back(chat_trees.format_paths(chat_trees.reply_paths(chat_trees.linear_tree(turns.limit(0))))).count() == 0
 
 
+def test_chat_of_repeated_rows(spark):
+    """Repeated rows are messages of their own, extra columns change nothing, and a long text comes back whole."""
+    long = "</s> word " * 50_000
+    rows = [(1, 0, "user", "a", "x", 5), (1, 0, "user", "a", "x", 5), (1, 1, "assistant", long, None, 6), (2, None, None, None, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, depth long")
+    got = {r.conv_id: r for r in chat_trees.read_back(chat_trees.format_paths(chat_trees.reply_paths(chat_trees.linear_tree(turns)))).collect()}
+    assert [(t.role, t.text) for t in got[1].turns] == [("user", "a"), ("user", "a"), ("assistant", long)] and got[1].loss_text == long
+    assert [(t.role, t.text) for t in got[2].turns] == [("", "")] and len(got) == 2
+
+
 def test_branches_are_ranked(spark):
     #      1 -> 2 -> 4 (score 5), 1 -> 3 -> 5 -> 6 (scores 1 + 1 + 9); 7 hangs from nothing; 8 and 9 are a cycle
     rows = [(1, 1, None, 0.0), (1, 2, 1, 2.0), (1, 3, 1, 1.0), (1, 4, 2, 5.0), (1, 5, 3, 1.0), (1, 6, 5, 9.0), (1, 7, 99, 1.0), (1, 8, 9, 9.0), (1, 9, 8, 9.0)]
@@ -458,6 +468,42 @@ def test_sha_of_kept(spark, text):
     assert hashlib.sha256(row.kept).hexdigest() == hashlib.sha256(text.encode()).hexdigest() and row.removed == []
 
 
+def test_query_as_by_all_pairs(spark, sf, corpus):
+    """Every passage found is one, and texts that share an exact run of 50 words, or are as a whole within the limit of edits, hang together."""
+    found = chained_seeds.op3_chained_seeds(spark, sf).collect()
+    text = {d: (t or "").split() for d, t in corpus}
+    assert len(text) == len(corpus)
+    for r in found:
+        a, b = text[r.doc_id][r.start : r.end], text[r.other_doc_id][r.other_start : r.other_end]
+        assert min(len(a), len(b)) >= 50 and r.identity >= 0.8
+        assert a == b or brute.edit_distance(a, b) <= r.edits
+    runs, linked = {}, set()
+    for d, w in text.items():
+        for i in range(len(w) - 49):
+            runs.setdefault(tuple(w[i : i + 50]), set()).add(d)
+    for having in runs.values():
+        linked |= set(itertools.pairwise(sorted(having)))
+    grams = {d: [tuple(w[i : i + 4]) for i in range(len(w) - 3)] for d, w in text.items()}
+    held = {d: set(g) for d, g in grams.items()}
+    for a, b in itertools.combinations([d for d, w in text.items() if len(w) >= 50], 2):
+        most = max(len(text[a]), len(text[b]))
+        if abs(len(text[a]) - len(text[b])) > 0.2 * most or sum(g in held[b] for g in grams[a]) < len(grams[a]) - 4 * (0.2 * most):
+            continue  # so many edits would leave more four-word strings
+        if (a, b) not in linked and brute.edit_distance(text[a], text[b]) <= 0.2 * most:
+            linked.add((a, b))
+    assert len(linked) > 20
+    parent = {d: d for d in text}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in found:
+        parent[root(r.doc_id)] = root(r.other_doc_id)
+    assert [p for p in sorted(linked) if root(p[0]) != root(p[1])] == []
+
+
 @pytest.mark.parametrize(("copies", "edits"), [(30, 0.1), (100, 0.08)])
 def test_copies_of_a_passage_hang_together(spark, rng, copies, edits):
     """Each copy is edited on its own, so every seed has some of the copies and no copy has all the seeds."""
