@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.stored import stored
+from ..sources.stored import observed, stored
 from . import scan
 
 #: Models whose boxes are broadcast.
@@ -21,15 +21,14 @@ def box_response(forcing: DataFrame, params: DataFrame, midpoint: bool = False)
     ``midpoint`` takes the mean of the state before and after the step. Series are scanned in blocks of steps (``scan``), each with all
     models; parameters are one row for each model, broadcast behind a check of their number.
     """
-    series = stored(scan.blocks(forcing, ["variable", "ensemble"], "t", ["value"]))
-    boxes = params.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("box", "d", "q"))).alias("boxes"))
-    few = boxes.limit(MOST_MODELS + 1).count() <= MOST_MODELS
+    series, of_series = observed(scan.blocks(forcing, ["variable", "ensemble"], "t", ["value"]), last=F.max("block"))
+    boxes, of_boxes = observed(params.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("box", "d", "q"))).alias("boxes")), n=F.count("*"))
     keep, add = lambda b: F.exp(-1 / b["d"]), lambda b: b["q"] * -F.expm1(-1 / b["d"])
     folded = F.transform("boxes", lambda b: scan.folded(F.col("s"), lambda x: keep(b), lambda x: add(b) * x["value"]))
-    rows = series.crossJoin(F.broadcast(boxes) if few else boxes).select("model", "ensemble", "variable", "block", F.col("s.t").alias("t"), folded.alias("f"))
+    rows = series.crossJoin(F.broadcast(boxes) if of_boxes["n"] <= MOST_MODELS else boxes).select("model", "ensemble", "variable", "block", F.col("s.t").alias("t"), folded.alias("f"))
     nothing = F.transform("f", lambda _: F.lit(0.0))
     keys = ["model", "ensemble", "variable"]
-    if not series.agg(F.max("block")).first()[0]:
+    if not of_series["last"]:
         whole = rows.withColumn("before", nothing)
     else:
         rows = stored(rows)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.stored import stored
+from ..sources.stored import observed
 
 BLOCK = 256
 
@@ -44,8 +44,8 @@ def affine(df: DataFrame, keys: list[str], order: str, terms: int = 1, block: in
     named = [f"{x}{i}" for i in range(terms) for x in "ka"]
     field = lambda name: lambda x: x[name]
     inner = [folded(F.col("s"), field(f"k{i}"), field(f"a{i}")).alias(f"f{i}") for i in range(terms)]
-    rows = stored(blocks(df, keys, order, named, block).select(*keys, "block", F.col(f"s.{order}").alias(order), *inner))
-    if (rows.agg(F.max("block")).first()[0] or 0) == 0:
+    rows, seen = observed(blocks(df, keys, order, named, block).select(*keys, "block", F.col(f"s.{order}").alias(order), *inner), last=F.max("block"))
+    if not seen["last"]:
         whole = rows.withColumns({f"c{i}": F.lit(0.0) for i in range(terms)})
     else:
         last = lambda i: F.element_at(f"f{i}", -1)
