@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.stored import observed, stored
+from ..sources.stored import bucketed, observed, stored
 from .regression import fit, growing_weights, weights
 
 VARIABLES = ["GHG", "Nat", "OHF"]
@@ -34,6 +34,8 @@ MOST_RESPONSES = 10_000
 MEMBERS = 1 << 16
 #: Numbers that a task forms, about, and coefficients that are broadcast to the responses.
 VALUES, MOST_COEFFICIENTS = 1 << 20, 500_000
+#: Coefficients of a bucket, about, where there are more than are broadcast.
+BUCKET = 100_000
 
 
 def _targets(obs: DataFrame, ctl: DataFrame, first: int, last: int) -> DataFrame:
@@ -110,16 +112,35 @@ class Sides:
     obs: DataFrame
     ctl: DataFrame
     most: int  # coefficients of a kind that a response member has
-    few: bool
+    at: list[str]
+    buckets: int  # of the tables that both kinds are, by ``at``; 0 where they are broadcast
 
+    def laid(self, responses: DataFrame) -> tuple[DataFrame, int]:
+        """The responses from a table that meets the coefficients without an exchange, and how many they are."""
+        if not self.buckets:
+            table, seen = observed(responses, n=F.count("*"))
+            return table, seen["n"]
+        table = bucketed(responses, self.at, self.buckets)
+        return table, table.count()
 
-def sides(coef: DataFrame, variables: list[str], on: list[str] | None = None) -> Sides:
+
+def sides(coef: DataFrame, variables: list[str], on: list[str] | None = None, bucket: bool | None = None) -> Sides:
+    """Both kinds' arrays; ``bucket`` says whether they are bucketed tables, or else their number does."""
     at, names = ["model", "ensemble", *(on or [])], [f"b_{v}" for v in [*variables, "const"]]
-    sizes = coef.groupBy(*at, "kind").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
-    most, few = sizes.most or 0, (sizes.all or 0) <= MOST_COEFFICIENTS
+    sizes = coef.groupBy(*at, "kind").count().groupBy(*at).agg(F.max("count").alias("most"), F.sum("count").alias("all"))
+    sizes = sizes.agg(F.max("most").alias("most"), F.sum("all").alias("all"), F.count("*").alias("members")).first()
+    most, buckets = sizes.most or 0, 0
+    if sizes.all and (bucket or bucket is None and sizes.all > MOST_COEFFICIENTS):
+        # A member's coefficients are in one bucket, and all members have about as many, so more buckets than members would be empty ones.
+        buckets = min(sizes.members, -(-sizes.all // BUCKET))
+        coef = coef.repartition(buckets, *at)
     block = F.pmod(F.xxhash64("target"), F.lit(-(-most // MEMBERS) or 1))
-    own = lambda k, *columns: coef.filter(F.col("kind") == k).groupBy(*at, block.alias("block")).agg(F.collect_list(F.struct(*columns)).alias(k)).drop("block")
-    return Sides(own("obs", "target", *names), own("ctl", *names), most, few)
+
+    def own(kind: str, *columns: str) -> DataFrame:
+        arrays = coef.filter(F.col("kind") == kind).groupBy(*at, block.alias("block")).agg(F.collect_list(F.struct(*columns)).alias(kind)).drop("block")
+        return bucketed(arrays, at, buckets, placed=True) if buckets else arrays
+
+    return Sides(own("obs", "target", *names), own("ctl", *names), most, at, buckets)
 
 
 def sums(response_wide: DataFrame, coef: DataFrame | Sides, variables: list[str], obs: DataFrame | None = None, const: float = 1.0, on: list[str] | None = None, rows: int | None = None) -> DataFrame:
@@ -128,12 +149,15 @@ def sums(response_wide: DataFrame, coef: DataFrame | Sides, variables: list[str]
     Every shown value of a pair is one number of its measured member and one of its control member, so a row is a variable of a
     step of a response member, whatever the number of pairs. With ``obs`` there is Res, for the members measured at the step.
     ``on``: further columns of both frames that tell coefficients apart. ``rows``: the number of responses' rows, where it is known.
+    Coefficients too many for a broadcast are tables bucketed by response member, and responses that are ``laid`` out alike meet them where they are.
     """
     at, own = ["model", "ensemble", *(on or [])], coef if isinstance(coef, Sides) else sides(coef, variables, on)
-    side = lambda df: F.broadcast(df) if own.few else df
-    # Rows are few and arrays long: as many tasks as the numbers they hold ask for, not as the rows do.
-    tasks = max(1, -(-(response_wide.count() if rows is None else rows) * (len(variables) + 3) * own.most // VALUES))
-    both = response_wide.repartition(tasks).join(side(own.obs), at).join(side(own.ctl), at)
+    if own.buckets:
+        both = response_wide.join(own.obs.hint("merge"), at).join(own.ctl.hint("merge"), at)
+    else:
+        # Rows are few and arrays long: as many tasks as the numbers they hold ask for, not as the rows do.
+        tasks = max(1, -(-(response_wide.count() if rows is None else rows) * (len(variables) + 3) * own.most // VALUES))
+        both = response_wide.repartition(tasks).join(F.broadcast(own.obs), at).join(F.broadcast(own.ctl), at)
     times = lambda v: lambda x: x[f"b_{v}"] * F.col(v)
     part = {v: times(v) for v in variables}
     total = lambda x: sum((part[v](x) for v in variables), x["b_const"] * const)

@@ -245,6 +245,18 @@ def _(s, d):
     return _over_controls(_run(s, d)[2], _OBS, {"b_ghg": "b_GHG", "b_nat": "b_Nat", "b_ohf": "b_OHF", "b_const": "b_const"})
 
 
+@query("join_bucketed", "SELECT model, ensemble, t, count(*) AS n, round(min(Tot), 4) + 0.0 AS lo, round(max(Tot), 4) + 0.0 AS hi, round(avg(Tot), 4) + 0.0 AS mean FROM att GROUP BY model, ensemble, t")
+def _(s, d):
+    """Responses and coefficients from tables laid out alike, so that every pair's total is found without an exchange."""
+    wide, coef, _, _ = _run(s, d)
+    sides = at.sides(coef, V, bucket=True)
+    both = at.sums(sides.laid(wide)[0], sides, V).filter("variable = 'Tot'")
+    each = both.select("model", "ensemble", "t", F.size("a").cast("long").alias("na"), F.size("c").cast("long").alias("nc"), *(f(x).alias(f"{k}{x}") for x in "ac" for k, f in (("lo", F.array_min), ("hi", F.array_max))), *(F.aggregate(x, F.lit(0.0), lambda m, v: m + v).alias(f"sum{x}") for x in "ac"))
+    n, of = F.sum(F.col("na") * F.col("nc")), lambda c: F.round(c, 4) + 0.0
+    total = F.sum(F.col("suma") * F.col("nc") + F.col("sumc") * F.col("na"))
+    return each.groupBy("model", "ensemble", "t").agg(n.alias("n"), of(F.min(F.col("loa") + F.col("loc"))).alias("lo"), of(F.max(F.col("hia") + F.col("hic"))).alias("hi"), of(total / n).alias("mean"))
+
+
 @query("join_year_equi", "SELECT ensemble, variable, member, t, round(f.value, 6) AS x, round(o.value, 6) AS y FROM forcing f JOIN obs o USING (t) WHERE ensemble = 'ens2'")
 def _(s, d):
     f = src.forcing(s, d).filter(F.col("ensemble") == "ens2").select("ensemble", "variable", "t", r("value", "x"))

@@ -64,22 +64,23 @@ def attribute(inputs: Inputs, config: RunConfig, seed: str = "") -> tuple[dict[s
     resp = ts.baseline_mean(raw, ["model", "ensemble", "variable"], *config.preindustrial)
     wide = stored(at.wide(resp, variables))
     coef = at.sides(stored(at.coefficients(wide, obs, ctl, variables, *regress)), variables)
-    coef = replace(coef, obs=stored(coef.obs), ctl=stored(coef.ctl))  # each part of the results joins them
-    out, seen = observed(wide.filter(F.col("t").between(*shown)), n=F.count("*"))
+    if not coef.buckets:
+        coef = replace(coef, obs=stored(coef.obs), ctl=stored(coef.ctl))  # each part of the results joins them
+    out, n_out = coef.laid(wide.filter(F.col("t").between(*shown)))
     qs = list(config.percentiles)
 
     def reduced(of, years: list[int], const: float = 1.0) -> DataFrame:
         """The sides of a linear functional of the series, taken before the pairing, at the years."""
         per = of(at.long(out, variables, ["model", "ensemble", "t"]), ["model", "ensemble", "variable"]).filter(F.col("t").isin(years)).select("model", "ensemble", "variable", "t", "value")
-        per, seen = observed(at.wide(per, variables), n=F.count("*"))
-        return at.sums(per, coef, variables, const=const, rows=seen["n"])
+        per, n = coef.laid(at.wide(per, variables))
+        return at.sums(per, coef, variables, const=const, rows=n)
 
     full = lambda before, after: lambda df, keys: ts.rolling_mean(df, keys, before, after, "mean").filter("mean is not null").withColumn("value", F.col("mean"))
     ways = {
         "ANNUAL": lambda df, keys: df, "SR15": lambda df, keys: ts.trend(df, keys, TREND).withColumn("value", F.col("end")),
         "AR6": full(DECADE - 1, 0), "CGWL": full(*CENTRED),
     }
-    parts = {"timeseries": at.sums(out, coef, variables, obs, rows=seen["n"])}
+    parts = {"timeseries": at.sums(out, coef, variables, obs, rows=n_out)}
     parts |= {d: reduced(ways[d], headline_years(config.headline_years, regress[1], shown[1], d)) for d in config.headlines}
     if config.include_rate:
         slopes = lambda df, keys: ts.trend(df, keys, DECADE).withColumn("value", F.col("slope"))

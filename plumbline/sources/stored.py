@@ -20,6 +20,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 _written: list[str] = []
+_named: list[str] = []
 
 
 def stored(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
@@ -30,6 +31,21 @@ def stored(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], buckets: int, placed: bool = False) -> DataFrame:
+    """``df`` from a table in the shared folder whose rows are laid out by a hash of the keys, each of the buckets one file.
+
+    Joins and groups by all of these keys read tables of as many buckets without an exchange. ``placed``: the rows stand in
+    that many partitions by the keys already. ``forget`` deletes it.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "bucketed")
+    name = f"stored_{uuid.uuid4().hex}"
+    rows = df if placed else df.repartition(buckets, *keys)
+    rows.write.format("parquet").bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
+    _written.append(path)
+    _named.append(name)
+    return spark.table(name)
+
+
 def observed(df: DataFrame, rows_a_file: int = 0, **metrics: Column) -> tuple[DataFrame, dict]:
     """``stored``, and aggregates of the rows that are taken while they are written, without a job of their own.
 
@@ -42,6 +58,8 @@ def observed(df: DataFrame, rows_a_file: int = 0, **metrics: Column) -> tuple[Da
 
 def forget(spark: SparkSession) -> None:
     """Deletes the tables that this process has stored; frames that read them end with it."""
+    while _named:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop()}")
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())

@@ -130,6 +130,67 @@ def test_sums_are_the_pairs(spark, monkeypatch):
             assert np.allclose(sorted(got[k]), sorted(want[k]), rtol=1e-9, atol=1e-12)
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("members", [1 << 16, 2])
+def test_bucketed_sides_meet_without_exchange(spark, monkeypatch, members):
+    wide, obs, ctl, _, _ = made(spark)
+    variables = ["GHG", "Nat", "OHF"]
+    obs = obs.filter("not (member = 'o1' and t = 29)")
+    coef = at.coefficients(wide, obs, ctl, variables, 0, 20).persist()
+    rows = lambda df: sorted((r.model, r.ensemble, r.t, r.variable, round(x, 8)) for r in df.collect() for x in np.add.outer(r.a, r.c).ravel())
+    monkeypatch.setattr(at, "MEMBERS", members)
+    monkeypatch.setattr(at, "BUCKET", 3)
+    broadcast = at.sides(coef, variables)
+    assert broadcast.buckets == 0
+    monkeypatch.setattr(at, "MOST_COEFFICIENTS", 1)
+    own = at.sides(coef, variables)
+    assert own.buckets > 1
+    laid, n = own.laid(wide)
+    assert n == wide.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = at.sums(laid, own, variables)
+        assert "SortMergeJoin" in _plan(got) and "Exchange" not in _plan(got)
+        whole = at.sums(laid, own, variables, obs)  # measurements are few and by step
+        assert rows(whole) == rows(at.sums(wide, broadcast, variables, obs))
+        # A filter keeps the layout, and responses of another layout are moved alone.
+        assert "Exchange" not in _plan(at.sums(laid.filter("t > 3"), own, variables))
+        assert _plan(at.sums(wide, own, variables)).count("Exchange") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bucketed_sides_of_growing_ranges_and_of_nothing(spark):
+    wide, obs, ctl, _, _ = made(spark)
+    variables = ["GHG", "Nat", "OHF"]
+    coef = at.growing_coefficients(wide, obs, ctl, variables, 0, 18, 20)
+    own = at.sides(coef, variables, ["end_step"], bucket=True)
+    each = wide.filter("t < 3").crossJoin(coef.select("end_step").distinct())
+    got = at.sums(own.laid(each)[0], own, variables, on=["end_step"])
+    want = at.sums(each, coef, variables, on=["end_step"])
+    rows = lambda df: sorted((r.end_step, r.model, r.t, r.variable, round(x, 8)) for r in df.collect() for x in np.add.outer(r.a, r.c).ravel())
+    assert rows(got) == rows(want) != []
+    none = at.sides(coef.filter("false"), variables, ["end_step"], bucket=True)
+    assert none.buckets == 0 and at.sums(none.laid(each)[0], none, variables, on=["end_step"]).count() == 0
+
+
+def test_stored_tables_are_deleted(spark):
+    from plumbline.sources import stored
+
+    before, stored._written[:], names, stored._named[:] = stored._written[:], [], stored._named[:], []
+    try:
+        df = stored.bucketed(spark.range(100).selectExpr("id", "id % 7 AS k"), ["k"], 3)
+        assert df.count() == 100 and df.groupBy("k").count().count() == 7
+        name = stored._named[0]
+        stored.forget(spark)
+        assert not spark.catalog.tableExists(name)
+    finally:
+        stored._written[:], stored._named[:] = before, names
+
+
 def test_targets_with_gaps(spark):
     wide, obs, ctl, x, y = made(spark)
     gone = obs.filter("not (member = 'o2' and t in (3, 7))")
