@@ -30,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crc32_sql(text: str) -> str:
+    """The CRC-32 of an ASCII string in SQL, bit by bit."""
+    bit = "lambda v, _: xor(v >> 1, (v & 1) * 3988292384)"
+    byte = f"lambda c, x: list_reduce(list_prepend(xor(c, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)), {byte}), 4294967295)"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only where a local session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc32_sql, table
 
 #: Where each role's initial leads from a state: the start, after a system, a user or an assistant turn; and the roles that fit next.
 LEADS = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
@@ -276,3 +276,50 @@ def repaired(rows: DataFrame, found: DataFrame) -> DataFrame:
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = damaged(table(spark, sf_dir, "conversations"))
     return repaired(rows, audits(rows))
+
+
+def _oracle() -> str:
+    """The same by the least (cost, letters) of every place and state, from a conversation's last row to its first, and a walk along the letters."""
+    role = lambda state: f"CASE {state} WHEN 2 THEN 'assistant' ELSE 'user' END"
+    fitting = lambda state: f"CASE {state} WHEN 2 THEN 3 ELSE 2 END"
+    kept = "CASE WHEN {s} = 0 AND initial = 's' THEN 1 WHEN {s} IN (0, 1, 3) AND initial = 'u' THEN 2 WHEN {s} = 2 AND initial = 'a' THEN 3 END"
+    step = lambda letter, cost, then: f"struct_pack(c := {cost} + {then}.c, l := '{letter}' || {then}.l)"
+    keeps = lambda s: [(i, k) for i, k in LEADS[s].items()]
+
+    def stays(s: int) -> str:
+        """The best of a row's edits but insertions, from the next place's f0 to f3."""
+        keep = "".join(f" WHEN initial = '{i}' THEN {step('K', 'extra', f'f{k}')}" for i, k in keeps(s))
+        rerole = step("R", f"{REROLE} + extra", f"f{FITTING[s][1]}")
+        keep = f"CASE WHEN lost THEN NULL{keep} END"
+        return f"list_min(list_filter([{step('D', DELETE, f'f{s}')}, {keep}, CASE WHEN NOT lost THEN {rerole} END], lambda x: x IS NOT NULL)) AS g{s}"
+
+    insert = lambda s, then: f"least(g{s}, {step('I', INSERT, then)}) AS f{s}"
+    # Two insertions in a row help after a system turn alone, so states 2 and 3 are settled before 0 and 1.
+    settled = lambda source: f"SELECT conv_id, n, place, g0, g1, {insert(2, 'g3')}, {insert(3, 'g2')} FROM ({source})"
+    whole = lambda source: f"SELECT conv_id, n, place, {insert(0, 'f2')}, {insert(1, 'f2')}, f2, f3 FROM ({settled(source)})"
+    end = ", ".join(f"struct_pack(c := {0 if ok else 1 << 40}::BIGINT, l := '') AS g{s}" for s, ok in enumerate(ACCEPTING))
+    word = r"[^\x20\x09-\x0D]"
+    state = lambda s: f"CASE letter WHEN 'D' THEN {s} WHEN 'K' THEN {kept.format(s=s)} ELSE {fitting(s)} END"
+    return f"""WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS how FROM conversations),
+hurt AS (SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM keyed, (VALUES (1), (2)) c(copy) WHERE how <> 0 AND (copy = 1 OR how = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM hurt),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, left(role, 1) AS initial FROM placed),
+judged AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '{word}') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' END AS fault,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM seen),
+edited AS MATERIALIZED (SELECT conv_id, i, initial, coalesce(fault IN ('blank', 'duplicate'), FALSE) AS lost, coalesce((fault = 'truncated')::BIGINT, 0) AS extra FROM judged),
+costs AS ({whole(f"SELECT DISTINCT conv_id, n, n + 1 AS place, {end} FROM judged")}
+  UNION ALL {whole(f"SELECT c.conv_id, n, place - 1 AS place, {', '.join(stays(s) for s in range(4))} FROM costs c JOIN edited e ON c.conv_id IS NOT DISTINCT FROM e.conv_id AND e.i = c.place - 1")}),
+audits AS MATERIALIZED (SELECT conv_id, f0.c AS cost, f0.l AS audit FROM costs WHERE place = 1),
+walk AS (SELECT conv_id, audit, 0 AS p, 1 AS i, 0 AS state, NULL::VARCHAR AS role, NULL::BIGINT AS line FROM audits
+  UNION ALL SELECT conv_id, audit, p + 1, CASE letter WHEN 'I' THEN i ELSE i + 1 END, {state("state")}, CASE letter WHEN 'D' THEN NULL WHEN 'K' THEN '' ELSE {role("state")} END, CASE WHEN letter IN ('K', 'R') THEN i END
+  FROM (SELECT w.conv_id, audit, p, w.i, state, audit[p + 1] AS letter, e.initial FROM walk w LEFT JOIN edited e ON w.conv_id IS NOT DISTINCT FROM e.conv_id AND w.i = e.i WHERE p < length(audit))),
+written AS (SELECT w.conv_id, sha256(string_agg(CASE w.role WHEN '' THEN j.role ELSE w.role END || ':' || coalesce(j.text, ''), chr(10) ORDER BY p)) AS repaired_sha256
+  FROM walk w LEFT JOIN judged j ON w.conv_id IS NOT DISTINCT FROM j.conv_id AND w.line = j.i WHERE w.role IS NOT NULL GROUP BY 1),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
+  count_if(before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY 1)
+SELECT o.conv_id, {', '.join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in _REPORT)}, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN audits a ON o.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN written w ON o.conv_id IS NOT DISTINCT FROM w.conv_id"""
+
+
+ORACLE = _oracle()

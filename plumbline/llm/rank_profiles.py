@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_parts
+from .common import crc32_sql, cut, table, text_parts
 
 PROFILE, FOLDS = 400, 5
 MOST_LANGUAGES = 2000
@@ -157,3 +157,18 @@ def identify(docs: DataFrame, size: int = PROFILE) -> DataFrame:
 
 def op11_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
+
+
+#: The same by counting n-grams as strings, whose order is that of their code points.
+ORACLE = f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lower(text) AS text, lang, {crc32_sql("doc_id::VARCHAR")} % {FOLDS} = 0 AS held_out FROM documents),
+runs AS (SELECT r, ' ' || run || ' ' AS run, count(*) AS n FROM (SELECT r, unnest(regexp_extract_all(text, '\\p{{L}}+')) AS run FROM docs) GROUP BY 1, 2),
+pieces AS (SELECT r, n, run, k, unnest(range(1, length(run) - k + 2)) AS i FROM runs, (VALUES (1), (2), (3)) t(k) WHERE length(run) >= k),
+grams AS MATERIALIZED (SELECT r, substring(run, i, k) AS gram, sum(n) AS n FROM pieces WHERE substring(run, i, k) <> ' ' GROUP BY 1, 2),
+counted AS (SELECT lang, gram, sum(n) AS n FROM grams JOIN docs USING (r) WHERE NOT held_out AND lang IS NOT NULL GROUP BY 1, 2),
+profiles AS MATERIALIZED (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) - 1 AS rank FROM counted QUALIFY rank < {PROFILE}),
+own AS MATERIALIZED (SELECT r, gram, row_number() OVER (PARTITION BY r ORDER BY n DESC, gram) - 1 AS rank FROM grams QUALIFY rank < {PROFILE}),
+ranked AS (SELECT r, count(*) AS n FROM own GROUP BY 1),
+near AS (SELECT r, lang, sum({PROFILE} - abs(p.rank - o.rank)) AS near FROM own o JOIN profiles p USING (gram) GROUP BY 1, 2),
+apart AS (SELECT r, lang, {PROFILE} * n - coalesce(near, 0) AS far, {PROFILE} * n AS most FROM ranked CROSS JOIN (SELECT DISTINCT lang FROM profiles) LEFT JOIN near USING (r, lang)),
+best AS (SELECT r, lang, far, most FROM apart QUALIFY row_number() OVER (PARTITION BY r ORDER BY far, lang) = 1)
+SELECT doc_id, held_out, coalesce(b.lang, 'und') AS lang_pred, CASE WHEN b.r IS NULL THEN 0.0::DOUBLE ELSE 1 - far::DOUBLE / most::DOUBLE END AS score FROM docs LEFT JOIN best b USING (r)"""

@@ -165,8 +165,22 @@ def test_odd_vectors(spark):
         coded(spark, [(1, [1e9, 2.0], 1)], parts=2)
 
 
-def test_vector_query_as_sql(spark, sf):
-    duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM read_parquet('{sf}/embeddings.parquet')")
-    got = vector_codes.op13_vector_codes(spark, sf)
-    want = duckdb.sql(vector_codes.ORACLE)
-    assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(want.fetchall())
+@pytest.mark.parametrize("query, sql, name", [
+    (rank_profiles.op11_rank_profiles, rank_profiles.ORACLE, "documents"), (conversation_repair.op12_conversation_repair, conversation_repair.ORACLE, "conversations"), (vector_codes.op13_vector_codes, vector_codes.ORACLE, "embeddings"),
+])
+def test_query_as_sql(spark, sf, query, sql, name):
+    duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM read_parquet('{sf}/{name}.parquet')")
+    want = duckdb.sql(sql)
+    assert sorted(tuple(r) for r in query(spark, sf).select(*want.columns).collect()) == sorted(want.fetchall())
+
+
+def test_sql_of_odd_conversations(spark):
+    rng = random.Random(12)
+    texts = [None, "", " \t\n", "One.", "One.", "two", "Three!  \n", "\x0b?", "é…", "x" * 3000 + "."]
+    for trial in range(3):
+        rows = [(rng.choice([None, 1, 2, 3, 4, 5, 6, -7]), rng.choice([None, *range(12)]), rng.choice([None, "", "user", "assistant", "system", "tool", "user"]), rng.choice(texts)) for _ in range(30 + 60 * trial)]
+        own = duckdb.connect()
+        own.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+        own.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+        want = own.sql(f"SELECT conv_id, {', '.join(REPORT)} FROM ({conversation_repair.ORACLE})").fetchall()
+        assert {r[0]: r[1:] for r in want} == repaired(spark, rows)
