@@ -19,6 +19,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_chat_formatting": chat_trees.ORACLE,
+    "op5_url_rules": url_rules.ORACLE,
     "op11_rank_profiles": rank_profiles.ORACLE,
     "op12_conversation_repair": conversation_repair.ORACLE,
     "op13_vector_codes": vector_codes.ORACLE,

@@ -119,3 +119,31 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: What each kind of token is made of, in the SQL.
+_WORDS = {
+    "scheme": "[regexp_extract(url, '(?s)^(.*?)://', 1)]", "host": "[host]", "label": "string_split(host, '.')", "segment": "string_split(path, '/')", "ext": r"[regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)]",
+    "query": r"list_transform(string_split(regexp_extract(url, '(?s)\?([^#]*)', 1), '&'), lambda x: regexp_extract(x, '^[^=]*'))", "fragment": "[regexp_extract(url, '(?s)#(.*)$', 1)]",
+}
+_LISTED = ", ".join(f"({len(h + p)}, '{h}', '{p}', '{v}')" for h, p, v in RULES)
+_SUPPORT = f"greatest({MIN_SUPPORT}::DOUBLE, {MIN_PAGES}::DOUBLE / pages)"
+#: The same by counting all sets of useful tokens that some labelled page has.
+ORACLE = f"""WITH RECURSIVE rests AS (SELECT row_number() OVER () AS p, page_id, url, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS MATERIALIZED (SELECT p, page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host, regexp_extract(rest, '(?s)^[^/?#]*(/[^?#]*)', 1) AS path FROM rests),
+tokens AS MATERIALIZED (SELECT DISTINCT p, kind || ':' || x AS token FROM ({" UNION ALL ".join(f"SELECT p, host, '{kind}' AS kind, unnest({of}) AS x FROM parts" for kind, of in _WORDS.items())}) WHERE host <> '' AND (x <> '' OR kind IN ('scheme', 'host'))),
+known AS MATERIALIZED (SELECT row_number() OVER () AS k, p, bad, count(*) OVER () AS pages FROM (SELECT p, toxic = 1 OR quality = 0 AS bad FROM parts JOIN labels ON page_id = doc_id) WHERE bad IS NOT NULL),
+held AS MATERIALIZED (SELECT token, freq, on_pages FROM (SELECT token, count(*) AS freq, any_value(pages) AS pages, list(k ORDER BY k) AS on_pages FROM known JOIN tokens USING (p) GROUP BY 1) WHERE freq >= ceil({_SUPPORT} * pages - 1e-9) AND freq < pages),
+useful AS MATERIALIZED (SELECT min(token) AS token FROM held GROUP BY freq, on_pages),
+left_on AS MATERIALIZED (SELECT k, bad, pages, token FROM known JOIN tokens USING (p) JOIN useful USING (token)),
+sets AS (SELECT k, bad, pages, [token] AS items FROM left_on UNION ALL SELECT s.k, s.bad, s.pages, list_append(items, l.token) FROM sets s JOIN left_on l ON s.k = l.k AND l.token > items[-1]),
+counted AS MATERIALIZED (SELECT items, any_value(pages) AS pages, count(*) AS n, count_if(bad) AS bad FROM sets GROUP BY 1),
+shares AS (SELECT count_if(bad) AS bad, count(*) AS n FROM known),
+mined AS MATERIALIZED (SELECT items, verdict, joint::DOUBLE / c.n AS confidence, joint::DOUBLE / pages AS support
+  FROM (SELECT items, pages, n, bad AS joint, 'block' AS verdict FROM counted UNION ALL SELECT items, pages, n, n - bad, 'allow' FROM counted) c CROSS JOIN shares s
+  WHERE joint >= ceil({_SUPPORT} * pages - 1e-9) AND joint >= {MIN_PAGES} AND joint::DOUBLE / c.n >= {MIN_CONFIDENCE} AND joint::DOUBLE / c.n / ((CASE verdict WHEN 'block' THEN s.bad ELSE s.n - s.bad END)::DOUBLE / s.n) >= {MIN_LIFT}),
+urls AS (SELECT any_value(p) AS p, url FROM parts WHERE host <> '' GROUP BY url),
+listed AS MATERIALIZED (SELECT url, list(token) AS own FROM urls JOIN tokens USING (p) GROUP BY 1),
+matched AS (SELECT url, max(struct_pack(confidence := confidence, support := support, size := len(items), block := verdict = 'block', tokens := array_to_string(items, ' '), verdict := verdict)) AS best FROM listed JOIN mined ON list_has_all(own, items) GROUP BY 1),
+fits AS (SELECT p, max(struct_pack(n := n, rule := h || start, verdict := verdict)) AS fit FROM parts JOIN (VALUES {_LISTED}) r(n, h, start, verdict) ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start) GROUP BY 1)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, fit.rule AS rule, coalesce(fit.verdict, best.verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (p) LEFT JOIN matched USING (url)"""

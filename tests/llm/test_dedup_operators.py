@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -419,6 +420,32 @@ def test_url_parts_and_rules(spark, monkeypatch, most):
     assert url_rules.judge(pages.limit(0), labels).count() == 0 and url_rules.judge(pages, labels.limit(0)).filter("rule is null and verdict != 'allow'").count() == 0
 
 
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_url_rules_as_sql(spark, size):
+    at, own = f"/root/testdata/sf{size}", duckdb.connect()
+    for t in ("pages", "labels"):
+        own.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{at}/{t}.parquet')")
+    want = own.sql(url_rules.ORACLE)
+    assert sorted(map(str, url_rules.op5_url_rules(spark, at).select(*want.columns).collect())) == sorted(f"Row({', '.join(f'{c}={v!r}' for c, v in zip(want.columns, r, strict=True))})" for r in want.fetchall())
+
+
+def test_url_sql_of_odd_pages(spark, rng):
+    odd = [None, "", "no scheme", "http://", "://Example.ORG/en/12?x#y", "http://x.com/de/?a=1&b&=c&a=2#f", "ftp://ÀB.com/fr/x.html", "http://a..b/c//d.tar.gz?#"]
+    pages = [(i, odd[i] if i < len(odd) else f"http://{rng.choice('ab')}.{rng.choice(['spam', 'site'])}.net/{rng.choice('abc')}/{rng.randint(0, 3)}.{rng.choice(['html', 'php'])}?{rng.choice('xy')}={i}") for i in range(90)]
+    pages += pages[3:12]
+    labels = [(i, rng.choice([0, 1, 1, None]), int(pages[i][1] is not None and "spam" in pages[i][1] and rng.random() < 0.9)) for i in range(90)] + [(20, 0, 0), (20, 0, 0), (None, 1, 1), (5000, 1, 1)]
+    own = duckdb.connect()
+    own.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    own.executemany("INSERT INTO pages VALUES (?, ?)", pages)
+    own.execute("CREATE TABLE labels (doc_id BIGINT, quality INT, toxic INT)")
+    own.executemany("INSERT INTO labels VALUES (?, ?, ?)", labels)
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    got = url_rules.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).select(*columns).collect()
+    want = own.sql(f"SELECT {', '.join(columns)} FROM ({url_rules.ORACLE})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert any(r.rule is None and r.verdict == "block" for r in got)
+
+
 def test_mined_rules(spark, rng):
     urls = [(i, f"http://{'casino' if i % 4 == 0 else 'news'}{rng.randint(0, 9)}.{'spam' if i % 4 == 0 else 'site'}.net/{rng.choice('abc')}/{i}") for i in range(200)]
     pages = spark.createDataFrame(urls, "page_id long, url string")
