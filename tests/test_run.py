@@ -96,6 +96,16 @@ def test_run(spark, root, tmp_path, variables):
     assert checked == len(got) - sum(k[0].endswith("(AR6 rate definition)") and not k[0].startswith("1880") for k in got)
 
 
+def test_run_of_bucketed_coefficients(spark, root, monkeypatch):
+    settings = config.RunConfig.from_args(["--scenario=SMILE_ESM-SSP245", "--regress-range=1850-1889", "--preindustrial-era=1850-1859"])
+    inputs = run.load(spark, root, settings)
+    rows = lambda found: {k: sorted((r.label, r.variable, r.percentile, round(r.value, 9)) for r in df.collect()) for k, df in found.items()}
+    want = rows(run.attribute(inputs, settings)[0])
+    monkeypatch.setattr(run.at, "MOST_COEFFICIENTS", 1)
+    monkeypatch.setattr(run.at, "BUCKET", 3)
+    assert rows(run.attribute(inputs, settings)[0]) == want and want["timeseries"] and want["headlines"]
+
+
 def test_repeats_are_combined(spark, root, tmp_path):
     settings = config.RunConfig(scenario="SMILE_ESM-SSP245", preindustrial=ERA, regress=(1850, 1889), samples=2, include_rate=False, headlines=("AR6",))
     inputs, at = run.load(spark, root, settings), str(tmp_path / "r")
