@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.stored import bucketed, observed, stored
 from .regression import fit, growing_weights, weights
+from .sumset import Linear
 
 VARIABLES = ["GHG", "Nat", "OHF"]
 
@@ -36,6 +37,8 @@ MEMBERS = 1 << 16
 VALUES, MOST_COEFFICIENTS = 1 << 20, 500_000
 #: Coefficients of a bucket, about, where there are more than are broadcast.
 BUCKET = 100_000
+#: Files of paired blocks of coefficients, about, if there are as many blocks.
+FILES = 512
 
 
 def _targets(obs: DataFrame, ctl: DataFrame, first: int, last: int) -> DataFrame:
@@ -174,6 +177,40 @@ def sums(response_wide: DataFrame, coef: DataFrame | Sides, variables: list[str]
     return both.select(*at, "t", F.explode(F.array(*arrays)).alias("x")).select(*at, "t", "x.variable", "x.a", "x.c")
 
 
+def met(coef: DataFrame, variables: list[str], on: list[str] | None = None) -> DataFrame:
+    """at, obs, ctl: a stored row for each pair of blocks of a response member's coefficients, which any number of ``linear`` points are taken at."""
+    own = sides(coef, variables, on, bucket=False)
+    few = coef.filter("kind = 'obs'").count() <= MOST_COEFFICIENTS
+    both = own.ctl.join(F.broadcast(own.obs) if few else own.obs, own.at).select(*own.at, "obs", "ctl")
+    blocks = coef.select(*own.at).distinct().count() * -(-own.most // MEMBERS) ** 2
+    return stored(both, max(1, blocks // FILES))
+
+
+def points(response_wide: DataFrame, variables: list[str], obs: DataFrame | None = None, const: float = 1.0, on: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """model, ensemble, t (with ``on``, and what to ``keep``), variable, terms, measured: what ``sums`` forms arrays of, as the names of coefficients and what they are multiplied by."""
+    term = lambda name, x: F.struct(F.lit(f"b_{name}").alias("name"), x.cast("double").alias("x"))
+    part = {v: term(v, F.col(v)) for v in variables}
+    total = F.array(term("const", F.lit(const)), *part.values())
+    shown = {v: F.array(x) for v, x in part.items() if v != "Tot"}
+    if {"GHG", "OHF"} <= set(variables):
+        shown["Ant"] = F.array(part["GHG"], part["OHF"])
+    shown["Tot"] = total
+    nothing = F.lit(None).cast("map<string,double>")
+    point = lambda v, terms, measured: F.struct(F.lit(v).alias("variable"), terms.alias("terms"), measured.alias("measured"))
+    each = [point(v, terms, nothing) for v, terms in shown.items()]
+    if obs is not None:
+        named = obs.filter("value is not null").groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct(F.col("member").cast("string"), F.col("value").cast("double")))).alias("o"))
+        response_wide = response_wide.join(named, "t", "left")
+        each.append(point("Res", total, F.coalesce("o", F.create_map().cast("map<string,double>"))))
+    at = ["model", "ensemble", *(on or []), *(keep or [])]
+    return response_wide.select(*at, "t", F.explode(F.array(*each)).alias("p")).select(*at, "t", "p.variable", "p.terms", "p.measured")
+
+
+def linear(response_wide: DataFrame, both: DataFrame, variables: list[str], obs: DataFrame | None = None, const: float = 1.0, on: list[str] | None = None, keep: list[str] | None = None) -> Linear:
+    """What ``sums`` gives for every pair, of what has ``met``, with arrays formed where they are counted and never written: for any number of members."""
+    return Linear(points(response_wide, variables, obs, const, on, keep), both, ["model", "ensemble", *(on or [])])
+
+
 def paired(coef: DataFrame, variables: list[str]) -> DataFrame:
     """model, ensemble, obs, ctl and the sums of the coefficients of every pair, within each response member."""
     names = [*(f"b_{v}" for v in variables), "b_const"]

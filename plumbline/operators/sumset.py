@@ -5,11 +5,15 @@ array for each value of the other, so the rank of any x in a group is a sum over
 ranks into ``BINS`` and counts at their edges: tasks add up the counts of their rows, Spark those of the tasks. An interval with ``FEW`` sums or less is
 listed at last; one that has shrunk to a single number is that number, however many sums equal it. The first pass
 splits by value and the later ones by the numbers there are, so there are nine at most. What is shuffled is ``BINS`` counts for each group, wanted rank and task.
+
+Rows whose arrays are linear in coefficients need not be tables either: ``Linear`` holds the coefficients once and the points that they are taken
+at, and each pass forms the arrays in its tasks, so what is written grows with the coefficients and not with coefficients times points.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +26,10 @@ from .summary import PERCENTILES
 BINS, FEW = 256, 4096
 #: Rows of a stored file, so that the passes have tasks enough.
 ROWS = 64
-#: Pairs of a value and an edge that are searched at once, groups that a task adds up at once, and groups whose state is broadcast.
-SEARCH, HELD, BROADCAST = 1 << 21, 256, 10_000
+#: Pairs of a value and an edge that are searched at once, numbers of the groups that a task adds up at once, and groups whose state is broadcast.
+SEARCH, HELD, BROADCAST = 1 << 21, 1 << 23, 10_000
+#: Points that a row of coefficients is taken at, at once.
+POINTS = 512
 _LEAST = np.iinfo(np.int64).min
 
 
@@ -85,46 +91,164 @@ def listed(a: np.ndarray, c: np.ndarray, lo: float, hi: float) -> np.ndarray:
     return np.concatenate(out)
 
 
+@dataclass(frozen=True)
+class Linear:
+    """Rows of two arrays that are linear in coefficients, without the arrays.
+
+    ``sides`` has ``at``, and arrays of structs ``obs`` (target and coefficients) and ``ctl`` (coefficients): of each ``at``, all pairs of its blocks. Every point is
+    one row for each of those, whose arrays hold sum(x * coefficient) over its ``terms`` (name, x), or with ``measured`` (a map of targets to
+    numbers) what is left of the targets' numbers, and minus that sum of ``ctl``.
+    """
+
+    points: DataFrame  # at, terms, measured, and columns of its own
+    sides: DataFrame
+    at: list[str]
+
+    def over(self, change: Callable[[DataFrame], DataFrame]) -> Linear:
+        """With other points or further columns; terms and measured are kept."""
+        return replace(self, points=change(self.points))
+
+
+def grouped(sums: Linear, columns: list[str], points: DataFrame | None = None, most: int = 0) -> DataFrame:
+    """at, points: arrays of the columns and what forms the sums, of ``most`` points of one ``at``."""
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(-(-most // POINTS) or 1))
+    held = (sums.points if points is None else points).withColumn("_part", part)
+    return held.groupBy(*sums.at, "_part").agg(F.collect_list(F.struct(*columns, "terms", "measured")).alias("points")).drop("_part")
+
+
+def _facing(sums: Linear, columns: list[str], size, points: DataFrame | None = None) -> DataFrame:
+    """points, obs, ctl: each row of the sides with its points."""
+    own = grouped(sums, columns, points, size.most or 0)
+    return sums.sides.join(F.broadcast(own) if (size.all or 0) <= BROADCAST else own, sums.at).select("points", "obs", "ctl")
+
+
+def _combined(side: dict[str, np.ndarray], terms: list[dict]) -> np.ndarray:
+    out = None
+    for term in terms:
+        part = side[term["name"]] * (np.nan if term["x"] is None else term["x"])
+        out = part if out is None else out + part
+    return out
+
+
+def _coefficients(side: pa.Array, i: int) -> dict[str, pa.Array]:
+    start, end = side.offsets[i].as_py(), side.offsets[i + 1].as_py()
+    return {f.name: side.values.field(j).slice(start, end - start) for j, f in enumerate(side.type.value_type)}
+
+
+def _formed(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray, np.ndarray, bool]]:
+    """The point, its two arrays and whether a number in them is missing, of every point of every row."""
+    for i, points in enumerate(batch.column("points").to_pylist()):
+        obs, ctl = (_coefficients(batch.column(c), i) for c in ("obs", "ctl"))
+        targets = obs.pop("target").to_pylist()
+        gone = {k for side in (obs, ctl) for k, x in side.items() if x.null_count}
+        obs, ctl = ({k: x.to_numpy(zero_copy_only=False) for k, x in side.items()} for side in (obs, ctl))
+        for p in points:
+            a, c = _combined(obs, p["terms"]), _combined(ctl, p["terms"])
+            if p["measured"] is not None:
+                of = dict(p["measured"])
+                has = np.array([t in of for t in targets], bool)
+                a, c = np.array([of[t] for t in targets if t in of], float) - a[has], -c
+            if len(a) and len(c):
+                yield p, a, c, any(t["x"] is None or t["name"] in gone for t in p["terms"])
+
+
+def _kinds(df: DataFrame) -> dict[str, str]:
+    return {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+
+_BOUNDS = {"n": "long", "lo": "double", "hi": "double", "total": "double", "missing": "boolean", "nan": "boolean"}
+
+
+def bounds(faced: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """keys (``kinds`` has their types), n, lo, hi, total, missing, nan: number, bounds and sum of all sums of each key's points, and whether any is missing or NaN; of rows with points, obs and ctl."""
+    keys = list(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[tuple, list] = {}
+            for p, a, c, missing in _formed(batch):
+                nan = bool(np.isnan(a).any() or np.isnan(c).any())
+                new = [len(a) * len(c), a.min() + c.min(), a.max() + c.max(), a.sum() * len(c) + c.sum() * len(a), missing, nan and not missing]
+                key = tuple(p[k] for k in keys)
+                old = held.setdefault(key, new)
+                if old is not new:
+                    held[key] = [old[0] + new[0], min(old[1], new[1]), max(old[2], new[2]), old[3] + new[3], old[4] or new[4], old[5] or new[5]]
+            types = [*({f.name: f.type for f in batch.column("points").type.value_type}[k] for k in keys), pa.int64(), *[pa.float64()] * 3, *[pa.bool_()] * 2]
+            columns = zip(*((*k, *v) for k, v in held.items()), strict=True) if held else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], [*keys, *_BOUNDS])
+
+    parts = faced.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in {**kinds, **_BOUNDS}.items()))
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("total").alias("total"), F.max("missing").alias("missing"), F.max("nan").alias("nan"))
+
+
+def _sized(sums: Linear):
+    """most, all: points of one ``at``, and of all."""
+    return sums.points.groupBy(*sums.at).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+
+
 _STATE = {"ranks": "array<long>", "lo": "array<double>", "hi": "array<double>", "below": "array<long>", "inside": "array<long>", "done": "array<boolean>"}
 
 
 def _typed(df: DataFrame, names: list[str]) -> str:
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    kinds = _kinds(df)
     return ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
 
-def _added(rows: DataFrame, state: DataFrame, keys: list[str], of, kind: str, groups: int) -> DataFrame:
-    """keys, state and ``found``: for each group of a task, the concatenation or sum over its rows of ``of(a, c, state)``."""
+def _with_state(rows: DataFrame, state: DataFrame, keys: list[str], groups: int) -> DataFrame:
     named = state.select(*(F.col(k).alias(f"_{k}") for k in keys), *_STATE)
     named = F.broadcast(named) if groups <= BROADCAST else named
-    both = rows.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).select(*keys, *_STATE, "a", "c")
+    return rows.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+
+
+def _added(rows: DataFrame | Linear, state: DataFrame, keys: list[str], of, kind: str, groups: int, size=None) -> DataFrame:
+    """keys, state and ``found``: for each group of a task, the concatenation or sum over its rows of ``of(a, c, state)``."""
+    named, linear = [*keys, *_STATE], isinstance(rows, Linear)
+    if linear:
+        kinds = {**_kinds(rows.points), **_STATE}
+        both = _facing(rows, named, size, _with_state(rows.points, state, keys, groups))
+    else:
+        kinds = {**_kinds(rows), **_STATE}
+        both = _with_state(rows, state, keys, groups).select(*named, "a", "c")
+
+    def each(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+        if linear:
+            for p, a, c, _ in _formed(batch):
+                yield tuple(p[n] for n in named), a, c
+            return
+        heads = zip(*(batch.column(n).to_pylist() for n in named), strict=True)
+        for i, head in enumerate(heads):
+            yield head, batch.column("a")[i].values.to_numpy(), batch.column("c")[i].values.to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
 
         def write() -> pa.RecordBatch:
-            named = [*keys, *_STATE]
-            columns = [pa.array([own[0][i] for own in held.values()], types[i]) for i in range(len(named))]
-            found = pa.array([own[1].tolist() for own in held.values()], pa.list_(pa.float64() if kind == "double" else pa.int64()))
+            columns = [pa.array([own[0][i] for own in held.values()], types[n]) for i, n in enumerate(named)]
+            found = pa.array([(own[1] if kind == "long" else np.concatenate(own[1])).tolist() for own in held.values()], pa.list_(pa.float64() if kind == "double" else pa.int64()))
+            held.clear()
             return pa.RecordBatch.from_arrays([*columns, found], [*named, "found"])
 
+        numbers = 0
         for batch in batches:
-            types = [f.type for f in batch.schema][:-2]
-            heads = list(zip(*(batch.column(i).to_pylist() for i in range(len(types))), strict=True))
-            for i, head in enumerate(heads):
-                own = of(batch.column("a")[i].values.to_numpy(), batch.column("c")[i].values.to_numpy(), *(np.array(x) for x in head[len(keys) :]))
+            types = {f.name: f.type for f in (batch.column("points").type.value_type if linear else batch.schema)}
+            for head, a, c in each(batch):
                 key = head[: len(keys)]
+                own = of(a, c, *(np.array(x) for x in head[len(keys) :]))
                 if key not in held:
-                    held[key] = [head, own]
+                    held[key] = [head, own if kind == "long" else [own]]
+                    numbers += len(own)
+                elif kind == "long":
+                    held[key][1] = held[key][1] + own
                 else:
-                    held[key][1] = held[key][1] + own if kind == "long" else np.concatenate([held[key][1], own])
-            if len(held) >= HELD:
-                yield write()
-                held.clear()
+                    held[key][1].append(own)
+                    numbers += len(own)
+                if numbers >= HELD:
+                    yield write()
+                    numbers = 0
         if held:
             yield write()
 
-    return both.mapInArrow(run, f"{_typed(both, [*keys, *_STATE])}, found array<{kind}>")
+    return both.mapInArrow(run, ", ".join([*(f"`{n}` {kinds[n]}" for n in named), f"found array<{kind}>"]))
 
 
 def _narrowed(parts: DataFrame, keys: list[str], by_value: bool) -> DataFrame:
@@ -147,7 +271,7 @@ def _narrowed(parts: DataFrame, keys: list[str], by_value: bool) -> DataFrame:
     return parts.groupBy(*keys).applyInArrow(run, _typed(parts, [*keys, *_STATE]))
 
 
-def _values(rows: DataFrame, state: DataFrame, keys: list[str], groups: int) -> DataFrame:
+def _values(rows: DataFrame | Linear, state: DataFrame, keys: list[str], groups: int, size=None) -> DataFrame:
     """keys, ranks, found: the values of the ranks."""
 
     def list_(a, c, ranks, lo, hi, below, inside, done):
@@ -164,30 +288,38 @@ def _values(rows: DataFrame, state: DataFrame, keys: list[str], groups: int) ->
             values.append(float(np.partition(own, rank - below)[rank - below]) if len(own) else hi)
         return pa.table({**{k: [first[k]] for k in keys}, "ranks": [first["ranks"]], "found": [values]}, schema=pa.schema([*(group.schema.field(c) for c in [*keys, "ranks", "found"])]))
 
-    parts = _added(rows, state, keys, list_, "double", groups)
+    parts = _added(rows, state, keys, list_, "double", groups, size)
     return parts.groupBy(*keys).applyInArrow(run, _typed(parts, [*keys, "ranks", "found"]))
 
 
-def percentiles(sums: DataFrame, keys: list[str], qs: list[float] = PERCENTILES) -> DataFrame:
-    """keys, percentile, value over all sums of ``a`` and ``c`` (arrays of doubles) of each key's rows: interpolated; NaN if any value is NaN, null if any is missing. As ``summary.percentiles``."""
-    whole = stored(sums.filter((F.size("a") > 0) & (F.size("c") > 0)).select(*keys, "a", "c").repartition(*keys), ROWS)
-    missing = lambda x: F.exists(x, lambda v: v.isNull())
-    nan = F.isnan(F.array_max("a")) | F.isnan(F.array_max("c"))  # NaN orders last
-    bounds, seen = observed(whole.groupBy(*keys).agg(
-        F.sum(F.size("a").cast("long") * F.size("c")).alias("n"), F.min(F.array_min("a") + F.array_min("c")).alias("lo"), F.max(F.array_max("a") + F.array_max("c")).alias("hi"),
-        F.max(missing("a") | missing("c")).alias("missing"), F.max(F.coalesce(nan, F.lit(False))).alias("nan")), odd=F.count_if(F.col("missing") | F.col("nan")))
+def percentiles(sums: DataFrame | Linear, keys: list[str], qs: list[float] = PERCENTILES, size: str | None = None) -> DataFrame:
+    """keys, percentile, value over all sums of ``a`` and ``c`` (arrays of doubles) of each key's rows: interpolated; NaN if any value is NaN, null if any is missing. As ``summary.percentiles``.
+
+    ``size``: a further column with the number of the key's sums.
+    """
+    if isinstance(sums, Linear):
+        whole, sized = sums, _sized(sums)
+        known = bounds(_facing(sums, keys, sized), {k: _kinds(sums.points)[k] for k in keys}).drop("total")
+    else:
+        whole, sized = stored(sums.filter((F.size("a") > 0) & (F.size("c") > 0)).select(*keys, "a", "c"), ROWS), None
+        missing = lambda x: F.exists(x, lambda v: v.isNull())
+        nan = F.isnan(F.array_max("a")) | F.isnan(F.array_max("c"))  # NaN orders last
+        known = whole.groupBy(*keys).agg(
+            F.sum(F.size("a").cast("long") * F.size("c")).alias("n"), F.min(F.array_min("a") + F.array_min("c")).alias("lo"), F.max(F.array_max("a") + F.array_max("c")).alias("hi"),
+            F.max(missing("a") | missing("c")).alias("missing"), F.max(F.coalesce(nan, F.lit(False))).alias("nan"))
+    bounded, seen = observed(known, odd=F.count_if(F.col("missing") | F.col("nan")))
     odd = F.col("missing") | F.col("nan")
     at = {q: (F.col("n") - 1) * (q / 100) for q in qs}
     ranks = F.array_sort(F.array_distinct(F.array(*(f(p).cast("long") for p in at.values() for f in (F.floor, F.ceil)))))
     alike = lambda x: F.transform("ranks", lambda _: x)
     spread = F.abs("lo") + F.abs("hi")
-    start = bounds.filter(~odd).withColumn("ranks", ranks).select(
+    start = bounded.filter(~odd).withColumn("ranks", ranks).select(
         *keys, "ranks", alike(F.col("lo") - spread * 1e-15 - F.lit(1e-300)).alias("lo"), alike(F.col("hi")).alias("hi"), alike(F.lit(0).cast("long")).alias("below"), alike(F.col("n")).alias("inside"), alike(F.col("n") <= FEW).alias("done"))
     is_open = F.exists("done", lambda d: ~d)
     counted = {"groups": F.count("*"), "open": F.count_if(is_open)}
     (state, now), sound = observed(start, **counted), whole
-    if seen["odd"]:
-        sound = whole.join(F.broadcast(bounds.filter(~odd).select(*(F.col(k).alias(f"_{k}") for k in keys))), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi")
+    if seen["odd"] and sized is None:
+        sound = whole.join(F.broadcast(bounded.filter(~odd).select(*(F.col(k).alias(f"_{k}") for k in keys))), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi")
     by_value = True
     while now["open"]:
 
@@ -195,11 +327,12 @@ def percentiles(sums: DataFrame, keys: list[str], qs: list[float] = PERCENTILES)
             edges, of = np.unique(_edges(lo[~done], hi[~done], by_value), return_inverse=True)
             return counts_upto(a, c, edges)[of.ravel()]
 
-        narrowed = _narrowed(_added(sound, state.filter(is_open), keys, count, "long", now["open"]), keys, by_value)
+        narrowed = _narrowed(_added(sound, state.filter(is_open), keys, count, "long", now["open"], sized), keys, by_value)
         (state, now), by_value = observed(narrowed.unionByName(state.filter(~is_open)), **counted), False
-    value_of = _values(sound, state, keys, now["groups"]).select(*(F.col(k).alias(f"_{k}") for k in keys), F.map_from_arrays("ranks", "found").alias("of"))
-    both = bounds.filter(~odd).join(value_of, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    value_of = _values(sound, state, keys, now["groups"], sized).select(*(F.col(k).alias(f"_{k}") for k in keys), F.map_from_arrays("ranks", "found").alias("of"))
+    both = bounded.filter(~odd).join(value_of, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     value = lambda p: F.col("of")[F.floor(p).cast("long")] + (F.col("of")[F.ceil(p).cast("long")] - F.col("of")[F.floor(p).cast("long")]) * (p - F.floor(p))
-    found = both.select(*keys, F.explode(F.array(*(F.struct(F.lit(float(q)).alias("percentile"), value(p).alias("value")) for q, p in at.items()))).alias("x")).select(*keys, "x.percentile", "x.value")
+    more = [F.col("n").alias(size)] if size else []
+    found = both.select(*keys, *more, F.explode(F.array(*(F.struct(F.lit(float(q)).alias("percentile"), value(p).alias("value")) for q, p in at.items()))).alias("x")).select(*keys, "x.percentile", "x.value", *([size] if size else []))
     nothing = F.when(F.col("missing"), F.lit(None).cast("double")).otherwise(F.lit(float("nan")))
-    return found.union(bounds.filter(odd).select(*keys, F.explode(F.array(*(F.lit(float(q)) for q in qs))).alias("percentile"), nothing.alias("value")))
+    return found.union(bounded.filter(odd).select(*keys, F.explode(F.array(*(F.lit(float(q)) for q in qs))).alias("percentile"), nothing.alias("value"), *more))

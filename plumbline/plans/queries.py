@@ -309,7 +309,7 @@ def _(s, d):
 def _sums(s, d, obs: bool = False, variables=V, at_steps=None):
     """model, ensemble, t, variable and the two sides of every pair's value; of all steps, or those that ``at_steps`` keeps."""
     wide, coef, _, measured = _run(s, d, variables)
-    return at.sums(wide if at_steps is None else at_steps(wide), coef, variables, measured if obs else None)
+    return at.linear(wide if at_steps is None else at_steps(wide), at.met(coef, variables), variables, measured if obs else None)
 
 
 @query("attrib_1var", "SELECT t, percentile, round(value, 5) + 0.0 AS tot FROM (" + quantiles("t", "att1", "Tot") + ")")
@@ -376,9 +376,8 @@ def _(s, d):
 @query("agg_weighted_mean", "SELECT t, variable, percentile, CASE WHEN count(*) = 3 THEN round(sum(value * weight) / sum(weight), 6) + 0.0 END AS value FROM repeats GROUP BY 1, 2, 3")
 def _(s, d):
     chosen = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("repeat_id")
-    keys = ["repeat_id", "t", "variable"]
-    rows = stored(_sums(s, d).select("t", "variable", "a", "c", F.substring("ensemble", 4, 9).cast("int").alias("e"), chosen).filter((F.col("e") % 3 < F.col("repeat_id")) & ~((F.col("repeat_id") == 2) & (F.col("t") == 0))))
-    sized = sumset.percentiles(rows, keys).join(rows.groupBy(*keys).agg(F.sum(F.size("a").cast("long") * F.size("c")).alias("weight")), keys)
+    rows = _sums(s, d).over(lambda p: p.select("*", F.substring("ensemble", 4, 9).cast("int").alias("e"), chosen).filter((F.col("e") % 3 < F.col("repeat_id")) & ~((F.col("repeat_id") == 2) & (F.col("t") == 0))))
+    sized = sumset.percentiles(rows, ["repeat_id", "t", "variable"], size="weight")
     return summary.weighted_mean(sized, ["t", "variable", "percentile"], 3).select("t", "variable", "percentile", r("value"))
 
 
@@ -605,7 +604,7 @@ def _headline(s, d, of, const: float = 1.0):
     """Percentiles by window end of a linear functional of the series; ``of`` maps (df, keys) to rows with t and value."""
     wide, coef, _, _ = _run(s, d)
     reduced = of(at.long(wide, V, ["model", "ensemble", "t"]), ["model", "ensemble", "variable"]).select("model", "ensemble", "variable", "t", "value")
-    return sumset.percentiles(at.sums(at.wide(reduced, V), coef, V, const=const), ["t", "variable"])
+    return sumset.percentiles(at.linear(at.wide(reduced, V), at.met(coef, V), V, const=const), ["t", "variable"])
 
 
 def _headline_sql(of, const: int = 1) -> str:
@@ -790,7 +789,7 @@ def _runs(s, d):
     ends = coef.select("end_step").distinct()
     last = ends.agg(F.max("end_step").alias("last"))
     wanted = ends.crossJoin(F.broadcast(last)).select("end_step", F.explode(F.array_distinct(F.array("last", "end_step", F.col("end_step") - 1))).alias("t"))
-    return sumset.percentiles(at.sums(wide.join(F.broadcast(wanted), "t"), coef, V, on=["end_step"]), ["end_step", "t", "variable"])
+    return sumset.percentiles(at.linear(wide.join(F.broadcast(wanted), "t"), at.met(coef, V, ["end_step"]), V, on=["end_step"]), ["end_step", "t", "variable"])
 
 
 def _historical(s, d, definition, of, const: float = 1.0):
@@ -798,7 +797,7 @@ def _historical(s, d, definition, of, const: float = 1.0):
     wide, coef = _growing(s, d)
     reduced = of(at.long(wide, V, ["model", "ensemble", "t"]), ["model", "ensemble", "variable"]).select("model", "ensemble", "variable", "t", "value")
     own = at.wide(reduced, V).withColumn("end_step", F.col("t"))
-    found = sumset.percentiles(at.sums(own, coef, V, const=const, on=["end_step"]), ["end_step", "variable"])
+    found = sumset.percentiles(at.linear(own, at.met(coef, V, ["end_step"]), V, const=const, on=["end_step"]), ["end_step", "variable"])
     named = found.withColumn("label", products.label(definition, F.col("end_step")))
     return products.historical_only(named, definition).select("end_step", "label", "variable", "percentile", (F.round("value", 4) + 0.0).alias("value"))
 
@@ -867,7 +866,7 @@ _FULL_SQL = " UNION ALL ".join(f"SELECT '{k}' AS definition, variable, t, CASE W
   LEFT JOIN (SELECT t, CASE WHEN count(*) OVER w = 20 THEN avg(m) OVER w END AS base FROM (SELECT t, quantile_cont(value, 0.5) AS m FROM obsb GROUP BY t) WINDOW w AS (ORDER BY t ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING)) USING (t)""")
 def _(s, d):
     wide, coef, _, obs = _run(s, d)
-    median = sumset.percentiles(at.sums(wide, coef, V).filter(F.col("variable").isin("Ant", "Nat", "Tot")), ["t", "variable"], [50.0])
+    median = sumset.percentiles(at.linear(wide, at.met(coef, V), V).over(lambda p: p.filter(F.col("variable").isin("Ant", "Nat", "Tot"))), ["t", "variable"], [50.0])
     measured = obs.groupBy("t").agg(F.percentile("value", F.lit(0.5)).alias("value"))
     r5 = lambda c: (F.round(c, 5) + 0.0).alias(c)
     return products.full_information(median, measured).select("definition", "variable", "t", r5("value"), r5("less_measured"))
@@ -892,7 +891,7 @@ def _(s, d):
 
 @query("plot_residuals", "SELECT t, round(quantile_cont(Res, 0.05), 6) + 0.0 AS lo, round(quantile_cont(Res, 0.5), 6) + 0.0 AS mid, round(quantile_cont(Res, 0.95), 6) + 0.0 AS hi FROM att WHERE Res IS NOT NULL GROUP BY t")
 def _(s, d):
-    p = sumset.percentiles(_sums(s, d, obs=True).filter("variable = 'Res'"), ["t"], [5.0, 50.0, 95.0])
+    p = sumset.percentiles(_sums(s, d, obs=True).over(lambda p: p.filter("variable = 'Res'")), ["t"], [5.0, 50.0, 95.0])
     of = lambda q: F.max(F.when(F.col("percentile") == q, F.col("value")))
     return p.groupBy("t").agg(r(of(5.0), "lo"), r(of(50.0), "mid"), r(of(95.0), "hi"))
 
@@ -967,10 +966,8 @@ _DECADE = "(SELECT variable, avg(value) AS value FROM attlong WHERE t BETWEEN 17
 def _(s, d):
     wide, coef, _, _ = _run(s, d)
     decade = at.wide(_windowed(9, 0)(at.long(wide, V, ["model", "ensemble", "t"]), ["model", "ensemble", "variable"]), V)
-    each = None
-    for name, df in (("ANNUAL", wide), ("AR6", decade)):
-        rows = at.sums(df.filter("t = 26"), coef, V).withColumn("definition", F.lit(name))
-        each = rows if each is None else each.unionByName(rows)
+    both = wide.withColumn("definition", F.lit("ANNUAL")).unionByName(decade.withColumn("definition", F.lit("AR6"))).filter("t = 26")
+    each = at.linear(both, at.met(coef, V), V, keep=["definition"])
     of = lambda q: F.max(F.when(F.col("percentile") == q, F.col("value")))
     p = sumset.percentiles(each, ["definition", "variable"], [5.0, 50.0, 95.0]).groupBy("definition", "variable").agg(of(5.0).alias("lo"), of(50.0).alias("m"), of(95.0).alias("hi"))
     centre = F.bround("m", 2) + 0.0
