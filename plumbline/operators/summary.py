@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.stored import stored
+from ..sources.stored import observed
 
 PERCENTILES = [5.0, 17.0, 83.0, 95.0, 50.0]
 
@@ -53,16 +56,54 @@ def _bells(t: Column) -> Column:
     return F.aggregate(moments, start, term, lambda acc: acc["total"])
 
 
+#: Values of a group up to which its density is summed over the values themselves.
+FEW_VALUES = 1024
+
+
+def _small_kde(df: DataFrame, keys: list[str], points: int, value: str, bounds: tuple[float, float] | None) -> DataFrame:
+    """keys, i, x, density of groups of a row each: their values are an array."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    arrays = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.collect_list(F.col(value).cast("double")).alias("_values"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = np.arange(points)
+        for batch in batches:
+            held, at = batch.column("_values"), batch.column("_values").offsets.to_numpy()
+            values, rows, xs, found = held.values.to_numpy(), [], [], []
+            for r in range(len(batch)):
+                v = values[at[r] : at[r + 1]]
+                if len(v) < 2 or np.ptp(v) == 0:
+                    continue
+                h = v.std(ddof=1) * len(v) ** -0.2
+                lo, hi = bounds or (v.min(), v.max())
+                x = lo + (hi - lo) * steps / (points - 1)
+                rows.append(r)
+                xs.append(x)
+                found.append(np.exp(-0.5 * ((x[:, None] - v) / h) ** 2).sum(axis=1) / (len(v) * h * math.sqrt(2 * math.pi)))
+            flat = lambda parts: pa.array(np.concatenate([np.zeros(0), *parts]))
+            which = pa.array(np.repeat(np.array(rows, np.int64), points))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(which) for k in keys), pa.array(np.tile(steps, len(rows)).astype(np.int32)), flat(xs), flat(found)], [*keys, "i", "x", "density"])
+
+    return arrays.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "i int, x double, density double"]))
+
+
 def kde(df: DataFrame, keys: list[str], points: int, value: str = "value", bounds: tuple[float, float] | None = None) -> DataFrame:
     """Gaussian density with Scott's bandwidth on ``points`` grid points, from the least to the greatest value or over the bounds.
 
     Values are added up in cells of one bandwidth, as the moments of a series in Hermite functions, before anything is shuffled;
-    grid points meet cells, not values. Groups whose values are all equal have no density.
+    grid points meet cells, not values. Groups of at most ``FEW_VALUES`` are summed directly, each in one row. Groups whose values are all equal have no density.
     """
     stats = df.groupBy(*keys).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("s"), F.min(value).alias("least"), F.max(value).alias("most"))
-    stats = stored(stats.filter("s > 0").withColumn("h", F.col("s") * F.pow(F.col("n"), F.lit(-0.2))))
+    small = F.col("n") <= FEW_VALUES
+    stats, seen = observed(stats.filter("s > 0").withColumn("h", F.col("s") * F.pow(F.col("n"), F.lit(-0.2))), small=F.count_if(small), large=F.count_if(~small))
+    if not seen["large"]:
+        return _small_kde(df, keys, points, value, bounds)
+    rest, large = None, stats.filter(~small)
+    if seen["small"]:
+        own = stats.filter(small).select(*(F.col(k).alias(f"_{k}") for k in keys))
+        rest = _small_kde(df.join(own, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi"), keys, points, value, bounds)
     lo, hi = (F.lit(float(b)) for b in bounds) if bounds else (F.col("least"), F.col("most"))
-    named = stats.select(*(F.col(k).alias(f"_{k}") for k in keys), "n", "h", "least", lo.alias("lo"), hi.alias("hi"))
+    named = large.select(*(F.col(k).alias(f"_{k}") for k in keys), "n", "h", "least", lo.alias("lo"), hi.alias("hi"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     cell = F.floor((F.col(value) - F.col("least")) / F.col("h"))
     u = (F.col(value) - F.col("least") - (F.col("cell") + 0.5) * F.col("h")) / (F.col("h") * math.sqrt(2))
@@ -70,7 +111,8 @@ def kde(df: DataFrame, keys: list[str], points: int, value: str = "value", bound
     grid = named.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
     t = (F.col("x") - F.col("least") - (F.col("cell") + 0.5) * F.col("h")) / (F.col("h") * math.sqrt(2))
     each = cells.join(grid, same).withColumn("t", t).select(*keys, "i", "x", "n", "h", _bells(F.col("t")).alias("bells"))
-    return each.groupBy(*keys, "i", "x").agg((F.sum("bells") / F.first("n") / F.first("h") / math.sqrt(2 * math.pi)).alias("density"))
+    found = each.groupBy(*keys, "i", "x").agg((F.sum("bells") / F.first("n") / F.first("h") / math.sqrt(2 * math.pi)).alias("density"))
+    return found if rest is None else found.unionByName(rest)
 
 
 def sampled(df: DataFrame, key: str, n: int, seed: str = "") -> DataFrame:

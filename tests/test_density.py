@@ -34,3 +34,20 @@ def test_what_is_shuffled_are_cells(spark):
     plan = cells._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum(POWER(" in plan.replace("pow", "POWER") or "partial_sum" in plan  # moments are added up before the exchange
     assert cells.count() == 20
+
+
+def test_few_values_are_summed_directly(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    groups = {"few": rng.normal(size=27), "more": rng.normal(size=60), "equal": np.ones(5), "one": np.ones(1), None: rng.normal(size=20)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("few", None)], "k string, value double")
+    bounds = (-2.0, 2.0)
+    assert "_values" in summary.kde(df, ["k"], 7, bounds=bounds)._jdf.queryExecution().toString()
+    for most in (1024, 30, 0):  # all directly, some, none
+        monkeypatch.setattr(summary, "FEW_VALUES", most)
+        got = {(r.k, r.i): (r.x, r.density) for r in summary.kde(df, ["k"], 7, bounds=bounds).collect()}
+        assert len(got) == 3 * 7
+        for (k, i), (x, density) in got.items():
+            v = groups[k]
+            h = v.std(ddof=1) * len(v) ** -0.2
+            assert abs(x - (-2 + 4 * i / 6)) < 1e-12
+            assert abs(density - np.exp(-0.5 * ((x - v) / h) ** 2).mean() / h / np.sqrt(2 * np.pi)) < 1e-9
