@@ -206,7 +206,7 @@ def points(response_wide: DataFrame, variables: list[str], obs: DataFrame | None
     return response_wide.select(*at, "t", F.explode(F.array(*each)).alias("p")).select(*at, "t", "p.variable", "p.terms", "p.measured")
 
 
-def linear(response_wide: DataFrame, both: DataFrame, variables: list[str], obs: DataFrame | None = None, const: float = 1.0, on: list[str] | None = None, keep: list[str] | None = None) -> Linear:
+def linear(response_wide: DataFrame, both: DataFrame | None, variables: list[str], obs: DataFrame | None = None, const: float = 1.0, on: list[str] | None = None, keep: list[str] | None = None) -> Linear:
     """What ``sums`` gives for every pair, of what has ``met``, with arrays formed where they are counted and never written: for any number of members."""
     return Linear(points(response_wide, variables, obs, const, on, keep), both, ["model", "ensemble", *(on or [])])
 

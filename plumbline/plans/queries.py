@@ -250,11 +250,13 @@ def _(s, d):
     """Responses and coefficients from tables laid out alike, so that every pair's total is found without an exchange."""
     wide, coef, _, _ = _run(s, d)
     sides = at.sides(coef, V, bucket=True)
-    both = at.sums(sides.laid(wide)[0], sides, V).filter("variable = 'Tot'")
-    each = both.select("model", "ensemble", "t", F.size("a").cast("long").alias("na"), F.size("c").cast("long").alias("nc"), *(f(x).alias(f"{k}{x}") for x in "ac" for k, f in (("lo", F.array_min), ("hi", F.array_max))), *(F.aggregate(x, F.lit(0.0), lambda m, v: m + v).alias(f"sum{x}") for x in "ac"))
-    n, of = F.sum(F.col("na") * F.col("nc")), lambda c: F.round(c, 4) + 0.0
-    total = F.sum(F.col("suma") * F.col("nc") + F.col("sumc") * F.col("na"))
-    return each.groupBy("model", "ensemble", "t").agg(n.alias("n"), of(F.min(F.col("loa") + F.col("loc"))).alias("lo"), of(F.max(F.col("hia") + F.col("hic"))).alias("hi"), of(total / n).alias("mean"))
+    # One row for each response member, so that a block of coefficients is read once for all its steps.
+    points = at.linear(wide, None, V).over(lambda p: p.filter("variable = 'Tot'").select("*", F.col("model").alias("of_model"), F.col("ensemble").alias("of_ensemble")))
+    laid = sides.laid(sumset.grouped(points, ["of_model", "of_ensemble", "t"]))[0]
+    both = laid.join(sides.obs.hint("merge"), sides.at).join(sides.ctl.hint("merge"), sides.at).select("points", "obs", "ctl")
+    each = sumset.bounds(both, {"of_model": "string", "of_ensemble": "string", "t": "long"})
+    of = lambda c, out: (F.round(c, 4) + 0.0).alias(out)
+    return each.select(F.col("of_model").alias("model"), F.col("of_ensemble").alias("ensemble"), "t", "n", of(F.col("lo"), "lo"), of(F.col("hi"), "hi"), of(F.col("total") / F.col("n"), "mean"))
 
 
 @query("join_year_equi", "SELECT ensemble, variable, member, t, round(f.value, 6) AS x, round(o.value, 6) AS y FROM forcing f JOIN obs o USING (t) WHERE ensemble = 'ens2'")

@@ -63,3 +63,26 @@ def test_what_is_written_does_not_grow_with_the_points(spark):
     assert sumset.percentiles(at.linear(wide, at.met(coef, V), V), ["t", "variable"]).count() == 40 * 5 * 5
     size = sum(os.path.getsize(os.path.join(r, f)) for p in stored._written[before:] for r, _, files in os.walk(p.removeprefix("file://")) for f in files)
     assert size < 40 * 5 * members * 8 / 4  # a quarter of the arrays
+
+
+def test_bounds_of_pairs_in_bucketed_tables(spark):
+    wide, obs, ctl, _, _ = made(spark)
+    coef = at.coefficients(wide, obs, ctl, V, 0, 20).persist()
+    sides = at.sides(coef, V, bucket=True)
+    few = at.linear(wide, None, V).over(lambda p: p.filter("variable = 'Tot'").withColumn("m", F.col("model")))
+    laid = sides.laid(sumset.grouped(few, ["m", "t"]))[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = laid.join(sides.obs.hint("merge"), sides.at).join(sides.ctl.hint("merge"), sides.at).select("points", "obs", "ctl")
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+        assert both.count() == wide.select("model", "ensemble").distinct().count()  # coefficients once, not once a step
+        got = {(r.m, r.t): r for r in sumset.bounds(both, {"m": "string", "t": "long"}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {}
+    for r in at.sums(wide, coef, V).filter("variable = 'Tot'").collect():
+        want.setdefault((r.model, r.t), []).append(np.add.outer(r.a, r.c).ravel())
+    assert got.keys() == want.keys()
+    for k, parts in want.items():
+        every = np.concatenate(parts)
+        assert got[k].n == len(every) and np.allclose([got[k].lo, got[k].hi, got[k].total], [every.min(), every.max(), every.sum()])
