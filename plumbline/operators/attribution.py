@@ -8,13 +8,15 @@ linear in time are taken of the responses before the pairing, never of the produ
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stored import bucketed, observed, stored
-from .regression import fit, growing_weights, weights
+from .regression import fit, growing_weights, range_weights, weights
 from .sumset import Linear
 
 VARIABLES = ["GHG", "Nat", "OHF"]
@@ -186,6 +188,108 @@ def met(coef: DataFrame, variables: list[str], on: list[str] | None = None) -> D
     return stored(both, max(1, blocks // FILES))
 
 
+#: Targets of a block, at least and at most, and rows of blocks that there are at least, so that few targets are many tasks' work, too.
+BLOCK, LEAST_ROWS = (8192, 32768), 32
+
+
+@dataclass(frozen=True)
+class Series:
+    """The targets themselves, in blocks, and what each of their steps counts for in every coefficient (``weights``).
+
+    A coefficient is a sum of a target's steps times weights of the response member (and range) alone, so whatever is linear in coefficients is linear in
+    the steps, with factors that are few. What is written is a target's steps once, for all response members and ranges.
+    """
+
+    weights: DataFrame  # model, ensemble, w_<variable>, w_const (arrays by step), and end_step of growing ranges
+    sides: DataFrame  # part, obs, ctl; every part has all pairs of blocks
+    parts: int
+
+
+def _blocks(targets: DataFrame, name: str, named: bool, size: int) -> DataFrame:
+    """``name``: arrays of the ys of up to ``size`` targets of a task, and with ``named`` of their names."""
+    kind = f"struct<{'target: string, ' if named else ''}y: array<double>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def write(n: int) -> tuple[pa.RecordBatch, list, int]:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            first, rest = whole.slice(0, n), whole.slice(n)
+            columns = {"target": first.column("target"), "y": first.column("ys")} if named else {"y": first.column("ys")}
+            rows = pa.StructArray.from_arrays([pa.concat_arrays(c.chunks) for c in columns.values()], list(columns))
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), rows)], [name]), rest.to_batches(), rest.num_rows
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            while n >= size:
+                out, held, n = write(size)
+                yield out
+        if n:
+            yield write(n)[0]
+
+    return targets.select(F.col("target").cast("string").alias("target"), F.col("ys").cast("array<double>").alias("ys")).mapInArrow(run, f"{name} array<{kind}>")
+
+
+def series(wide: DataFrame, obs: DataFrame, ctl: DataFrame, variables: list[str], first: int, last: int, least: int | None = None) -> Series | None:
+    """For ``linear`` of all targets: of the steps first..last, or with ``least`` of every range of that many steps and more.
+
+    ``obs`` has rows member, t, value; ``ctl`` has target, ys, the numbers of all steps first..last. None where the responses or
+    measurements lack a step or have one twice, so that weights do not hold for all: ``coefficients`` fit those.
+    """
+    n, keys = last - first + 1, ["model", "ensemble"]
+    rows = stored(wide.filter(F.col("t").between(first, last)))
+    if rows.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct("t").alias("d")).filter(f"n <> {n} or d <> {n}").limit(1).count():
+        return None
+    measured = obs.filter(F.col("t").between(first, last)).groupBy(F.col("member").alias("target")).agg(F.array_sort(F.collect_list(F.struct("t", F.col("value").alias("y")))).alias("s"), F.countDistinct("t").alias("d"))
+    whole = (F.size("s") == n) & (F.col("d") == n) & F.col("target").isNotNull() & F.forall("s.y", lambda y: y.isNotNull())
+    measured, seen = observed(measured, odd=F.count_if(~whole))
+    if seen["odd"]:
+        return None
+    if least is None:
+        own = weights(rows, keys, variables)
+        steps = F.array_sort(F.collect_list(F.struct("t", *(f"w_{v}" for v in [*variables, "const"]))))
+        found = own.groupBy(*keys).agg(steps.alias("s")).select(*keys, *(F.col(f"s.w_{v}").alias(f"w_{v}") for v in [*variables, "const"]))
+    else:
+        found = range_weights(rows, keys, variables, least)
+    obs_blocks = _blocks(measured.select("target", F.col("s.y").alias("ys")).coalesce(1), "obs", True, BLOCK[1])
+    size = min(BLOCK[1], max(BLOCK[0], ctl.count() // LEAST_ROWS))
+    blocks, seen = observed(_blocks(ctl, "ctl", False, size), 1, n=F.count("*"))
+    parts = max(1, -(-LEAST_ROWS // max(1, seen["n"])))
+    both = blocks.crossJoin(F.broadcast(obs_blocks)) if measured.count() <= MOST_COEFFICIENTS else blocks.crossJoin(obs_blocks)
+    if parts > 1:
+        both = stored(both.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "obs", "ctl"), 1)
+    else:
+        both = both.select(F.lit(0).alias("part"), "obs", "ctl")
+    return Series(stored(found), both, parts)
+
+
+def points_of(response_wide: DataFrame, of: Series, variables: list[str], obs: DataFrame | None = None, const: float = 1.0, on: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """part and what ``points`` gives, as the targets' steps and what they are multiplied by."""
+    own = ["model", "ensemble", *(on or [])]
+    names = [*variables, "const"]
+    rows = response_wide.join(F.broadcast(of.weights), own)
+    step = lambda shown: F.array(F.struct(F.lit("y").alias("name"), F.transform(F.sequence(F.lit(0), F.size("w_const") - 1), lambda i: sum((F.col(f"w_{v}")[i] * (F.lit(const) if v == "const" else F.col(v)) for v in shown[1:]), F.col(f"w_{shown[0]}")[i] * F.col(shown[0]))).alias("x")))
+    shown = {v: step([v]) for v in variables if v != "Tot"}
+    if {"GHG", "OHF"} <= set(variables):
+        shown["Ant"] = step(["GHG", "OHF"])
+    shown["Tot"] = step(names)
+    nothing = F.lit(None).cast("map<string,double>")
+    each = [F.struct(F.lit(v).alias("variable"), terms.alias("terms"), nothing.alias("measured")) for v, terms in shown.items()]
+    if obs is not None:
+        rows = rows.join(_measured(obs), "t", "left")
+        each.append(F.struct(F.lit("Res").alias("variable"), shown["Tot"].alias("terms"), F.coalesce("o", F.create_map().cast("map<string,double>")).alias("measured")))
+    at = [*own, *(keep or []), "t"]
+    part = F.pmod(F.xxhash64(*at, "p.variable"), F.lit(of.parts)).cast("int").alias("part")
+    return rows.select(*at, F.explode(F.array(*each)).alias("p")).select(part, *at, "p.variable", "p.terms", "p.measured")
+
+
+def _measured(obs: DataFrame) -> DataFrame:
+    """t, o: the members' numbers by their names."""
+    return obs.filter("value is not null").groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct(F.col("member").cast("string"), F.col("value").cast("double")))).alias("o"))
+
+
 def points(response_wide: DataFrame, variables: list[str], obs: DataFrame | None = None, const: float = 1.0, on: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """model, ensemble, t (with ``on``, and what to ``keep``), variable, terms, measured: what ``sums`` forms arrays of, as the names of coefficients and what they are multiplied by."""
     term = lambda name, x: F.struct(F.lit(f"b_{name}").alias("name"), x.cast("double").alias("x"))
@@ -199,15 +303,16 @@ def points(response_wide: DataFrame, variables: list[str], obs: DataFrame | None
     point = lambda v, terms, measured: F.struct(F.lit(v).alias("variable"), terms.alias("terms"), measured.alias("measured"))
     each = [point(v, terms, nothing) for v, terms in shown.items()]
     if obs is not None:
-        named = obs.filter("value is not null").groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct(F.col("member").cast("string"), F.col("value").cast("double")))).alias("o"))
-        response_wide = response_wide.join(named, "t", "left")
+        response_wide = response_wide.join(_measured(obs), "t", "left")
         each.append(point("Res", total, F.coalesce("o", F.create_map().cast("map<string,double>"))))
     at = ["model", "ensemble", *(on or []), *(keep or [])]
     return response_wide.select(*at, "t", F.explode(F.array(*each)).alias("p")).select(*at, "t", "p.variable", "p.terms", "p.measured")
 
 
-def linear(response_wide: DataFrame, both: DataFrame | None, variables: list[str], obs: DataFrame | None = None, const: float = 1.0, on: list[str] | None = None, keep: list[str] | None = None) -> Linear:
-    """What ``sums`` gives for every pair, of what has ``met``, with arrays formed where they are counted and never written: for any number of members."""
+def linear(response_wide: DataFrame, both: DataFrame | Series | None, variables: list[str], obs: DataFrame | None = None, const: float = 1.0, on: list[str] | None = None, keep: list[str] | None = None) -> Linear:
+    """What ``sums`` gives for every pair, of what has ``met`` or of ``series``, with arrays formed where they are counted and never written: for any number of members."""
+    if isinstance(both, Series):
+        return Linear(points_of(response_wide, both, variables, obs, const, on, keep), both.sides, ["part"])
     return Linear(points(response_wide, variables, obs, const, on, keep), both, ["model", "ensemble", *(on or [])])
 
 

@@ -190,6 +190,36 @@ def growing_weights(df: DataFrame, keys: list[str], xs: list[str], least: int) -
     return df.select(*keys, "t", *xs).groupBy(*keys).applyInPandas(solve, schema)
 
 
+def range_weights(df: DataFrame, keys: list[str], xs: list[str], least: int) -> DataFrame:
+    """keys, end_step, w_<x>, w_const (arrays by step): what each step's y counts for in each coefficient of every range of ``least`` steps and more.
+
+    ``growing_weights`` of a y that is one at a step and zero elsewhere, for each of the steps; those after a range count for zero.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    names = [*xs, "const"]
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"end_step {kinds['t']}", *(f"w_{c} array<double>" for c in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                steps = r["steps"]
+                w = np.zeros((len(names), len(steps)))
+                w[:, :least] = [r["start"][c] for c in names]
+                for i in range(least - 1, len(steps)):
+                    if i >= least:
+                        seen = np.zeros(len(steps))
+                        seen[i] = 1.0
+                        seen -= np.array([*(steps[i][f"x_{x}"] for x in xs), 1.0]) @ w
+                        w = w + np.outer([steps[i][f"k_{c}"] for c in names], seen)
+                    rows.append({**{k: r[k] for k in keys}, "end_step": steps[i]["t"], **{f"w_{c}": v for c, v in zip(names, w.tolist(), strict=True)}})
+            types = [*(batch.schema.field(k).type for k in keys), batch.schema.field("steps").type.value_type.field("t").type, *[pa.list_(pa.float64())] * len(names)]
+            columns = [*keys, "end_step", *(f"w_{c}" for c in names)]
+            yield pa.RecordBatch.from_arrays([pa.array([row[c] for row in rows], t) for c, t in zip(columns, types, strict=True)], columns)
+
+    return growing_weights(df, keys, xs, least).mapInArrow(run, schema)
+
+
 def growing_ols(df: DataFrame, keys: list[str], x: str, y: str, least: int) -> DataFrame:
     """One regressor over all growing ranges in a single window pass: end, b_x, b_const for each end step with ``least`` rows."""
     from pyspark.sql import Window

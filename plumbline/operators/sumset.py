@@ -97,7 +97,7 @@ class Linear:
 
     ``sides`` has ``at``, and arrays of structs ``obs`` (target and coefficients) and ``ctl`` (coefficients): of each ``at``, all pairs of its blocks. Every point is
     one row for each of those, whose arrays hold sum(x * coefficient) over its ``terms`` (name, x), or with ``measured`` (a map of targets to
-    numbers) what is left of the targets' numbers, and minus that sum of ``ctl``.
+    numbers) what is left of the targets' numbers, and minus that sum of ``ctl``. A coefficient may be an array, and x is one as long then.
     """
 
     points: DataFrame  # at, terms, measured, and columns of its own
@@ -123,13 +123,30 @@ def _facing(sums: Linear, columns: list[str], size, points: DataFrame | None = N
 
 
 def _combined(side: dict[str, np.ndarray], terms: list[dict]) -> np.ndarray:
-    out = None
+    out, part = None, None
     for term in terms:
-        part = side[term["name"]] * (np.nan if term["x"] is None else term["x"])
-        out = part if out is None else out + part
+        own, x = side[term["name"]], term["x"]
+        # Added up in order, not by a matrix product, so that each pass forms the very same numbers.
+        for row, factor in zip(own, x or [None] * len(own), strict=True) if own.ndim == 2 else ((own, x),):
+            factor = np.nan if factor is None else factor
+            if out is None:
+                out, part = row * factor, np.empty(len(row))
+            else:
+                out += np.multiply(row, factor, out=part)
     return out
 
 
+def _numbers(x: pa.Array) -> np.ndarray:
+    """Numbers, or of arrays of them, which are equally long, a row for each place."""
+    if not pa.types.is_list(x.type):
+        return x.to_numpy(zero_copy_only=False)
+    return np.ascontiguousarray(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1).T) if len(x) else np.zeros((0, 0))
+
+
+def _lacks(x) -> bool:
+    return x is None or isinstance(x, list) and any(v is None for v in x)
+
+
 def _coefficients(side: pa.Array, i: int) -> dict[str, pa.Array]:
     start, end = side.offsets[i].as_py(), side.offsets[i + 1].as_py()
     return {f.name: side.values.field(j).slice(start, end - start) for j, f in enumerate(side.type.value_type)}
@@ -141,7 +158,9 @@ def _formed(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray, np.ndarra
         obs, ctl = (_coefficients(batch.column(c), i) for c in ("obs", "ctl"))
         targets = obs.pop("target").to_pylist()
         gone = {k for side in (obs, ctl) for k, x in side.items() if x.null_count}
-        obs, ctl = ({k: x.to_numpy(zero_copy_only=False) for k, x in side.items()} for side in (obs, ctl))
+        obs, ctl = ({k: _numbers(x) for k, x in side.items()} for side in (obs, ctl))
+        if not all(len(x) for side in (obs, ctl) for x in side.values()):
+            continue
         for p in points:
             a, c = _combined(obs, p["terms"]), _combined(ctl, p["terms"])
             if p["measured"] is not None:
@@ -149,7 +168,7 @@ def _formed(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray, np.ndarra
                 has = np.array([t in of for t in targets], bool)
                 a, c = np.array([of[t] for t in targets if t in of], float) - a[has], -c
             if len(a) and len(c):
-                yield p, a, c, any(t["x"] is None or t["name"] in gone for t in p["terms"])
+                yield p, a, c, any(_lacks(t["x"]) or t["name"] in gone for t in p["terms"])
 
 
 def _kinds(df: DataFrame) -> dict[str, str]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +73,43 @@ def in_range(df: DataFrame, keys: list[str], short: tuple[int, float, float], lo
     return agg.filter((F.col("a_max") < limit) & (F.col("a_min") > -limit) & (F.col("a_max") - F.col("a_min") > spread) & (F.col("b_max") < limit2) & (F.col("b_min") > -limit2)).select(*keys)
 
 
+def _row_mean(rows: np.ndarray) -> np.ndarray:
+    """Means of each row, added up from its first number on."""
+    total = np.zeros(len(rows))
+    for i in range(rows.shape[1]):
+        total = total + rows[:, i]
+    return total / rows.shape[1]
+
+
+def kept_segments(df: DataFrame, n: int, baseline_rows: int, short: tuple[int, float, float], long: tuple[int, float]) -> DataFrame:
+    """member, slice_start, ys: the ``segments`` that are ``in_range``, of whole series (member, series: array of doubles without a null), each where its row is."""
+    (w, limit, spread), (w2, limit2) = short, long
+    h = n // 2
+
+    def means(y: np.ndarray, width: int) -> np.ndarray:
+        return np.stack([_row_mean(y[:, i : i + width]) for i in range(n - width + 1)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            series = batch.column("series")
+            sizes = np.diff(series.offsets.to_numpy())
+            for size in np.unique(sizes):
+                of = np.flatnonzero(sizes == size)
+                values = series.take(pa.array(of)).flatten().to_numpy(zero_copy_only=False).reshape(len(of), size)
+                for start in range(0, max(0, (int(size) - (n - h)) // h) * h, h):
+                    y = values[:, start : start + n]
+                    with np.errstate(invalid="ignore"):
+                        y = y - _row_mean(y[:, :baseline_rows])[:, None]
+                        a, b = means(y, w), means(y, w2)
+                        # NaN is in no range.
+                        own = np.flatnonzero((a.max(axis=0) < limit) & (a.min(axis=0) > -limit) & (a.max(axis=0) - a.min(axis=0) > spread) & (b.max(axis=0) < limit2) & (b.min(axis=0) > -limit2))
+                    ys = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * n, pa.int32()), pa.array(np.ascontiguousarray(y[own]).ravel()))
+                    yield pa.RecordBatch.from_arrays([batch.column("member").take(pa.array(of[own])), pa.array(np.full(len(own), start), pa.int64()), ys], ["member", "slice_start", "ys"])
+
+    kind = df.schema["member"].dataType.simpleString()
+    return df.select("member", "series").mapInArrow(run, f"member {kind}, slice_start long, ys array<double>")
+
+
 def trend(df: DataFrame, keys: list[str], width: int) -> DataFrame:
     """slope, end (the fitted value at the last row) over the trailing ``width`` rows; full windows only."""
     w = _over(keys, width - 1, 0)

@@ -202,6 +202,20 @@ def _regressors(wide, variables):
     return wide.select("model", "ensemble", "t", *(made.get(v, F.col(v)).alias(v) for v in variables))
 
 
+def _lines(s, d, variables=V, least=None):
+    """Wide responses, measurements and what ``at.linear`` takes the pairs of the stand-in run from, or with ``least`` those of its growing runs.
+
+    The targets themselves wherever every one has every step; their coefficients else.
+    """
+    wide, obs, ctl = stored(_regressors(at.wide(stored(src.responses(s, d)), V), variables)), stored(src.obs_baseline(s, d)), src.control_series(s, d)
+    both = at.series(wide, obs, ctl, variables, *src.REGRESS, least) if ctl is not None else None
+    if both is None and least is None:
+        both = at.met(stored(at.coefficients(wide, obs, src.control_targets(s, d), variables, *src.REGRESS)), variables)
+    elif both is None:
+        both = at.met(stored(at.growing_coefficients(wide, obs, src.control_targets(s, d), variables, src.REGRESS[0], least, src.REGRESS[1])), variables, ["end_step"])
+    return wide, obs, both
+
+
 _OBS = ["model", "ensemble", "obs"]
 
 
@@ -310,8 +324,8 @@ def _(s, d):
 
 def _sums(s, d, obs: bool = False, variables=V, at_steps=None):
     """model, ensemble, t, variable and the two sides of every pair's value; of all steps, or those that ``at_steps`` keeps."""
-    wide, coef, _, measured = _run(s, d, variables)
-    return at.linear(wide if at_steps is None else at_steps(wide), at.met(coef, variables), variables, measured if obs else None)
+    wide, measured, both = _lines(s, d, variables)
+    return at.linear(wide if at_steps is None else at_steps(wide), both, variables, measured if obs else None)
 
 
 @query("attrib_1var", "SELECT t, percentile, round(value, 5) + 0.0 AS tot FROM (" + quantiles("t", "att1", "Tot") + ")")
@@ -604,9 +618,9 @@ _SHOWN = [*V, "Ant", "Tot"]
 
 def _headline(s, d, of, const: float = 1.0):
     """Percentiles by window end of a linear functional of the series; ``of`` maps (df, keys) to rows with t and value."""
-    wide, coef, _, _ = _run(s, d)
+    wide, _, both = _lines(s, d)
     reduced = of(at.long(wide, V, ["model", "ensemble", "t"]), ["model", "ensemble", "variable"]).select("model", "ensemble", "variable", "t", "value")
-    return sumset.percentiles(at.linear(at.wide(reduced, V), at.met(coef, V), V, const=const), ["t", "variable"])
+    return sumset.percentiles(at.linear(at.wide(reduced, V), both, V, const=const), ["t", "variable"])
 
 
 def _headline_sql(of, const: int = 1) -> str:
@@ -778,28 +792,21 @@ def _(s, d):
 LEAST = 16
 
 
-def _growing(s, d):
-    """Wide responses, and coefficients for every end step."""
-    resp = stored(src.responses(s, d))
-    wide = stored(at.wide(resp, V))
-    return wide, stored(at.growing_coefficients(wide, src.obs_baseline(s, d), src.control_targets(s, d), V, src.REGRESS[0], LEAST, src.REGRESS[1]))
-
-
 def _runs(s, d):
     """end_step, t, variable, percentile, value of every run: its last two steps, and the last step of any."""
-    wide, coef = _growing(s, d)
-    ends = coef.select("end_step").distinct()
+    wide, _, both = _lines(s, d, least=LEAST)
+    ends = (both.weights if isinstance(both, at.Series) else both).select("end_step").distinct()
     last = ends.agg(F.max("end_step").alias("last"))
     wanted = ends.crossJoin(F.broadcast(last)).select("end_step", F.explode(F.array_distinct(F.array("last", "end_step", F.col("end_step") - 1))).alias("t"))
-    return sumset.percentiles(at.linear(wide.join(F.broadcast(wanted), "t"), at.met(coef, V, ["end_step"]), V, on=["end_step"]), ["end_step", "t", "variable"])
+    return sumset.percentiles(at.linear(wide.join(F.broadcast(wanted), "t"), both, V, on=["end_step"]), ["end_step", "t", "variable"])
 
 
 def _historical(s, d, definition, of, const: float = 1.0):
     """Each run's own headline: a functional of the responses at its last step, of the pairs of its own coefficients."""
-    wide, coef = _growing(s, d)
+    wide, _, both = _lines(s, d, least=LEAST)
     reduced = of(at.long(wide, V, ["model", "ensemble", "t"]), ["model", "ensemble", "variable"]).select("model", "ensemble", "variable", "t", "value")
     own = at.wide(reduced, V).withColumn("end_step", F.col("t"))
-    found = sumset.percentiles(at.linear(own, at.met(coef, V, ["end_step"]), V, const=const, on=["end_step"]), ["end_step", "variable"])
+    found = sumset.percentiles(at.linear(own, both, V, const=const, on=["end_step"]), ["end_step", "variable"])
     named = found.withColumn("label", products.label(definition, F.col("end_step")))
     return products.historical_only(named, definition).select("end_step", "label", "variable", "percentile", (F.round("value", 4) + 0.0).alias("value"))
 
@@ -867,8 +874,8 @@ _FULL_SQL = " UNION ALL ".join(f"SELECT '{k}' AS definition, variable, t, CASE W
   WITH med AS (SELECT variable, t, quantile_cont(value, 0.5) AS value FROM attlong WHERE variable IN ('Ant', 'Nat', 'Tot') GROUP BY 1, 2) {_FULL_SQL}) x
   LEFT JOIN (SELECT t, CASE WHEN count(*) OVER w = 20 THEN avg(m) OVER w END AS base FROM (SELECT t, quantile_cont(value, 0.5) AS m FROM obsb GROUP BY t) WINDOW w AS (ORDER BY t ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING)) USING (t)""")
 def _(s, d):
-    wide, coef, _, obs = _run(s, d)
-    median = sumset.percentiles(at.linear(wide, at.met(coef, V), V).over(lambda p: p.filter(F.col("variable").isin("Ant", "Nat", "Tot"))), ["t", "variable"], [50.0])
+    wide, obs, both = _lines(s, d)
+    median = sumset.percentiles(at.linear(wide, both, V).over(lambda p: p.filter(F.col("variable").isin("Ant", "Nat", "Tot"))), ["t", "variable"], [50.0])
     measured = obs.groupBy("t").agg(F.percentile("value", F.lit(0.5)).alias("value"))
     r5 = lambda c: (F.round(c, 5) + 0.0).alias(c)
     return products.full_information(median, measured).select("definition", "variable", "t", r5("value"), r5("less_measured"))
@@ -966,10 +973,10 @@ _DECADE = "(SELECT variable, avg(value) AS value FROM attlong WHERE t BETWEEN 17
 
 @query("plot_headline_table", "SELECT definition, variable, round_even(m, 2) + 0.0 AS centre, round(m - lo, 5) AS below, round(hi - m, 5) AS above, definition || ' ' || variable || printf(': %.2f', round_even(m, 2) + 0.0) AS label FROM (" + _TABLE.format("ANNUAL", "(SELECT * FROM attlong WHERE t = 26)") + " UNION ALL " + _TABLE.format("AR6", _DECADE) + ")")
 def _(s, d):
-    wide, coef, _, _ = _run(s, d)
+    wide, _, both = _lines(s, d)
     decade = at.wide(_windowed(9, 0)(at.long(wide, V, ["model", "ensemble", "t"]), ["model", "ensemble", "variable"]), V)
-    both = wide.withColumn("definition", F.lit("ANNUAL")).unionByName(decade.withColumn("definition", F.lit("AR6"))).filter("t = 26")
-    each = at.linear(both, at.met(coef, V), V, keep=["definition"])
+    shown = wide.withColumn("definition", F.lit("ANNUAL")).unionByName(decade.withColumn("definition", F.lit("AR6"))).filter("t = 26")
+    each = at.linear(shown, both, V, keep=["definition"])
     of = lambda q: F.max(F.when(F.col("percentile") == q, F.col("value")))
     p = sumset.percentiles(each, ["definition", "variable"], [5.0, 50.0, 95.0]).groupBy("definition", "variable").agg(of(5.0).alias("lo"), of(50.0).alias("m"), of(95.0).alias("hi"))
     centre = F.bround("m", 2) + 0.0
