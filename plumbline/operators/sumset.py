@@ -28,8 +28,8 @@ BINS, FEW = 256, 4096
 ROWS = 64
 #: Pairs of a value and an edge that are searched at once, numbers of the groups that a task adds up at once, and groups whose state is broadcast.
 SEARCH, HELD, BROADCAST = 1 << 21, 1 << 23, 10_000
-#: Points that a row of coefficients is taken at, at once.
-POINTS = 512
+#: Points that a row of coefficients is taken at, at once, and groups whose edges a task keeps.
+POINTS, KEPT = 512, 512
 _LEAST = np.iinfo(np.int64).min
 
 
@@ -79,16 +79,23 @@ def counts_upto(a: np.ndarray, c: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sum((_places(part, long, x).sum(axis=0) for part, long in _sides(a, c, len(x))), np.zeros(len(x), np.int64))
 
 
+def listed_each(a: np.ndarray, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """The sums in each (lo, hi]; the longer side is sorted once for all of them."""
+    out = [[np.zeros(0)] for _ in lo]
+    for part, long in _sides(a, c, 2 * len(lo)):
+        places = _places(part, long, np.concatenate([lo, hi]))
+        for i, found in enumerate(out):
+            first = places[:, i]
+            n = places[:, len(lo) + i] - first
+            own = np.repeat(np.arange(len(part)), n)
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found.append(part[own] + long[first[own] + within])
+    return [np.concatenate(found) for found in out]
+
+
 def listed(a: np.ndarray, c: np.ndarray, lo: float, hi: float) -> np.ndarray:
     """The sums in (lo, hi]."""
-    out = [np.zeros(0)]
-    for part, long in _sides(a, c, 2):
-        places = _places(part, long, np.array([lo, hi]))
-        n = places[:, 1] - places[:, 0]
-        own = np.repeat(np.arange(len(part)), n)
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out.append(part[own] + long[places[own, 0] + within])
-    return np.concatenate(out)
+    return listed_each(a, c, np.array([lo]), np.array([hi]))[0]
 
 
 @dataclass(frozen=True)
@@ -295,7 +302,8 @@ def _values(rows: DataFrame | Linear, state: DataFrame, keys: list[str], groups:
 
     def list_(a, c, ranks, lo, hi, below, inside, done):
         # A list of pairs (rank's place, value) as one array, so that tasks' lists can stand behind one another.
-        each = [(i, listed(a, c, lo[i], hi[i])) for i in range(len(ranks)) if np.nextafter(lo[i], np.inf) < hi[i]]
+        wide = np.flatnonzero(np.nextafter(lo, np.inf) < hi)
+        each = zip(wide.tolist(), listed_each(a, c, lo[wide], hi[wide]) if len(wide) else [], strict=True)
         return np.concatenate([np.zeros(0), *(np.column_stack([np.full(len(v), i), v]).ravel() for i, v in each)])
 
     def run(group: pa.Table) -> pa.Table:
@@ -341,10 +349,17 @@ def percentiles(sums: DataFrame | Linear, keys: list[str], qs: list[float] = PER
         sound = whole.join(F.broadcast(bounded.filter(~odd).select(*(F.col(k).alias(f"_{k}") for k in keys))), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi")
     by_value = True
     while now["open"]:
-
-        def count(a, c, ranks, lo, hi, below, inside, done, by_value=by_value):
-            edges, of = np.unique(_edges(lo[~done], hi[~done], by_value), return_inverse=True)
-            return counts_upto(a, c, edges)[of.ravel()]
+        known_edges: dict[tuple, tuple] = {}
+
+        def count(a, c, ranks, lo, hi, below, inside, done, by_value=by_value, known_edges=known_edges):
+            key = (lo.tobytes(), hi.tobytes(), done.tobytes())
+            if key not in known_edges:  # once for all rows of a group
+                if len(known_edges) >= KEPT:
+                    known_edges.clear()
+                edges, of = np.unique(_edges(lo[~done], hi[~done], by_value), return_inverse=True)
+                known_edges[key] = edges, of.ravel()
+            edges, of = known_edges[key]
+            return counts_upto(a, c, edges)[of]
 
         narrowed = _narrowed(_added(sound, state.filter(is_open), keys, count, "long", now["open"], sized), keys, by_value)
         (state, now), by_value = observed(narrowed.unionByName(state.filter(~is_open)), **counted), False

@@ -72,6 +72,20 @@ def test_counts_as_the_sums_are_rounded():
         assert sorted(sumset.listed(a, c, lo, hi)) == sorted(every[(every > lo) & (every <= hi)])
 
 
+def test_intervals_are_listed_after_one_sort(monkeypatch):
+    rng, sorts = np.random.default_rng(5), []
+    a, c = rng.normal(size=5), rng.normal(size=400)
+    every = np.add.outer(a, c).ravel()
+    lo = np.sort(every)[[10, 500, 500, 1900]]
+    hi = np.sort(every)[[40, 530, 500, 1999]]
+    want = [sumset.listed(a, c, *x) for x in zip(lo, hi, strict=True)]
+    sort = np.sort
+    monkeypatch.setattr(np, "sort", lambda x: sorts.append(len(x)) or sort(x))
+    got = sumset.listed_each(a, c, lo, hi)
+    assert sorts == [400] and [len(x) for x in got] == [30, 30, 0, 99]
+    assert all((x == y).all() for x, y in zip(got, want, strict=True))
+
+
 def made(spark, n=30, members=3, controls=5, seed=5):
     rng = np.random.default_rng(seed)
     x = np.cumsum(rng.normal(size=(2, n, 3)), axis=1)
