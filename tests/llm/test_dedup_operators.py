@@ -65,6 +65,18 @@ def test_repeated_substrings_odd(odd, none):
     assert substring_ranks.remove_repeats(none).count() == 0
 
 
+def test_passages_of_over_50_words(spark, rng, tmp_path):
+    """The query's bound is 400 bytes, not words; n_bytes is the text's size, whatever is found in it."""
+    short, long = (" ".join("".join(rng.choice("abcdefghij") for _ in range(k)) for _ in range(60)) for k in (5, 7))
+    assert len(short) < 400 <= len(long)
+    rows = [(i, " ".join([*words(rng, 40), *p, *words(rng, 40)])) for i, p in enumerate(([short], [short], [long], [long], [short, long], []))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = substring_ranks.op6_repeated_substrings(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=str) == brute.repeated_substrings(rows, 400)
+    assert {r.doc_id for r in got.filter("n_removed >= 400").collect()} == {2, 3, 4} and got.filter("n_removed > 0").count() == 3
+    assert {r.doc_id: r.n_bytes for r in got.collect()} == {i: len(t.encode()) for i, t in rows}
+
+
 def test_myers(rng):
     items = ["".join(rng.choice("abcd ") for _ in range(rng.randint(20, 200))).strip() for _ in range(60)]
     for y in items:
